@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from .embdedup import op8_embedding_dedup
+from .langid import op2_langid
 from .linededup import OP4_SQL, op4_line_dedup
 from .mixing import op5_mixing
 from .packing import op1_packing
 from .quality import OP3_SQL, op3_quality
 from .simhash import op9_simhash
+from .substring import OP10_SQL, op10_substring
+from .tokenfiles import op7_token_files
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_langid": op2_langid,
     "op3_quality": op3_quality,
     "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
+    "op7_token_files": op7_token_files,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_simhash": op9_simhash,
+    "op10_substring": op10_substring,
 }
-ORACLES = {"op3_quality": OP3_SQL, "op4_line_dedup": OP4_SQL}
+ORACLES = {"op3_quality": OP3_SQL, "op4_line_dedup": OP4_SQL, "op10_substring": OP10_SQL}
