@@ -7,6 +7,7 @@ from .langid import op2_langid
 from .linededup import OP4_SQL, op4_line_dedup
 from .mixing import op5_mixing
 from .packing import op1_packing
+from .pii import op6_pii
 from .quality import OP3_SQL, op3_quality
 from .simhash import op9_simhash
 from .substring import OP10_SQL, op10_substring
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
+    "op6_pii": op6_pii,
     "op7_token_files": op7_token_files,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_simhash": op9_simhash,
