@@ -1,7 +1,8 @@
 """Token ids by the tokenizers library, encoded once for each distinct piece of text.
 
-Both vocabularies split a text at a single space between two non-space characters before anything else is merged, so
-the ids of a text are those of its pieces in order. A worker keeps the ids of the pieces it has met, up to CACHE of them.
+Both vocabularies split a text at a single space or line feed between two other characters before anything is merged, and
+before the punctuation that follows a word's letters. So the ids of a text are those of its pieces in order. A worker keeps
+the ids of the pieces that it has met, up to CACHE of them.
 """
 
 from __future__ import annotations
@@ -15,50 +16,78 @@ import pyarrow as pa
 
 #: Pieces that a worker remembers; then it forgets all and begins again.
 CACHE = 1 << 20
-_WIDE = re.compile(r"\s[ ]|[ ]\s|^\s|\s$")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_WIDE = re.compile(r"\s\s|^\s|\s$")
+_WORD, _LINE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"(?<=\S)\n(?=\S)")
+#: Neither a letter, a number nor an apostrophe: behind a letter such characters begin a piece of their own.
+MARKS = ".,;:!?#*$%&|"
+#: The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
 _held: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """encode(text) -> bytes: little-endian unsigned 32-bit ids, as Tokenizer.encode(text, add_special_tokens=False) gives."""
+    """texts(list) -> list of bytes: little-endian unsigned 32-bit ids, as Tokenizer.encode(text, add_special_tokens=False) gives."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
+        self.feed = self._raw("\n")
+        #: Whether case, and a space before a word, change nothing.
+        self.folds, self.spaced = self._raw("Aé") == self._raw("aé"), self._raw(" a") != self._raw("a")
         self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {} if self.spaced else self.first
+        self.marks: dict[str, bytes] = {}
+
+    def _raw(self, text: str) -> bytes:
+        return np.array(self.of.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, cache: dict[str, bytes], new: list[str], before: str) -> None:
-        """Ids of pieces; a closing comma or full stop behind a letter is a piece of its own to the tokenizer."""
-        base = {}
+        parts, ask = [], {}
         for p in new:
-            if len(p) > 1 and p[-1] in ".," and p[-2].isalpha():
-                base[p] = (p[:-1], p[-1])
-        tails = {t: b"".join(int(i).to_bytes(4, "little") for i in self.of.encode(t, add_special_tokens=False).ids) for _, t in base.values()}
-        ask = [p for p in dict.fromkeys([base[p][0] if p in base else p for p in new]) if p not in cache]
-        for i in range(0, len(ask), 4096):
-            part = ask[i : i + 4096]
-            for p, e in zip(part, self.of.encode_batch_fast([before + p for p in part], add_special_tokens=False)):
-                cache[p] = np.array(e.ids, "<u4").tobytes()
-        for p, (stem, tail) in base.items():
-            cache[p] = cache[stem] + tails[tail]
+            stem = p.rstrip(MARKS)
+            tail = p[len(stem) :]
+            if not tail or not stem or not stem[-1].isalpha():
+                stem, tail = p, ""
+            if self.folds and stem and max(stem) < "\u0250":  # Latin letters have one lower case everywhere
+                stem = stem.lower()
+            if tail and tail not in self.marks:
+                self.marks[tail] = self._raw(tail)
+            parts.append((p, stem, tail))
+            if stem not in cache:
+                ask[stem] = None
+        # one word of Latin letters is one pre-token: it needs neither normalizer nor pre-tokenizer, only the model
+        tokenize, lead, stems = self.of.model.tokenize, before.encode().decode("latin-1").translate(_BYTES) if self.spaced else "", []
+        for stem in ask:
+            if stem.isalpha() and max(stem) < "\u0250":
+                cache[stem] = np.array([x.id for x in tokenize(lead + stem.encode().decode("latin-1").translate(_BYTES))], "<u4").tobytes()
+            else:
+                stems.append(stem)
+        for i in range(0, len(stems), 4096):
+            some = stems[i : i + 4096]
+            for stem, e in zip(some, self.of.encode_batch_fast([before + x for x in some], add_special_tokens=False)):
+                cache[stem] = np.array(e.ids, "<u4").tobytes()
+        for p, stem, tail in parts:
+            cache[p] = cache[stem] + self.marks[tail] if tail else cache[stem]
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         cut = []
         for t in texts:
             t = t or ""
-            cut.append(_CUT.split(t) if _WIDE.search(t) else t.split(" "))
-        for cache, before, own in ((self.first, "", [x[:1] for x in cut]), (self.later, " ", [x[1:] for x in cut])):
+            wide = _WIDE.search(t)
+            lines = _LINE.split(t) if wide else t.split("\n")
+            cut.append([_WORD.split(x) if wide else x.split(" ") for x in lines])
+        for cache, before, own in ((self.first, "", slice(0, 1)), (self.later, " ", slice(1, None))):
             if len(cache) > CACHE:
                 cache.clear()
-            new = list({p for x in own for p in x if p not in cache})
+                self.marks.clear()
+            new = list({p for lines in cut for x in lines for p in x[own] if p not in cache})
             if new:
                 self._learn(cache, new, before)
-        first, later = self.first, self.later
-        return [first[x[0]] + b"".join([later[p] for p in x[1:]]) for x in cut]
+        first, later, feed = self.first, self.later, self.feed
+        return [feed.join([first[x[0]] + b"".join([later[p] for p in x[1:]]) for x in lines]) for lines in cut]
 
 
 def encoder(path: str) -> Encoder:
