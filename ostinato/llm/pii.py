@@ -31,28 +31,35 @@ ANY = "|".join(f"(?:{p})" for p in FORMATS.values())
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
 
 
-def _digest(key: str, tweak: Column, round_: Column, place: Column, side: Column, radix: Column) -> Column:
-    hex_ = F.sha2(F.concat_ws("|", F.lit(key), tweak, round_.cast("string"), place.cast("string"), side).cast("binary"), 256)
-    return F.pmod(F.conv(F.substring(hex_, 1, 12), 16, 10).cast("bigint"), radix)
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def feistel(symbols: Column, tweak: Column, key: str, back: bool = False) -> Column:
     """symbols: array<struct<v, n>>, 0 <= v < n. Even rounds shift the left half by the right one's digest, odd ones the
-    other way; each round is one-to-one, so the whole permutes the format. back: the inverse."""
-    half = F.floor(F.size(symbols) / 2).cast("int")
+    other way; each round is one-to-one, so the whole permutes the format. back: the inverse.
 
-    def one(state: Column, r: Column) -> Column:
-        left = r % 2 == 0
-        side = F.array_join(
-            F.transform(F.filter(state, lambda x, i: F.when(left, i >= half).otherwise(i < half)), lambda x: x["v"].cast("string")), ","
-        )
-        shift = lambda x, i: _digest(key, tweak, r, i, side, x["n"])
-        move = (lambda x, i: F.pmod(x["v"] - shift(x, i), x["n"])) if back else (lambda x, i: (x["v"] + shift(x, i)) % x["n"])
-        mine = lambda i: F.when(left, i < half).otherwise(i >= half)
-        return F.transform(state, lambda x, i: F.struct(F.when(mine(i) & (x["n"] > 1), move(x, i)).otherwise(x["v"]).cast("bigint").alias("v"), x["n"].alias("n")))
+    A round takes two steps of the fold, so that its digest is computed once and not for each symbol.
+    """
+
+    def one(acc: Column, step: Column) -> Column:
+        state, round_ = acc["s"], F.floor(step / 2).cast("int")
+        r = (F.lit(ROUNDS - 1) - round_) if back else round_
+        left, half = r % 2 == 0, F.floor(F.size(state) / 2).cast("int")
+        side = F.transform(F.filter(state, lambda x, i: F.when(left, i >= half).otherwise(i < half)), lambda x: x["v"].cast("string"))
+        digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, r.cast("string"), F.array_join(side, ",")).cast("binary"), 256)
+
+        def moved(x: Column, i: Column) -> Column:
+            shift = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", acc["d"], i.cast("string")).cast("binary"), 256), 1, 12), 16, 10).cast("bigint"), x["n"])
+            mine = F.when(left, i < half).otherwise(i >= half) & (x["n"] > 1)
+            v = F.when(mine, F.pmod(x["v"] - shift, x["n"]) if back else (x["v"] + shift) % x["n"]).otherwise(x["v"])
+            return F.struct(v.cast("bigint").alias("v"), x["n"].alias("n"))
 
-    rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if back else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
-    return F.aggregate(rounds, symbols, one)
+        look = F.struct(state.alias("s"), digest.alias("d"))
+        return F.when(step % 2 == 0, look).otherwise(F.struct(F.transform(state, moved).alias("s"), acc["d"].alias("d")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(2 * ROUNDS - 1)), F.struct(symbols.alias("s"), F.lit("").alias("d")), one, lambda a: a["s"])
 
 
 def _symbol(v: Column, n: Column) -> Column:
@@ -61,11 +68,14 @@ def _symbol(v: Column, n: Column) -> Column:
 
 def _spelled(value: Column, alphabet, tweak: Column, key: str, back: bool) -> Column:
     """Characters permuted within the alphabets that alphabet(character, place) names; "" leaves one as it is."""
-    chars = F.split(value, "")
-    letters = F.transform(chars, lambda c, i: F.struct(c.alias("c"), alphabet(c, i).alias("a")))
-    symbols = F.transform(letters, lambda x: _symbol(F.greatest(F.lit(0), F.position(x["c"], x["a"]) - 1), F.greatest(F.lit(1), F.length(x["a"]))))
-    out = feistel(symbols, tweak, key, back)
-    return F.array_join(F.zip_with(letters, out, lambda x, y: F.when(x["a"] == "", x["c"]).otherwise(F.substr(x["a"], (y["v"] + 1).cast("int"), F.lit(1)))), "")
+    letters = F.transform(F.split(value, ""), lambda c, i: F.struct(c.alias("c"), alphabet(c, i).alias("a")))
+
+    def spell(known: Column) -> Column:
+        symbols = F.transform(known, lambda x: _symbol(F.greatest(F.lit(0), F.position(x["c"], x["a"]) - 1), F.greatest(F.lit(1), F.length(x["a"]))))
+        out = feistel(symbols, tweak, key, back)
+        return F.array_join(F.zip_with(known, out, lambda x, y: F.when(x["a"] == "", x["c"]).otherwise(F.substr(x["a"], (y["v"] + 1).cast("int"), F.lit(1)))), "")
+
+    return _let(letters, spell)
 
 
 def _class(c: Column) -> Column:
@@ -115,26 +125,26 @@ def pseudonym(value: Column, key: str = KEY, back: bool = False) -> Column:
     day = F.when(iso, F.try_to_date(value, "yyyy-MM-dd")).when(dotted == ".", F.try_to_date(value, "dd.MM.yyyy")).otherwise(F.try_to_date(value, "dd/MM/yyyy"))
     number = F.date_diff(day, F.lit(FIRST_DAY).cast("date"))
     pair = feistel(F.array(_symbol(F.floor(number / DAYS[1]), F.lit(DAYS[0])), _symbol(number % DAYS[1], F.lit(DAYS[1]))), F.lit("date"), key, back)
-    moved = F.date_add(F.lit(FIRST_DAY).cast("date"), (F.get(pair, F.lit(0))["v"] * DAYS[1] + F.get(pair, F.lit(1))["v"]).cast("int"))
+    moved = F.date_add(F.lit(FIRST_DAY).cast("date"), _let(pair, lambda q: (F.get(q, F.lit(0))["v"] * DAYS[1] + F.get(q, F.lit(1))["v"]).cast("int")))
     date = F.when(iso, F.date_format(moved, "yyyy-MM-dd")).when(dotted == ".", F.date_format(moved, "dd.MM.yyyy")).otherwise(F.date_format(moved, "dd/MM/yyyy"))
     # social security numbers: area 001-899 without 666, group 01-99, serial 0001-9999
     part = lambda i: F.split_part(value, F.lit("-"), F.lit(i)).cast("bigint")
     area = part(1) - F.when(part(1) > 666, 2).otherwise(1)
     three = feistel(F.array(_symbol(area, F.lit(898)), _symbol(part(2) - 1, F.lit(99)), _symbol(part(3) - 1, F.lit(9999))), F.lit("ssn"), key, back)
-    v = lambda i: F.get(three, F.lit(i))["v"]
-    ssn = F.format_string("%03d-%02d-%04d", v(0) + F.when(v(0) >= 665, 2).otherwise(1), v(1) + 1, v(2) + 1)
+    v = lambda q, i: F.get(q, F.lit(i))["v"]
+    ssn = _let(three, lambda q: F.format_string("%03d-%02d-%04d", v(q, 0) + F.when(v(q, 0) >= 665, 2).otherwise(1), v(q, 1) + 1, v(q, 2) + 1))
     # telephone numbers: a country code stays; a digit from 2 stays one where it leads a group
     lead = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0)
     rest = F.substr(value, F.length(lead) + 1)
     phone = F.concat(lead, spelled(rest, lambda c, i: F.when(~c.between("0", "9"), "").when(c.between("2", "9"), HIGH).otherwise("01"), "phone"))
     # cards: all digits but the last, which is the Luhn check digit
     body = spelled(F.substr(plain, F.lit(1), F.length(plain) - 1), lambda c, i: F.lit(DIGITS), "card")
-    check = F.pmod(10 - _luhn(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")
-    card = F.when(_luhn(plain) % 10 == 0, _in_place(value, F.concat(body, check))).otherwise(value)
+    check = lambda b: F.pmod(10 - _luhn(F.concat(b, F.lit("0"))) % 10, F.lit(10)).cast("string")
+    card = F.when(_luhn(plain) % 10 == 0, _let(body, lambda b: _in_place(value, F.concat(b, check(b))))).otherwise(value)
     country = F.substr(plain, F.lit(1), F.lit(2))
     account = spelled(F.substr(plain, F.lit(5)), lambda c, i: _class(c), "iban")
-    checked = F.lpad((98 - _mod97(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0")
-    iban = F.when(_mod97(plain) == 1, _in_place(value, F.concat(country, checked, account))).otherwise(value)
+    checked = lambda a: F.lpad((98 - _mod97(F.concat(country, F.lit("00"), a))).cast("string"), 2, "0")
+    iban = F.when(_mod97(plain) == 1, _let(account, lambda a: _in_place(value, F.concat(country, checked(a), a)))).otherwise(value)
     return (
         F.when(at > 0, email).when(whole("secret"), secret).when(whole("ip"), ip)
         .when(whole("date"), F.coalesce(date, value)).when(whole("ssn"), ssn).when(whole("iban"), iban).when(whole("phone"), phone).otherwise(card)
