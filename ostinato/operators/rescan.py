@@ -61,7 +61,7 @@ def rescan(windows: DataFrame, samples: DataFrame, rate: int, scorer, p: Detecti
 
 def demo(samples: DataFrame, rate: int = 100) -> DataFrame:
     """Every minute's first hit looked at again, on samples taken as `rate` a second."""
-    r, p = Rescan(window=5.0, block=10), Detection(precision=10, block_size=10, threshold=0.01, focus_idx=0, classes=2)
+    r, p = Rescan(window=10.0, block=10), Detection(precision=10, block_size=10, threshold=0.01, focus_idx=0, classes=2)
     v = samples.withColumn("v", F.col("sample") / F.lit(32767.0))
     hits = samples.groupBy("source_key", F.floor(F.col("sample_no") / (60 * rate)).alias("m")).agg(F.min(F.when(F.col("sample") > 4000, F.col("sample_no"))).alias("at"))
     hits = hits.filter("at is not null").select("source_key", F.col("at").alias("ordinal"), (F.col("at") / rate).alias("start_s"), (F.col("at") / rate + 1).alias("end_s"))
