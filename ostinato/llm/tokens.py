@@ -73,21 +73,30 @@ class Encoder:
             cache[p] = cache[stem] + self.marks[tail] if tail else cache[stem]
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
-        cut = []
+        cut, heads, rests = [], set(), set()
         for t in texts:
             t = t or ""
             wide = _WIDE.search(t)
-            lines = _LINE.split(t) if wide else t.split("\n")
-            cut.append([_WORD.split(x) if wide else x.split(" ") for x in lines])
-        for cache, before, own in ((self.first, "", slice(0, 1)), (self.later, " ", slice(1, None))):
-            if len(cache) > CACHE:
+            lines = []
+            for x in _LINE.split(t) if wide else t.split("\n"):
+                rest = _WORD.split(x) if wide else x.split(" ")
+                head = rest.pop(0)
+                heads.add(head)
+                rests.update(rest)
+                lines.append((head, rest))
+            cut.append(lines)
+        for cache, before, met in ((self.first, "", heads), (self.later, " ", rests)):
+            if len(cache) > CACHE and cache is not self.first:
                 cache.clear()
-                self.marks.clear()
-            new = list({p for lines in cut for x in lines for p in x[own] if p not in cache})
+            new = [p for p in met if p not in cache]
             if new:
                 self._learn(cache, new, before)
-        first, later, feed = self.first, self.later, self.feed
-        return [feed.join([first[x[0]] + b"".join([later[p] for p in x[1:]]) for x in lines]) for lines in cut]
+        first, later, feed = self.first, self.later.__getitem__, self.feed
+        out = [feed.join([first[head] + b"".join(map(later, rest)) for head, rest in lines]) for lines in cut]
+        if len(self.first) > CACHE:
+            self.first.clear()
+            self.marks.clear()
+        return out
 
 
 def encoder(path: str) -> Encoder:
