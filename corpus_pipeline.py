@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.llm import linededup, mixing, packing, quality, simhash
+from ostinato.llm import linededup, mixing, near, packing, quality
 from ostinato.llm.shared import words, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,11 +26,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("_kept").alias("text"), "lang", "source", F.length("_kept").cast("long").alias("n_chars"))
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """COLUMNS and a number of each row's own, `_row`. It is written, so that every reading sees the same numbers."""
+    return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), name)
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the least doc_id."""
-    groups = simhash.near_groups(docs)
-    stay = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(stay, "doc_id", "left_semi")
+    """One row of each group of near-duplicates (five-word shingles, a similarity of 0.8 or more) stays: the one with the least
+    doc_id, with a null one only where there is no other; of equal doc_ids the one with the least hash of its columns."""
+    docs = numbered(docs, "near_rows").withColumn("_hash", F.xxhash64(*COLUMNS))
+    groups = near.similar_groups(docs, "_row", "text", ["doc_id", "_hash"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "row"))
+    stay = groups.groupBy("component").agg(first.alias("_first")).select(F.col("_first.row").alias("_row"))
+    return docs.join(stay, "_row", "left_semi").select(*COLUMNS)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +62,12 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality_stage),
     ("line dedup", line_stage),
-    ("simhash near-dedup", near_stage),
+    ("near-dedup", near_stage),
     ("mixing to target weights", mix_stage),
     ("best-fit packing", pack_stage),
 ]
 
-#: Neither SimHash, the seeded choice of blocks nor tokens can be had in SQL; tests/llm compares with a brute-force version.
+#: Neither shingle similarity, the seeded choice of blocks nor tokens can be had in SQL; tests/llm compares with a brute-force version.
 ORACLE_SQL = None
 
 
