@@ -43,11 +43,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix takes; one that is taken in part has its words joined by single spaces."""
-    docs = docs.select(*COLUMNS)
-    m = mixing.mixed(docs).filter("taken > 0").select("doc_id", "size", "rounds", "part_from", "part_len")
+    docs = numbered(docs, "mix_rows")
+    m = mixing.mixed(docs, row="_row").filter("taken > 0").select(F.col("row").alias("_row"), "size", "rounds", "part_from", "part_len")
     whole = F.col("rounds") + F.when(F.col("part_len") == F.col("size"), 1).otherwise(0)
     some = (F.col("part_len") > 0) & (F.col("part_len") < F.col("size"))
-    d = docs.join(m, "doc_id")
+    d = docs.join(m, "_row")
     cut = F.array_join(F.slice(words(F.col("text")), F.col("part_from") + 1, F.col("part_len")), " ")
     d = d.withColumn("_copies", F.concat(F.array_repeat(F.lit(False), whole), F.when(some, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))))
     d = d.withColumn("_part", F.explode("_copies")).withColumn("text", F.when(F.col("_part"), cut).otherwise(F.col("text")))

@@ -75,15 +75,19 @@ def _seats(parties: DataFrame, group: list[str], votes: str, house: str, order:
     return p.alias("a").join(more.alias("b"), cond, "left").select(*own, (F.col("a._sure") + F.coalesce(F.col("b._won"), F.lit(0))).alias("seats"))
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, seed: str = SEED) -> DataFrame:
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, seed: str = SEED, row: str | None = None) -> DataFrame:
     """A row for each document: doc_id, source, size (words), source_size, target, taken (words that the mix takes), and
     `rounds` whole copies plus `part_from`, `part_len`: further words, from the first of these (0-based).
 
     Null text has size 0 and is taken 0 times; null source is a source of its own. Ties in the seeded order fall to doc_id
     and size, so rows that are equal in both may trade places, which changes no count. Extra columns are not read.
+
+    row: a column that tells all rows apart, where doc_id may be null or repeated. It breaks the last ties and comes back as
+    `row`, so that results can be joined to their rows.
     """
+    rows = [] if row is None else ["row"]
     sizes = written(
-        docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), n_words(F.col(f"`{text}`")).alias("size")), "sizes"
+        docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), n_words(F.col(f"`{text}`")).alias("size"), *[F.col(f"`{row}`").alias("row") for _ in rows]), "sizes"
     )
     targets = source_targets(sizes).withColumn("shards", F.least(F.lit(MAX_SHARDS), F.ceil(F.col("source_size") / SHARD_TOKENS)).cast("int"))
     targets = targets.withColumn("house", F.round(F.sum("target").over(W.partitionBy()) / block).cast("long")).withColumn("_all", F.lit(0))
@@ -93,7 +97,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     mix = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string")))
     d = sizes.join(F.broadcast(t) if t.count() <= 10_000 else t, sizes["source"].eqNullSafe(t["source"]), "left").select(
         "doc_id", sizes["source"].alias("source"), "size", "source_size", "target", "shards", "seats", mix.alias("_mix"),
-        F.coalesce(F.concat(F.lit("0"), sizes["source"]), F.lit("1")).alias("_s"),
+        F.coalesce(F.concat(F.lit("0"), sizes["source"]), F.lit("1")).alias("_s"), *rows,
     )
     d = d.withColumn("shard", F.pmod(F.conv(F.substring("_mix", 1, 12), 16, 10).cast("long"), F.greatest(F.lit(1), F.coalesce("shards", F.lit(1)))))
     spread = d.groupBy("_s", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("house"))
@@ -105,7 +109,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
         "_s", "shard", "shard_size",
         F.floor(F.col("seats") / F.col("blocks")).alias("rounds"), (F.col("seats") % F.col("blocks")).alias("_run"), (start % F.col("blocks")).alias("_from"),
     )
-    end = F.sum("size").over(W.partitionBy("_s", "shard").orderBy("_mix", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
+    end = F.sum("size").over(W.partitionBy("_s", "shard").orderBy("_mix", "doc_id", "size", *rows).rowsBetween(W.unboundedPreceding, 0))
     d = d.withColumn("_e", end).withColumn("_b", F.col("_e") - F.col("size"))
     d = d.join(spread, ["_s", "shard"], "left")
     lo, hi = F.col("_from") * block, (F.col("_from") + F.col("_run")) * block
@@ -118,7 +122,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     return d.select(
         "doc_id", "source", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"),
         (rounds * F.col("size") + some).cast("long").alias("taken"), rounds.cast("int").alias("rounds"),
-        F.when(some > 0, from_).otherwise(F.lit(0)).cast("int").alias("part_from"), some.cast("int").alias("part_len"),
+        F.when(some > 0, from_).otherwise(F.lit(0)).cast("int").alias("part_from"), some.cast("int").alias("part_len"), *rows,
     )
 
 
