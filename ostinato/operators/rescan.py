@@ -60,10 +60,12 @@ def rescan(windows: DataFrame, samples: DataFrame, rate: int, scorer, p: Detecti
 
 
 def demo(samples: DataFrame, rate: int = 100) -> DataFrame:
-    """Every minute's first hit looked at again, on samples taken as `rate` a second."""
+    """Every run of hits looked at again, on samples taken as `rate` a second. Runs are cut at minutes; close windows merge."""
     r, p = Rescan(window=10.0, block=10), Detection(precision=10, block_size=10, threshold=0.01, focus_idx=0, classes=2)
     v = samples.withColumn("v", F.col("sample") / F.lit(32767.0))
-    hits = samples.groupBy("source_key", F.floor(F.col("sample_no") / (60 * rate)).alias("m")).agg(F.min(F.when(F.col("sample") > 4000, F.col("sample_no"))).alias("at"))
-    hits = hits.filter("at is not null").select("source_key", F.col("at").alias("ordinal"), (F.col("at") / rate).alias("start_s"), (F.col("at") / rate + 1).alias("end_s"))
+    minute = F.floor(F.col("sample_no") / (60 * rate)).alias("block_no")
+    over = samples.filter("sample > 4000").select("source_key", minute, F.col("sample_no").alias("bucket"))
+    runs = detect.islands(over).groupBy("source_key", "block_no", "island").agg(F.min("bucket").alias("at"), F.max("bucket").alias("to"))
+    hits = runs.select("source_key", F.col("at").alias("ordinal"), (F.col("at") / rate).alias("start_s"), (F.col("to") / rate + 1).alias("end_s"))
     windows = intervals.scan_windows(hits, r.window, gap=r.coalesce_gap).select("source_key", "start_s", "end_s")
     return rescan(windows, v, rate, detect.power_scorer(frame=rate // 100 or 1), p, r)

@@ -130,7 +130,7 @@ def score_blocks(spark, sf):
 
 @query()
 def rescan_hits(spark, sf):
-    """Windows around first hits, scored again with gain: accepted and rejected rows."""
+    """Windows around all hits, scored again with gain: accepted and rejected rows."""
     return rescan.demo(x.samples(spark, sf))
 
 
