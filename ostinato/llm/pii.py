@@ -151,17 +151,51 @@ def pseudonym(value: Column, key: str = KEY, back: bool = False) -> Column:
     )
 
 
+def _valid(value: Column) -> Column:
+    """Whether all of value is a card or IBAN number with right check digits."""
+    plain = F.regexp_replace(value, "[^0-9A-Za-z]", "")
+    whole = lambda kind: value.rlike(f"^(?:{FORMATS[kind]})$")
+    return F.when(whole("iban"), _mod97(plain) == 1).when(whole("card"), _luhn(plain) % 10 == 0).otherwise(False)
+
+
+def rewritten(value: Column, key: str = KEY, back: bool = False) -> Column:
+    """The pseudonym of a found value; where its check digits fail, the valid cards and IBANs inside have theirs: from the left,
+    at each group of characters, the longest one that ends with a group. What is around them stays."""
+    groups = F.regexp_extract_all(value, F.lit("[ -]?[0-9A-Za-z]+"), F.lit(0))
+
+    def inside(g: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            last = F.least(F.size(g), i + 19)
+            ends = F.sequence(last, i + 1, F.lit(-1))
+            run = lambda to: F.regexp_replace(F.array_join(F.slice(g, i + 1, to - i), ""), "^[ -]", "")
+            to = F.get(F.filter(ends, lambda e: _valid(run(e))), F.lit(0))
+            sep = F.regexp_extract(F.get(g, i), "^[ -]", 0)
+            found = lambda e: F.when(
+                e.isNull(), F.struct(F.concat(acc["s"], F.get(g, i)).alias("s"), (i + 1).alias("next"))
+            ).otherwise(F.struct(F.concat(acc["s"], sep, pseudonym(run(e), key, back)).alias("s"), e.alias("next")))
+            return F.when(i < acc["next"], acc).otherwise(_let(to, found))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), F.struct(F.lit("").alias("s"), F.lit(0).alias("next")), step, lambda a: a["s"])
+
+    other = F.lit(False)
+    for kind in ("email", "secret", "ip", "date", "ssn"):
+        other = other | value.rlike(f"^(?:{FORMATS[kind]})$")
+    phone = ~value.rlike(f"^(?:{FORMATS['iban']})$") & value.rlike(f"^(?:{FORMATS['phone']})$")
+    return F.when(other | phone | _valid(value), pseudonym(value, key, back)).otherwise(_let(groups, inside))
+
+
 def pseudonymized(docs: DataFrame, text: str = "text", key: str = KEY, back: bool = False) -> DataFrame:
     """docs with `text` rewritten and one more column `_n_values`: values that were replaced.
 
-    Null text stays null, with 0. Numbers that fail their check digits, impossible dates and version-like numbers stay as they
+    Null text stays null, with 0. Where a card's or IBAN's match takes in groups that don't belong to it, the valid number inside
+    is replaced. Going back finds such a number unless its pseudonym happens to be valid with a neighbouring group too. Numbers that fail their check digits, impossible dates and version-like numbers stay as they
     are. Repeated rows get equal results; other columns pass through; a column `_n_values` in the input is replaced.
     """
     t = F.col(f"`{text}`")
     keep = [c for c in docs.columns if c not in ("_n_values", text)]
     rest = F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("_zero")).alias("_row")
     found = docs.select(rest, t.alias("_t"), F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).alias("_found"))
-    found = found.select("_row", "_t", "_found", F.when(F.size("_found") > 0, F.transform("_found", lambda x: pseudonym(x, key, back))).alias("_new"))
+    found = found.select("_row", "_t", "_found", F.when(F.size("_found") > 0, F.transform("_found", lambda x: rewritten(x, key, back))).alias("_new"))
     between = F.when(F.col("_new").isNotNull(), F.split("_t", ANY))
     found = found.select("_row", "_t", "_found", "_new", between.alias("_between"))
     joined = F.array_join(F.zip_with("_between", F.concat("_new", F.array(F.lit(""))), lambda x, y: F.concat(x, y)), "")
