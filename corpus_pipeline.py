@@ -67,7 +67,8 @@ STAGES = [
     ("best-fit packing", pack_stage),
 ]
 
-#: Neither shingle similarity, the seeded choice of blocks nor tokens can be had in SQL; tests/llm compares with a brute-force version.
+#: Neither shingle similarity, the seeded choice of blocks nor tokens can be had in SQL. tests/llm compares near-dedup with all pairs
+#: and the mix by rows and words; the quality and line stages have no brute-force version there yet.
 ORACLE_SQL = None
 
 
