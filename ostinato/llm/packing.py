@@ -32,17 +32,15 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
 
     Null text counts as empty: one piece that holds `end_id`. Rows with equal ids stay apart. Extra columns aren't read.
     """
-    last = int(end_id).to_bytes(4, "little")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
 
     def run(batches):
         enc = tokens.encoder(tokenizer)
         for b in batches:
             names = b.column(0).to_pylist()
-            for at, texts in tokens.slices(b, 1):
+            for at, found in tokens.encoded(enc, b.column(1), end_id):
                 out = [[], [], [], [], [], []]
-                for i, raw in zip(at, enc.texts(texts)):
-                    raw += last
+                for i, raw in enumerate(found, at):
                     for piece, x in enumerate(range(0, len(raw), 4 * size)):
                         part = raw[x : x + 4 * size]
                         row = (names[i], piece, x // 4, len(part) // 4, tokens.crc32(part))

@@ -33,17 +33,15 @@ def _ranged(df: DataFrame) -> DataFrame:
 
 def encoded(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
     """(doc_id, n_tokens, ids), range-sorted by doc_id, null ids first; null text is empty and has only the end id."""
-    last = int(end_id).to_bytes(4, "little")
 
     def run(batches):
         enc = tokens.encoder(tokenizer)
         for b in batches:
-            for at, texts in tokens.slices(b, 1):
-                raw = [x + last for x in enc.texts(texts)]
+            for at, raw in tokens.encoded(enc, b.column(1), end_id):
                 ends = np.cumsum([0] + [len(x) // 4 for x in raw]).astype("<i4")
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
                 n = pa.array(np.diff(ends).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at.start, len(at)), n, ids], ["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(raw)), n, ids], ["doc_id", "n_tokens", "ids"])
 
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     dealt = _ranged(own).sortWithinPartitions("doc_id")
