@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers; then it forgets all and begins again.
-CACHE = 1 << 20
+CACHE = 1 << 19
 #: Bytes of text that are encoded at once.
-STEP = 1 << 23
+STEP = 1 << 22
 #: White space as the vocabularies' patterns know it, for re and for Arrow.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _RUN = re.compile(rf"^[{_SPACE}]+|[{_SPACE}]{{2,}}|[{_SPACE}]+$")
