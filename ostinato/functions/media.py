@@ -16,14 +16,24 @@ def media_type(path: Column, wide: bool = True) -> Column:
     return F.when(ext.isin(*video), "video").when(ext.isin(*audio), "audio")
 
 
+#: The last second of the year 9999.
+LAST_SECOND = 253_402_300_799
+
+
 def normalize_date(value: Column) -> Column:
-    """YYYYMMDD, epoch seconds or (above 1e11) milliseconds, or a leading YYYY-MM-DD or YYYY/MM/DD -> ISO day; else ''."""
+    """An ISO day, or ''. Eight digits are a day, other whole numbers epoch seconds or (above 1e11) milliseconds; else the day that
+    the text begins with, with -, / or nothing between its parts. Days aren't checked against the calendar."""
     v = F.trim(F.coalesce(value, F.lit("")))
-    eight = F.when(v.rlike(r"^\d{8}$"), F.try_to_date(v, "yyyyMMdd"))
-    number = F.when(v.rlike(r"^\d{9,}(\.\d+)?$"), v.try_cast("double"))
-    epoch = F.timestamp_seconds(F.when(number > 1e11, number / 1000).otherwise(number)).cast("date")
-    lead = F.try_to_date(F.regexp_replace(F.nullif(F.regexp_extract(v, r"^(\d{4}[-/]\d{2}[-/]\d{2})", 1), F.lit("")), "/", "-"), "yyyy-MM-dd")
-    return F.coalesce(F.date_format(F.coalesce(eight, lead, epoch), "yyyy-MM-dd"), F.lit(""))
+    number = F.when(v.rlike(r"^\d+$") & (F.length(v) != 8), v.try_cast("double"))
+    seconds = F.when(number > 1e11, number / 1000).otherwise(number)
+    epoch = F.date_format(F.timestamp_seconds(F.when(seconds <= LAST_SECOND, F.floor(seconds))), "yyyy-MM-dd")
+    lead = r"^(\d{4})[-/]?(\d{2})[-/]?(\d{2})"
+    day = F.when(v.rlike(lead), F.concat_ws("-", *[F.regexp_extract(v, lead, i) for i in (1, 2, 3)]))
+    return F.coalesce(F.when(number.isNotNull(), epoch).otherwise(day), F.lit(""))
+
+
+#: The fields that may hold a date, the best first.
+DATES = ("upload_date", "release_date", "timestamp", "release_timestamp", "created_at", "pubdate")
 
 
 def first_date(*values: Column) -> Column:
@@ -32,29 +42,45 @@ def first_date(*values: Column) -> Column:
 
 
 def title_date(title: Column) -> Column:
-    """The Chinese date in a title as an ISO day; else ''."""
-    g = lambda i: F.regexp_extract(title, r"(?U)(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*[日号]", i)
-    day = F.concat_ws("-", g(1), F.lpad(g(2), 2, "0"), F.lpad(g(3), 2, "0"))
-    return F.when(g(1) != "", F.coalesce(F.date_format(F.try_to_date(day, "yyyy-MM-dd"), "yyyy-MM-dd"), F.lit(""))).otherwise("")
+    """The Chinese date in a title, unchecked, as an ISO day; else ''."""
+    g = lambda i: F.regexp_extract(title, r"(\d{4})年(\d{1,2})月(\d{1,2})日", i)
+    return F.when(g(1) != "", F.concat_ws("-", g(1), F.lpad(g(2), 2, "0"), F.lpad(g(3), 2, "0"))).otherwise("")
 
 
 def normalize_duration(duration: Column, duration_ms: Column) -> Column:
-    return F.coalesce(duration.try_cast("double"), duration_ms.try_cast("double") / 1000)
+    """Seconds: the duration if there is one, which may be no number (null), else the milliseconds."""
+    return F.when(duration.isNotNull(), duration.try_cast("double")).otherwise(duration_ms.try_cast("double") / 1000)
 
 
-#: Ways to write a part's number in a title, tried in order.
-PARTS = [r"(?iU)\bpart\s*\.?\s*(\d+)", r"(?iU)\bp(\d+)\b", r"(?U)第\s*(\d+)\s*[集话期部分P]", r"(?iU)\bep(?:isode)?\s*\.?\s*(\d+)", r"(?U)[(（\[]\s*(\d+)\s*[)）\]]\s*$", r"(?U)[-_#]\s*(\d+)\s*$"]
+#: Ways to write a part's number in a title, in the order in which they are tried.
+PARTS = [
+    r"(?iU)第\s*(\d+)\s*(?:部分|集)",
+    r"(?iU)\bP\s*0*(\d+)\b",
+    r"(?iU)\bPart\s+0*(\d+)\b",
+    r"(?iU)\bP\s*0*(\d+)\s*/\s*\d+\b",
+    r"(?iU)\bPart\s+0*(\d+)\s*/\s*\d+\b",
+    r"(?iU)第\s*(\d+)\s*/\s*\d+\s*部分",
+]
+#: What a title loses, in this order, before titles are compared.
+WITHOUT = [r"(?iU)第\s*\d+\s*(?:部分|集)", r"(?iU)\bP\s*0*\d+\b", r"(?iU)\bPart\s+0*\d+\b", r"(?U)\b0*\d+\s*/\s*\d+\b"]
 
 
 def part_number(title: Column, known: Column | None = None) -> Column:
-    found = [F.nullif(F.regexp_extract(title, p, 1), F.lit("")).try_cast("int") for p in PARTS]
-    return F.coalesce(*([known.try_cast("int")] if known is not None else []), *found)
+    """A part's number as known, else as the title gives it, else null."""
+    found = [F.nullif(F.regexp_extract(title, p, 1), F.lit("")).try_cast("long") for p in PARTS]
+    return F.coalesce(*([known.try_cast("long")] if known is not None else []), *found)
+
+
+def folded(text: Column) -> Column:
+    """Text for comparisons whatever its case, sharp and final s included."""
+    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "ς", "σ")
 
 
 def title_without_part(title: Column) -> Column:
-    for p in PARTS:
-        title = F.regexp_replace(title, p, " ")
-    return F.lower(F.trim(F.regexp_replace(title, r"(?U)\s+", " ")))
+    title = F.coalesce(F.nullif(title, F.lit("")), F.lit("Unknown"))
+    for p in WITHOUT:
+        title = F.regexp_replace(title, p, "")
+    return folded(F.trim(F.regexp_replace(title, r"(?U)\s+", " ")))
 
 
 def parse_quality(text: Column) -> Column:
@@ -77,6 +103,9 @@ def probe_log(text: Column) -> list[Column]:
 
 
 def natural_key(text: Column) -> Column:
-    """Text that sorts as its numbers count: runs of digits filled up to 12 with zeros, letters in lower case."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 12, "0")).otherwise(x)), "")
+    """Runs of digits and of other characters by turns, the latter first and perhaps empty, as an array of (digits, number, text):
+    sorts as numbers count, whatever their length, and without regard to case."""
+    runs = F.regexp_extract_all(F.concat(F.when(text.rlike(r"^\d"), "\0").otherwise(""), F.lower(text)), F.lit(r"\d+|\D+"), F.lit(0))
+    number = lambda x: F.when(x.rlike(r"^\d"), F.regexp_replace(x, "^0+(?=.)", ""))
+    item = lambda x: F.struct(F.coalesce(F.length(number(x)), F.lit(0)).alias("digits"), F.coalesce(number(x), F.lit("")).alias("number"), F.when(number(x).isNull(), F.replace(x, F.lit("\0"), F.lit(""))).otherwise("").alias("text"))
+    return F.transform(runs, item)

@@ -31,7 +31,8 @@ def distinct_candidates(candidates: DataFrame, kind: str) -> DataFrame:
 
 
 def has_codec(c: Column) -> Column:
-    return F.coalesce(~F.lower(c).isin("none", ""), F.lit(False))
+    """Only null and 'none', in lower case, say that there is none."""
+    return F.coalesce(c != "none", F.lit(False))
 
 
 def stream_kind(candidates: DataFrame, kind: str) -> DataFrame:
@@ -40,8 +41,8 @@ def stream_kind(candidates: DataFrame, kind: str) -> DataFrame:
 
 
 def rank(candidates: DataFrame, kind: str) -> DataFrame:
-    """`rank` from 1 within a source, best first."""
-    z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    """`rank` from 1 within a source, best first. Unknown and negative numbers count as 0."""
+    z = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0))
     audio = [F.greatest(z("abr"), z("tbr")), F.col("requested"), z("abr") + z("tbr"), F.col("format_id")]
     video = [F.col("requested"), z("height"), z("tbr"), F.col("format_id")]
     by = W.partitionBy("source_key").orderBy(*[k.desc() for k in (audio if kind == "audio" else video)])
@@ -71,44 +72,62 @@ def probe_select(ranked: DataFrame, least: float = 1.0) -> DataFrame:
 
 
 def hydrate(entries: DataFrame, results: DataFrame) -> DataFrame:
-    """Fill what a look-up knows: title only if 'Unknown', duration only if null, date only if blank (then the title's)."""
-    r = results.select("entry_id", *[F.col(c).alias(f"_{c}") for c in ("title", "duration", "upload_date", "metadata")], F.lit(True).alias("_hit"))
+    """Fill what a look-up knows: title only if 'Unknown', duration only if null, date only if blank (then the title's).
+
+    entries: entry_id, title, duration, upload_date, metadata. results: entry_id and metadata, a map that holds all that was found:
+    duration (else duration_ms), the date by the first of its fields that reads as one. Addresses of media don't enter metadata.
+    """
+    r = results.select("entry_id", F.col("metadata").alias("_found"), F.lit(True).alias("_hit"))
     e = entries.join(r, "entry_id", "left")
-    title = F.when((F.col("title") == "Unknown") & (F.coalesce("_title", F.lit("")) != ""), F.col("_title")).otherwise(F.col("title"))
-    date = F.coalesce(F.nullif(F.col("upload_date"), F.lit("")), F.nullif(F.col("_upload_date"), F.lit("")), media.title_date(title))
+    found = lambda k: F.element_at("_found", k)
+    title = F.when((F.col("title") == "Unknown") & (F.coalesce(found("title"), F.lit("")) != ""), found("title")).otherwise(F.col("title"))
+    date = F.coalesce(F.nullif(F.col("upload_date"), F.lit("")), F.nullif(media.first_date(*[found(k) for k in media.DATES]), F.lit("")), media.title_date(title))
     none = F.create_map().cast("map<string,string>")
-    own = F.map_filter(F.coalesce("metadata", none), lambda k, v: ~F.coalesce(F.map_contains_key(F.coalesce("_metadata", none), k), F.lit(False)))
+    more = entry_metadata(F.coalesce("_found", none))
+    own = F.map_filter(F.coalesce("metadata", none), lambda k, v: ~F.coalesce(F.map_contains_key(more, k), F.lit(False)))
     return e.select(
-        "entry_id", title.alias("title"), F.coalesce("duration", "_duration").alias("duration"), date.alias("upload_date"),
-        F.map_concat(own, F.coalesce("_metadata", none)).alias("metadata"), F.col("_hit").isNull().alias("hydration_failed"),
+        "entry_id", title.alias("title"), F.coalesce("duration", media.normalize_duration(found("duration"), found("duration_ms"))).alias("duration"), date.alias("upload_date"),
+        F.map_concat(own, more).alias("metadata"), F.col("_hit").isNull().alias("hydration_failed"),
     )
 
 
-#: Keys that never leave, and those that a cache may hold.
-SECRET = "(?i)cookie|header|token|auth|password|^formats$|^requested_formats$"
-ALLOWED = ("id", "title", "duration", "uploader", "upload_date", "webpage_url", "part_number", "part_count")
+#: Keys, in lower case, that a source's metadata never hold; those that an entry's never hold; all that a cache keeps.
+SECRET = ("cookie", "cookies", "cookie_header", "http_headers", "formats", "requested_formats")
+ADDRESSES = ("formats", "requested_formats", "url", "manifest_url", "audio_url", "video_url")
+CACHED = ("format", "format_id", "codec", "acodec", "abr", "tbr", "sample_rate", "channels")
+
+
+def redact(metadata: Column) -> Column:
+    return F.map_filter(metadata, lambda k, v: ~F.lower(k).isin(*SECRET))
 
 
-def redact(metadata: Column, allowed=None) -> Column:
-    kept = F.map_filter(metadata, lambda k, v: ~k.rlike(SECRET))
-    return F.map_filter(kept, lambda k, v: k.isin(*allowed)) if allowed else kept
+def entry_metadata(metadata: Column) -> Column:
+    return F.map_filter(metadata, lambda k, v: ~F.lower(k).isin(*ADDRESSES))
+
+
+def cached_metadata(metadata: Column) -> Column:
+    return F.map_filter(metadata, lambda k, v: k.isin(*CACHED))
 
 
 def available(entries: DataFrame) -> DataFrame:
-    gone = F.lower(F.trim("title")).isin("[private video]", "[deleted video]")
+    """Entries with a title, which isn't one that stands for a video that is gone, an uploader and an address."""
     known = (F.coalesce("uploader", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != "")
-    return entries.filter(~F.coalesce(gone, F.lit(False)) & known)
+    return entries.filter(F.col("title").isNotNull() & ~F.col("title").isin("[Private video]", "[Deleted video]") & known)
 
 
 def duration_matches(a: Column, b: Column) -> Column:
-    """Unknown lengths match anything; known ones within 5 seconds or a hundredth of the source's."""
-    return a.isNull() | b.isNull() | (F.abs(a - b) <= F.greatest(F.lit(5.0), a * 0.01))
+    """Unknown lengths (null or 0) match anything; known ones within 5 seconds or a hundredth of the source's."""
+    unknown = lambda c: F.coalesce(c, F.lit(0)) == 0
+    return unknown(a) | unknown(b) | (F.abs(a - b) <= F.greatest(F.lit(5.0), a * 0.01))
 
 
-def estimate_size(filesize: Column, approx: Column, parts: Column) -> Column:
-    """Bytes: exact, else about, else the sum over the requested formats if each is known."""
-    total = F.when((F.size(parts) > 0) & F.forall(parts, lambda x: x.isNotNull() & (x > 0)), F.aggregate(parts, F.lit(0).cast("long"), lambda s, x: s + x))
-    return F.coalesce(F.when(filesize > 0, filesize), F.when(approx > 0, approx), total)
+def estimate_size(filesize: Column, approx: Column, requested: Column, formats: Column) -> Column:
+    """Bytes: exact, else about, else the sum over the requested formats, or where there are none over `formats` if they are two, each
+    of them known exactly or about. requested and formats: arrays of (filesize, filesize_approx). Only sizes above 0 are known."""
+    known = lambda exact, about: F.coalesce(F.when(exact > 0, exact), F.when(about > 0, about))
+    parts = F.transform(F.when(F.size(requested) > 0, requested).when(F.size(formats) == 2, formats), lambda x: known(x["filesize"], x["filesize_approx"]))
+    total = F.when(F.forall(parts, lambda x: x.isNotNull()), F.aggregate(parts, F.lit(0).cast("long"), lambda s, x: s + x))
+    return F.coalesce(known(filesize, approx), total)
 
 
 def space_needed(size: Column, overhead: float = 1.2, reserve: int = 512 << 20) -> Column:
@@ -123,26 +142,63 @@ def mode_resolution(videos: DataFrame) -> DataFrame:
     return out.select("_t.width", "_t.height", "mixed", F.array_join("sizes", ",").alias("sizes"))
 
 
+def _matched(text: Column, pattern: str, *groups: int) -> Column:
+    """The groups of the first match, numbers of one digit filled up to two, one after another; null without a match."""
+    g = lambda i: F.regexp_extract(text, pattern, i)
+    return F.when(text.rlike(pattern), F.concat(*[F.when(F.length(g(i)) == 1, F.lpad(g(i), 2, "0")).otherwise(g(i)) for i in groups]))
+
+
+#: Dates in names.
+DAY, MONTH, HOUR = r"(?U)(\d{4})年(\d{1,2})月(\d{1,2})日", r"(?U)(\d{4})年(\d{1,2})月", r"(?U)(\d{1,2})点场?"
+ISO_DAY, ISO_MONTH = r"(?U)(\d{4})[-_](\d{2})[-_](\d{2})", r"(?U)(\d{4})[-_](\d{2})"
+#: A part's number before a title, and behind it.
+BEFORE = r"(?iU)^p?(\d{1,2})[\s_\-]+(.+)$"
+BEHIND = (r"(?iU)^(.*?)[\s_\-]+p(?:art[\s_]*)?(\d+)$", r"(?U)^(.*?)\s*\((\d+)\)\s*$")
+
+
 def smart_sort_key(path: Column) -> Column:
-    """Sorts folders by date where they have one, else naturally, then files by date and hour, part, or naturally."""
-    folder, name = F.regexp_extract(path, r"^(.*)/[^/]*$", 1), F.regexp_extract(path, r"[^/]*$", 0)
-    g = lambda c, p, i=1: F.nullif(F.regexp_extract(c, p, i), F.lit(""))
-    iso = r"(\d{4}-\d{2}(?:-\d{2})?)"
-    cjk = r"(?U)(\d{4})年(\d{1,2})月(\d{1,2})日(?:\s*(\d{1,2})[时点])?"
-    date = F.when(g(name, cjk).isNotNull(), F.concat_ws("-", g(name, cjk), F.lpad(g(name, cjk, 2), 2, "0"), F.lpad(g(name, cjk, 3), 2, "0"), F.lpad(g(name, cjk, 4), 2, "0")))
-    part = F.coalesce(g(name, r"^(\d+)\b"), g(name, r"(?i)\bpart\s*(\d+)"), g(name, r"\((\d+)\)"), g(name, r"(\d+)\.[^.]+$")).try_cast("int")
-    return F.struct(
-        F.coalesce(g(folder, iso), F.lit("~")).alias("folder_date"), media.natural_key(folder).alias("folder"), F.coalesce(date, g(name, iso), F.lit("~")).alias("date"),
-        (~F.lower(name).contains("original")).alias("not_original"), F.coalesce(part, F.lit(1 << 30)).alias("part"), media.natural_key(name).alias("name"),
+    """Orders files by folder, then within it.
+
+    Folders: by the date, and the hour, in the folder's name if it tells a Chinese year, else in the file's; without a date, behind
+    those, naturally by name. Files: by date and hour, originals last, and part; then by title and part; then naturally by name.
+    """
+    name, folder = F.regexp_extract(path, r"[^/]*$", 0), F.lower(F.regexp_extract(path, r"([^/]*)/[^/]*$", 1))
+    bare = F.regexp_replace(name, r"^(\.*[^.].*)\.[^.]*$", "$1")
+    dated = F.when(folder.rlike(r"(?U)\d{4}年"), folder).otherwise(name)
+    date = F.coalesce(_matched(dated, DAY, 1, 2, 3), _matched(dated, MONTH, 1, 2), _matched(dated, ISO_DAY, 1, 2, 3), _matched(dated, ISO_MONTH, 1, 2))
+    hour = F.coalesce(_matched(dated, HOUR, 1), F.lit("\uffff"))
+    none = F.slice(media.natural_key(F.lit("")), 1, 0)
+    group = F.struct(
+        date.isNull().alias("undated"), F.coalesce(date, F.lit("")).alias("date"), F.when(date.isNotNull(), hour).otherwise("").alias("hour"),
+        F.when(date.isNull(), media.natural_key(folder)).otherwise(none).alias("natural"), F.when(date.isNull(), folder).otherwise("").alias("folder"),
     )
+    at = F.coalesce(F.concat(_matched(name, DAY + HOUR[4:], 1, 2, 3), F.lit("_"), _matched(name, DAY + HOUR[4:], 4)), _matched(name, ISO_DAY, 1, 2, 3))
+    number = lambda c, p, i: F.when(c.rlike(p), F.regexp_extract(c, p, i).try_cast("long"))
+    original = name.rlike(r"(?U)\bOriginal\b").cast("long")
+    part = F.coalesce(number(name, r"(?U)^p?(\d{1,2})[\s_\-]", 1), number(name, r"(?iU)part\s*(\d+)", 1), F.lit(0).cast("long"))
+    title = lambda p, i: F.when(bare.rlike(p), F.lower(F.trim(F.regexp_extract(bare, p, i))))
+    behind = [F.regexp_replace(title(p, 1), r"(?U)[\s_\-]+$", "") for p in BEHIND]
+    text = F.coalesce(title(BEFORE, 2), *behind)
+    of = F.coalesce(number(bare, BEFORE, 1), *[number(bare, p, 2) for p in BEHIND])
+    zero = F.lit(0).cast("long")
+    own = F.struct(
+        F.when(at.isNotNull(), 0).when(text.isNotNull(), 1).otherwise(2).alias("kind"), F.coalesce(at, text, F.lit("")).alias("text"),
+        F.when(at.isNotNull(), original).when(text.isNotNull(), of).otherwise(zero).alias("a"), F.when(at.isNotNull(), part).otherwise(zero).alias("b"),
+        F.when(at.isNull() & text.isNull(), media.natural_key(name)).otherwise(none).alias("natural"),
+    )
+    return F.struct(group.alias("group"), own.alias("own"))
 
 
 def playlist_order(entries: DataFrame) -> list[Column]:
-    """Columns to order a playlist by: group, date, title without its part, part unknown, part or place, place."""
-    part = media.part_number(F.col("title"))
+    """Columns to order a playlist by: group or series, date, title without its part, part unknown, part or place, place.
+
+    entries: group, series, upload_date, title, part_number (as text, or null), index.
+    """
+    part = media.part_number(F.col("title"), F.col("part_number"))
+    group = F.coalesce(F.nullif(F.col("group"), F.lit("")), F.col("series"), F.lit(""))
     return [
-        F.coalesce("series", F.lit("")), F.coalesce("upload_date", F.lit("")), media.title_without_part(F.col("title")), part.isNull(),
-        F.coalesce(part, F.col("index").cast("int")), F.col("index"),
+        media.folded(group), F.coalesce("upload_date", F.lit("")), media.title_without_part(F.col("title")), part.isNull(),
+        F.coalesce(part, F.col("index").cast("long")), F.col("index"),
     ]
 
 

@@ -162,6 +162,13 @@ def safe_clip(rows: DataFrame, duration: Column, guard: Column, min_length: floa
     return x.filter(fits).withColumns({"start_s": F.col("_s"), "end_s": F.col("_e")}).drop("_s", "_e")
 
 
+def clips_dropped(rows: DataFrame, duration: Column, guard: Column, min_length: float = 1.0) -> DataFrame:
+    """(source_key, n_dropped): how many of a source's clips safe_clip leaves out."""
+    kept = safe_clip(rows, duration, guard, min_length).groupBy("source_key").agg(F.count(F.lit(1)).alias("_kept"))
+    n = rows.groupBy("source_key").agg(F.count(F.lit(1)).alias("_n"))
+    return n.join(kept, "source_key", "left").select("source_key", (F.col("_n") - F.coalesce("_kept", F.lit(0))).alias("n_dropped"))
+
+
 def clip_plan(segments: DataFrame, excluded: DataFrame, duration: DataFrame, merge_gap: float = 2.0, guard: float = 0.5, min_length: float = 1.0) -> DataFrame:
     """Segments -> (source_key, clip_no, start_s, end_s): merge, cut to the source, drop the shorter of overlapping ones."""
     clips = merge_clips(segments, blocked_intervals(excluded, segments), merge_gap)

@@ -8,24 +8,37 @@ from pyspark.sql import functions as F
 
 
 def base_name(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"[^/\\]*$", 0))
+    return F.regexp_extract(path, r"[^/]*$", 0)
+
+
+def normal_path(path: Column) -> Column:
+    """Without empty and . parts, a .. taken together with the part before it, as far as there is one."""
+    parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    rooted, last = path.startswith("/"), lambda a: F.try_element_at(a, F.lit(-1))
+    climbs = lambda a: F.coalesce(last(a) != "..", F.lit(False))
+    step = lambda a, x: F.when((x == "..") & climbs(a), F.slice(a, 1, F.size(a) - 1)).when((x == "..") & rooted, a).otherwise(F.concat(a, F.array(x)))
+    out = F.concat(F.when(rooted, "/").otherwise(""), F.array_join(F.aggregate(parts, F.slice(parts, 1, 0), step), "/"))
+    return F.when(out == "", ".").otherwise(out)
 
 
 def match_saved(saved: DataFrame, media: DataFrame) -> DataFrame:
-    """saved (entry_id, name), media (ordinal, path, url) -> (entry_id, media_ordinal, how).
+    """saved (entry_id, name), media (ordinal, path, url or null) -> (entry_id, media_ordinal, how). Case counts.
 
-    how: url (the name is a medium's address), name (one medium of that file name), path (several, one at that path), ambiguous
-    (several, the first is taken), unmatched.
+    how: url (the name is a remote medium's address; of several the last), name (one local file of that name), path (several, the first
+    of those at that path), ambiguous (several, the first is taken), unmatched. Remote media have no file name.
     """
-    s = saved.select("entry_id", "name", base_name(F.col("name")).alias("_base"), F.lower("name").alias("_norm"))
-    by_url = s.join(media.filter("url is not null").select("url", "ordinal"), s["name"] == F.col("url")).groupBy("entry_id").agg(F.min("ordinal").alias("_u"))
+    s = saved.select("entry_id", "name", base_name(F.col("name")).alias("_base"), normal_path(F.col("name")).alias("_norm"))
+    remote = media.filter("url is not null").groupBy("url").agg(F.max("ordinal").alias("_u"))
+    by_url = s.join(remote, s["name"] == F.col("url")).select("entry_id", "_u")
     rest = s.join(by_url.select("entry_id"), "entry_id", "left_anti")
-    named = rest.join(media.select("ordinal", "path", base_name(F.col("path")).alias("_base")), "_base")
-    same = F.lower("path") == F.col("_norm")
-    best = named.groupBy("entry_id").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(~same, F.col("ordinal"))).alias("_b"))
-    best = best.select("entry_id", "_n", F.col("_b.ordinal").alias("_o"), (~F.col("_b.col1")).alias("_same"))
-    how = F.when(F.col("_u").isNotNull(), "url").when(F.col("_o").isNull(), "unmatched").when(F.col("_n") == 1, "name").when(F.col("_same"), "path").otherwise("ambiguous")
-    return s.join(by_url, "entry_id", "left").join(best, "entry_id", "left").select("entry_id", F.coalesce("_u", "_o").alias("media_ordinal"), how.alias("how"))
+    local = media.filter("url is null")
+    # one row for each file name and for each path, so that a name that many files share makes no pairs
+    names = local.groupBy(base_name(F.col("path")).alias("_base")).agg(F.count(F.lit(1)).alias("_n"), F.min("ordinal").alias("_first"))
+    paths = local.groupBy(base_name(F.col("path")).alias("_base"), normal_path(F.col("path")).alias("_norm")).agg(F.min("ordinal").alias("_same"))
+    best = rest.join(names, "_base").join(paths, ["_base", "_norm"], "left").select("entry_id", "_n", "_first", "_same")
+    how = F.when(F.col("_u").isNotNull(), "url").when(F.col("_n").isNull(), "unmatched").when(F.col("_n") == 1, "name").when(F.col("_same").isNotNull(), "path").otherwise("ambiguous")
+    found = F.coalesce("_u", F.when(F.col("_n") > 1, F.col("_same")), "_first")
+    return s.join(by_url, "entry_id", "left").join(best, "entry_id", "left").select("entry_id", found.alias("media_ordinal"), how.alias("how"))
 
 
 def resolve(requests: DataFrame, results: DataFrame) -> DataFrame:

@@ -30,3 +30,13 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
     else:
         made = F.when(F.col("_run_inside").isNull(), F.col("_run_before")).otherwise(F.col("_run_inside") + F.coalesce("_run_before", F.lit(0)))
     return both.withColumn(out, made).drop("_run_bucket", "_run_value", "_run_inside", "_run_before")
+
+
+def numbered(df: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
+    """df with `out`, its rows' number from 1 in that order: each partition of a range sort counts its own, behind those before it."""
+    at = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_at", 33).alias("_part")
+    counts = at.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))  # one row a partition
+    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = at.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(before), "_part")
+    return own.withColumn(out, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_at", "_before")

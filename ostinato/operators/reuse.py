@@ -7,26 +7,80 @@ from pyspark.sql import functions as F
 
 
 def number(c: Column) -> Column:
-    """A number as text of at most 12 significant digits, without an exponent or trailing zeros."""
-    return F.regexp_replace(F.format_string("%.12f", c.cast("double")), r"\.?0+$", "")
+    """A number as text of at most 12 significant digits, without trailing zeros; with an exponent below 1e-4 and from 1e12 on."""
+    text = F.format_string("%.12g", c.cast("double"))
+    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", "")
 
 
-def cache_key(**fields: Column) -> Column:
-    """SHA-256 of a JSON object with its keys in order; nulls are kept as null."""
-    items = [F.concat(F.lit(f'"{k}":'), F.coalesce(F.concat(F.lit('"'), fields[k].cast("string"), F.lit('"')), F.lit("null"))) for k in sorted(fields)]
+def exact(c: Column) -> Column:
+    """A number as the shortest decimal that reads back as the same double; with an exponent below 1e-4 and from 1e16 on."""
+    c = c.cast("double")
+    java, size = c.cast("string"), F.abs(c)
+    power = F.regexp_extract(java, r"E(-?\d+)$", 1).try_cast("int")
+    digits = F.replace(F.regexp_replace(F.regexp_replace(java, "E.*$", ""), r"\.0$", ""), F.lit("-"), F.lit(""))
+    plain, sign = F.replace(digits, F.lit("."), F.lit("")), F.when(c < 0, "-").otherwise("")
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -1 - power), plain)
+    large = F.concat(F.rpad(plain, power + 1, "0"), F.lit(".0"))
+    tail = F.concat(F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    inside = F.when(power < 0, small).when(F.length(plain) <= power + 1, large).otherwise(F.concat(F.substr(plain, F.lit(1), power + 1), F.lit("."), F.substr(plain, power + 2)))
+    return F.when(power.isNull(), java).when((size < 1e-4) | (size >= 1e16), F.concat(sign, digits, tail)).otherwise(F.concat(sign, inside))
+
+
+def text(c: Column) -> Column:
+    """As a JSON string in ASCII: quotes, backslashes and controls escaped, other characters as UTF-16 units."""
+    json = F.regexp_extract(F.to_json(F.struct(F.coalesce(c.cast("string"), F.lit("")).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    units = lambda x: F.regexp_replace(F.lower(F.hex(F.encode(x, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    return F.when(json.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(F.split(json, ""), lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), units(x)).otherwise(x)), "")).otherwise(json)
+
+
+def hashed(**fields: Column) -> Column:
+    """SHA-256 of a JSON object with its keys in order; the fields are JSON already, nulls stay null."""
+    items = [F.concat(F.lit(f'"{k}":'), F.coalesce(fields[k], F.lit("null"))) for k in sorted(fields)]
     return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *items), F.lit("}")).cast("binary"), 256)
 
 
+def detection_key(platform: Column, source_id: Column, model: Column, precision: Column, block_size: Column, threshold: Column, focus_idx: Column, flags: Column | None = None) -> Column:
+    """The key of a source's detection: all that its result depends on. flags: a map of JSON values by name, null or empty if none."""
+    pairs = F.transform(F.array_sort(F.map_keys(flags)), lambda k: F.concat(text(k), F.lit(":"), F.element_at(flags, k))) if flags is not None else None
+    other = F.lit("{}") if pairs is None else F.concat(F.lit("{"), F.coalesce(F.array_join(pairs, ","), F.lit("")), F.lit("}"))
+    return hashed(
+        platform=text(F.lower(F.trim(platform))), source_id=text(F.trim(source_id)), model=text(model), precision=text(precision), block_size=block_size.cast("long").cast("string"),
+        threshold=exact(threshold), focus_idx=focus_idx.cast("long").cast("string"), relevant_flags=other,
+    )
+
+
+def segment_key(source_key: Column, start_s: Column, end_s: Column, padding: Column, media_type: Column) -> Column:
+    return hashed(source_identity=text(source_key), start=text(number(start_s)), end=text(number(end_s)), padding=text(number(padding)), media_type=text(F.lower(media_type)))
+
+
 def reuse(requests: DataFrame, cached: DataFrame, key: str = "cache_key") -> tuple[DataFrame, DataFrame]:
     """(rows to reuse, requests still to do)."""
     return cached.join(requests.select(key).distinct(), key, "left_semi"), requests.join(cached.select(key).distinct(), key, "left_anti")
 
 
+def _level(seconds: Column) -> Column:
+    """The least k so that a cell of 2^k seconds is as long."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(seconds, F.lit(1.0))))).cast("int")
+
+
 def covering_segment(requests: DataFrame, cached: DataFrame) -> DataFrame:
-    """requests (request_id, source_key, start_s, end_s), cached (cached_id, source_key, start_s, end_s): the narrowest cached
-    segment that holds the request, then the earliest, then the least id. Requests without one are left out."""
-    c = cached.select("source_key", F.col("cached_id"), F.col("start_s").alias("_s"), F.col("end_s").alias("_e"))
-    both = requests.join(c, (requests["source_key"] == c["source_key"]) & (F.col("_s") <= F.col("start_s")) & (F.col("_e") >= F.col("end_s"))).drop(c["source_key"])
+    """requests (request_id, source_key, start_s, end_s, padding, media_type), cached (cached_id, source_key, start_s, end_s, media_type:
+    null for video): the narrowest cached segment of the source and type that holds the request with its padding on both sides, then
+    the earliest, then the least id. Requests without one are left out.
+
+    A segment lies in the one or two cells of its level that it touches; a request looks where it begins, in each level from its own on.
+    """
+    kind = lambda c: F.lower(F.coalesce(c, F.lit("video")))
+    cell = lambda at: F.floor(F.col(at) / F.pow(F.lit(2.0), F.col("_level")))
+    c = cached.select("source_key", kind(F.col("media_type")).alias("_kind"), "cached_id", F.col("start_s").alias("_s"), F.col("end_s").alias("_e")).filter("_e >= _s")
+    c = c.withColumn("_level", _level(F.col("_e") - F.col("_s")))
+    top = c.agg(F.max("_level")).first()[0] or 0
+    c = c.withColumn("_cell", F.explode(F.sequence(cell("_s"), cell("_e"))))
+    pad = F.coalesce("padding", F.lit(0.0))
+    r = requests.select("request_id", "source_key", kind(F.col("media_type")).alias("_kind"), (F.col("start_s") - pad).alias("_from"), (F.col("end_s") + pad).alias("_to"))
+    own = _level(F.col("_to") - F.col("_from"))
+    r = r.withColumn("_level", F.explode(F.when(own <= top, F.sequence(own, F.lit(top))).otherwise(F.array().cast("array<int>")))).withColumn("_cell", cell("_from"))
+    both = r.join(c, ["source_key", "_kind", "_level", "_cell"]).filter("_s <= _from and _e >= _to")
     best = F.min(F.struct((F.col("_e") - F.col("_s")).alias("w"), F.col("_s").alias("s"), F.col("cached_id").alias("id")))
     return both.groupBy("request_id", "source_key").agg(best.alias("_b")).select("request_id", "source_key", F.col("_b.id").alias("cached_id"))
 
@@ -41,5 +95,5 @@ def audio_lookup(requests: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def union_local_remote(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """Both as one ordered plan."""
+    """Both in one plan; their own `ordinal`, which counts over both, tells its order."""
     return local.withColumn("is_remote", F.lit(False)).unionByName(remote.withColumn("is_remote", F.lit(True)))

@@ -2,25 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WARM_UP, SLOW = 2, 2
 
 
-def metrics(samples: DataFrame) -> DataFrame:
-    """samples (current, total, elapsed, source_duration) with percent, speed_mb_s, eta_seconds and realtime; null where unknown."""
-    cur, total, t = F.col("current"), F.col("total"), F.col("elapsed")
-    rate = F.when((t > 0) & (cur >= 0), cur / t)
-    known = F.when(total > 0, total)
+MIB = 1024 * 1024
+
+
+def _least(c: str) -> Column:
+    return F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0)).cast("double")
+
+
+def _figures(samples: DataFrame, total: Column, realtime: Column, speed: Column | None, busy: str) -> DataFrame:
+    """Figures that all kinds share; eta_seconds where something moves towards a known end."""
+    cur, t, rate = _least("current"), _least("elapsed"), F.when(_least("elapsed") > 0, _least("current") / _least("elapsed")).otherwise(0.0)
+    percent = F.when(total > 0, F.least(F.lit(100.0), cur / total * 100))
     return samples.withColumns({
-        "percent": F.when(known.isNotNull(), F.least(F.lit(100.0), F.lit(100.0) * cur / known)),
-        "speed_mb_s": rate / F.lit(1e6),
-        "eta_seconds": F.when((rate > 0) & known.isNotNull(), F.greatest(F.lit(0.0), known - cur) / rate),
-        "realtime": F.when((t > 0) & known.isNotNull(), F.col("source_duration") * F.least(F.lit(1.0), cur / known) / t),
+        "percent": percent, "speed_mb_s": speed if speed is not None else F.lit(None).cast("double"), "realtime": realtime,
+        "eta_seconds": F.when((total > 0) & (rate > 0), F.greatest(F.lit(0.0), (total - cur) / rate)), "stage": F.when(percent == 100, "completed").otherwise(busy),
     })
 
 
+def metrics(samples: DataFrame) -> DataFrame:
+    """A transfer. samples (current, total, elapsed, source_duration) with percent, speed_mb_s, eta_seconds, realtime and stage.
+
+    Bytes and seconds; negative and null ones count as 0, a total of null or 0 is unknown. realtime: seconds of the source a second, by
+    the share that has come or, without a total, by all of it.
+    """
+    cur, t = _least("current"), _least("elapsed")
+    total, length = F.when(F.col("total") != 0, _least("total")), F.col("source_duration").try_cast("double")
+    done = F.when(total > 0, cur / total * length).otherwise(length)
+    return _figures(samples, total, F.when((length > 0) & (t > 0), done / t), F.when(t > 0, cur / t).otherwise(0.0) / MIB, "transferring")
+
+
+def block_metrics(samples: DataFrame) -> DataFrame:
+    """Blocks of a detection done of all, at least one; nothing tells when it ends."""
+    cur, t, total = F.floor(_least("current")), _least("elapsed"), F.greatest(F.floor(F.coalesce("total", F.lit(1.0))), F.lit(1)).cast("double")
+    length = F.col("source_duration").try_cast("double")
+    out = _figures(samples.withColumn("current", cur.cast("double")), total, F.when((length > 0) & (t > 0), F.col("current") / total * length / t), None, "transferring")
+    return out.withColumn("eta_seconds", F.lit(None).cast("double"))
+
+
+def compile_metrics(samples: DataFrame) -> DataFrame:
+    """Seconds that are encoded of all; realtime is null where nothing has moved."""
+    rate = F.when(_least("elapsed") > 0, _least("current") / _least("elapsed"))
+    total = _least("total")
+    out = _figures(samples, total, F.nullif(rate, F.lit(0.0)), None, "compiling")
+    moved = F.when((total > 0) & (rate > 0), (total - _least("current")) / rate)  # below 0 past the end
+    return out.withColumn("eta_seconds", moved)
+
+
+def fetch_metrics(samples: DataFrame) -> DataFrame:
+    """Seconds of a remote source that are fetched of all; realtime only where the total is known."""
+    total, t = F.when(F.col("total") != 0, _least("total")), _least("elapsed")
+    return _figures(samples, total, F.when((total > 0) & (t > 0), _least("current") / t), None, "transferring")
+
+
 def slow_streak(samples: DataFrame, threshold: float, warm_up: int = WARM_UP, slow: int = SLOW) -> DataFrame:
     """samples (key, seq, speed) -> alarms (key, seq). The first `warm_up` samples don't count; `slow` in a row under the
     threshold raise an alarm, after which all begins anew. A key's samples are folded in their order."""

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: Fixed values.
 SAMPLE_RATE = 32_000
 FRAMES_PER_SECOND = 100
@@ -28,6 +31,16 @@ class Detection:
             raise ValueError("focus_idx must be a class")
 
 
+def valid_detection(precision: Column, block_size: Column, threshold: Column, focus_idx: Column, classes: int = 527) -> Column:
+    """The same for rows of parameters, which may also be 0; nulls aren't valid."""
+    return F.coalesce((precision >= 0) & (block_size >= 0) & (threshold >= 0) & (threshold <= 1) & (focus_idx >= 0) & (focus_idx < classes), F.lit(False))
+
+
+def valid_interval(start_s: Column, end_s: Column, before: Column, after: Column) -> Column:
+    """An interval that isn't empty and begins at 0 or later, with paddings that aren't negative; nulls aren't valid."""
+    return F.coalesce((start_s >= 0) & (end_s > start_s) & (before >= 0) & (after >= 0), F.lit(False))
+
+
 @dataclass(frozen=True)
 class Planning:
     merge_gap: float = 2.0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ostinato.functions import media, urls
-from ostinato.operators import catalog, match
+from ostinato.operators import catalog, match, ordered
 from ostinato.plans import fixtures as x
 from ostinato.plans.registry import query
 from ostinato.sources import playlist
@@ -41,22 +41,47 @@ def stable_source_id(spark, sf):
     return p.select("page_id", urls.stable_source_id(F.lit("Web"), own, S("url")).alias("source_key"))
 
 
-HOSTS = "h AS (SELECT page_id, 'https://' || (['space.bilibili.com/7', 'www.bilibili.com/list/9', 'www.youtube.com/playlist?list=A', 'www.youtube.com/watch?v=1&list=L', 'm.youtube.com/watch?v=2', 'x.example/watch?list=Z'])[1 + page_id % 6] || page_id AS url, (['YoutubeTab', 'Generic', '', 'Vimeo'])[1 + page_id % 4] AS ex FROM pages)"
+#: Addresses, in which # stands for a number, and extractors' names.
+ADDRESSES = [
+    "https://space.bilibili.com/#", "https://space.bilibili.com/#/upload/video", "https://space.bilibili.com/#/lists/9?type=series", "https://space.bilibili.com/#/lists/9?type=season",
+    "https://www.bilibili.com/list/#?sid=4", "https://www.bilibili.com/list/#", "https://b23.tv/BV#", "https://WWW.Twitch.tv/u#/videos", "https://www.twitch.tv/videos/#",
+    "https://www.youtube.com/playlist?list=PL#", "http://m.youtube.com/watch?v=1&list=L%2D#&x=2", "https://www.youtube.com/watch?list=&v=#", "https://YouTube.com/watch?v=#&list=A#&list=B",
+    "https://youtu.be/watch?list=#", "https://www.youtube.com/@n#/streams", "https://www.youtube.com/channel/C#/videos/", "https://www.youtube.com/@n#", "https://x.example/watch?list=#", "https://www.youtube.com/watch/?list=#",
+]
+EXTRACTORS = ["YoutubeTab", "YoutubePlaylist", "Generic", "", None, "BiliBili", "youtube:tab"]
+
+
+def listed(values) -> str:
+    """A list as SQL."""
+    return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def pick(values, k):
+    """The k-th of some values, round and round."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (1 + k % len(values)).cast("int"))
+
+
+HOSTS = f"""h AS (SELECT page_id, replace({listed(ADDRESSES)}[1 + page_id % {len(ADDRESSES)}], '#', page_id::VARCHAR) AS url, {listed(EXTRACTORS)}[1 + page_id % {len(EXTRACTORS)}] AS ex FROM pages),
+g AS (SELECT *, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS place, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, '&' || regexp_extract(url, '\\?([^#]*)', 1) AS q FROM h),
+l AS (SELECT *, lower(place) AS host, rtrim(path, '/') AS bare, url_decode(regexp_extract(q, '&list=([^&]+)', 1)) AS list FROM g)"""
 
 
 def _hosts(spark, sf):
-    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (1 + S("page_id") % n).cast("int"))
-    h = pick(["space.bilibili.com/7", "www.bilibili.com/list/9", "www.youtube.com/playlist?list=A", "www.youtube.com/watch?v=1&list=L", "m.youtube.com/watch?v=2", "x.example/watch?list=Z"], 6)
-    return _pages(spark, sf).select("page_id", F.concat(F.lit("https://"), h, S("page_id").cast("string")).alias("url"), pick(["YoutubeTab", "Generic", "", "Vimeo"], 4).alias("ex"))
+    k = S("page_id")
+    return _pages(spark, sf).select("page_id", F.replace(pick(ADDRESSES, k), F.lit("#"), k.cast("string")).alias("url"), pick(EXTRACTORS, k).alias("ex"))
 
 
-@query(f"""WITH {HOSTS} SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'bilibili_space' WHEN 1 THEN 'bilibili_list' WHEN 2 THEN 'youtube_playlist'
-  ELSE CASE page_id % 4 WHEN 0 THEN 'youtube' WHEN 1 THEN 'web' WHEN 2 THEN 'unknown' ELSE 'vimeo' END END AS platform FROM h""")
+@query(f"""WITH {HOSTS} SELECT page_id, CASE WHEN (host LIKE '%.bilibili.com' OR host IN ('bilibili.com', 'b23.tv')) AND regexp_full_match(bare, '/[^/]+/lists/[^/]+') AND q LIKE '%&type=series%' THEN 'bilibili-series'
+  WHEN host LIKE '%.bilibili.com' AND regexp_full_match(bare, '/list/[^/]+') AND regexp_matches(q, '&sid=[^&]') THEN 'bilibili-collection'
+  WHEN host LIKE '%.bilibili.com' AND regexp_full_match(bare, '/[^/]+/upload/video') THEN 'bilibili-uploads' WHEN host = 'space.bilibili.com' AND regexp_full_match(bare, '/[^/]+') THEN 'bilibili-uploads'
+  WHEN host LIKE '%twitch.tv' AND regexp_full_match(bare, '/[^/]+/videos') THEN 'twitch-vods' WHEN host IN ('youtube.com', 'www.youtube.com', 'm.youtube.com') AND bare = '/playlist' AND list <> '' THEN 'youtube'
+  WHEN host IN ('youtube.com', 'www.youtube.com', 'm.youtube.com') AND regexp_full_match(bare, '/(@[^/]+|channel/[^/]+|user/[^/]+|c/[^/]+)/(videos|streams|shorts)') THEN 'youtube-uploads'
+  WHEN lower(ex) IN ('youtubetab', 'youtubeplaylist') THEN 'youtube' WHEN coalesce(ex, '') = '' THEN 'unknown' ELSE lower(ex) END AS platform FROM l""")
 def classify_platform(spark, sf):
     return _hosts(spark, sf).select("page_id", urls.classify_platform(S("url"), S("ex")).alias("platform"))
 
 
-@query(f"""WITH {HOSTS} SELECT page_id, CASE WHEN page_id % 6 = 3 THEN 'https://www.youtube.com/playlist?list=L' || page_id ELSE url END AS url FROM h""")
+@query(f"""WITH {HOSTS} SELECT page_id, CASE WHEN host IN ('youtube.com', 'www.youtube.com', 'm.youtube.com') AND path = '/watch' AND list <> '' THEN scheme || '://' || place || '/playlist?list=' || list ELSE url END AS url FROM l""")
 def canonical_playlist_url(spark, sf):
     return _hosts(spark, sf).select("page_id", urls.canonical_playlist_url(S("url")).alias("url"))
 
@@ -87,9 +112,10 @@ def dedupe_first_seen(spark, sf):
     return catalog.first_seen(both, ["source_key"]).select("source_key", "ordinal")
 
 
-CAND = """cand AS (SELECT l_orderkey AS source_key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ordinal, 'f' || (l_partkey % 5) AS format_id,
-  'u' || (l_suppkey % 6) AS url, CASE WHEN l_partkey % 3 = 0 THEN 'none' ELSE 'aac' END AS acodec, CASE WHEN l_suppkey % 2 = 0 THEN 'h264' END AS vcodec,
-  l_quantity AS abr, l_extendedprice / 1000 AS tbr, (l_partkey % 10 * 144)::DOUBLE AS height, l_suppkey % 7 = 0 AS requested, CASE WHEN l_partkey % 4 > 0 THEN l_discount * 20 END AS speed FROM lineitem)"""
+ACODECS, VCODECS = ["none", "aac", "", "NONE", None], [None, "h264", "none", ""]
+CAND = f"""cand AS (SELECT l_orderkey AS source_key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ordinal, 'f' || (l_partkey % 5) AS format_id,
+  'u' || (l_suppkey % 6) AS url, {listed(ACODECS)}[1 + l_partkey % 5] AS acodec, {listed(VCODECS)}[1 + l_suppkey % 4] AS vcodec,
+  l_quantity - 20 AS abr, l_extendedprice / 1000 AS tbr, (l_partkey % 10 * 144)::DOUBLE AS height, l_suppkey % 7 = 0 AS requested, CASE WHEN l_partkey % 4 > 0 THEN l_discount * 20 END AS speed FROM lineitem)"""
 
 
 def _candidates(spark, sf):
@@ -98,13 +124,13 @@ def _candidates(spark, sf):
     no = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     return x.table(spark, sf, "lineitem").select(
         S("l_orderkey").alias("source_key"), no.cast("long").alias("ordinal"), F.concat(F.lit("f"), (S("l_partkey") % 5).cast("string")).alias("format_id"),
-        F.concat(F.lit("u"), (S("l_suppkey") % 6).cast("string")).alias("url"), F.when(S("l_partkey") % 3 == 0, "none").otherwise("aac").alias("acodec"),
-        F.when(S("l_suppkey") % 2 == 0, "h264").alias("vcodec"), S("l_quantity").alias("abr"), (S("l_extendedprice") / 1000).alias("tbr"),
+        F.concat(F.lit("u"), (S("l_suppkey") % 6).cast("string")).alias("url"), pick(ACODECS, S("l_partkey")).alias("acodec"),
+        pick(VCODECS, S("l_suppkey")).alias("vcodec"), (S("l_quantity") - 20).alias("abr"), (S("l_extendedprice") / 1000).alias("tbr"),
         (S("l_partkey") % 10 * 144).cast("double").alias("height"), (S("l_suppkey") % 7 == 0).alias("requested"), F.when(S("l_partkey") % 4 > 0, S("l_discount") * 20).alias("speed"),
     )
 
 
-@query(f"WITH {CAND} SELECT source_key, ordinal, format_id, url, acodec, vcodec FROM cand WHERE acodec <> 'none' AND vcodec IS NULL")
+@query(f"WITH {CAND} SELECT source_key, ordinal, format_id, url, acodec, vcodec FROM cand WHERE acodec IS NOT NULL AND acodec <> 'none' AND (vcodec IS NULL OR vcodec = 'none')")
 def stream_kind_filter(spark, sf):
     return catalog.stream_kind(_candidates(spark, sf), "audio").select("source_key", "ordinal", "format_id", "url", "acodec", "vcodec")
 
@@ -113,12 +139,12 @@ def stream_kind_filter(spark, sf):
   UNION ALL SELECT c.source_key, c.ordinal, CASE WHEN list_contains(fs, c.format_id) OR list_contains(us, c.url) THEN fs ELSE list_append(fs, c.format_id) END,
   CASE WHEN list_contains(fs, c.format_id) OR list_contains(us, c.url) THEN us ELSE list_append(us, c.url) END, NOT (list_contains(fs, c.format_id) OR list_contains(us, c.url))
   FROM f JOIN cand c ON c.source_key = f.source_key AND c.ordinal = f.ordinal + 1)
-SELECT source_key, ordinal, cand.format_id, cand.url FROM f JOIN cand USING (source_key, ordinal) WHERE took AND vcodec IS NOT NULL""")
+SELECT source_key, ordinal, cand.format_id, cand.url FROM f JOIN cand USING (source_key, ordinal) WHERE took AND vcodec IS NOT NULL AND vcodec <> 'none'""")
 def dedupe_candidates(spark, sf):
     return catalog.distinct_candidates(_candidates(spark, sf), "video").select("source_key", "ordinal", "format_id", "url")
 
 
-RANK = "row_number() OVER (PARTITION BY source_key ORDER BY greatest(abr, tbr) DESC, requested DESC, abr + tbr DESC, format_id DESC)"
+RANK = "row_number() OVER (PARTITION BY source_key ORDER BY greatest(abr, tbr, 0) DESC, requested DESC, greatest(abr, 0) + greatest(tbr, 0) DESC, format_id DESC)"
 
 
 @query(f"WITH {CAND}, r AS (SELECT source_key, greatest(abr, tbr) AS best, {RANK}::INT AS rank FROM cand) SELECT * FROM r")
@@ -146,55 +172,72 @@ def probe_select(spark, sf):
     return catalog.probe_select(ranked)
 
 
-ENTRIES = """e AS (SELECT p_partkey AS entry_id, CASE WHEN p_partkey % 3 = 0 THEN 'Unknown' WHEN p_partkey % 3 = 1 THEN p_name || ' 2024年' || (1 + p_partkey % 12) || '月5日' ELSE p_name END AS title,
-  CASE WHEN p_partkey % 2 = 0 THEN p_size::DOUBLE END AS duration, CASE WHEN p_partkey % 5 = 0 THEN '2023-01-02' ELSE '' END AS upload_date FROM part),
-r AS (SELECT p_partkey AS entry_id, 'T' || p_partkey AS title, p_retailprice AS duration, CASE WHEN p_partkey % 7 = 0 THEN '2022-12-31' ELSE '' END AS upload_date FROM part WHERE p_partkey % 4 <> 0)"""
+TEXTS = ["Unknown", "name 2024年3月5日", "name", "2024年 3月5日", "2023年13月40日 x"]
+ENTRIES = f"""e AS (SELECT p_partkey AS entry_id, {listed(TEXTS)}[1 + p_partkey % 5] AS title, CASE WHEN p_partkey % 2 = 0 THEN p_size::DOUBLE END AS duration, CASE WHEN p_partkey % 9 = 0 THEN '2023-01-02' ELSE '' END AS upload_date FROM part),
+r AS (SELECT p_partkey AS entry_id, CASE p_partkey % 3 WHEN 0 THEN 'T2022年1月2日' WHEN 1 THEN '' END AS title, CASE WHEN p_partkey % 3 = 0 THEN 'n/a' WHEN p_partkey % 3 = 1 THEN p_retailprice::VARCHAR END AS duration, p_size * 100 AS ms,
+  CASE p_partkey % 7 WHEN 0 THEN '20221231' WHEN 1 THEN 'soon' END AS upload_date, CASE WHEN p_partkey % 7 < 3 THEN p_size * 86400 END AS timestamp FROM part WHERE p_partkey % 4 <> 0)"""
 
 
 def _entries(spark, sf):
     k = S("p_partkey")
     p = x.table(spark, sf, "part")
-    dated = F.concat("p_name", F.lit(" 2024年"), (1 + k % 12).cast("string"), F.lit("月5日"))
-    title = F.when(k % 3 == 0, "Unknown").when(k % 3 == 1, dated).otherwise(S("p_name"))
-    m = lambda a: F.create_map(F.lit("id"), k.cast("string"), F.lit(a), F.lit("1"))
-    e = p.select(k.alias("entry_id"), title.alias("title"), F.when(k % 2 == 0, S("p_size").cast("double")).alias("duration"), F.when(k % 5 == 0, "2023-01-02").otherwise("").alias("upload_date"), m("own").alias("metadata"))
-    r = p.filter("p_partkey % 4 <> 0").select(
-        k.alias("entry_id"), F.concat(F.lit("T"), k.cast("string")).alias("title"), S("p_retailprice").alias("duration"), F.when(k % 7 == 0, "2022-12-31").otherwise("").alias("upload_date"), m("found").alias("metadata")
-    )
+    e = p.select(
+        k.alias("entry_id"), pick(TEXTS, k).alias("title"), F.when(k % 2 == 0, S("p_size").cast("double")).alias("duration"), F.when(k % 9 == 0, "2023-01-02").otherwise("").alias("upload_date"),
+        F.create_map(F.lit("id"), k.cast("string"), F.lit("own"), F.lit("1")).alias("metadata"),
+    )
+    fields = {
+        "title": F.when(k % 3 == 0, "T2022年1月2日").when(k % 3 == 1, ""), "duration": F.when(k % 3 == 0, "n/a").when(k % 3 == 1, S("p_retailprice").cast("string")), "duration_ms": (S("p_size") * 100).cast("string"),
+        "upload_date": F.when(k % 7 == 0, "20221231").when(k % 7 == 1, "soon"), "timestamp": F.when(k % 7 < 3, (S("p_size") * 86400).cast("string")), "id": F.lit("7"), "URL": F.lit("u"), "manifest_url": F.lit("m"),
+    }
+    r = p.filter("p_partkey % 4 <> 0").select(k.alias("entry_id"), F.create_map(*[v for name, c in fields.items() for v in (F.lit(name), c)]).alias("metadata"))
     return e, r
 
 
-@query(f"""WITH {ENTRIES}, j AS (SELECT e.entry_id, CASE WHEN e.title = 'Unknown' AND r.title IS NOT NULL THEN r.title ELSE e.title END AS title, coalesce(e.duration, r.duration) AS duration,
-  nullif(e.upload_date, '') AS d1, nullif(r.upload_date, '') AS d2, r.entry_id IS NULL AS hydration_failed FROM e LEFT JOIN r USING (entry_id))
-SELECT entry_id, title, duration, coalesce(d1, d2, CASE WHEN title LIKE '%年%' THEN '2024-' || lpad(regexp_extract(title, '年(\\d+)月', 1), 2, '0') || '-05' ELSE '' END) AS upload_date, hydration_failed,
-  CASE WHEN hydration_failed THEN 'id,own' ELSE 'found,id,own' END AS keys FROM j""")
+@query(f"""WITH {ENTRIES}, j AS (SELECT e.entry_id, CASE WHEN e.title = 'Unknown' AND coalesce(r.title, '') <> '' THEN r.title ELSE e.title END AS title, coalesce(e.duration, CASE WHEN r.duration IS NOT NULL THEN try_cast(r.duration AS DOUBLE) ELSE ms / 1000 END) AS duration,
+  nullif(e.upload_date, '') AS d1, CASE WHEN regexp_full_match(r.upload_date, '\\d{{8}}') THEN r.upload_date[1:4] || '-' || r.upload_date[5:6] || '-' || r.upload_date[7:8] ELSE strftime(make_timestamp(timestamp * 1000000::BIGINT), '%Y-%m-%d') END AS d2,
+  r.entry_id IS NULL AS hydration_failed FROM e LEFT JOIN r USING (entry_id)), d AS (SELECT *, regexp_extract(title, '(\\d{{4}})年(\\d{{1,2}})月(\\d{{1,2}})日', ['y', 'm', 'd']) AS t FROM j)
+SELECT entry_id, title, duration, coalesce(d1, d2, CASE WHEN t.y <> '' THEN t.y || '-' || lpad(t.m, 2, '0') || '-' || lpad(t.d, 2, '0') ELSE '' END) AS upload_date, hydration_failed,
+  CASE WHEN hydration_failed THEN 'id=' || entry_id || ',own' ELSE 'duration,duration_ms,id=7,own,timestamp,title,upload_date' END AS keys FROM d""")
 def hydrate_metadata(spark, sf):
     h = catalog.hydrate(*_entries(spark, sf))
-    return h.select("entry_id", "title", "duration", "upload_date", "hydration_failed", F.array_join(F.array_sort(F.map_keys("metadata")), ",").alias("keys"))
+    shown = F.transform(F.array_sort(F.map_keys("metadata")), lambda k: F.when(k == "id", F.concat(F.lit("id="), F.element_at("metadata", "id"))).otherwise(k))
+    return h.select("entry_id", "title", "duration", "upload_date", "hydration_failed", F.array_join(shown, ",").alias("keys"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'id,title' ELSE 'http,id,title' END AS kept, 'id,title' AS cached FROM part")
+KEYS = [
+    "id", "title", "author", "auth_token", "Cookie", "cookies", "cookie_header", "HTTP_Headers", "http", "password", "formats", "requested_formats", "url", "manifest_url", "Audio_URL", "video_url", "format", "format_id",
+    "codec", "acodec", "abr", "tbr", "sample_rate", "channels", "Format", "uploader",
+]
+KEPT = "array_to_string(list_sort(list_filter(keys, lambda x: {}), 'ASC'), ',')"
+
+
+@query(f"""WITH k AS (SELECT p_partkey, list_filter({listed(KEYS)}, lambda x, i: (p_partkey + i - 1) % 3 <> 0) AS keys FROM part)
+SELECT p_partkey, {KEPT.format("lower(x) NOT IN ('cookie', 'cookies', 'cookie_header', 'http_headers', 'formats', 'requested_formats')")} AS kept,
+  {KEPT.format("lower(x) NOT IN ('formats', 'requested_formats', 'url', 'manifest_url', 'audio_url', 'video_url')")} AS entry,
+  {KEPT.format("x IN ('format', 'format_id', 'codec', 'acodec', 'abr', 'tbr', 'sample_rate', 'channels')")} AS cached FROM k""")
 def redact_metadata(spark, sf):
-    k = S("p_partkey")
-    odd = F.when(k % 2 == 0, "http_headers").otherwise("http")
-    m = F.create_map(F.lit("id"), F.lit("1"), F.lit("title"), F.lit("t"), F.lit("cookies"), F.lit("x"), F.lit("auth_token"), F.lit("y"), odd, F.lit("z"))
+    held = F.filter(F.array(*map(F.lit, KEYS)), lambda v, i: (S("p_partkey") + i) % 3 != 0)
+    m = F.map_from_arrays(held, F.transform(held, lambda v: F.lit("1")))
     keys = lambda c: F.array_join(F.array_sort(F.map_keys(c)), ",")
-    return x.table(spark, sf, "part").select("p_partkey", keys(catalog.redact(m)).alias("kept"), keys(catalog.redact(m, catalog.ALLOWED)).alias("cached"))
+    return x.table(spark, sf, "part").select("p_partkey", keys(catalog.redact(m)).alias("kept"), keys(catalog.entry_metadata(m)).alias("entry"), keys(catalog.cached_metadata(m)).alias("cached"))
+
 
+GONE = ["[Private video]", " [Deleted video]", "[Deleted video]", "[private video]", None, "", "name"]
 
-@query("""SELECT p_partkey, 'u' || p_partkey AS url FROM part WHERE p_partkey % 5 NOT IN (0, 1) AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0""")
+
+@query(f"""SELECT p_partkey, 'u' || p_partkey AS url FROM part WHERE {listed(GONE)}[1 + p_partkey % 7] NOT IN ('[Private video]', '[Deleted video]') AND p_partkey % 5 > 1 AND p_partkey % 11 <> 0""")
 def available_video_filter(spark, sf):
     k = S("p_partkey")
-    title = F.when(k % 5 == 0, "[Private video]").when(k % 5 == 1, " [Deleted Video]").otherwise(S("p_name"))
-    e = x.table(spark, sf, "part").select("p_partkey", title.alias("title"), F.when(k % 7 != 0, S("p_brand")).alias("uploader"), F.when(k % 11 != 0, F.concat(F.lit("u"), k.cast("string"))).alias("url"))
+    who = F.when(k % 5 == 0, "").when(k % 5 > 1, S("p_brand"))
+    e = x.table(spark, sf, "part").select("p_partkey", pick(GONE, k).alias("title"), who.alias("uploader"), F.when(k % 11 != 0, F.concat(F.lit("u"), k.cast("string"))).alias("url"))
     return catalog.available(e).select("p_partkey", "url")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey
-WHERE l_partkey % 9 = 0 OR abs(o_totalprice / 1000 - l_quantity) <= greatest(5.0, o_totalprice / 1000 * 0.01e0)""")
+WHERE l_partkey % 9 < 2 OR o_totalprice < 1 OR abs(o_totalprice / 1000 - l_quantity) <= greatest(5.0, o_totalprice / 1000 * 0.01e0)""")
 def external_audio_match(spark, sf):
     j = x.table(spark, sf, "lineitem").join(x.table(spark, sf, "orders"), S("l_orderkey") == S("o_orderkey"))
-    found = F.when(S("l_partkey") % 9 != 0, S("l_quantity"))
+    found = F.when(S("l_partkey") % 9 == 1, F.lit(0.0)).when(S("l_partkey") % 9 > 1, S("l_quantity"))
     return j.filter(catalog.duration_matches(S("o_totalprice") / 1000, found)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
@@ -238,83 +281,110 @@ def mode_resolution(spark, sf):
     return catalog.mode_resolution(v)
 
 
-@query("""WITH f AS (SELECT l_orderkey AS k, list(CASE WHEN l_partkey % 10 > 0 THEN l_partkey END ORDER BY l_linenumber, l_partkey, l_suppkey) AS parts FROM lineitem GROUP BY 1),
-s AS (SELECT k, CASE WHEN k % 3 = 0 AND k > 0 THEN k * 1000 WHEN k % 3 = 1 THEN CASE WHEN k % 2 = 0 THEN k * 10 ELSE CASE WHEN len(list_filter(parts, lambda x: x IS NULL)) = 0 THEN list_sum(parts)::BIGINT END END
-  ELSE CASE WHEN len(list_filter(parts, lambda x: x IS NULL)) = 0 THEN list_sum(parts)::BIGINT END END AS size FROM f)
+@query("""WITH f AS (SELECT l_orderkey AS k, list(CASE WHEN l_partkey % 10 > 0 THEN l_partkey WHEN l_suppkey % 3 > 0 THEN l_suppkey * 2 END) AS parts, count(*) AS n FROM lineitem GROUP BY 1),
+s AS (SELECT k, CASE WHEN k % 4 = 0 AND k > 0 THEN k * 1000 WHEN k % 4 = 1 THEN k * 10 WHEN (k % 8 < 4 OR n = 2) AND len(list_filter(parts, lambda x: x IS NULL)) = 0 THEN list_sum(parts)::BIGINT END AS size FROM f)
 SELECT k, size, floor(size * 1.2e0 + 536870912)::BIGINT AS needed FROM s""")
 def estimate_size(spark, sf):
-    part = F.when(S("l_partkey") % 10 > 0, S("l_partkey"))
-    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", part.alias("size"))
-    f = x.table(spark, sf, "lineitem").groupBy(S("l_orderkey").alias("k")).agg(F.transform(F.sort_array(F.collect_list(item)), lambda v: v["size"]).alias("parts"))
-    size = catalog.estimate_size(F.when(S("k") % 3 == 0, S("k") * 1000), F.when((S("k") % 3 == 1) & (S("k") % 2 == 0), S("k") * 10), S("parts"))
+    """A third of the orders name their parts as requested, the others as formats, which count if they are two."""
+    exact, about = F.when(S("l_partkey") % 10 > 0, S("l_partkey")).otherwise(0), F.when(S("l_suppkey") % 3 > 0, S("l_suppkey") * 2)
+    f = x.table(spark, sf, "lineitem").groupBy(S("l_orderkey").alias("k")).agg(F.collect_list(F.struct(exact.alias("filesize"), about.alias("filesize_approx"))).alias("parts"))
+    none, asked = F.slice("parts", 1, 0), S("k") % 8 < 4
+    size = catalog.estimate_size(F.when(S("k") % 4 == 0, S("k") * 1000), F.when(S("k") % 4 == 1, S("k") * 10), F.when(asked, S("parts")).otherwise(none), F.when(~asked, S("parts")).otherwise(none))
     return f.select("k", size.alias("size")).withColumn("needed", catalog.space_needed(S("size")))
 
 
-@query("""WITH f AS (SELECT p_partkey AS k, '/m/2024-0' || (1 + p_partkey % 9) || '/' || CASE WHEN p_partkey % 2 = 0 THEN 'clip part ' || p_partkey ELSE 'p' || p_size || '-' || p_partkey END || '.mp4' AS path FROM part)
-SELECT k, row_number() OVER (ORDER BY regexp_extract(path, '2024-0\\d'), CASE WHEN k % 2 = 0 THEN k ELSE k END,
-  regexp_replace(regexp_replace(lower(regexp_extract(path, '[^/]*$')), 'x', 'x'), 'x', 'x')) AS place FROM f""")
+FOLDERS = ["2024年#月", "2024年3月#日8点场", "Show 12", "show 9", "2024-01", "x#", "12 b", "2023年1月2日"]
+FILES = [
+    "2024年3月5日#点场.mp4", "2024年3月5日8点 part # Original.mp4", "2024年3月5日8点 Part #.mp4", "2023_07_1#_b_part2.mp4", "p#-title.mp4", "#_Title B.mp4", "video_p#.mp4", "Video part_#.mp4", "movie (#) .mp4", "clip #.mp4",
+    "Clip.mp4", "2024-05 clip #", "clip # b.mp4", "123456789012345678901#.mp4",
+]
+NATURAL = r"""list_transform(regexp_extract_all(CASE WHEN regexp_matches({0}, '^\d') THEN chr(1) ELSE '' END || lower({0}), '\d+|\D+'), lambda x: CASE WHEN regexp_matches(x, '^\d') THEN {{'n': x::HUGEINT, 't': ''}} ELSE {{'n': 0::HUGEINT, 't': replace(x, chr(1), '')}} END)"""
+
+
+@query(rf"""WITH f AS (SELECT p_partkey AS k, replace({listed(FOLDERS)}[1 + p_partkey // 3 % {len(FOLDERS)}], '#', (1 + p_partkey % 12)::VARCHAR) AS folder, replace({listed(FILES)}[1 + p_partkey % {len(FILES)}], '#', (p_partkey % 13)::VARCHAR) AS name FROM part),
+g AS (SELECT k, lower(folder) AS folder, name, regexp_replace(name, '\.mp4$', '') AS bare, CASE WHEN regexp_matches(folder, '\d{{4}}年') THEN lower(folder) ELSE name END AS src FROM f),
+h AS (SELECT *, regexp_extract(src, '(\d{{4}})年(\d{{1,2}})月(\d{{1,2}})日', ['y', 'm', 'd']) AS a, regexp_extract(src, '(\d{{4}})年(\d{{1,2}})月', ['y', 'm']) AS b, regexp_extract(src, '(\d{{4}})[-_](\d{{2}})[-_](\d{{2}})', ['y', 'm', 'd']) AS c,
+  regexp_extract(src, '(\d{{4}})[-_](\d{{2}})', ['y', 'm']) AS d, regexp_extract(src, '(\d{{1,2}})点场?', 1) AS hour, regexp_extract(name, '(\d{{4}})年(\d{{1,2}})月(\d{{1,2}})日(\d{{1,2}})点场?', ['y', 'm', 'd', 'h']) AS e,
+  regexp_extract(name, '(\d{{4}})[-_](\d{{2}})[-_](\d{{2}})', ['y', 'm', 'd']) AS i, regexp_extract(bare, '(?i)^p?(\d{{1,2}})[\s_\-]+(.+)$', ['n', 't']) AS p1, regexp_extract(bare, '(?i)^(.*?)[\s_\-]+p(?:art[\s_]*)?(\d+)$', ['t', 'n']) AS p2,
+  regexp_extract(bare, '^(.*?)\s*\((\d+)\)\s*$', ['t', 'n']) AS p3, regexp_extract(name, '^p?(\d{{1,2}})[\s_\-]', 1) AS q1, regexp_extract(name, '(?i)part\s*(\d+)', 1) AS q2 FROM g),
+o AS (SELECT *, CASE WHEN a.y <> '' THEN a.y || lpad(a.m, 2, '0') || lpad(a.d, 2, '0') WHEN b.y <> '' THEN b.y || lpad(b.m, 2, '0') WHEN c.y <> '' THEN c.y || c.m || c.d WHEN d.y <> '' THEN d.y || d.m END AS day,
+  CASE WHEN e.y <> '' THEN e.y || lpad(e.m, 2, '0') || lpad(e.d, 2, '0') || '_' || lpad(e.h, 2, '0') WHEN i.y <> '' THEN i.y || i.m || i.d END AS stamp,
+  CASE WHEN p1.n <> '' THEN lower(trim(p1.t)) WHEN p2.n <> '' THEN regexp_replace(lower(trim(p2.t)), '[\s_\-]+$', '') WHEN p3.n <> '' THEN regexp_replace(lower(trim(p3.t)), '[\s_\-]+$', '') END AS base,
+  coalesce(nullif(p1.n, ''), nullif(p2.n, ''), nullif(p3.n, ''))::BIGINT AS num FROM h)
+SELECT k, row_number() OVER (ORDER BY day IS NULL, coalesce(day, ''), CASE WHEN day IS NULL THEN '' WHEN hour = '' THEN chr(65535) ELSE lpad(hour, 2, '0') END, CASE WHEN day IS NULL THEN {NATURAL.format("folder")} ELSE [] END, CASE WHEN day IS NULL THEN folder ELSE '' END,
+  CASE WHEN stamp IS NOT NULL THEN 0 WHEN base IS NOT NULL THEN 1 ELSE 2 END, coalesce(stamp, base, ''), CASE WHEN stamp IS NOT NULL THEN regexp_matches(name, '\bOriginal\b')::BIGINT WHEN base IS NOT NULL THEN num ELSE 0 END,
+  CASE WHEN stamp IS NOT NULL THEN coalesce(nullif(q1, ''), nullif(q2, ''), '0')::BIGINT ELSE 0 END, CASE WHEN stamp IS NULL AND base IS NULL THEN {NATURAL.format("name")} ELSE [] END, k) AS place FROM o""")
 def smart_sort(spark, sf):
-    from pyspark.sql import Window as W
+    k = S("p_partkey")
+    folder, name = F.replace(pick(FOLDERS, F.floor(k / 3)), F.lit("#"), (1 + k % 12).cast("string")), F.replace(pick(FILES, k), F.lit("#"), (k % 13).cast("string"))
+    f = x.table(spark, sf, "part").select(k.alias("k"), F.concat_ws("/", F.lit("/m"), folder, name).alias("path"))
+    return ordered.numbered(f, [catalog.smart_sort_key(S("path")), S("k")]).select("k", "place")
+
 
+SHOWS = ["Show Part # end", "Show P#", "Show p 0#/12", "第 # 集 Show", "第 #/12 部分 Show", "Show Ep. #", "Show (#)", "SHOW - #", "straße PART #", "STRASSE", "", None, "part#", "Show #/12 end"]
+TITLES = f"t AS (SELECT p_partkey AS k, p_brand, replace({listed(SHOWS)}[1 + p_partkey % {len(SHOWS)}], '#', (p_partkey % 40)::VARCHAR) AS title FROM part)"
+PARTED = r"""p AS (SELECT *, coalesce(nullif(regexp_extract(title, '(?i)第\s*(\d+)\s*(部分|集)', 1), ''), nullif(regexp_extract(title, '(?i)\bp\s*0*(\d+)\b', 1), ''), nullif(regexp_extract(title, '(?i)\bpart\s+0*(\d+)\b', 1), ''),
+  nullif(regexp_extract(title, '第\s*(\d+)\s*/\s*\d+\s*部分', 1), ''))::BIGINT AS part, replace(lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(nullif(title, ''), 'Unknown'),
+  '(?i)第\s*\d+\s*(部分|集)', '', 'g'), '(?i)\bp\s*0*\d+\b', '', 'g'), '(?i)\bpart\s+0*\d+\b', '', 'g'), '\b0*\d+\s*/\s*\d+\b', '', 'g'), '\s+', ' ', 'g'))), 'ß', 'ss') AS bare FROM t)"""
+
+
+def _titles(spark, sf):
     k = S("p_partkey")
-    name = F.when(k % 2 == 0, F.concat(F.lit("clip part "), k.cast("string"))).otherwise(F.concat(F.lit("p"), S("p_size").cast("string"), F.lit("-"), k.cast("string")))
-    f = x.table(spark, sf, "part").select(k.alias("k"), F.concat(F.lit("/m/2024-0"), (1 + k % 9).cast("string"), F.lit("/"), name, F.lit(".mp4")).alias("path"))
-    key = catalog.smart_sort_key(S("path"))
-    return f.select("k", F.row_number().over(W.orderBy(key)).cast("long").alias("place"))
+    return x.table(spark, sf, "part").select(k.alias("k"), "p_brand", F.replace(pick(SHOWS, k), F.lit("#"), (k % 40).cast("string")).alias("title"))
 
 
-@query("""WITH t AS (SELECT p_partkey AS index, p_brand AS series, CASE WHEN p_partkey % 3 = 0 THEN 'Show part ' || p_partkey % 12 WHEN p_partkey % 3 = 1 THEN 'Show' ELSE 'Show (' || p_partkey % 12 || ')' END AS title, p_partkey FROM part),
-q AS (SELECT *, CASE WHEN index % 3 = 1 THEN NULL ELSE index % 12 END AS part FROM t)
-SELECT index, row_number() OVER (ORDER BY series, part IS NULL, coalesce(part, index), index) AS place FROM q""")
+@query(rf"""WITH {TITLES}, {PARTED}, q AS (SELECT *, lower(coalesce(CASE WHEN k % 4 = 0 THEN upper(p_brand) ELSE '' END, '')) AS g, coalesce(CASE k % 5 WHEN 0 THEN k % 7 END, part) AS no, CASE WHEN k % 3 = 0 THEN '2024-01-02' ELSE '' END AS day FROM p),
+r AS (SELECT *, CASE WHEN g = '' THEN CASE WHEN k % 2 = 0 THEN lower(p_brand) ELSE '' END ELSE g END AS grp FROM q) SELECT k AS index, row_number() OVER (ORDER BY grp, day, bare, no IS NULL, coalesce(no, k), k) AS place FROM r""")
 def playlist_sort(spark, sf):
-    from pyspark.sql import Window as W
+    k = S("k")
+    t = _titles(spark, sf).select(
+        k.alias("index"), "title", F.when(k % 4 == 0, F.upper("p_brand")).otherwise("").alias("group"), F.when(k % 2 == 0, S("p_brand")).alias("series"), F.when(k % 3 == 0, "2024-01-02").alias("upload_date"),
+        F.when(k % 5 == 0, (k % 7).cast("string")).when(k % 5 == 1, "x").alias("part_number"),
+    )
+    return ordered.numbered(t, catalog.playlist_order(t)).select("index", "place")
 
-    k = S("p_partkey")
-    n = (k % 12).cast("string")
-    title = F.when(k % 3 == 0, F.concat(F.lit("Show part "), n)).when(k % 3 == 1, "Show").otherwise(F.concat(F.lit("Show ("), n, F.lit(")")))
-    t = x.table(spark, sf, "part").select(k.alias("index"), S("p_brand").alias("series"), title.alias("title"), F.lit("").alias("upload_date"))
-    return t.select("index", F.row_number().over(W.orderBy(*catalog.playlist_order(t))).cast("long").alias("place"))
 
+DAYS = ["20240230", "99999999999999999999", "2024-02-30 later", " 2024/0102 ", "20240102T030405", "2024-1-2", "86400", "soon", "", None, "2024-05-06T07:08:09Z", "1704153600.5", "0"]
 
-@query("""SELECT event_id, CASE event_id % 5 WHEN 4 THEN '' ELSE strftime(ts, '%Y-%m-%d') END AS day FROM events""")
+
+@query(rf"""WITH d AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN {listed(DAYS)}[1 + event_id // 2 % {len(DAYS)}] WHEN event_id % 3 = 0 THEN epoch_ms(ts)::VARCHAR WHEN event_id % 3 = 1 THEN (epoch_ms(ts) // 1000)::VARCHAR ELSE strftime(ts, '%Y%m%d') END AS v FROM events),
+n AS (SELECT event_id, trim(v) AS v, CASE WHEN regexp_full_match(trim(v), '\d+') AND length(trim(v)) <> 8 THEN try_cast(v AS DOUBLE) END AS n FROM d), s AS (SELECT *, floor(CASE WHEN n > 1e11 THEN n / 1000 ELSE n END) AS sec FROM n),
+r AS (SELECT *, regexp_extract(v, '^(\d{{4}})[-/]?(\d{{2}})[-/]?(\d{{2}})', ['y', 'm', 'd']) AS t FROM s)
+SELECT event_id, CASE WHEN n IS NOT NULL THEN coalesce(CASE WHEN sec <= 253402300799 THEN strftime(make_timestamp((sec * 1000000)::BIGINT), '%Y-%m-%d') END, '') WHEN t.y <> '' THEN t.y || '-' || t.m || '-' || t.d ELSE '' END AS day FROM r""")
 def normalize_date(spark, sf):
-    t = S("ts").cast("timestamp")
-    k = S("event_id") % 5
-    v = F.when(k == 0, F.date_format(t, "yyyyMMdd")).when(k == 1, F.unix_millis(t).cast("string")).when(k == 2, F.unix_seconds(t).cast("string"))
-    v = v.when(k == 3, F.date_format(t, "yyyy/MM/dd HH:mm")).otherwise("soon")
+    t, k = S("ts").cast("timestamp"), S("event_id")
+    v = F.when(k % 2 == 0, pick(DAYS, F.floor(k / 2))).when(k % 3 == 0, F.unix_millis(t).cast("string")).when(k % 3 == 1, F.unix_seconds(t).cast("string")).otherwise(F.date_format(t, "yyyyMMdd"))
     return x.table(spark, sf, "events").select("event_id", media.first_date(F.lit(""), v).alias("day"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE strftime(ts, '%Y-%m-%d') END AS day FROM events""")
-def title_date(spark, sf):
-    t = S("ts").cast("timestamp")
-    title = F.concat(F.lit("live "), F.year(t).cast("string"), F.lit("年"), F.month(t).cast("string"), F.lit("月"), F.day(t).cast("string"), F.lit("日 rerun"))
-    return x.table(spark, sf, "events").select("event_id", media.title_date(F.when(S("event_id") % 3 == 0, "live").otherwise(title)).alias("day"))
+LIVE = ["live", "2024年3月5日 rerun", "2024 年 3月5日", "2024年3月5号", "x2024年13月40日", "12024年1月2日2023年2月3日", None]
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN value WHEN 1 THEN event_id / 1000 END AS seconds FROM events")
-def normalize_duration(spark, sf):
-    k = S("event_id") % 3
-    d, ms = F.when(k == 0, S("value").cast("string")).when(k == 2, "n/a"), F.when(k == 1, S("event_id").cast("string"))
-    return x.table(spark, sf, "events").select("event_id", media.normalize_duration(d, ms).alias("seconds"))
+@query(rf"""WITH t AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN {listed(LIVE)}[1 + event_id // 2 % {len(LIVE)}] ELSE 'live ' || year(ts) || '年' || month(ts) || '月' || day(ts) || '日' END AS title FROM events),
+r AS (SELECT event_id, regexp_extract(title, '(\d{{4}})年(\d{{1,2}})月(\d{{1,2}})日', ['y', 'm', 'd']) AS t FROM t)
+SELECT event_id, CASE WHEN t.y <> '' THEN t.y || '-' || lpad(t.m, 2, '0') || '-' || lpad(t.d, 2, '0') ELSE '' END AS day FROM r""")
+def title_date(spark, sf):
+    t, k = S("ts").cast("timestamp"), S("event_id")
+    title = F.concat(F.lit("live "), F.year(t).cast("string"), F.lit("年"), F.month(t).cast("string"), F.lit("月"), F.day(t).cast("string"), F.lit("日"))
+    return x.table(spark, sf, "events").select("event_id", F.coalesce(media.title_date(F.when(k % 2 == 0, pick(LIVE, F.floor(k / 2))).otherwise(title)), F.lit("")).alias("day"))
 
 
-TITLES = """t AS (SELECT p_partkey AS k, p_partkey % 40 AS n, (['Show Part ' || p_partkey % 40 || ' end', 'Show P' || p_partkey % 40, '第' || p_partkey % 40 || '集 Show', 'Show Ep. ' || p_partkey % 40, 'Show (' || p_partkey % 40 || ')', 'Show - ' || p_partkey % 40, 'Show'])[1 + p_partkey % 7] AS title FROM part)"""
+LENGTHS, MILLIS = ["n/a", "12.5", " 5 ", "", None, "1e3"], ["5000", "x", None]
 
 
-def _titles(spark, sf):
-    k, n = S("p_partkey"), (S("p_partkey") % 40).cast("string")
-    c = lambda *a: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in a])
-    options = F.array(c("Show Part ", n, " end"), c("Show P", n), c("第", n, "集 Show"), c("Show Ep. ", n), c("Show (", n, ")"), c("Show - ", n), F.lit("Show"))
-    return x.table(spark, sf, "part").select(k.alias("k"), F.element_at(options, (1 + k % 7).cast("int")).alias("title"))
+@query(f"""WITH d AS (SELECT event_id, {listed(LENGTHS)}[1 + event_id % 6] AS d, {listed(MILLIS)}[1 + event_id // 6 % 3] AS ms FROM events)
+SELECT event_id, CASE WHEN d IS NOT NULL THEN try_cast(d AS DOUBLE) ELSE try_cast(ms AS DOUBLE) / 1000 END AS seconds FROM d""")
+def normalize_duration(spark, sf):
+    k = S("event_id")
+    return x.table(spark, sf, "events").select("event_id", media.normalize_duration(pick(LENGTHS, k), pick(MILLIS, F.floor(k / 6))).alias("seconds"))
 
 
-@query(f"WITH {TITLES} SELECT k, CASE WHEN k % 7 = 6 THEN NULL ELSE n END::INT AS part FROM t")
+@query(f"WITH {TITLES}, {PARTED} SELECT k, part FROM p")
 def part_number(spark, sf):
     return _titles(spark, sf).select("k", media.part_number(S("title")).alias("part"))
 
 
-@query(f"WITH {TITLES} SELECT k, CASE k % 7 WHEN 0 THEN 'show end' ELSE 'show' END AS bare FROM t")
+@query(f"WITH {TITLES}, {PARTED} SELECT k, bare FROM p")
 def title_without_part(spark, sf):
     return _titles(spark, sf).select("k", media.title_without_part(S("title")).alias("bare"))
 
@@ -336,15 +406,28 @@ def parse_probe_log(spark, sf):
     return x.table(spark, sf, "part").select(k.alias("k"), log.alias("log")).select("k", *media.probe_log(S("log")))
 
 
-@query()
+LISTS = ["BilibiliPlaylist", "YoutubeTab", "Other"]
+
+
+@query(f"""WITH r AS (SELECT l_orderkey AS list_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS index, l_partkey AS k, l_suppkey AS s FROM lineitem),
+f AS (SELECT *, CASE list_id % 3 WHEN 0 THEN 'bilibiliplaylist' WHEN 1 THEN 'youtube' ELSE 'other' END AS platform, row_number() OVER w AS no, count(*) OVER (PARTITION BY list_id) AS n FROM r WHERE k % 7 <> 0 AND k % 5 < 3 WINDOW w AS (PARTITION BY list_id ORDER BY index))
+SELECT list_id, platform, index::INT AS index, CASE WHEN k % 11 = 0 THEN 'https://v.example/' || k ELSE k::VARCHAR END AS entry_id, CASE WHEN k % 2 = 0 THEN ' t' || k ELSE 'Unknown' END AS title, 'https://v.example/' || k AS webpage_url,
+  CASE WHEN s % 3 = 0 THEN s ELSE s / 1000 END::DOUBLE AS duration, CASE WHEN s % 4 = 0 THEN strftime(make_timestamp(s * 86400000000::BIGINT), '%Y-%m-%d') ELSE '' END AS upload_date,
+  array_to_string(list_sort(list_filter(['duration_ms', CASE WHEN s % 3 = 0 THEN 'duration' END, CASE WHEN k % 11 <> 0 THEN 'id' END, CASE WHEN k % 2 = 0 THEN 'title' END, CASE WHEN k % 5 = 0 THEN 'webpage_url' WHEN k % 5 = 1 THEN 'original_url' END, CASE WHEN s % 4 = 0 THEN 'release_timestamp' END, 'upload_date'], lambda x: x IS NOT NULL)), ',') AS keys,
+  CASE WHEN list_id % 3 = 0 AND n > 1 THEN no END::INT AS part_number, CASE WHEN list_id % 3 = 0 AND n > 1 THEN n END AS part_count FROM f""")
 def read_playlist_json(spark, sf):
     """Line items as playlists, written as JSON and read back."""
-    k = S("l_partkey")
+    k, n = S("l_partkey"), S("l_suppkey")
     url = lambda m: F.when(k % 5 == m, F.concat(F.lit("https://v.example/"), k.cast("string")))
-    e = F.when(k % 7 != 0, F.struct(k.cast("string").alias("id"), F.when(k % 2 == 0, F.concat(F.lit("t"), k.cast("string"))).alias("title"), url(0).alias("webpage_url"), url(1).alias("original_url"), url(2).alias("url")))
-    lists = x.table(spark, sf, "lineitem").groupBy(S("l_orderkey").alias("list_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", e.alias("e")))), lambda v: v["e"]).alias("entries"))
-    name = F.when(S("list_id") % 2 == 0, "BilibiliPlaylist").otherwise("Other")
-    return playlist.playlist_entries(lists.select("list_id", F.to_json(F.struct(name.alias("extractor_key"), "entries")).alias("value")))
+    e = F.struct(
+        F.when(k % 11 != 0, k.cast("string")).alias("id"), F.when(k % 2 == 0, F.concat(F.lit(" t"), k.cast("string"))).alias("title"), url(0).alias("webpage_url"), url(1).alias("original_url"), url(2).alias("url"),
+        F.when(n % 3 == 0, n).alias("duration"), n.alias("duration_ms"), F.lit("soon").alias("upload_date"), F.when(n % 4 == 0, n * 86400).alias("release_timestamp"),
+    )
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.when(k % 7 != 0, e).alias("e"))
+    lists = x.table(spark, sf, "lineitem").groupBy(S("l_orderkey").alias("list_id")).agg(F.transform(F.sort_array(F.collect_list(item)), lambda v: v["e"]).alias("entries"))
+    lists = lists.select("list_id", F.lit("https://x.example/").alias("url"), F.to_json(F.struct(pick(LISTS, S("list_id")).alias("extractor_key"), "entries")).alias("value"))
+    out = playlist.playlist_entries(lists)
+    return out.withColumn("metadata", F.array_join(F.array_sort(F.map_keys("metadata")), ",")).withColumnRenamed("metadata", "keys")
 
 
 @query("""WITH n AS (SELECT o_custkey AS list_id, o_orderkey AS node_id, NULL::BIGINT AS parent_id, o_orderkey AS pos, NULL AS url FROM orders

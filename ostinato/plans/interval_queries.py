@@ -113,6 +113,12 @@ def safe_clip_filter(spark, sf):
     return iv.safe_clip(s, F.col("duration"), F.lit(0.5)).select(*COLS)
 
 
+@query(f"""WITH {x.SEG}, {DUR} SELECT source_key, count(*) FILTER (WHERE NOT (start_s < duration - 0.5e0 AND least(end_s, duration - 0.5e0) - greatest(0e0, start_s) >= 1)) AS n_dropped FROM seg JOIN dur USING (source_key) GROUP BY 1""")
+def clips_dropped(spark, sf):
+    s = x.intervals(spark, sf)
+    return iv.clips_dropped(s.join(x.durations(s), "source_key"), F.col("duration"), F.lit(0.5))
+
+
 @query(f"""WITH {x.SEG} SELECT source_key, ordinal, start_s, end_s, kind FROM seg a WHERE kind = 'new' OR NOT EXISTS (
   SELECT 1 FROM seg b WHERE b.kind = 'new' AND b.source_key = a.source_key AND b.start_s <= a.start_s AND b.end_s >= a.end_s)""")
 def covered_original_anti(spark, sf):

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ostinato import params
 from ostinato.operators import catalog, intervals, reuse, transfer
-from ostinato.params import Detection
 from ostinato.plans import fixtures as x
 from ostinato.plans.registry import query
 from ostinato.session import new_folder
@@ -14,17 +14,28 @@ from ostinato.sources import detections, wav
 S = F.col
 
 
-KEYED = """k AS (SELECT o_orderkey, sha256('{"block_size":"600","model":"m","platform":"web","precision":"' || (o_custkey % 7 + 1) || '","source_id":"' || o_custkey || '","threshold":"0.9"}') AS cache_key FROM orders)"""
+THRESHOLDS = [0.9, 0.0, 1.0, 0.25, 0.0001, 0.00001234, 1e-13]
+KEYED = f"""n AS (SELECT o_orderkey, o_custkey, (o_custkey % 7 + 1)::VARCHAR AS p, o_custkey || CASE o_custkey % 5 WHEN 0 THEN '"q\\' ELSE '' END AS id, {THRESHOLDS}[1 + o_orderkey % 7]::DOUBLE AS t FROM orders),
+k AS (SELECT o_orderkey, sha256('{{"block_size":600,"focus_idx":' || CASE WHEN o_custkey % 3 = 0 THEN 'null' ELSE '58' END || ',"model":"m","platform":"web","precision":"' || p || '","relevant_flags":' || CASE WHEN o_custkey % 2 = 0 THEN '{{"gpu":true}}' ELSE '{{}}' END
+  || ',"source_id":' || to_json(id)::VARCHAR || ',"threshold":' || t::VARCHAR || '}}') AS cache_key FROM n)"""
 
 
 def _keys(spark, sf):
-    o = x.table(spark, sf, "orders")
-    key = reuse.cache_key(
-        platform=F.lit("web"), source_id=S("o_custkey"), model=F.lit("m"), precision=reuse.number(S("o_custkey") % 7 + 1), block_size=F.lit(600), threshold=reuse.number(F.lit(0.9))
-    )
+    o, k = x.table(spark, sf, "orders"), S("o_custkey")
+    source = F.concat(k.cast("string"), F.when(k % 5 == 0, '"q\\').otherwise(""))
+    threshold = F.element_at(F.array(*map(F.lit, THRESHOLDS)), (1 + S("o_orderkey") % 7).cast("int"))
+    flags = F.when(k % 2 == 0, F.create_map(F.lit("gpu"), F.lit("true")))
+    key = reuse.detection_key(F.lit(" Web"), source, F.lit("m"), k % 7 + 1, F.lit(600), threshold, F.when(k % 3 != 0, F.lit(58)), flags)
     return o.select("o_orderkey", key.alias("cache_key"))
 
 
+@query("""SELECT o_orderkey, sha256('{"end":"' || format('{:.12g}', o_totalprice / 7e0 + 1) || '","media_type":"video","padding":"' || format('{:.12g}', (o_custkey % 3) / 3e0) || '","source_identity":"web:' || o_custkey || '","start":"' || format('{:.12g}', o_totalprice / 7e9) || '"}') AS segment_key FROM orders""")
+def segment_cache_key(spark, sf):
+    price, k = S("o_totalprice"), S("o_custkey")
+    key = reuse.segment_key(F.concat(F.lit("web:"), k.cast("string")), price / F.lit(7e9), price / F.lit(7.0) + 1, (k % 3) / F.lit(3.0), F.lit("Video"))
+    return x.table(spark, sf, "orders").select("o_orderkey", key.alias("segment_key"))
+
+
 @query(f"WITH {KEYED} SELECT * FROM k")
 def cache_key(spark, sf):
     return _keys(spark, sf)
@@ -42,24 +53,26 @@ def detections_table(spark, sf):
     return done.select("o_orderkey", F.lit(True).alias("reused")).union(todo.select("o_orderkey", F.lit(False)))
 
 
-@query("""SELECT o_orderkey, o_totalprice > 0 AND o_totalprice / 500000e0 <= 1 AND o_custkey % 600 < 527 AND o_custkey % 4 > 0 AS valid FROM orders""")
+@query("""SELECT o_orderkey, o_custkey % 5 - 1 >= 0 AND o_orderkey % 600 >= 0 AND (o_custkey % 13 - 1) / 10e0 BETWEEN 0 AND 1 AND o_custkey % 600 < 527 AS valid,
+  o_custkey % 9 - 1 >= 0 AND o_orderkey % 11 > o_custkey % 9 - 1 AND o_custkey % 4 - 1 >= 0 AS interval_valid FROM orders""")
 def validate_params(spark, sf):
-    """Rows of parameters against the rules that `Detection` enforces on the driver."""
-    Detection()
-    ok = (S("precision") >= 1) & S("threshold").between(0.0, 1.0) & (S("threshold") > 0) & (S("focus_idx") >= 0) & (S("focus_idx") < 527)
-    p = x.table(spark, sf, "orders").select("o_orderkey", (S("o_custkey") % 4).alias("precision"), (S("o_totalprice") / 500000.0).alias("threshold"), (S("o_custkey") % 600).alias("focus_idx"))
-    return p.select("o_orderkey", ok.alias("valid"))
+    k, n = S("o_custkey"), S("o_orderkey")
+    valid = params.valid_detection(k % 5 - 1, n % 600, (k % 13 - 1) / F.lit(10.0), k % 600)
+    return x.table(spark, sf, "orders").select("o_orderkey", valid.alias("valid"), params.valid_interval(k % 9 - 1, n % 11, k % 4 - 1, F.lit(0)).alias("interval_valid"))
 
 
 EV = f"ev AS (SELECT event_id, user_id, event_type, (epoch_us(ts) - {x.EPOCH_US}) / 1e6 AS s, (epoch_us(ts) - {x.EPOCH_US}) / 1e6 + value * 1000 AS e FROM events)"
 
 
-@query(f"""WITH {EV}, j AS (SELECT r.event_id AS request_id, r.user_id AS source_key, c.event_id AS cached_id, row_number() OVER (PARTITION BY r.event_id ORDER BY c.e - c.s, c.s, c.event_id) AS q
-  FROM ev r JOIN ev c ON r.user_id = c.user_id AND c.s <= r.s AND c.e >= r.e WHERE r.event_type = 'click' AND c.event_type = 'view') SELECT request_id, source_key, cached_id FROM j WHERE q = 1""")
+@query(f"""WITH {EV}, r AS (SELECT event_id, user_id, s - event_id % 3 * 10 AS s, e + event_id % 3 * 10 AS e, CASE WHEN event_id % 5 = 0 THEN 'audio' ELSE 'video' END AS m FROM ev WHERE event_type = 'click'),
+c AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN 'audio' ELSE 'video' END AS m FROM ev WHERE event_type = 'view'),
+j AS (SELECT r.event_id AS request_id, r.user_id AS source_key, c.event_id AS cached_id, row_number() OVER (PARTITION BY r.event_id ORDER BY c.e - c.s, c.s, c.event_id) AS q FROM r JOIN c ON r.user_id = c.user_id AND r.m = c.m AND c.s <= r.s AND c.e >= r.e)
+SELECT request_id, source_key, cached_id FROM j WHERE q = 1""")
 def covering_segment_lookup(spark, sf):
     s = x.intervals(spark, sf, 1000.0).select(S("ordinal"), S("user_id").alias("source_key"), "start_s", "end_s", S("source_key").alias("kind"))
-    requests = s.filter("kind = 'click'").select(S("ordinal").alias("request_id"), "source_key", "start_s", "end_s")
-    return reuse.covering_segment(requests, s.filter("kind = 'view'").select(S("ordinal").alias("cached_id"), "source_key", "start_s", "end_s"))
+    k = S("ordinal")
+    requests = s.filter("kind = 'click'").select(k.alias("request_id"), "source_key", "start_s", "end_s", (k % 3 * 10.0).alias("padding"), F.when(k % 5 == 0, "AUDIO").otherwise("video").alias("media_type"))
+    return reuse.covering_segment(requests, s.filter("kind = 'view'").select(k.alias("cached_id"), "source_key", "start_s", "end_s", F.when(k % 4 == 0, "audio").alias("media_type")))
 
 
 @query("""WITH c AS (SELECT l_orderkey % 500 AS i, 'f' || l_linenumber AS f, l_orderkey % 500 || '-' || l_linenumber || '-' || l_partkey AS k, lpad(l_orderkey::VARCHAR, 12, '0') || '/' || l_linenumber || '/' || l_partkey AS p FROM lineitem WHERE l_suppkey % 3 = 0),
@@ -86,15 +99,42 @@ def union_local_remote(spark, sf):
     return reuse.union_local_remote(s.filter("ordinal % 2 = 0"), s.filter("ordinal % 2 = 1"))
 
 
-@query("""WITH t AS (SELECT event_id, value * 1e6 AS cur, CASE WHEN event_id % 4 > 0 THEN 5e7 END AS total, (event_id % 30)::DOUBLE AS el, 600.0::DOUBLE AS d FROM events),
-r AS (SELECT *, CASE WHEN el > 0 AND cur >= 0 THEN cur / el END AS rate FROM t)
-SELECT event_id, CASE WHEN total IS NOT NULL THEN least(100.0::DOUBLE, 100.0::DOUBLE * cur / total) END AS percent, rate / 1e6 AS speed_mb_s, CASE WHEN rate > 0 AND total IS NOT NULL THEN greatest(0.0::DOUBLE, total - cur) / rate END AS eta_seconds,
-  CASE WHEN el > 0 AND total IS NOT NULL THEN d * least(1.0::DOUBLE, cur / total) / el END AS realtime FROM r""")
+#: Transfers, some of them with negative, missing or odd values.
+MOVED = """t AS (SELECT event_id, value * 1e6 - 5e6 AS c, (['5e7', NULL, '0', '2e7'])[1 + event_id % 4]::DOUBLE AS total, CASE WHEN event_id % 31 < 30 THEN (event_id % 30 - 1)::DOUBLE END AS el, (['600', NULL, 'n/a', '-3'])[1 + event_id // 4 % 4] AS d FROM events),
+m AS (SELECT event_id, total, greatest(coalesce(c, 0), 0) AS cur, greatest(coalesce(el, 0), 0) AS t, try_cast(d AS DOUBLE) AS dur FROM t), r AS (SELECT *, CASE WHEN t > 0 THEN cur / t ELSE 0 END AS rate FROM m)"""
+
+
+def _moved(spark, sf):
+    k = S("event_id")
+    total, length = F.element_at(F.array(F.lit(5e7), F.lit(None), F.lit(0.0), F.lit(2e7)), (1 + k % 4).cast("int")), F.element_at(F.array(F.lit("600"), F.lit(None), F.lit("n/a"), F.lit("-3")), (1 + F.floor(k / 4) % 4).cast("int"))
+    return x.table(spark, sf, "events").select("event_id", (S("value") * 1e6 - 5e6).alias("current"), total.alias("total"), F.when(k % 31 < 30, (k % 30 - 1).cast("double")).alias("elapsed"), length.alias("source_duration"))
+
+
+FIGURES = ["event_id", "percent", "speed_mb_s", "eta_seconds", "realtime", "stage"]
+
+
+@query(f"""WITH {MOVED} SELECT event_id, CASE WHEN total > 0 THEN least(100, cur / total * 100) END AS percent, rate / 1048576 AS speed_mb_s, CASE WHEN total > 0 AND rate > 0 THEN greatest(0, (total - cur) / rate) END AS eta_seconds,
+  CASE WHEN dur > 0 AND t > 0 THEN CASE WHEN total > 0 THEN cur / total * dur / t ELSE dur / t END END AS realtime, CASE WHEN total > 0 AND cur >= total THEN 'completed' ELSE 'transferring' END AS stage FROM r""")
 def transfer_metrics(spark, sf):
-    t = x.table(spark, sf, "events").select(
-        "event_id", (S("value") * 1e6).alias("current"), F.when(S("event_id") % 4 > 0, F.lit(5e7)).alias("total"), (S("event_id") % 30).cast("double").alias("elapsed"), F.lit(600.0).alias("source_duration")
-    )
-    return transfer.metrics(t).select("event_id", "percent", "speed_mb_s", "eta_seconds", "realtime")
+    return transfer.metrics(_moved(spark, sf)).select(*FIGURES)
+
+
+@query(f"""WITH {MOVED}, b AS (SELECT *, floor(cur) AS n, greatest(floor(coalesce(total, 1)), 1) AS of FROM r) SELECT event_id, least(100, n / of * 100) AS percent, NULL::DOUBLE AS speed_mb_s, NULL::DOUBLE AS eta_seconds,
+  CASE WHEN dur > 0 AND t > 0 THEN n / of * dur / t END AS realtime, CASE WHEN n >= of THEN 'completed' ELSE 'transferring' END AS stage FROM b""")
+def block_metrics(spark, sf):
+    return transfer.block_metrics(_moved(spark, sf)).select(*FIGURES)
+
+
+@query(f"""WITH {MOVED} SELECT event_id, CASE WHEN total > 0 THEN least(100, cur / total * 100) END AS percent, NULL::DOUBLE AS speed_mb_s, CASE WHEN total > 0 AND rate > 0 THEN (total - cur) / rate END AS eta_seconds,
+  nullif(rate, 0) AS realtime, CASE WHEN total > 0 AND cur >= total THEN 'completed' ELSE 'compiling' END AS stage FROM r""")
+def compile_metrics(spark, sf):
+    return transfer.compile_metrics(_moved(spark, sf)).select(*FIGURES)
+
+
+@query(f"""WITH {MOVED} SELECT event_id, CASE WHEN total > 0 THEN least(100, cur / total * 100) END AS percent, NULL::DOUBLE AS speed_mb_s, CASE WHEN total > 0 AND rate > 0 THEN greatest(0, (total - cur) / rate) END AS eta_seconds,
+  CASE WHEN total > 0 AND t > 0 THEN cur / t END AS realtime, CASE WHEN total > 0 AND cur >= total THEN 'completed' ELSE 'transferring' END AS stage FROM r""")
+def fetch_metrics(spark, sf):
+    return transfer.fetch_metrics(_moved(spark, sf)).select(*FIGURES)
 
 
 STREAK = """o AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, value AS speed FROM events),

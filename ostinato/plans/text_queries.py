@@ -41,10 +41,11 @@ def write_timestamps_text(spark, sf):
 
 
 @query(f"""WITH {x.SEG} SELECT source_key AS source_name, row_number() OVER (PARTITION BY source_key ORDER BY start_s, ordinal) - 1 AS seg_no,
-  round_even(start_s, 0) AS start_s, round_even(end_s, 0) AS end_s, pred, true AS is_segment FROM seg""")
+  round_even(start_s, 0) AS start_s, round_even(end_s, 0) AS end_s, pred, true AS is_segment FROM seg
+UNION ALL SELECT '0:00:01 - 0:00:02', NULL, NULL, NULL, NULL, false FROM (SELECT DISTINCT source_key FROM seg)""")
 def read_timestamps_text(spark, sf):
-    """Written by the sink, with a stray first name above each block, and parsed back."""
-    files = text.timestamps_text(x.intervals(spark, sf)).select(F.col("source_key").alias("path"), F.concat(F.lit("stray\n"), "value").alias("value"))
+    """Written by the sink, with stray names above each block, one of them a line without a confidence, and parsed back."""
+    files = text.timestamps_text(x.intervals(spark, sf)).select(F.col("source_key").alias("path"), F.concat(F.lit("stray\n0:00:01 - 0:00:02\n"), "value", F.lit("\n \t\nlast\n0:00:01 - 0:00:02\n")).alias("value"))
     return text.parse_timestamps(files).select("source_name", F.col("seg_no").cast("long").alias("seg_no"), "start_s", "end_s", "pred", "is_segment")
 
 
@@ -72,22 +73,23 @@ def parse_hms_or_seconds(spark, sf):
     return x.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", timefmt.parse_hms(v).alias("seconds"))
 
 
-MEDIA = "m AS (SELECT p_partkey AS ordinal, '/Media/' || (p_partkey % 9) || '/' || p_name || '.mp4' AS path, CASE WHEN p_partkey % 4 = 0 THEN 'https://v.example/' || p_partkey END AS url FROM part)"
-SAVED = "s AS (SELECT p_partkey AS entry_id, CASE WHEN p_partkey % 4 = 0 AND p_partkey % 8 = 0 THEN 'https://v.example/' || p_partkey WHEN p_partkey % 5 = 0 THEN '/gone/' || p_partkey || '.mp4' ELSE '/media/' || (p_partkey % 9) || '/' || upper(p_name) || '.MP4' END AS name FROM part)"
+MEDIA = "m AS (SELECT p_partkey AS ordinal, '/Media/' || (p_partkey % 9) || '/' || CASE WHEN p_partkey % 3 = 0 THEN 'a b' ELSE p_name END || '.mp4' AS path, CASE WHEN p_partkey % 4 = 0 THEN 'https://v.example/' || (p_partkey // 8) END AS url FROM part)"
+SAVED = """s AS (SELECT p_partkey AS entry_id, CASE WHEN p_partkey % 8 = 0 THEN 'https://v.example/' || (p_partkey // 8) WHEN p_partkey % 5 = 0 THEN '/gone/' || p_partkey || '.mp4' WHEN p_partkey % 7 = 0 THEN '/Media/' || (p_partkey % 9) || '/' || upper(p_name) || '.MP4'
+  WHEN p_partkey % 3 = 0 THEN '/Media//./x/../' || (p_partkey % 9) || '/a b.mp4' WHEN p_partkey % 11 = 0 THEN '/elsewhere/a b.mp4' ELSE '/Media/' || (p_partkey % 9) || '/' || p_name || '.mp4' END AS name FROM part)"""
 
 
-@query(f"""WITH {MEDIA}, {SAVED}, b AS (SELECT entry_id, name, lower(regexp_extract(name, '[^/]*$')) AS base, lower(name) AS norm FROM s),
-u AS (SELECT entry_id, min(ordinal) AS ordinal FROM b JOIN m ON m.url = b.name GROUP BY 1),
-k AS (SELECT entry_id, ordinal, lower(path) = norm AS same, count(*) OVER (PARTITION BY entry_id) AS n, row_number() OVER (PARTITION BY entry_id ORDER BY (lower(path) = norm) DESC, ordinal) AS r
-  FROM b JOIN m ON lower(regexp_extract(path, '[^/]*$')) = base WHERE entry_id NOT IN (SELECT entry_id FROM u))
+@query(f"""WITH {MEDIA}, {SAVED}, b AS (SELECT entry_id, name, regexp_extract(name, '[^/]*$') AS base, replace(replace(replace(name, '//', '/'), '/./', '/'), '/x/../', '/') AS norm FROM s),
+u AS (SELECT entry_id, max(ordinal) AS ordinal FROM b JOIN m ON m.url = b.name GROUP BY 1),
+k AS (SELECT entry_id, ordinal, path = norm AS same, count(*) OVER (PARTITION BY entry_id) AS n, row_number() OVER (PARTITION BY entry_id ORDER BY (path = norm) DESC, ordinal) AS r
+  FROM b JOIN m ON regexp_extract(path, '[^/]*$') = base WHERE m.url IS NULL AND entry_id NOT IN (SELECT entry_id FROM u))
 SELECT b.entry_id, coalesce(u.ordinal, k.ordinal) AS media_ordinal, CASE WHEN u.ordinal IS NOT NULL THEN 'url' WHEN k.ordinal IS NULL THEN 'unmatched' WHEN n = 1 THEN 'name' WHEN same THEN 'path' ELSE 'ambiguous' END AS how
 FROM b LEFT JOIN u USING (entry_id) LEFT JOIN k ON k.entry_id = b.entry_id AND k.r = 1""")
 def match_saved_to_media(spark, sf):
-    key, name = F.col("p_partkey"), F.col("p_name")
+    key, name, text_ = F.col("p_partkey"), F.col("p_name"), lambda *a: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in a])
     p = x.table(spark, sf, "part")
-    url = F.when(key % 4 == 0, F.concat(F.lit("https://v.example/"), key.cast("string")))
-    path = F.concat(F.lit("/Media/"), (key % 9).cast("string"), F.lit("/"), name, F.lit(".mp4"))
-    media = p.select(key.alias("ordinal"), path.alias("path"), url.alias("url"))
-    saved = F.when((key % 4 == 0) & (key % 8 == 0), url).when(key % 5 == 0, F.concat(F.lit("/gone/"), key.cast("string"), F.lit(".mp4")))
-    saved = saved.otherwise(F.concat(F.lit("/media/"), (key % 9).cast("string"), F.lit("/"), F.upper(name), F.lit(".MP4")))
+    url = text_("https://v.example/", F.floor(key / 8))
+    path = text_("/Media/", key % 9, "/", F.when(key % 3 == 0, "a b").otherwise(name), ".mp4")
+    media = p.select(key.alias("ordinal"), path.alias("path"), F.when(key % 4 == 0, url).alias("url"))
+    saved = F.when(key % 8 == 0, url).when(key % 5 == 0, text_("/gone/", key, ".mp4")).when(key % 7 == 0, text_("/Media/", key % 9, "/", F.upper(name), ".MP4"))
+    saved = saved.when(key % 3 == 0, text_("/Media//./x/../", key % 9, "/a b.mp4")).when(key % 11 == 0, "/elsewhere/a b.mp4").otherwise(text_("/Media/", key % 9, "/", name, ".mp4"))
     return match.match_saved(p.select(key.alias("entry_id"), saved.alias("name")), media)

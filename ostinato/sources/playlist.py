@@ -5,42 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ENTRY = "struct<id:string,title:string,webpage_url:string,original_url:string,url:string,duration:string,duration_ms:string,upload_date:string>"
-INFO = f"struct<id:string,title:string,extractor_key:string,entries:array<{ENTRY}>>"
+from ostinato.functions import media, urls
+from ostinato.operators import catalog
+
+INFO = "struct<title:string,extractor_key:string,extractor:string,entries:array<string>>"
 
 
 def playlist_entries(infos: DataFrame, cap: int = 1000) -> DataFrame:
-    """infos (list_id, value: JSON) -> (list_id, index, entry_id, title, webpage_url, duration, part_number, part_count).
+    """infos (list_id, url, value: JSON) -> (list_id, platform, index, entry_id, title, webpage_url, duration, upload_date, metadata,
+    part_number, part_count).
 
-    Entries that are no object or have no address are left out; at most `cap` stay, in order. Part numbers are given where the
-    platform's name begins with bilibili and there is more than one entry. Unreadable JSON gives nothing.
+    Entries that are no object or have no address are left out, `index` counts them all from 0; at most `cap` stay, in order. Part
+    numbers are given where the platform's name begins with bilibili and there is more than one entry. metadata: an entry's fields but
+    for addresses of media, as text. Unreadable JSON gives nothing.
     """
-    rows = infos.select("list_id", F.from_json("value", INFO).alias("i"))
-    rows = rows.select("list_id", F.lower("i.extractor_key").alias("platform"), F.posexplode("i.entries").alias("pos", "e"))
-    full = lambda c: F.nullif(F.trim(F.col(f"e.{c}")), F.lit(""))
-    url = F.coalesce(full("webpage_url"), full("original_url"), full("url"))
-    rows = rows.withColumn("webpage_url", url).filter("e is not null and webpage_url is not null")
+    rows = infos.select("list_id", "url", F.from_json("value", INFO).alias("i"))
+    name = F.coalesce(F.nullif(F.col("i.extractor_key"), F.lit("")), F.col("i.extractor"))
+    rows = rows.select("list_id", urls.classify_platform(F.col("url"), name).alias("platform"), F.posexplode("i.entries").alias("pos", "_e"))
+    rows = rows.withColumn("e", F.from_json("_e", "map<string,string>"))
+    full = lambda c: F.nullif(F.element_at("e", c), F.lit(""))
+    rows = rows.withColumn("webpage_url", F.coalesce(full("webpage_url"), full("original_url"), full("url"))).filter("webpage_url is not null")
     from pyspark.sql import Window as W
 
     by = W.partitionBy("list_id")
-    rows = rows.withColumn("index", F.row_number().over(by.orderBy("pos"))).filter(F.col("index") <= cap).withColumn("n", F.count(F.lit(1)).over(by))
+    rows = rows.withColumn("no", F.row_number().over(by.orderBy("pos"))).filter(F.col("no") <= cap).withColumn("n", F.count(F.lit(1)).over(by))
     parts = F.col("platform").startswith("bilibili") & (F.col("n") > 1)
-    seconds = F.coalesce(F.col("e.duration").try_cast("double"), F.col("e.duration_ms").try_cast("double") / 1000)
     return rows.select(
-        "list_id", "index", F.coalesce(full("id"), "webpage_url").alias("entry_id"), F.coalesce(full("title"), F.lit("Unknown")).alias("title"), "webpage_url",
-        seconds.alias("duration"), F.when(parts, F.col("index")).alias("part_number"), F.when(parts, F.col("n")).alias("part_count"),
+        "list_id", "platform", F.col("pos").alias("index"), F.coalesce(full("id"), "webpage_url").alias("entry_id"), F.coalesce(full("title"), F.lit("Unknown")).alias("title"), "webpage_url",
+        media.normalize_duration(F.element_at("e", "duration"), F.element_at("e", "duration_ms")).alias("duration"), media.first_date(*[F.element_at("e", k) for k in media.DATES]).alias("upload_date"),
+        catalog.entry_metadata(F.col("e")).alias("metadata"), F.when(parts, F.col("no")).alias("part_number"), F.when(parts, F.col("n")).alias("part_count"),
     )
 
 
-def flatten_nested(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
+def flatten_nested(nodes: DataFrame) -> DataFrame:
     """nodes (list_id, node_id, parent_id or null, pos, url or null for a list) -> (list_id, place, url) depth first.
 
-    One join for each level of the tree; a path of positions gives the order.
+    One join for each level of the tree, until a level is empty; a path of positions gives the order. Nodes have one parent, so those
+    that the roots reach hold no circle.
     """
     key = lambda c: F.format_string("%010d", c)
     level = nodes.filter("parent_id is null").select("list_id", "node_id", "url", key(F.col("pos")).alias("path"))
     found = level.filter("url is not null")
-    for _ in range(max_rounds):
+    while True:
         up = level.filter("url is null").select("list_id", F.col("node_id").alias("parent_id"), F.col("path").alias("_up"))
         level = nodes.join(up, ["list_id", "parent_id"]).select("list_id", "node_id", "url", F.concat_ws("/", "_up", key(F.col("pos"))).alias("path")).checkpoint()
         if level.isEmpty():

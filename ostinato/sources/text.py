@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ostinato.functions import timefmt
 
-SEGMENT = r"^\s*(\d+:\d{2}:\d{2})\s*-\s*(\d+:\d{2}:\d{2})(?:\s*,\s*confidence:\s*(\S+))?"
+#: A segment's line begins so; all else names a source, such as a line without a confidence.
+SEGMENT = r"^(\d+:\d{2}:\d{2})\s*-\s*(\d+:\d{2}:\d{2}),\s*confidence:\s*([\d.]+)"
 
 
 def url_list(lines: DataFrame) -> DataFrame:
@@ -28,8 +29,8 @@ def parse_timestamps(files: DataFrame) -> DataFrame:
     Blocks are parted by blank lines. The last line that is no segment names the block's source; a block without one is left
     out, a block with a name and no segment gives one row with is_segment false. A bad number gives a null.
     """
-    blocks = files.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\r\n?", "\n"), r"\n[ \t]*\n+")).alias("block_no", "block"))
-    lines = F.filter(F.transform(F.split("block", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    blocks = files.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\r\n?", "\n"), r"(?U)\n\s*\n")).alias("block_no", "block"))
+    lines = F.filter(F.transform(F.split("block", "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
     b = blocks.select("path", "block_no", lines.alias("lines"))
     names = F.filter("lines", lambda x: ~x.rlike(SEGMENT))
     b = b.withColumn("names", names).filter(F.size("names") > 0).withColumn("source_name", F.element_at("names", -1))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ostinato.functions import media, timefmt, urls
-from ostinato.operators import catalog, detect, intervals, rescan, signal, transfer
+from ostinato.operators import catalog, detect, intervals, match, ordered, rescan, reuse, signal, transfer
 from ostinato.params import Detection, Planning
 from ostinato.sources import text, wav
 
@@ -148,13 +148,124 @@ def test_clock(spark):
 def test_timestamps_text(spark):
     f = spark.createDataFrame([("f", "one\ntwo\n0:00:01 - 0:00:03, confidence: 0.9\n\n0:00:01 - 0:00:02\n\nthree\n")], "path string, value string")
     got = [(r["source_name"], r["start_s"], r["is_segment"]) for r in text.parse_timestamps(f).orderBy("block_no").collect()]
-    assert got == [("two", 1.0, True), ("three", None, False)]
+    assert got == [("two", 1.0, True), ("0:00:01 - 0:00:02", None, False), ("three", None, False)]
 
 
 def test_identity(spark):
     assert one(spark, urls.stable_source_id(F.lit("YouTube"), F.lit(None).cast("string"), F.lit("HTTPS://A.com/P?q=1#f")))[0] == "youtube:https://a.com/P"
 
 
+@pytest.mark.parametrize(
+    ("title", "part", "bare"),
+    [
+        ("Show (3)", None, "show (3)"), ("Show - 3", None, "show - 3"), ("Ep 3", None, "ep 3"), ("第3话", None, "第3话"), ("第 2/5 部分", 2, "第 部分"), ("第3集 x", 3, "x"), ("p 007 a", 7, "a"), ("Part 2/5", 2, "/5"),
+        ("xp3", None, "xp3"), ("第3 部分 P9", 3, ""), ("2/5 End", None, "end"), ("", None, "unknown"), ("第P3集", None, "第p3集"), ("STRASSE straße", None, "strasse strasse"),
+    ],
+)
+def test_parts(spark, title, part, bare):
+    t = F.lit(title)
+    assert tuple(one(spark, media.part_number(t), media.title_without_part(t), media.part_number(t, F.lit("12")), media.part_number(t, F.lit("x")))) == (part, bare, 12, part)
+
+
+@pytest.mark.parametrize(
+    ("url", "platform", "page"),
+    [
+        ("https://space.bilibili.com/7/", "bilibili-uploads", None), ("https://www.bilibili.com/7", "x", None), ("https://space.bilibili.com/7/lists/9?type=series", "bilibili-series", None), ("https://space.bilibili.com/7/lists/9", "x", None),
+        ("https://www.bilibili.com/list/9?sid=1", "bilibili-collection", None), ("https://www.bilibili.com/list/9", "x", None), ("https://notbilibili.com/7/upload/video", "x", None), ("https://twitch.tv/a/videos", "twitch-vods", None),
+        ("https://www.youtube.com/user/a/shorts", "youtube-uploads", None), ("https://user@m.youtube.com:443/@a/streams", "youtube-uploads", None), ("HTTP://m.youtube.com/watch?v=1&list=L", "x", "http://m.youtube.com/playlist?list=L"),
+        ("http://m.youtube.com/watch/?list=L", "x", None), ("https://www.youtube.com/watch?list=&list=B%20c", "x", "https://www.youtube.com/playlist?list=B c"),
+    ],
+)
+def test_addresses(spark, url, platform, page):
+    u = F.lit(url)
+    assert tuple(one(spark, urls.classify_platform(u, F.lit("X")), urls.canonical_playlist_url(u))) == (platform, page or url)
+
+
+def test_extractors(spark):
+    u = F.lit("https://v.example/")
+    assert tuple(one(spark, *[urls.classify_platform(u, F.lit(v)) for v in ("YoutubePlaylist", "Generic", "", None)])) == ("youtube", "generic", "unknown", "unknown")
+    assert one(spark, urls.stable_source_id(F.lit(None).cast("string"), F.lit(" 7 "), u))[0] == "unknown:7"
+
+
+def test_more_dates(spark):
+    days = {"86400": "1970-01-02", "20240230": "2024-02-30", "20240102T030405": "2024-01-02", "2024/0102": "2024-01-02", "2024-1-2": "", "9" * 20: "", "1704153600.5": "1704-15-36", "0": "1970-01-01", "100000000000": "5138-11-16"}
+    assert list(one(spark, *[media.normalize_date(F.lit(k)) for k in days])) == list(days.values())
+    titles = {"2024年3月5日": "2024-03-05", "2024 年3月5日": "", "2024年3月5号": "", "x2024年13月40日": "2024-13-40"}
+    assert list(one(spark, *[media.title_date(F.lit(k)) for k in titles])) == list(titles.values())
+
+
+@pytest.mark.parametrize(("seconds", "ms", "want"), [("n/a", "5000", None), (None, "5000", 5.0), ("7", "5000", 7.0), (None, "x", None)])
+def test_durations(spark, seconds, ms, want):
+    assert one(spark, media.normalize_duration(F.lit(seconds).cast("string"), F.lit(ms)))[0] == want
+
+
+def test_numbers_of_keys(spark):
+    short = {1e-13: "1e-13", 0.1: "0.1", 1.0: "1", 1234567.125: "1234567.125", 1e12: "1e+12", 123456789012.0: "123456789012", 1 / 3: "0.333333333333", 0.0001: "0.0001", 0.00001: "1e-05", 0.0: "0", -2.5: "-2.5"}
+    assert list(one(spark, *[reuse.number(F.lit(k)) for k in short])) == list(short.values())
+    for v in (0.9, 0.0, 1.0, 1e-13, 0.0001, 0.00001234, 123456.75, 1e15, 1e16, 1.5e22, 12345678.9, -0.00025, 1e7, 1e-100):
+        assert one(spark, reuse.exact(F.lit(v)))[0] == repr(v)
+
+
+def test_detection_key(spark):
+    import hashlib
+    import json
+
+    for source, focus, flags in (("a\"b\\c\n", 58, {}), (" é日\U0001f600\x01", None, {"b": True, "a": [1, 2]})):
+        want = {"platform": "web", "source_id": source.strip(), "model": "m", "precision": "100", "block_size": 600, "threshold": 0.9, "focus_idx": focus, "relevant_flags": flags}
+        given = F.create_map(*[F.lit(x) for k, v in flags.items() for x in (k, json.dumps(v, separators=(",", ":")))]) if flags else None
+        got = one(spark, reuse.detection_key(F.lit(" WEB "), F.lit(source.strip()), F.lit("m"), F.lit(100), F.lit(600), F.lit(0.9), F.lit(focus).cast("int"), given))[0]
+        assert got == hashlib.sha256(json.dumps(want, ensure_ascii=True, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def test_transfers(spark):
+    row = spark.createDataFrame([(1048576.0 * 4, None, 2.0, "10"), (5.0, 4.0, 2.0, "10"), (-1.0, 0.0, 0.0, None)], "current double, total double, elapsed double, source_duration string")
+    got = [(r["percent"], r["speed_mb_s"], r["eta_seconds"], r["realtime"], r["stage"]) for r in transfer.metrics(row).collect()]
+    assert got == [(None, 2.0, None, 5.0, "transferring"), (100.0, 2.5 / 1048576, 0.0, 6.25, "completed"), (None, 0.0, None, None, "transferring")]
+    assert [r["eta_seconds"] for r in transfer.compile_metrics(row).collect()] == [None, -0.4, None]
+    assert [r["realtime"] for r in transfer.fetch_metrics(row).collect()] == [None, 2.5, None]
+    assert [(r["current"], r["percent"], r["realtime"]) for r in transfer.block_metrics(row).collect()][1:] == [(5.0, 100.0, 6.25), (0.0, 0.0, None)]
+
+
+def test_metadata_keys(spark):
+    m = F.create_map(*[F.lit(x) for k in ("author", "Cookies", "url", "formats", "format", "Format", "http_headers") for x in (k, "1")])
+    r = one(spark, *[F.map_keys(f(m)) for f in (catalog.redact, catalog.entry_metadata, catalog.cached_metadata)])
+    assert [sorted(v) for v in r] == [["Format", "author", "format", "url"], ["Cookies", "Format", "author", "format", "http_headers"], ["format"]]
+
+
+def test_saved_names(spark):
+    media_ = spark.createDataFrame([(1, "/a/x.mp4", None), (2, "/b/x.mp4", None), (3, "/a/y.mp4", None), (4, "/r/z.mp4", "https://v/1"), (5, "/r/z.mp4", "https://v/1")], "ordinal long, path string, url string")
+    want = {"https://v/1": (5, "url"), "/q/Y.mp4": (None, "unmatched"), "q/y.mp4": (3, "name"), "/c/../b//./x.mp4": (2, "path"), "/c/x.mp4": (1, "ambiguous"), "/r/z.mp4": (None, "unmatched")}
+    saved = spark.createDataFrame(list(enumerate(want)), "entry_id long, name string")
+    got = {r["entry_id"]: (r["media_ordinal"], r["how"]) for r in match.match_saved(saved, media_).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+    assert tuple(one(spark, *[match.normal_path(F.lit(v)) for v in ("../a/../../b", "/../a/", "", "a/..")])) == ("../../b", "/a", ".", ".")
+
+
+def test_streams_and_sizes(spark):
+    c = spark.createDataFrame([("aac", None), ("", "none"), ("NONE", None), ("none", None), (None, ""), ("aac", "h264")], "acodec string, vcodec string")
+    assert (catalog.stream_kind(c, "audio").count(), catalog.stream_kind(c, "video").count()) == (3, 2)
+    parts = lambda *v: F.array(*[F.struct(F.lit(a).cast("long").alias("filesize"), F.lit(b).cast("long").alias("filesize_approx")) for a, b in v])
+    none, two, three = F.slice(parts((1, 1)), 1, 0), parts((None, 7), (0, 5)), parts((1, 1), (1, 1), (1, 1))
+    zero = F.lit(0).cast("long")
+    assert tuple(one(spark, *[catalog.estimate_size(zero, zero, a, b) for a, b in ((none, two), (none, three), (three, two), (parts((1, 1), (0, None)), two))])) == (12, None, 3, None)
+
+
+def test_sorted_paths(spark):
+    want = [
+        "/m/x/2023年9月 z.mp4", "/m/2024年3月5日8点场/10.mp4", "/m/2024年3月5日8点场/p2-a.mp4", "/m/2024年3月5日8点场/a (2).mp4", "/m/2024年3月5日8点场/a_p10.mp4", "/m/2024年3月5日8点场/clip.mp4", "/m/2024年3月5日/a.mp4",
+        "/m/y/2024-03-06 Original.mp4", "/m/9/b2.mp4", "/m/9/b10.mp4", "/m/10/a.mp4", "/m/a9/x.mp4", "/m/a" + "1" * 20 + "/x.mp4",
+    ]
+    rows = spark.createDataFrame([(p,) for p in sorted(want)], "path string")
+    got = [r["path"] for r in ordered.numbered(rows, [catalog.smart_sort_key(F.col("path"))]).orderBy("place").collect()]
+    assert sorted(got) == sorted(want) and got[0] == want[0] and got[-6:] == want[-6:]
+
+
+def test_covering_segment(spark):
+    cached = spark.createDataFrame([(1, "a", 0.0, 100.0, None), (2, "a", 10.0, 30.0, "video"), (3, "a", 12.0, 29.0, "audio"), (4, "a", -5.0, 3.0, None)], "cached_id long, source_key string, start_s double, end_s double, media_type string")
+    asked = spark.createDataFrame([(1, "a", 15.0, 20.0, 5.0, "video"), (2, "a", 15.0, 20.0, 6.0, None), (3, "a", 15.0, 20.0, 0.0, "Audio"), (4, "a", 1.0, 2.0, 2.0, "video"), (5, "b", 1.0, 2.0, 0.0, "video")], "request_id long, source_key string, start_s double, end_s double, padding double, media_type string")
+    assert {r["request_id"]: r["cached_id"] for r in reuse.covering_segment(asked, cached).collect()} == {1: 2, 2: 1, 3: 3}
+
+
 def test_dates_and_qualities(spark):
     r = one(spark, *[media.normalize_date(F.lit(v)) for v in ("20240102", "1704153600000", "2024-01-02T03:04:05Z", "x")])
     assert tuple(r) == ("2024-01-02", "2024-01-02", "2024-01-02", "")
