@@ -50,31 +50,38 @@ def segment_bounds(segments: DataFrame, p: Detection) -> DataFrame:
     return segments.withColumn("start_s", at("first_bucket").cast("double")).withColumn("end_s", (at("last_bucket") + 1).cast("double"))
 
 
-def peak_frames(segments: DataFrame, frames: DataFrame, p: Detection) -> DataFrame:
-    """The frame with the segment's highest focus score, the first of equals, and the class that is highest there.
+def frame_peaks(frames: DataFrame, p: Detection) -> DataFrame:
+    """A frame as numbers: frame_no, the focus class's score, the highest class (the first of equals) and its score."""
+    top = F.array_max("scores")
+    return frames.select(
+        *BLOCK, "frame_no", F.get("scores", F.lit(p.focus_idx)).cast("double").alias("score"), (F.array_position("scores", top) - 1).cast("int").alias("top1_idx"),
+        F.round(top.cast("double"), 6).alias("top1_score"),
+    )
 
-    Frames meet segments by (source, block) and bucket range. Only score and frame number are compared; a struct maximum picks
-    the frame, and the class is looked up in that frame alone.
-    """
-    f = frames.select(*BLOCK, "frame_no", F.floor(F.col("frame_no") / p.precision).cast("long").alias("_bucket"), "scores")
-    within = f.join(segments, BLOCK).filter(F.col("_bucket").between(F.col("first_bucket"), F.col("last_bucket")))
-    focus = F.get("scores", F.lit(p.focus_idx)).cast("double")
-    best = F.max_by("scores", F.struct(focus, -F.col("frame_no")))
-    frame = F.max_by("frame_no", F.struct(focus, -F.col("frame_no")))
-    by = [c for c in segments.columns if c not in BLOCK]
-    peak = within.groupBy(*BLOCK, *by).agg(best.alias("_scores"), frame.alias("peak_frame"))
-    top = F.array_max("_scores")
-    return peak.select(
-        *BLOCK, *by, F.col("peak_frame").cast("long").alias("peak_frame"),
-        (F.array_position("_scores", top) - 1).cast("int").alias("top1_idx"), F.round(top.cast("double"), 6).alias("top1_score"),
-    ).withColumn("suspect", F.col("top1_idx") != p.focus_idx)
+
+def bucket_peaks(peaks: DataFrame, p: Detection) -> DataFrame:
+    """Highest score of each bucket, as subsample_max, with `_peak`, its first frame with that score: one shuffle of numbers."""
+    bucket = F.floor(F.col("frame_no") / p.precision).cast("long")
+    frame = F.struct("score", (-F.col("frame_no")).alias("before"), "top1_idx", "top1_score")
+    return peaks.groupBy(*BLOCK, bucket.alias("bucket")).agg(F.max("score").alias("score"), F.max(frame).alias("_peak"))
+
+
+def segment_peaks(marked: DataFrame, p: Detection) -> DataFrame:
+    """segment_aggregate over buckets with `_peak`, with the segment's peak: the frame with its highest focus score, the first of
+    equals, and the class that is highest there."""
+    found = marked.groupBy(*BLOCK, "island").agg(
+        F.min("bucket").alias("first_bucket"), F.max("bucket").alias("last_bucket"), F.round(F.max("score"), 6).alias("pred"), F.max("_peak").alias("_peak")
+    )
+    return found.select(
+        *BLOCK, "island", "first_bucket", "last_bucket", "pred", (-F.col("_peak.before")).cast("long").alias("peak_frame"), F.col("_peak.top1_idx").alias("top1_idx"), F.col("_peak.top1_score").alias("top1_score"),
+        (F.col("_peak.top1_idx") != p.focus_idx).alias("suspect"),
+    )
 
 
 def detect_segments(frames: DataFrame, p: Detection) -> DataFrame:
-    """The whole way: source_key, block_no, start_s, end_s, pred, suspect, top1_idx, top1_score."""
-    marked = islands(threshold_filter(subsample_max(focus_scores(frames, p), p), p))
-    found = peak_frames(segment_aggregate(marked), frames, p)
-    return segment_bounds(found, p).select(*BLOCK, "start_s", "end_s", "pred", "suspect", "top1_idx", "top1_score")
+    """The whole way in one scan: source_key, block_no, start_s, end_s, pred, suspect, top1_idx, top1_score."""
+    marked = islands(threshold_filter(bucket_peaks(frame_peaks(frames, p), p), p))
+    return segment_bounds(segment_peaks(marked, p), p).select(*BLOCK, "start_s", "end_s", "pred", "suspect", "top1_idx", "top1_score")
 
 
 def block_count(duration: Column, block_size: int, local: bool = False) -> Column:

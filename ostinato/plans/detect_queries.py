@@ -49,7 +49,8 @@ top AS (SELECT source_key, block_no, island, first_bucket, last_bucket, pred, fr
 
 @query(f"WITH {x.ISLANDS}, {PEAK} SELECT * FROM top")
 def peak_frame_argmax(spark, sf):
-    return detect.peak_frames(segment_aggregate(spark, sf), x.frames(spark, sf), P)
+    buckets = detect.threshold_filter(detect.bucket_peaks(detect.frame_peaks(x.frames(spark, sf), P), P), P)
+    return detect.segment_peaks(detect.islands(buckets), P)
 
 
 DETECTED = f"""{x.ISLANDS}, {PEAK}, detected AS (SELECT source_key, block_no, first_bucket * 2 / 100 + block_no * 100 AS start_s,
@@ -121,11 +122,18 @@ def block_rms_gain(spark, sf):
     return g.select("source_key", "block_no", F.round("rms", 9).alias("rms"), F.round("gain", 9).alias("gain"))
 
 
-@query()
+#: Frames of 100 samples, ten to a block: the mean square, and one less that.
+POWER = """power AS (SELECT source_key, sample_no // 1000 AS block_no, (sample_no % 1000 // 100)::INT AS frame_no, least(sum((sample / 32768)::FLOAT::DOUBLE * (sample / 32768)::FLOAT::DOUBLE) / 100, 1) AS p FROM samples GROUP BY ALL),
+blocks AS (SELECT DISTINCT source_key, block_no FROM power), framed AS (SELECT b.source_key, b.block_no, i.i::INT AS frame_no, coalesce(p, 0) AS p FROM blocks b CROSS JOIN range(10) i(i) LEFT JOIN power q ON q.source_key = b.source_key AND q.block_no = b.block_no AND q.frame_no = i.i)"""
+
+
+@query(f"WITH {x.SAMPLES}, {POWER} SELECT source_key, block_no, frame_no, p::FLOAT::DOUBLE AS power, (1 - p)::FLOAT::DOUBLE AS rest FROM framed")
 def score_blocks(spark, sf):
     """Padded blocks through a scorer, then the same detection as on ready frames."""
     blocks = signal.block_pad(x.samples(spark, sf), 1000)
-    return detect.score_blocks(blocks, detect.power_scorer(frame=100), detect.FRAME_SCHEMA)
+    f = detect.score_blocks(blocks, detect.power_scorer(frame=100), detect.FRAME_SCHEMA)
+    one = lambda i: F.get("scores", F.lit(i)).cast("double")
+    return f.select("source_key", "block_no", "frame_no", one(0).alias("power"), one(1).alias("rest"))
 
 
 @query()

@@ -9,9 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; where it is unset (tests, one machine), a folder of our own."""
+    """spark.checkpoint.dir, which driver and executors share. Where it is unset on one machine, as in tests, a folder of our own; on
+    a cluster, whose executors don't see one, an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="ostinato-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
