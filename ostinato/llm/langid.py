@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PROFILE = 300
-#: Bits of a letter in an n-gram's code; the two bits above three letters hold n.
-BITS = 17
+#: Bits of a letter in an n-gram's code; the two bits above three letters hold n. While texts are counted, what is above holds whose.
+BITS = 18
 SALTS = 16
 UNKNOWN = "und"
 #: Documents and characters that are counted at once; a longer text is counted by itself, in CHARS at a time.
@@ -23,10 +23,14 @@ DOCS, CHARS = 512, 1 << 21
 _letters: np.ndarray | None = None
 
 
-def _is_letter() -> np.ndarray:
+def _codes() -> np.ndarray:
+    """A letter's code by its code point, 0 for what is no letter: the code point, or above U+FFFF its number among the letters there."""
     global _letters
     if _letters is None:
-        _letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+        letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+        codes = np.arange(0x110000)
+        codes[0x10000:] = 0x10000 + np.cumsum(letter[0x10000:])
+        _letters = codes * letter
     return _letters
 
 
@@ -40,16 +44,13 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first)
 
 
-def _trigrams(owner: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of (owner, letter before, letter, letter after), 0 for no letter."""
-    texts = [t.lower() for t in texts]
-    joined = "\n".join(["", *texts, ""])
-    c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    letter = _is_letter()[c]
+def _trigrams(owner: np.ndarray, texts: list[str], before: str = "\n", after: str = "\n") -> tuple[np.ndarray, np.ndarray]:
+    """Counts of (owner, letter before, letter, letter after), 0 for no letter. before, after: the characters around the texts."""
+    joined = "\n".join(texts)
+    c = _codes()[np.frombuffer((before + joined + after).encode("utf-32-le", "surrogatepass"), np.uint32)]
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     whose = np.repeat(owner.astype(np.int64), sizes)
-    c = np.where(c < 65536, c, 65536 + c % 65536) * letter
-    mid = np.nonzero(letter[1:-1])[0] + 1
+    mid = np.nonzero(c[1:-1])[0] + 1
     key = (((whose[mid - 1] << BITS | c[mid - 1]) << BITS | c[mid]) << BITS) | c[mid + 1]
     key.sort()
     first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0] if len(key) else np.zeros(0, np.int64)
@@ -58,13 +59,16 @@ def _trigrams(owner: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarr
 
 def ngram_counts(owner: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, code, n) of n-grams, from the trigrams around each letter: those hold the shorter ones too."""
+    texts = [t.lower() for t in texts]
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     keys, n = [], []
     at = 0
     while at < len(texts):
-        if size[at] > CHARS:  # cut a very long text at any place: one n-gram in CHARS is split
-            for i in range(0, len(texts[at]), CHARS):
-                k, m = _trigrams(owner[at : at + 1], [texts[at][i : i + CHARS]])
+        if size[at] > CHARS:  # a part's letters are counted with the characters on both sides of it
+            t = "\n" + texts[at] + "\n"
+            for i in range(1, len(t) - 1, CHARS):
+                to = min(i + CHARS, len(t) - 1)
+                k, m = _trigrams(owner[at : at + 1], [t[i:to]], t[i - 1], t[to])
                 keys.append(k), n.append(m)
             at += 1
             continue
@@ -99,8 +103,8 @@ def profiles(docs: DataFrame, text: str, lang: str, size: int = PROFILE) -> dict
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 4096):  # an owner has 12 bits
-                part = b.slice(at, 4096)
+            for at in range(0, b.num_rows, DOCS):  # as many owners as the bits above a code tell apart
+                part = b.slice(at, DOCS)
                 names = part.column(1).dictionary_encode()
                 who, code, n = ngram_counts(names.indices.to_numpy(zero_copy_only=False), part.column(0).to_pylist())
                 lang = names.dictionary.take(pa.array(who))

@@ -1,13 +1,16 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find candidates, whole sets decide.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash and MinHash find candidates, whole sets decide.
 
 1. Rows with equal shingle sets collapse to one.
-2. Each set's minima under BANDS x ROWS permutations give it a bucket in every band. At a similarity of 0.8 two sets miss each
+2. The Gray-order index of `simhash` links sets whose fingerprints differ in few bits. Sets of a similarity of 0.8 mostly differ in
+   more bits than any index of 64 bits can bear (README), so bands of MinHash values find the others.
+3. Each set's minima under BANDS x ROWS permutations give it a bucket in every band. At a similarity of 0.8 two sets miss each
    other in all 28 bands of 4 with a probability of 4e-7, at more with less.
-3. Every set of a bucket is compared with the least row of the bucket; the links that hold give components.
-4. Where a bucket still has several components, all its pairs across components are compared, chunk by chunk.
+4. Every set of a bucket is compared with the least row of the bucket, and linked fingerprints' sets with each other; the links
+   that hold give components.
+5. Where a bucket still has several components, all its pairs across components are compared, chunk by chunk.
 
 Nothing is linked unless its whole sets have the similarity. Hot buckets spread: a bucket's sets are dealt into chunks, and in
-step 4 only those outside the bucket's largest component meet the others.
+step 5 only those outside the bucket's largest component meet the others.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .components import components
 from .shared import shared_dir, written
 
@@ -58,22 +62,23 @@ def band_keys(x: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, row: str, text: str, keep: list[str], k: int) -> DataFrame:
-    """(row, keep..., h1, h2, bands): the digest of the row's shingle set and its buckets."""
+    """(row, keep..., h1, h2, fp, bands): the digest of the row's shingle set, its fingerprint and its buckets."""
 
     def run(batches):
         for b in batches:
-            h, keys = [], []
+            h, keys, fp = [], [], []
             for t in b.column(b.num_columns - 1).to_pylist():
                 x = shingles(t, k)
                 h.append(xxhash.xxh3_128_digest(x.tobytes()))
                 keys.append(band_keys(x))
+                fp.append(np.packbits(simhash.bits_set(x) * 2 > len(x)).view(">i8")[0])
             both = np.frombuffer(b"".join(h), np.int64).reshape(-1, 2)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(both[:, 0]), pa.array(both[:, 1]), bands], ["row", *keep, "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.array(fp, np.int64)), bands], ["row", *keep, "h1", "h2", "fp", "bands"])
 
     own = docs.select(F.col(f"`{row}`").alias("row"), *[F.col(f"`{c}`").cast("long").alias(c) for c in keep], F.col(f"`{text}`").alias("_text"))
-    return own.mapInArrow(run, ", ".join(["row long", *[f"`{c}` long" for c in keep], "h1 long", "h2 long", "bands array<long>"]))
+    return own.mapInArrow(run, ", ".join(["row long", *[f"`{c}` long" for c in keep], "h1 long", "h2 long", "fp long", "bands array<long>"]))
 
 
 def _sets(docs: DataFrame, rows: DataFrame, row: str, text: str, k: int) -> DataFrame:
@@ -143,6 +148,15 @@ def _across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return left.join(right, ["key", "chunk"]).select("cx", "x", "cy", "y").mapInArrow(run, "u long, v long")
 
 
+def _alike(reps: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets by their fingerprints: equal ones, each with the least row, and those that the Gray-order index links."""
+    first = reps.groupBy("fp").agg(F.min("rep").alias("v")).checkpoint()
+    equal = reps.select("fp", F.col("rep").alias("u")).join(first, "fp").filter("u <> v").select("u", "v")
+    a, b = first.withColumnsRenamed({"fp": "a", "v": "x"}), first.withColumnsRenamed({"fp": "b", "v": "y"})
+    links = simhash.near_links(first.select("fp")).toDF("a", "b").filter("a <> b").join(a, "a").join(b, "b")
+    return equal.union(links.select(F.greatest("x", "y"), F.least("x", "y")))
+
+
 def similar_groups(docs: DataFrame, row: str = "_row", text: str = "text", keep: list[str] | tuple = (), k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(row, keep..., component) for each row of docs: component is the least row that links of similar texts reach.
 
@@ -152,11 +166,11 @@ def similar_groups(docs: DataFrame, row: str = "_row", text: str = "text", keep:
     shared_dir(docs.sparkSession)
     keep = list(keep)
     signed = written(_signed(docs, row, text, keep, k), "signed")
-    reps = written(signed.groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.first("bands").alias("bands")), "reps")
+    reps = written(signed.groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "reps")
     buckets = reps.select("rep", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).filter("n > 1").checkpoint()
     members = written(buckets.join(shared, "key").filter("rep <> pivot"), "members")
-    pairs = members.select(F.col("rep").alias("u"), F.col("pivot").alias("v")).distinct().checkpoint()
+    pairs = members.select(F.col("rep").alias("u"), F.col("pivot").alias("v")).union(_alike(reps)).distinct().checkpoint()
     rows = pairs.select(F.col("u").alias("row")).union(pairs.select(F.col("v").alias("row"))).distinct()
     sets = written(_sets(docs, rows, row, text, k), "sets")
     first = components(_held(pairs, sets, similarity).checkpoint()).withColumnRenamed("node", "rep").checkpoint()

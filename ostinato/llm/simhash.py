@@ -34,16 +34,19 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     joined = b" ".join(w)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    n, digest = len(w) - k + 1, xxhash.xxh64_digest
+    n, digest = len(w) - k + 1, xxhash.xxh64_intdigest
     counts = np.zeros(64, np.int64)
     at, to = starts[:n].tolist(), ends[k - 1 :].tolist()
     for i in range(0, n, 1 << 16):
-        raw = b"".join([digest(joined[a:b], SEED) for a, b in zip(at[i : i + 65536], to[i : i + 65536])])
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int32)
+        counts += bits_set(np.array([digest(joined[a:b], SEED) for a, b in zip(at[i : i + 65536], to[i : i + 65536])], np.uint64))
     return int(np.packbits(counts * 2 > n).view(">u8")[0])
 
 
+def bits_set(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, the highest bit first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp a long that holds the 64 bits. Null or blank text: 0."""
 

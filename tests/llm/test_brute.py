@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -117,9 +118,9 @@ def test_language_accuracy(spark, docs):
 
 
 def test_rank_distance_by_hand():
-    ranks = langid.Ranks({"x": np.array([1 << 51 | ord("a"), 1 << 51 | ord("b")]), "y": np.array([1 << 51 | ord("b")])}, size=2)
+    ranks = langid.Ranks({"x": np.array([1 << 3 * langid.BITS | ord("a"), 1 << 3 * langid.BITS | ord("b")]), "y": np.array([1 << 3 * langid.BITS | ord("b")])}, size=2)
     who, code, n = langid.ngram_counts(np.array([0]), ["ab a"])
-    assert dict(zip(code.tolist(), n.tolist()))[1 << 51 | ord("a")] == 2
+    assert dict(zip(code.tolist(), n.tolist()))[1 << 3 * langid.BITS | ord("a")] == 2
     assert ranks.best(["aa", "", "bb"])[1] == ("und", 0.0)
 
 
@@ -233,8 +234,45 @@ def test_pipeline(spark, docs):
         assert g["offset"].tolist() == [0, *np.cumsum(g["length"])[:-1]] and g["length"].sum() <= 4096
 
 
-def test_large_texts_in_slices():
-    assert langid.ngram_counts(np.array([0]), ["ab " * (langid.CHARS // 2)])[2].sum() > 0
+def plain_counts(text):
+    """n-grams of one to three letters with an edge for what is no letter beside them, as the profiles count them."""
+    out, t = Counter(), "\n" + text.lower() + "\n"
+    for i in range(1, len(t) - 1):
+        a, b, c = (x if x.isalpha() else "" for x in t[i - 1 : i + 2])
+        if b:
+            out.update([(3, a, b, c), (2, b, c), (1, b)] + [(2, "", b)] * (not a))
+    return out
+
+
+def test_large_texts_in_slices(monkeypatch):
+    texts = ["ab abc x. " * 40, "Ünï\U00020000\U00020001 \U00030000\U00020001ß İi ", "", "\n", "日本語 日本"]
+    code = {0: ""} | {int(langid._codes()[ord(x)]): x for t in texts for x in t.lower() if x.isalpha()}
+    for chars in (langid.CHARS, 7, 1):
+        monkeypatch.setattr(langid, "CHARS", chars)
+        got = [Counter() for _ in texts]
+        low = (1 << langid.BITS) - 1
+        for who, x, n in zip(*[v.tolist() for v in langid.ngram_counts(np.arange(len(texts)), texts)]):
+            size = x >> 3 * langid.BITS
+            got[who][(size, *[code[x >> i * langid.BITS & low] for i in range(size)][::-1])] += n
+        assert got == [plain_counts(t) for t in texts]
+
+
+def test_languages_by_a_plain_loop(spark, docs):
+    """Profiles and predictions of the whole table again, one document at a time."""
+    learned = {}
+    for i, t, lang in zip(docs["doc_id"], docs["text"], docs["lang"]):
+        if lang and t is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            learned.setdefault(lang, Counter()).update(plain_counts(t))
+    order = lambda c: sorted(c, key=lambda g: (-c[g], g[0], *[ord(x) if x else 0 for x in g[1:]]))[: langid.PROFILE]
+    ranks = {k: {g: r for r, g in enumerate(order(c))} for k, c in sorted(learned.items())}
+    want = {}
+    for i, t in zip(docs["doc_id"], docs["text"]):
+        own = order(plain_counts(t or ""))
+        far = {k: sum(abs(r - p) if (p := of.get(g)) is not None else langid.PROFILE for r, g in enumerate(own)) for k, of in ranks.items()}
+        best = min(far, key=lambda k: far[k])
+        want[i] = (best, 1 - far[best] / (len(own) * langid.PROFILE)) if own else ("und", 0.0)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in QUERIES["op2_langid"](spark, SF).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
 
 
 def test_oracles(spark):
