@@ -1,16 +1,18 @@
 """Best-fit packing of documents into token sequences, in bulk-synchronous rounds.
 
-Lengths and gaps are whole numbers from 1 to `size`, so documents of one length are one class, and sequences with one
-history are one class too. A round takes the longest length that is left: a successor sweep finds the smallest gap it
-fits, the class's documents compete for that gap's sequences by rank, gaps shrink, and the sweep goes on for the rest,
-at last into new sequences. That is best-fit decreasing, decided on at most `size` counts (bounded whatever the input),
-while the documents stay distributed: they are ranked within their length in salted groups and find their own run by a
-second sweep over (length, rank). A document's place then follows by arithmetic; no sequence is ever gathered.
+Lengths are taken by halves: pieces of more than size/2 ids first, then those of more than size/4 ... A round range-sorts the
+pieces that are left of a half, together with the gaps of the sequences, longest first. A successor sweep down that order
+gives each piece the smallest gap that it fits and no piece before it took; a gap that is several times as wide as the
+half's longest piece stands there as often. Each partition sweeps its own rows; what it leaves, pieces without a gap first
+and open gaps behind them, meets across partitions by rank. Gaps shrink by what they got, and the next round begins. Where
+the gaps can't hold what is left, new sequences open: at first by the volume, then one for each place that is missing.
+
+The driver sees a count for each length and gap (at most `size`) and two for each partition; rows stay distributed.
 """
 
 from __future__ import annotations
 
-import bisect
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,6 @@ from .shared import written
 
 SIZE = 4096
 END_ID = 1
-#: Groups in which a length's documents are ranked, so that none holds a hot length alone.
-SALTS = 256
 
 
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, end_id: int = END_ID, ids: bool = False) -> DataFrame:
@@ -55,79 +55,131 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     return own.mapInArrow(run, schema)
 
 
-def runs(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit decreasing by class. counts: documents of each length, all within 1..size.
+SWEPT = "part int, kind int, rank long, item long, bin long, length int"
+SLOT, PIECE, MATCH = 0, 1, 2
 
-    Rows (length, first rank, in each sequence, first sequence, offset): documents of that length from that rank on go
-    to sequences from that number on, so many to each, at that offset. A class of sequences splits at most twice a round
-    and a gap at least halves when it is used, so there are O(size log size) rows.
-    """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> [(first sequence, how many)]
-    order: list[int] = []  # gaps that have sequences, ascending
-    out, new = [], 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(order, gap)
-            gaps[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            k = bisect.bisect_left(order, length)
-            if k < len(order):
-                gap = order[k]
-                first, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], order[k]
+
+def _sweep(batches):
+    """Rows (length, kind, item, bin), longest first, gaps before pieces that fill them: matches, pieces without a gap by rank, and
+    open gaps by rank, the smallest first."""
+    from pyspark import TaskContext
+
+    part, open_, alone = TaskContext.get().partitionId(), [], 0
+    schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("rank", pa.int64()), ("item", pa.int64()), ("bin", pa.int64()), ("length", pa.int32())])
+
+    def rows(found):
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    for b in batches:
+        found = []
+        for length, kind, item, to in zip(*[c.to_numpy(zero_copy_only=False).tolist() for c in b.columns]):
+            if kind == SLOT:
+                open_.append((to, length))
+            elif open_:
+                found.append((part, MATCH, 0, item, open_.pop()[0], length))
             else:
-                gap, first, n = size, new, -(-left // (size // length))
-                new += n
-            each = gap // length
-            full, some = min(n, left // each), 0
-            if full < n:
-                some = left - full * each if full * each < left else 0
-            out.append((length, rank, each, first, size - gap))
-            put(gap - each * length, first, full)
-            if some:
-                put(gap - some * length, first + full, 1)
-            put(gap, first + full + bool(some), n - full - bool(some))
-            left -= full * each + some
-            rank += full * each + some
+                found.append((part, PIECE, alone, item, -1, length))
+                alone += 1
+        yield rows(found)
+    open_.reverse()
+    for i in range(0, len(open_), 10_000):
+        yield rows([(part, SLOT, r, -1, to, length) for r, (to, length) in enumerate(open_[i : i + 10_000], i)])
+
+
+def _across(ends: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int, int]]:
+    """ends: (part, kind) -> rows left. Stretches (part and first rank of open gaps, part and first rank of pieces, how many) that meet:
+    a partition's pieces take the nearest open gaps before it. At most two for each partition."""
+    out, open_ = [], []
+    for part in sorted({p for p, _ in ends}):
+        left, rank = ends.get((part, PIECE), 0), 0
+        while left and open_:
+            where, first, n = open_.pop()
+            take = min(left, n)
+            out.append((where, first, part, rank, take))
+            left, rank = left - take, rank + take
+            if take < n:
+                open_.append((where, first + take, n - take))
+        if ends.get((part, SLOT), 0):
+            open_.append((part, 0, ends[part, SLOT]))
+    return out
+
+
+def _matched(left: DataFrame, slots: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """left (item, length) and slots (bin, length) -> (item, bin, length) of those that meet, the items that are left, how many are."""
+    spark, none = left.sparkSession, F.lit(-1).cast("long")
+    rows = left.select("length", F.lit(PIECE).alias("kind"), "item", none.alias("bin")).union(slots.select("length", F.lit(SLOT), none, "bin"))
+    order = [F.col("length").desc(), F.col("kind"), F.col("item"), F.col("bin")]
+    swept = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sweep, SWEPT), "swept")
+    ends = {(r["part"], r["kind"]): r["n"] for r in swept.filter(F.col("kind") < MATCH).groupBy("part", "kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    met, alone = swept.filter(F.col("kind") == MATCH).select("item", "bin", "length"), swept.filter(F.col("kind") == PIECE)
+    n, stretches = sum(v for (_, kind), v in ends.items() if kind == PIECE), _across(ends)
+    if not stretches:
+        return met, alone.select("item", "length"), n
+    schema = "no int, slots int, slot_rank long, pieces int, piece_rank long, many long"
+    of = F.broadcast(spark.createDataFrame([(i, *x) for i, x in enumerate(stretches)], schema))  # bounded: two rows a partition
+    inside = lambda rank: (F.col("rank") >= F.col(rank)) & (F.col("rank") < F.col(rank) + F.col("many"))
+    piece = alone.join(of, (F.col("part") == F.col("pieces")) & inside("piece_rank")).select("no", (F.col("rank") - F.col("piece_rank")).alias("at"), "item", "length")
+    slot = swept.filter(F.col("kind") == SLOT).join(of, (F.col("part") == F.col("slots")) & inside("slot_rank")).select("no", (F.col("rank") - F.col("slot_rank")).alias("at"), "bin")
+    met = written(met.union(piece.join(slot, ["no", "at"]).select("item", "bin", "length")), "met")
+    still = alone.join(of, (F.col("part") == F.col("pieces")) & inside("piece_rank"), "left_anti")
+    return met, still.select("item", "length"), n - sum(x[4] for x in stretches)
+
+
+def _offered(gaps: dict[int, int], top: int, least: int, n: int) -> dict[int, int]:
+    """gaps: gap -> sequences. How often a gap stands in the order, the smallest gaps first, until n pieces of at most `top` surely fit."""
+    out: dict[int, int] = {}
+    for gap in sorted(g for g in gaps if g >= least):
+        out[gap] = max(1, min(gap // top, -(-n // gaps[gap])))
+        n -= out[gap] * gaps[gap] if gap >= top else 0
+        if n <= 0:
+            break
     return out
 
 
 def packed(parts: DataFrame, size: int = SIZE) -> DataFrame:
-    """parts (with a `length` within 1..size, and doc_id, piece for the order of ties) -> with sequence_id and offset.
+    """parts (with a `length` within 1..size) -> with sequence_id and offset.
 
-    Sequences hold at most `size` ids and are filled without gaps from 0. Empty input gives no rows. Rows equal in doc_id,
-    piece and length are told apart by nothing but their places, which they may exchange.
+    Sequences hold at most `size` ids and are filled without gaps from 0. Empty input gives no rows. Equal rows each have a place.
     """
     spark = parts.sparkSession
-    counted = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `size` rows
-    plan = runs(counted, size)
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    before = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    before = before.withColumn("_before", F.sum("_n").over(W.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")
-    ranked = salted.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1)
-    ranked = ranked.join(before, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    table = spark.createDataFrame([(*r,) for r in plan] or [(0, 0, 1, 0, 0)], "length long, r long, each long, first long, used long")
-    # a length's runs in the order of rank; the sweep takes the last that begins at or before a document's rank
-    table = table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("r", "each", "first", "used"))).alias("_runs"))
-    at = ranked.join(F.broadcast(table), "length")  # bounded: at most `size` rows, O(size log size) runs
-    run = F.element_at(F.filter("_runs", lambda x: x["r"] <= F.col("_rank")), -1)
-    at = at.withColumn("_run", run).withColumn("_in", F.col("_rank") - F.col("_run.r"))
-    return at.select(
-        *[F.col(f"`{c}`") for c in parts.columns],
-        (F.col("_run.first") + F.floor(F.col("_in") / F.col("_run.each"))).cast("long").alias("sequence_id"),
-        (F.col("_run.used") + F.col("_in") % F.col("_run.each") * F.col("length")).cast("long").alias("offset"),
-    )
+    items = written(parts.withColumn("_item", F.monotonically_increasing_id()), "pieces")
+    tally = lambda df, c: {r[c]: r["n"] for r in df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).collect()}  # noqa: E731  at most `size` rows
+    counts, gaps = tally(items, "length"), {}
+    bins, n_bins = spark.createDataFrame([], "bin long, gap int"), 0
+    placed: list[DataFrame] = []
+    top = size
+    while top:
+        own = {k: v for k, v in counts.items() if top // 2 < k <= top}
+        n, volume, least, opened = sum(own.values()), sum(k * v for k, v in own.items()), min(own, default=0), 0
+        left = items.filter(F.col("length").between(top // 2 + 1, top)).select(F.col("_item").alias("item"), F.col("length").cast("int").alias("length"))
+        while n:
+            wide = {g: k for g, k in gaps.items() if g >= least}
+            room, new = sum(max(1, g // top) * k for g, k in wide.items()), 0
+            if room < n:
+                new = -(-(n - room) // (size // top)) if opened or top == size else max(0, -(-(volume - sum(g * k for g, k in wide.items())) // size))
+                if new:
+                    bins = bins.union(spark.range(n_bins, n_bins + new).select(F.col("id").alias("bin"), F.lit(size).alias("gap")))
+                    opened, n_bins, gaps[size] = opened + new, n_bins + new, gaps.get(size, 0) + new
+            offer = spark.createDataFrame(list(_offered(gaps, top, least, n).items()), "gap int, times int")
+            slots = bins.join(F.broadcast(offer), "gap").select("bin", F.least("gap", F.lit(top)).alias("length"), F.explode(F.sequence(F.lit(1), "times")).alias("_time"))  # bounded: `size` rows
+            met, left, n = _matched(left, slots)
+            placed.append(met.select("item", "bin", "length", F.lit(len(placed)).alias("round")))
+            used = met.groupBy("bin").agg(F.sum("length").cast("int").alias("_used"))
+            bins = written(bins.join(used, "bin", "left").select("bin", (F.col("gap") - F.coalesce("_used", F.lit(0))).alias("gap")).filter("gap > 0"), "gaps")
+            gaps = tally(bins, "gap")
+            if n:
+                volume, least = left.agg(F.sum("length"), F.min("length")).first()
+        top //= 2
+    if not placed:
+        return items.select(*[F.col(f"`{c}`") for c in parts.columns], F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    of = reduce(DataFrame.union, placed)
+    before = F.sum("length").over(W.partitionBy("bin").orderBy("round", "item")) - F.col("length")  # at most `size` rows each
+    of = of.select(F.col("item").alias("_item"), F.col("bin").alias("sequence_id"), before.cast("long").alias("offset"))
+    return items.join(of, "_item").select(*[F.col(f"`{c}`") for c in parts.columns], "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
-    return packed(written(pieces(docs, tokenizer, size=size), "pieces"), size)
+    return packed(pieces(docs, tokenizer, size=size), size)
 
 
 def vocabulary() -> str:

@@ -1,5 +1,6 @@
 """Operators that SQL can't express, against brute force, round trips and held-out accuracy."""
 
+import bisect
 import random
 import zlib
 from collections import Counter
@@ -77,29 +78,31 @@ def test_packing(spark, docs):
     assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 4096) + 1
 
 
-def test_runs_are_best_fit_decreasing():
-    rng = np.random.default_rng(3)
-    for size in (10, 37):
-        counts = {int(k): int(v) for k, v in zip(*np.unique(rng.integers(1, size + 1, 300), return_counts=True))}
-        gaps = []
-        for n in sorted((k for k, v in counts.items() for _ in range(v)), reverse=True):
-            fits = [(g, i) for i, g in enumerate(gaps) if g >= n]
-            if fits:
-                gaps[min(fits)[1]] -= n
-            else:
-                gaps.append(size - n)
-        used = {}
-        for length, r, each, first, offset in packing.runs(counts, size):
-            later = [x[1] for x in packing.runs(counts, size) if x[0] == length and x[1] > r]
-            for k in range((min(later) if later else counts[length]) - r):
-                used.setdefault(first + k // each, []).append((offset + k % each * length, length))
-        assert len(used) == len(gaps)
-        for rows in used.values():
-            at = 0
-            for offset, n in sorted(rows):
-                assert offset == at
-                at += n
-            assert at <= size
+def best_fit_decreasing(lengths, size):
+    """Sequences that plain best-fit decreasing needs."""
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(gaps, n)
+        gap = gaps.pop(k) if k < len(gaps) else size
+        bisect.insort(gaps, gap - n)
+    return len(gaps)
+
+
+LENGTHS = {
+    "mixed": lambda r: [*r.integers(1, 4097, 300), *r.integers(1, 300, 1500)], "small": lambda r: r.integers(1, 40, 3000), "large": lambda r: r.integers(1500, 4097, 400), "equal": lambda r: [1500] * 500,
+    "ones": lambda r: [1] * 9000, "third": lambda r: [*r.integers(200, 3000, 600), *[1] * 300], "full": lambda r: [4096] * 50, "few": lambda r: [5, 7, 4096],
+}
+
+
+@pytest.mark.parametrize("kind", LENGTHS)
+def test_packings_are_as_tight_as_best_fit_decreasing(spark, kind):
+    lengths = [int(x) for x in LENGTHS[kind](np.random.default_rng(3))]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lengths)], "doc_id long, length int")
+    got = packing.packed(rows).toPandas()
+    assert sorted(zip(got["doc_id"], got["length"])) == list(enumerate(lengths))
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g["offset"].tolist() == [0, *np.cumsum(g["length"])[:-1]] and g["length"].sum() <= 4096
+    assert got["sequence_id"].nunique() <= 1.02 * best_fit_decreasing(lengths, 4096) + 1
 
 
 def test_token_files(spark, docs):
