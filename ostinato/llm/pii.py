@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "demonstration key: give your own"
 ROUNDS = 8
 DIGITS, LOWER, UPPER, HEX, HEX_UPPER, HIGH = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef", "0123456789ABCDEF", "23456789"
 #: Formats, tried from the left at each place.
@@ -109,7 +108,7 @@ def _in_place(value: Column, plain: Column) -> Column:
     return at
 
 
-def pseudonym(value: Column, key: str = KEY, back: bool = False) -> Column:
+def pseudonym(value: Column, key: str, back: bool = False) -> Column:
     """The pseudonym of one found value, or the value itself where its check digits or its date are not valid."""
     whole = lambda kind: value.rlike(f"^(?:{FORMATS[kind]})$")
     spelled = lambda v, alphabet, kind: _spelled(v, alphabet, F.lit(kind), key, back)
@@ -133,10 +132,12 @@ def pseudonym(value: Column, key: str = KEY, back: bool = False) -> Column:
     three = feistel(F.array(_symbol(area, F.lit(898)), _symbol(part(2) - 1, F.lit(99)), _symbol(part(3) - 1, F.lit(9999))), F.lit("ssn"), key, back)
     v = lambda q, i: F.get(q, F.lit(i))["v"]
     ssn = _let(three, lambda q: F.format_string("%03d-%02d-%04d", v(q, 0) + F.when(v(q, 0) >= 665, 2).otherwise(1), v(q, 1) + 1, v(q, 2) + 1))
-    # telephone numbers: a country code stays; a digit from 2 stays one where it leads a group
-    lead = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0)
+    # telephone numbers: a country code stays; the digits alone are permuted, so that all spellings of a number stay linked; a digit
+    # from 2 stays one
+    lead = F.regexp_extract(value, r"^\+(?:1(?=(?:[ .()-]*\d){10}$)|\d{1,3}(?=[ .(-]))", 0)
     rest = F.substr(value, F.length(lead) + 1)
-    phone = F.concat(lead, spelled(rest, lambda c, i: F.when(~c.between("0", "9"), "").when(c.between("2", "9"), HIGH).otherwise("01"), "phone"))
+    local = spelled(F.regexp_replace(rest, "[^0-9]", ""), lambda c, i: F.when(c.between("2", "9"), HIGH).otherwise("01"), "phone")
+    phone = F.concat(lead, _let(local, lambda n: _in_place(rest, n)))
     # cards: all digits but the last, which is the Luhn check digit
     body = spelled(F.substr(plain, F.lit(1), F.length(plain) - 1), lambda c, i: F.lit(DIGITS), "card")
     check = lambda b: F.pmod(10 - _luhn(F.concat(b, F.lit("0"))) % 10, F.lit(10)).cast("string")
@@ -158,7 +159,7 @@ def _valid(value: Column) -> Column:
     return F.when(whole("iban"), _mod97(plain) == 1).when(whole("card"), _luhn(plain) % 10 == 0).otherwise(False)
 
 
-def rewritten(value: Column, key: str = KEY, back: bool = False) -> Column:
+def rewritten(value: Column, key: str, back: bool = False) -> Column:
     """The pseudonym of a found value; where its check digits fail, the valid cards and IBANs inside have theirs: from the left,
     at each group of characters, the longest one that ends with a group. What is around them stays."""
     groups = F.regexp_extract_all(value, F.lit("[ -]?[0-9A-Za-z]+"), F.lit(0))
@@ -184,12 +185,12 @@ def rewritten(value: Column, key: str = KEY, back: bool = False) -> Column:
     return F.when(other | phone | _valid(value), pseudonym(value, key, back)).otherwise(_let(groups, inside))
 
 
-def pseudonymized(docs: DataFrame, text: str = "text", key: str = KEY, back: bool = False) -> DataFrame:
-    """docs with `text` rewritten and one more column `_n_values`: values that were replaced.
+def pseudonymized(docs: DataFrame, key: str, text: str = "text", back: bool = False) -> DataFrame:
+    """docs with `text` rewritten under a secret key and one more column `_n_values`: values that were replaced.
 
-    Null text stays null, with 0. Where a card's or IBAN's match takes in groups that don't belong to it, the valid number inside
-    is replaced. Going back finds such a number unless its pseudonym happens to be valid with a neighbouring group too. Numbers that fail their check digits, impossible dates and version-like numbers stay as they
-    are. Repeated rows get equal results; other columns pass through; a column `_n_values` in the input is replaced.
+    Null text stays null, with 0. An e-mail address keeps its domain, a telephone number its country code. Where a card's or IBAN's match takes in groups that don't belong to it, the valid number inside
+    is replaced. Going back finds such a number unless its pseudonym happens to be valid with a neighbouring group too. Numbers that
+    fail their check digits, impossible dates and version-like numbers stay as they are. Repeated rows get equal results; other columns pass through; a column `_n_values` in the input is replaced.
     """
     t = F.col(f"`{text}`")
     keep = [c for c in docs.columns if c not in ("_n_values", text)]
@@ -205,6 +206,10 @@ def pseudonymized(docs: DataFrame, text: str = "text", key: str = KEY, back: boo
     return found.select(*out, n.alias("_n_values"))
 
 
+#: Of the registered query alone; whoever uses the operator gives a secret one.
+QUERY_KEY = "key of the registered query"
+
+
 def op6_pii(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymized(docs).select("doc_id", F.col("_n_values").alias("n_values"), "text")
+    return pseudonymized(docs, QUERY_KEY).select("doc_id", F.col("_n_values").alias("n_values"), "text")

@@ -66,10 +66,10 @@ def test_mixing(odd, empty):
 
 
 def test_pii(odd, empty):
-    got = pii.pseudonymized(odd)
+    got = pii.pseudonymized(odd, "k")
     assert got.filter("doc_id = 1").first()["text"] is None
     assert got.agg(F.sum("_n_values")).first()[0] == 0
-    assert pii.pseudonymized(empty).count() == 0
+    assert pii.pseudonymized(empty, "k").count() == 0
 
 
 def test_packing(odd, empty):
