@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .shared import SPACE_CHARS, written
 
 MIN_DOCS = 10
-BATCHES = 4
+#: Lines of a batch; small inputs are four batches all the same, so that every step of the method runs.
+BATCH_LINES, LEAST_BATCHES = 1 << 31, 4
 FAN_IN = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -74,7 +75,19 @@ class LineRuns:
         return self.saturated
 
 
-def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+def without(items: Column, drop: Column) -> Column:
+    """items but for those at the ascending places in drop: the stretches between these, so that the work is in proportion to both."""
+
+    def parts(x: Column) -> Column:
+        ends = F.concat(x["drop"], F.array(F.size(x["items"])))
+        start = lambda k: F.when(k > 0, F.get(x["drop"], k - 1) + 1).otherwise(0)
+        return F.flatten(F.transform(ends, lambda end, k: F.slice(x["items"], start(k) + 1, end - start(k))))
+
+    # bound to a variable, or they would be made anew for each stretch
+    return F.get(F.transform(F.array(F.struct(items.alias("items"), drop.alias("drop"))), parts), F.lit(0))
+
+
+def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS, batch_lines: int = BATCH_LINES) -> DataFrame:
     """docs with the columns `_n_lines`, `_n_dropped` (long) and `_kept` (the text that is left).
 
     A key counts once in a document; rows with equal id and text are one document, and each keeps its own row. Null or
@@ -87,20 +100,18 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
         "_id", "_th", F.filter(F.transform("_l", lambda x, i: F.struct(line_key(x).alias("k"), i.alias("i"))), lambda x: x["k"] != "").alias("_k")
     ).select("_id", "_th", F.explode("_k").alias("_e"))
     at = keyed.select("_id", "_th", F.col("_e.i").alias("_i"), hashed(F.col("_e.k")).alias("_h")).select("_id", "_th", "_i", "_h.h1", "_h.h2")
-    at = at.withColumn("batch", F.pmod("_th", F.lit(batches)).cast("int"))
     at = written(at, "lines")
+    batches = max(LEAST_BATCHES, -(-at.count() // batch_lines))
     runs = LineRuns(min_docs)
     for b in range(batches):
-        own = at.filter(F.col("batch") == b).select("_id", "_th", "h1", "h2").distinct()
+        own = at.filter(F.pmod("_th", F.lit(batches)) == b).select("_id", "_th", "h1", "h2").distinct()
         runs.add(own.select("h1", "h2"))
     hot = runs.frequent()
-    drop = at.join(hot, ["h1", "h2"]).groupBy("_id", "_th").agg(F.collect_set("_i").alias("_drop"))
+    drop = at.join(hot, ["h1", "h2"]).groupBy("_id", "_th").agg(F.sort_array(F.collect_set("_i")).alias("_drop"))
     own = [c for c in docs.columns if c not in ("_n_lines", "_n_dropped", "_kept")]
     full = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(body).alias("_th"), body.alias("_t"))
     full = full.join(drop.withColumnsRenamed({"_id": "_id2", "_th": "_th2"}), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_th") == F.col("_th2")), "left")
-    left = F.when(F.col("_drop").isNull(), F.col("_t")).otherwise(
-        F.array_join(F.filter(F.split("_t", "\n"), lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n")
-    )
+    left = F.when(F.col("_drop").isNull(), F.col("_t")).otherwise(F.array_join(without(F.split("_t", "\n"), F.col("_drop")), "\n"))
     return full.select(
         "_row.*",
         F.size(F.split("_t", "\n")).cast("long").alias("_n_lines"),

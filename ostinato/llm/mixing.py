@@ -3,11 +3,11 @@
 1. Targets: every source's share of the mix by its weight, filled up to a cap (water filling).
 2. Each source is dealt into shards by hash; a shard orders its documents by seed, end to end, and is cut into
    blocks of `block` tokens.
-3. Sainte-Lague quotients give each source its blocks, and then each shard of a source its own.
+3. Sainte-Lague quotients give each source its blocks, then each wing (a group of shards) of a source its own, then each shard.
 4. A shard takes whole rounds of all its blocks, and the rest as one run of neighbouring blocks from a seeded place
    (around the end), so only the documents at the ends of the run are taken in part.
 
-The largest thing that any task sorts at once is one shard; a source has at most `MAX_SHARDS` of them.
+The largest things that any task sorts at once are one shard, WING shards of a source, or its wings.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ SHARE = 1.5
 CAP = 2.0
 BLOCK = 16
 SHARD_TOKENS = 1 << 16
-MAX_SHARDS = 4096
+WING = 4096
 SEED = "mix-1"
 
 
@@ -89,7 +89,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     sizes = written(
         docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), n_words(F.col(f"`{text}`")).alias("size"), *[F.col(f"`{row}`").alias("row") for _ in rows]), "sizes"
     )
-    targets = source_targets(sizes).withColumn("shards", F.least(F.lit(MAX_SHARDS), F.ceil(F.col("source_size") / SHARD_TOKENS)).cast("int"))
+    targets = source_targets(sizes).withColumn("shards", F.ceil(F.col("source_size") / SHARD_TOKENS).cast("long"))
     targets = targets.withColumn("house", F.round(F.sum("target").over(W.partitionBy()) / block).cast("long")).withColumn("_all", F.lit(0))
     targets = _seats(targets.withColumn("_order", F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1"))), ["_all"], "target", "house", "_order")
     zero = source_targets_zero(targets, sizes)
@@ -101,7 +101,10 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     )
     d = d.withColumn("shard", F.pmod(F.conv(F.substring("_mix", 1, 12), 16, 10).cast("long"), F.greatest(F.lit(1), F.coalesce("shards", F.lit(1)))))
     spread = d.groupBy("_s", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("house"))
-    spread = _seats(spread, ["_s"], "shard_size", "house", "shard")
+    spread = spread.withColumn("wing", F.floor(F.col("shard") / WING))
+    wings = spread.groupBy("_s", "wing").agg(F.sum("shard_size").alias("wing_size"), F.first("house").alias("house"))
+    wings = _seats(wings, ["_s"], "wing_size", "house", "wing").select("_s", "wing", F.col("seats").alias("house"))
+    spread = _seats(spread.drop("house").join(wings, ["_s", "wing"]), ["_s", "wing"], "shard_size", "house", "shard")
     blocks = F.ceil(F.col("shard_size") / block)
     start = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "_s", "shard")), 1, 12), 16, 10).cast("long")
     spread = spread.withColumn("blocks", blocks).withColumn("seats", F.least("seats", 2 * F.col("blocks")))

@@ -181,7 +181,10 @@ def test_embeddings(spark):
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == {i: (int(near[i].sum()), want[i], want[i] == i) for i in range(len(x))}
 
 
-def test_mixing(spark, docs):
+@pytest.mark.parametrize(("shard", "wing"), [(mixing.SHARD_TOKENS, mixing.WING), (512, 3)])
+def test_mixing(spark, docs, shard, wing, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_TOKENS", shard)
+    monkeypatch.setattr(mixing, "WING", wing)
     got = QUERIES["op5_mixing"](spark, SF).toPandas()
     again = QUERIES["op5_mixing"](spark, SF).toPandas()
     key = ["doc_id", "size", "source_size", "target", "taken"]
@@ -201,7 +204,7 @@ def test_mixing(spark, docs):
     for s, g in merged.groupby("source"):
         target = 2 * by[s] if s in full else weight[s] * rate
         assert g["target"].iloc[0] == pytest.approx(target) and (g["taken"] <= 2 * g["size"]).all()
-        assert abs(g["taken"].sum() - target) <= 3 * mixing.BLOCK
+        assert abs(g["taken"].sum() - target) <= (3 if wing == mixing.WING and wing > 3 else 2 * by[s] / shard + 3) * mixing.BLOCK
 
 
 def test_pseudonyms(spark):

@@ -49,6 +49,16 @@ def test_lines(odd, empty):
     assert linededup.line_dedup(empty).count() == 0
 
 
+def test_lines_of_long_texts(spark):
+    """Two documents of very many lines, half of which go, in time that grows with them alone; and the stretches between places."""
+    rows = [(i, "\n".join(f"line {k % 50 if k % 2 else (i, k)}" for k in range(60_000)), None, None, 1) for i in (1, 2)]
+    for r in linededup.line_dedup(table(spark, rows), min_docs=2).select("_n_lines", "_n_dropped", "_kept").collect():
+        assert (r["_n_lines"], r["_n_dropped"], r["_kept"].count("\n")) == (60_000, 30_000, 29_999)
+    items = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda x: x.cast("string"))
+    for drop, want in (([0], "123456"), ([6], "012345"), ([0, 1, 3, 6], "245"), ([2, 3, 4], "0156"), (list(range(7)), "")):
+        assert spark.range(1).select(F.array_join(linededup.without(items, F.array(*map(F.lit, drop))), "")).first()[0] == want
+
+
 def test_line_runs_by_batches(spark):
     from ostinato.llm.linededup import LineRuns
 
