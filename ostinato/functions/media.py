@@ -10,6 +10,11 @@ VIDEO, AUDIO = ("mp4", "avi", "mkv", "m4v", "mov"), ("mp3", "wav", "flac")
 MORE_VIDEO, MORE_AUDIO = ("webm", "flv", "ts"), ("ogg", "m4a", "aac")
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def media_type(path: Column, wide: bool = True) -> Column:
     ext = F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
     video, audio = (VIDEO + MORE_VIDEO, AUDIO + MORE_AUDIO) if wide else (VIDEO, AUDIO)
@@ -106,6 +111,10 @@ def natural_key(text: Column) -> Column:
     """Runs of digits and of other characters by turns, the latter first and perhaps empty, as an array of (digits, number, text):
     sorts as numbers count, whatever their length, and without regard to case."""
     runs = F.regexp_extract_all(F.concat(F.when(text.rlike(r"^\d"), "\0").otherwise(""), F.lower(text)), F.lit(r"\d+|\D+"), F.lit(0))
-    number = lambda x: F.when(x.rlike(r"^\d"), F.regexp_replace(x, "^0+(?=.)", ""))
-    item = lambda x: F.struct(F.coalesce(F.length(number(x)), F.lit(0)).alias("digits"), F.coalesce(number(x), F.lit("")).alias("number"), F.when(number(x).isNull(), F.replace(x, F.lit("\0"), F.lit(""))).otherwise("").alias("text"))
+
+    def item(x: Column) -> Column:
+        number = F.when(x.rlike(r"^\d"), F.regexp_replace(x, "^0+(?=.)", ""))
+        text = F.replace(x, F.lit("\0"), F.lit(""))
+        return let(number, lambda n: F.struct(F.coalesce(F.length(n), F.lit(0)).alias("digits"), F.coalesce(n, F.lit("")).alias("number"), F.when(n.isNull(), text).otherwise("").alias("text")))
+
     return F.transform(runs, item)

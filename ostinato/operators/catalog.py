@@ -144,8 +144,8 @@ def mode_resolution(videos: DataFrame) -> DataFrame:
 
 def _matched(text: Column, pattern: str, *groups: int) -> Column:
     """The groups of the first match, numbers of one digit filled up to two, one after another; null without a match."""
-    g = lambda i: F.regexp_extract(text, pattern, i)
-    return F.when(text.rlike(pattern), F.concat(*[F.when(F.length(g(i)) == 1, F.lpad(g(i), 2, "0")).otherwise(g(i)) for i in groups]))
+    two = lambda g: F.when(F.length(g) == 1, F.lpad(g, 2, "0")).otherwise(g)
+    return F.when(text.rlike(pattern), F.concat(*[media.let(F.regexp_extract(text, pattern, i), two) for i in groups]))
 
 
 #: Dates in names.
@@ -162,31 +162,40 @@ def smart_sort_key(path: Column) -> Column:
     Folders: by the date, and the hour, in the folder's name if it tells a Chinese year, else in the file's; without a date, behind
     those, naturally by name. Files: by date and hour, originals last, and part; then by title and part; then naturally by name.
     """
-    name, folder = F.regexp_extract(path, r"[^/]*$", 0), F.lower(F.regexp_extract(path, r"([^/]*)/[^/]*$", 1))
-    bare = F.regexp_replace(name, r"^(\.*[^.].*)\.[^.]*$", "$1")
-    dated = F.when(folder.rlike(r"(?U)\d{4}年"), folder).otherwise(name)
-    date = F.coalesce(_matched(dated, DAY, 1, 2, 3), _matched(dated, MONTH, 1, 2), _matched(dated, ISO_DAY, 1, 2, 3), _matched(dated, ISO_MONTH, 1, 2))
-    hour = F.coalesce(_matched(dated, HOUR, 1), F.lit("\uffff"))
     none = F.slice(media.natural_key(F.lit("")), 1, 0)
-    group = F.struct(
-        date.isNull().alias("undated"), F.coalesce(date, F.lit("")).alias("date"), F.when(date.isNotNull(), hour).otherwise("").alias("hour"),
-        F.when(date.isNull(), media.natural_key(folder)).otherwise(none).alias("natural"), F.when(date.isNull(), folder).otherwise("").alias("folder"),
-    )
-    at = F.coalesce(F.concat(_matched(name, DAY + HOUR[4:], 1, 2, 3), F.lit("_"), _matched(name, DAY + HOUR[4:], 4)), _matched(name, ISO_DAY, 1, 2, 3))
     number = lambda c, p, i: F.when(c.rlike(p), F.regexp_extract(c, p, i).try_cast("long"))
-    original = name.rlike(r"(?U)\bOriginal\b").cast("long")
-    part = F.coalesce(number(name, r"(?U)^p?(\d{1,2})[\s_\-]", 1), number(name, r"(?iU)part\s*(\d+)", 1), F.lit(0).cast("long"))
-    title = lambda p, i: F.when(bare.rlike(p), F.lower(F.trim(F.regexp_extract(bare, p, i))))
-    behind = [F.regexp_replace(title(p, 1), r"(?U)[\s_\-]+$", "") for p in BEHIND]
-    text = F.coalesce(title(BEFORE, 2), *behind)
-    of = F.coalesce(number(bare, BEFORE, 1), *[number(bare, p, 2) for p in BEHIND])
-    zero = F.lit(0).cast("long")
-    own = F.struct(
-        F.when(at.isNotNull(), 0).when(text.isNotNull(), 1).otherwise(2).alias("kind"), F.coalesce(at, text, F.lit("")).alias("text"),
-        F.when(at.isNotNull(), original).when(text.isNotNull(), of).otherwise(zero).alias("a"), F.when(at.isNotNull(), part).otherwise(zero).alias("b"),
-        F.when(at.isNull() & text.isNull(), media.natural_key(name)).otherwise(none).alias("natural"),
-    )
-    return F.struct(group.alias("group"), own.alias("own"))
+
+    def names(x: Column) -> Column:
+        bare = F.regexp_replace(x["name"], r"^(\.*[^.].*)\.[^.]*$", "$1")
+        return media.let(F.struct(x["name"], x["folder"], bare.alias("bare"), F.when(x["folder"].rlike(r"(?U)\d{4}年"), x["folder"]).otherwise(x["name"]).alias("dated")), read)
+
+    def read(x: Column) -> Column:
+        name, bare, dated = x["name"], x["bare"], x["dated"]
+        date = F.coalesce(_matched(dated, DAY, 1, 2, 3), _matched(dated, MONTH, 1, 2), _matched(dated, ISO_DAY, 1, 2, 3), _matched(dated, ISO_MONTH, 1, 2))
+        at = F.coalesce(F.concat(_matched(name, DAY + HOUR[4:], 1, 2, 3), F.lit("_"), _matched(name, DAY + HOUR[4:], 4)), _matched(name, ISO_DAY, 1, 2, 3))
+        part = F.coalesce(number(name, r"(?U)^p?(\d{1,2})[\s_\-]", 1), number(name, r"(?iU)part\s*(\d+)", 1), F.lit(0).cast("long"))
+        title = lambda p, i: F.when(bare.rlike(p), F.lower(F.trim(F.regexp_extract(bare, p, i))))
+        text = F.coalesce(title(BEFORE, 2), *[F.regexp_replace(title(p, 1), r"(?U)[\s_\-]+$", "") for p in BEHIND])
+        return media.let(F.struct(
+            name, x["folder"], date.alias("date"), F.coalesce(_matched(dated, HOUR, 1), F.lit("\uffff")).alias("hour"), at.alias("at"), text.alias("text"),
+            F.coalesce(number(bare, BEFORE, 1), *[number(bare, p, 2) for p in BEHIND]).alias("of"), name.rlike(r"(?U)\bOriginal\b").cast("long").alias("original"), part.alias("part"),
+        ), key)
+
+    def key(x: Column) -> Column:
+        undated, timed, titled, zero = x["date"].isNull(), x["at"].isNotNull(), x["text"].isNotNull(), F.lit(0).cast("long")
+        group = F.struct(
+            undated.alias("undated"), F.coalesce(x["date"], F.lit("")).alias("date"), F.when(undated, "").otherwise(x["hour"]).alias("hour"),
+            F.when(undated, media.natural_key(x["folder"])).otherwise(none).alias("natural"), F.when(undated, x["folder"]).otherwise("").alias("folder"),
+        )
+        own = F.struct(
+            F.when(timed, 0).when(titled, 1).otherwise(2).alias("kind"), F.coalesce(x["at"], x["text"], F.lit("")).alias("text"),
+            F.when(timed, x["original"]).when(titled, x["of"]).otherwise(zero).alias("a"), F.when(timed, x["part"]).otherwise(zero).alias("b"),
+            F.when(timed | titled, none).otherwise(media.natural_key(x["name"])).alias("natural"),
+        )
+        return F.struct(group.alias("group"), own.alias("own"))
+
+    both = F.struct(F.regexp_extract(path, r"[^/]*$", 0).alias("name"), F.lower(F.regexp_extract(path, r"([^/]*)/[^/]*$", 1)).alias("folder"))
+    return media.let(both, names)
 
 
 def playlist_order(entries: DataFrame) -> list[Column]:

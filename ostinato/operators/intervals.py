@@ -26,7 +26,7 @@ def grouped(rows: DataFrame, starts_new, keys=("source_key",), bucket_s: float =
     rows = running(rows, keys, bucket, _order(), F.col("end_s"), "max", "_max_end", inclusive=False)
     flag = F.when(F.col("_max_end").isNull() | starts_new(F.col("start_s"), F.col("_max_end")), 1).otherwise(0).cast("long")
     rows = rows.withColumn("_new", flag)
-    return running(rows, keys, bucket, _order(), F.col("_new"), "sum", "grp", inclusive=True).drop("_max_end", "_new")
+    return running(rows, keys, bucket, _order(), F.col("_new"), "sum", "grp", inclusive=True, hold=False).drop("_max_end", "_new")
 
 
 def merged(rows: DataFrame, starts_new, keys=("source_key",), more=()) -> DataFrame:

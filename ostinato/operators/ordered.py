@@ -11,16 +11,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ostinato.session import shared_folder
 
-def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column, how: str, out: str, inclusive: bool) -> DataFrame:
+
+def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column, how: str, out: str, inclusive: bool, hold: bool = True) -> DataFrame:
     """df with `out`: the max or sum of `value` over the rows of the keys before a row, and itself if inclusive.
 
-    bucket must not decrease along order. Null where no row comes before.
+    bucket must not decrease along order. Null where no row comes before. The rows are needed twice, for themselves and for the
+    buckets' totals: hold writes them once, so that plans of several steps don't double with each; without, they are made twice.
     """
     agg = {"max": F.max, "sum": F.sum}[how]
     cut = df.withColumn("_run_bucket", bucket).withColumn("_run_value", value)
     inside = W.partitionBy(*keys, "_run_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     cut = cut.withColumn("_run_inside", agg("_run_value").over(inside))
+    if hold:
+        shared_folder(df.sparkSession)
+        cut = cut.checkpoint()
     totals = cut.groupBy(*keys, "_run_bucket").agg(agg("_run_value").alias("_run_total"))
     before = W.partitionBy(*keys).orderBy("_run_bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(*keys, "_run_bucket", agg("_run_total").over(before).alias("_run_before"))
@@ -34,7 +40,9 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
 
 def numbered(df: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
     """df with `out`, its rows' number from 1 in that order: each partition of a range sort counts its own, behind those before it."""
-    at = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    shared_folder(df.sparkSession)
+    keys = {f"_order{i}": c for i, c in enumerate(order)}
+    at = df.withColumns(keys).checkpoint().orderBy(*keys).drop(*keys).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftright("_at", 33).alias("_part")
     counts = at.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))  # one row a partition
     before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
