@@ -6,12 +6,26 @@ split. The driver sees two numbers a round.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 60
 
 
+def forest(u: np.ndarray, v: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Within a task: labels of places joined by links u-v, beginning with those given: each the least label of its component."""
+    while True:
+        a, b = label[u], label[v]
+        if (a == b).all():
+            return label
+        low = np.minimum(a, b)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while not ((nxt := label[label]) == label).all():
+            label = nxt
+
+
 def _state(edges: DataFrame):
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 

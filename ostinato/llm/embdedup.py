@@ -1,7 +1,7 @@
 """Embedding near-duplicates by an epsilon grid order join.
 
 Cosine >= t between unit vectors is a distance <= eps = sqrt(2 - 2 t). Vectors are turned onto their principal axes
-(from one distributed sum of products), sorted by the eps-wide grid cells of the leading axes, and cut into blocks.
+(from one distributed sum of products about their mean), sorted by the eps-wide grid cells of the leading axes, and cut into blocks.
 Block pairs descend a tree of bounding boxes, dropped once the boxes are more than eps apart; inside a task two sequence
 intervals are halved in the same way down to small leaves, which are compared in double precision. A task gives a count
 for each vector and a spanning forest of its links, so the output grows with vectors and not with pairs.
@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, forest
 from .shared import shared_dir, written
 
 COSINE = 0.95
-#: Vectors in a block and in a leaf, leading axes of the grid and of the boxes above the blocks, children of a node.
-BLOCK, LEAF, AXES, BOX, FAN = 1024, 128, 4, 16, 4
+#: Vectors in a block and in a leaf, leading axes of the grid (CELL_BITS each) and of the boxes above the blocks, children of a node. A
+#: block goes as a whole to each block that it may have links with: large ones are sent less often, leaves prune within them.
+BLOCK, LEAF, AXES, CELL_BITS, BOX, FAN = 8192, 128, 6, 10, 16, 4
 SLACK = 1e-9
 
 
@@ -43,21 +44,29 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def axes(reps: DataFrame, dim: int) -> np.ndarray:
-    """Principal axes as columns, largest first, from dim x dim sums of products; each task sends one matrix."""
+    """Principal axes as columns, largest first, from dim x dim sums of products and dim + 1 sums; each task sends one matrix."""
 
     def run(batches):
-        total = np.zeros((dim, dim))
+        total = np.zeros((dim + 1, dim + 1))
         for b in batches:
             x = _unit(_matrix(b.column(0)))
+            x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
             total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim)), pa.array(total.ravel())], ["i", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["i", "x"])
 
-    rows = reps.select("v").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # dim^2 numbers
-    m = np.zeros(dim * dim)
+    rows = reps.select("v").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # (dim + 1)^2 numbers
+    m = np.zeros((dim + 1) ** 2)
     for r in rows:
         m[r["i"]] = r["x"]
-    m = m.reshape(dim, dim)
-    return np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy()
+    m = m.reshape(dim + 1, dim + 1)
+    mean = m[:-1, -1] / max(1, m[-1, -1])
+    about = m[:-1, :-1] - m[-1, -1] * np.outer(mean, mean)
+    return np.linalg.eigh((about + about.T) / 2)[1][:, ::-1].copy()
+
+
+def _led(y: np.ndarray, leading: int) -> np.ndarray:
+    """The leading axes and the length of the rest, which is one more axis: distances are at least those of such points."""
+    return np.concatenate([y[:, :leading], np.sqrt((y[:, leading:] ** 2).sum(axis=1, keepdims=True))], axis=1)
 
 
 def _gap2(lo1, hi1, lo2, hi2):
@@ -70,7 +79,8 @@ class _Side:
 
     def __init__(self, raw: bytes, n: bytes, turn: np.ndarray):
         self.n = np.frombuffer(n, np.int64)
-        self.x = _unit(np.frombuffer(raw, np.float64).reshape(len(self.n), -1))
+        kind = np.float32 if len(raw) == 4 * len(self.n) * len(turn) else np.float64
+        self.x = _unit(np.frombuffer(raw, kind).astype(np.float64).reshape(len(self.n), -1))
         self.y = self.x @ turn
 
     def box(self, i, j):
@@ -117,29 +127,17 @@ def _join(a: _Side, b: _Side, same: bool, cosine: float):
     return na, nb, np.concatenate([x for x, _ in links] or [np.zeros(0, int)]), np.concatenate([x for _, x in links] or [np.zeros(0, int)])
 
 
-def _forest(u, v, n):
-    label = np.arange(n)
-    while True:
-        a, b = label[u], label[v]
-        if (a == b).all():
-            return label
-        low = np.minimum(a, b)
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        while not ((nxt := label[label]) == label).all():
-            label = nxt
-
-
 def _blocks(reps: DataFrame, turn: np.ndarray, cosine: float, size: int, leading: int) -> DataFrame:
     """(block, lo, hi, ids, vs, ns): vectors in grid order; ids, vectors and multiplicities packed."""
     eps = float(np.sqrt(max(2 - 2 * cosine, 1e-12)))
+    single = reps.schema["v"].dataType.elementType.simpleString() == "float"
 
     def cells(batches):
         for b in batches:
-            y = np.floor((_unit(_matrix(b.column(1))) @ turn[:, :AXES]) / eps).astype(np.int64) + (1 << 14)
+            y = np.floor((_unit(_matrix(b.column(1))) @ turn[:, :AXES]) / eps).astype(np.int64) + (1 << CELL_BITS - 1)
             key = np.zeros(len(y), np.int64)
             for j in range(y.shape[1]):
-                key = (key << 15) | np.clip(y[:, j], 0, (1 << 15) - 1)
+                key = (key << CELL_BITS) | np.clip(y[:, j], 0, (1 << CELL_BITS) - 1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key)], ["id", "v", "n", "cell"])
 
     def pack(batches):
@@ -151,7 +149,8 @@ def _blocks(reps: DataFrame, turn: np.ndarray, cosine: float, size: int, leading
 
         def out(t, seq):
             x = _matrix(t.column("v"))
-            y = _unit(x) @ turn[:, :leading]
+            y = _led(_unit(x) @ turn, leading)
+            x = x.astype(np.float32) if single else x
             ids, n = (t.column(c).to_numpy().astype(np.int64) for c in ("id", "n"))
             return pa.RecordBatch.from_pydict(
                 {"block": pa.array([(part << 32) + seq], pa.int64()), "lo": pa.array([y.min(axis=0).tolist()], pa.list_(pa.float64())), "hi": pa.array([y.max(axis=0).tolist()], pa.list_(pa.float64())),
@@ -213,11 +212,11 @@ def _near_blocks(blocks: DataFrame, cosine: float, fan: int = FAN) -> DataFrame:
     return pairs.join(name.withColumnsRenamed({"node": "a", "block": "block_a"}), "a").join(name.withColumnsRenamed({"node": "b", "block": "block_b"}), "b").select("block_a", "block_b")
 
 
-def linked(reps: DataFrame, dim: int, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+def linked(reps: DataFrame, dim: int, cosine: float = COSINE, block: int | None = None) -> DataFrame:
     """reps (id, v, n): distinct usable vectors of one length, with their numbers of copies -> (u, v, k): a row with null v
     counts k vectors linked to u; a row with v is a spanning link."""
     turn = axes(reps, dim)
-    blocks = written(_blocks(reps, turn, cosine, block, min(BOX, dim)), "grid")
+    blocks = written(_blocks(reps, turn, cosine, block or BLOCK, min(BOX, dim)), "grid")
     pairs = _near_blocks(blocks, cosine)
     x = blocks.select(F.col("block").alias("block_a"), *[F.col(c).alias(f"{c}_a") for c in ("ids", "vs", "ns")])
     y = blocks.select(F.col("block").alias("block_b"), *[F.col(c).alias(f"{c}_b") for c in ("ids", "vs", "ns")])
@@ -235,7 +234,7 @@ def linked(reps: DataFrame, dim: int, cosine: float = COSINE, block: int = BLOCK
                 shift = 0 if p == q else len(ids_a)
                 ids = ids_a if p == q else np.concatenate([ids_a, ids_b])
                 n = na + nb if p == q else np.concatenate([na, nb])
-                label = _forest(r, s + shift, len(ids))
+                label = forest(r, s + shift, np.arange(len(ids)))
                 own, got = np.nonzero(label != np.arange(len(ids)))[0], np.nonzero(n)[0]
                 u = np.concatenate([ids[own], ids[got]])
                 v = pa.array(np.concatenate([ids[label[own]], ids[got]]), mask=np.arange(len(u)) >= len(own))
@@ -280,3 +279,12 @@ def embedding_groups(vectors: DataFrame, vec_id: str = "vec_id", embedding: str
 
 def op8_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return embedding_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+#: All pairs, and all that they reach.
+OP8_SQL = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id, vec_id AS root FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.vec_id),
+c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""

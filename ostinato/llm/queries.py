@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .embdedup import op8_embedding_dedup
+from .embdedup import OP8_SQL, op8_embedding_dedup
 from .langid import op2_langid
 from .linededup import OP4_SQL, op4_line_dedup
 from .mixing import op5_mixing
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_substring": op10_substring,
 }
-ORACLES = {"op3_quality": OP3_SQL, "op4_line_dedup": OP4_SQL, "op10_substring": OP10_SQL}
+ORACLES = {"op3_quality": OP3_SQL, "op4_line_dedup": OP4_SQL, "op8_embedding_dedup": OP8_SQL, "op10_substring": OP10_SQL}

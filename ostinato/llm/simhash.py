@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, forest
 from .shared import shared_dir, written
 
 SHINGLE = 3
@@ -72,19 +72,6 @@ def _agreed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ~(both ^ some), both
 
 
-def _forest(u: np.ndarray, v: np.ndarray, n: int, label: np.ndarray) -> np.ndarray:
-    """Labels of 0..n-1 joined by links u-v, beginning with those given: each the least label of its component."""
-    while True:
-        a, b = label[u], label[v]
-        if (a == b).all():
-            return label
-        low = np.minimum(a, b)
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        while not ((nxt := label[label]) == label).all():
-            label = nxt
-
-
 def _padded(blob: bytes) -> np.ndarray:
     x = np.frombuffer(blob, np.uint64)
     return np.concatenate([x, np.repeat(x[-1:], -len(x) % LEAF)]).reshape(-1, LEAF)
@@ -112,7 +99,7 @@ def _links(a: bytes, b: bytes | None, distance: int):
             near = np.bitwise_count(x[p][:, :, None] ^ y[q][:, None, :]) <= distance
             c, r, s = np.nonzero(near)
             if len(c):
-                label = _forest(p[c] * LEAF + r, q[c] * LEAF + s + shift, len(values), label)
+                label = forest(p[c] * LEAF + r, q[c] * LEAF + s + shift, label)
     own = np.nonzero(label != np.arange(len(values)))[0]
     return values[own], values[label[own]]
 

@@ -162,23 +162,40 @@ def test_simhash_links_in_small_blocks(spark):
     assert least_reachable(fps, links) == want
 
 
-def test_embeddings(spark):
+def linked_by_cosine(x, limit=0.95):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.einsum("ik,jk->ij", unit, unit) >= limit
+    np.fill_diagonal(near, False)
+    return near.sum(axis=1), least_reachable(range(len(x)), np.argwhere(near).tolist())
+
+
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_embeddings_in_clusters(spark, kind, monkeypatch):
+    """Small blocks, so that the descent has several levels; it keeps clusters that lie apart from one another."""
     from pyspark.sql import functions as F
 
+    monkeypatch.setattr(embdedup, "BLOCK", 16)
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(150, 8))
-    x = np.concatenate([x, x[:60] + rng.normal(size=(60, 8)) * 0.15, x[:20]])
-    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").withColumn("label", F.lit(0))
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    near = u @ u.T >= 0.95
-    np.fill_diagonal(near, False)
-    want = least_reachable(range(len(x)), zip(*np.nonzero(near)))
-    was = embdedup.BLOCK
-    try:
-        got = embdedup.embedding_groups(df).collect()
-    finally:
-        embdedup.BLOCK = was
-    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == {i: (int(near[i].sum()), want[i], want[i] == i) for i in range(len(x))}
+    centres = rng.normal(size=(40, 24)) * np.array([4.0] * 6 + [1.0] * 18)
+    x = (centres[rng.integers(0, 40, 900)] + rng.normal(size=(900, 24)) * rng.choice([0.02, 0.1, 0.4], (900, 1))).astype(np.float32).astype(float)
+    x = np.concatenate([x, x[:60], 3 * x[60:90]])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], f"vec_id long, embedding array<{kind}>").withColumn("label", F.lit(0))
+    seen, near_blocks = [], embdedup._near_blocks
+    monkeypatch.setattr(embdedup, "_near_blocks", lambda blocks, *a: seen.append((blocks.count(), near_blocks(blocks, *a).count())) or near_blocks(blocks, *a))
+    n, least = linked_by_cosine(x)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embdedup.embedding_groups(df).collect()}
+    assert got == {i: (int(n[i]), least[i], least[i] == i) for i in range(len(x))}
+    assert n.sum() > 1000 and seen[0][0] > 16 * embdedup.FAN // 2 and seen[0][1] < 0.3 * seen[0][0] ** 2 / 2
+
+
+def test_embeddings_of_the_table(spark):
+    """The table's own vectors, at a cosine that links some of them."""
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").toPandas()
+    x = np.stack(rows["embedding"]).astype(float)
+    n, least = linked_by_cosine(x, 0.4)
+    got = embdedup.embedding_groups(spark.read.parquet(f"{SF}/embeddings.parquet"), cosine=0.4).toPandas().sort_values("vec_id")
+    ids = rows["vec_id"].tolist()
+    assert n.sum() > 10 and got["n_links"].tolist() == n.tolist() and got["component_id"].tolist() == [ids[least[i]] for i in range(len(ids))]
 
 
 @pytest.mark.parametrize(("shard", "wing"), [(mixing.SHARD_TOKENS, mixing.WING), (512, 3)])
@@ -392,7 +409,8 @@ def test_oracles(spark):
     from ostinato.llm.queries import ORACLES
 
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     for name, sql in ORACLES.items():
         want = c.execute(sql)
         columns = [d[0] for d in want.description]
