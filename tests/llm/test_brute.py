@@ -355,7 +355,7 @@ def test_feistel_is_one_to_one(spark):
 
 
 def test_pipeline(spark, docs):
-    """Each stage's decisions, taken again by the operators' own results, and a packing of what is left."""
+    """The run as a whole gives sequences of documents of the table; test_stages.py compares each stage with brute force."""
     got = corpus_pipeline.run(spark, SF).toPandas()
     assert set(got["doc_id"]) <= set(docs["doc_id"])
     for _, g in got.sort_values("offset").groupby("sequence_id"):
