@@ -16,12 +16,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, those of null, empty or blank text among them. Each row is judged by its own text, so
+    null and repeated doc_ids and equal rows change nothing; rows that stay do so unchanged."""
     return quality.passing(docs.select(*COLUMNS))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in many documents go from all; n_chars follows the text."""
+    """Lines found in many documents go from all; n_chars follows the text. Every row stays, null text as an empty one. Rows of equal
+    doc_id (null ones too) and text count as one document."""
     done = linededup.line_dedup(docs.select(*COLUMNS))
     return done.select("doc_id", F.col("_kept").alias("text"), "lang", "source", F.length("_kept").cast("long").alias("n_chars"))
 
@@ -32,7 +34,7 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates (five-word shingles, a similarity of 0.8 or more) stays: the one with the least
+    """One row of each group of near-duplicates (SimHash and MinHash find candidates, five-word shingles, a similarity of 0.8 or more) stays: the one with the least
     doc_id, with a null one only where there is no other; of equal doc_ids the one with the least hash of its columns."""
     docs = numbered(docs, "near_rows").withColumn("_hash", F.xxhash64(*COLUMNS))
     groups = near.similar_groups(docs, "_row", "text", ["doc_id", "_hash"])
@@ -42,7 +44,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes; one that is taken in part has its words joined by single spaces."""
+    """A row for each copy that the mix takes; one that is taken in part has its words joined by single spaces. Rows are told apart by
+    a number of their own, so null and repeated doc_ids neither lose nor multiply any; texts without a word are taken 0 times."""
     docs = numbered(docs, "mix_rows")
     m = mixing.mixed(docs, row="_row").filter("taken > 0").select(F.col("row").alias("_row"), "size", "rounds", "part_from", "part_len")
     whole = F.col("rounds") + F.when(F.col("part_len") == F.col("size"), 1).otherwise(0)
@@ -55,7 +58,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 ids."""
+    """Sequences of at most 4096 ids. Each row is a document of its own, whatever its doc_id; null text has the end id alone."""
     return packing.pack_documents(docs, packing.vocabulary())
 
 
@@ -67,8 +70,8 @@ STAGES = [
     ("best-fit packing", pack_stage),
 ]
 
-#: Neither shingle similarity, the seeded choice of blocks nor tokens can be had in SQL. tests/llm compares near-dedup with all pairs
-#: and the mix by rows and words; the quality and line stages have no brute-force version there yet.
+#: Neither shingle similarity, the seeded choice of blocks nor tokens can be had in SQL. tests/llm compares each stage with a
+#: brute-force version of it, on rows with null and repeated doc_ids.
 ORACLE_SQL = None
 
 
