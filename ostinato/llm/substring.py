@@ -27,7 +27,7 @@ WINDOW = 35
 ANCHOR = 18
 #: Windows that a task holds before it sends them on, and that one bucket is to get.
 FLUSH = 2_000_000
-BUCKET_WORDS = 8_000_000
+BUCKET_WORDS = 2_000_000
 MULTIPLIER = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 WORD_CACHE = 1 << 20
 _hashes: dict[bytes, int] = {}

@@ -32,7 +32,11 @@ def _ranged(df: DataFrame) -> DataFrame:
 
 
 def encoded(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """(doc_id, n_tokens, ids), range-sorted by doc_id, null ids first; null text is empty and has only the end id."""
+    """(doc_id, n_tokens, ids), range-sorted by doc_id, null ids first; null text is empty and has only the end id.
+
+    Rows of equal doc_id follow one another, each with its own ids. A very long text is one list in one row; it takes a row group of
+    its own if it is longer than one.
+    """
 
     def run(batches):
         enc = tokens.encoder(tokenizer)
@@ -49,12 +53,14 @@ def encoded(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
 
 
 def write_tokens(tokens_df: DataFrame, path: str, delta: bool = False) -> None:
-    """One file for each partition. delta: delta-packed ids instead of a dictionary (for ids without repetition)."""
+    """One file for each partition. Ids are dictionary-encoded, or delta-packed with `delta` (ids without repetition); doc_id and
+    n_tokens, which ascend or are small, are delta-packed. Every page has its least and greatest doc_id in the file's index."""
+    dictionary = {"ids.list.element": not delta, "doc_id": False, "n_tokens": False}
+    writer = tokens_df.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0")
+    for column, on in dictionary.items():
+        writer = writer.option(f"parquet.enable.dictionary#{column}", str(on).lower())
     (
-        tokens_df.write.option("compression", "zstd")
-        .option("parquet.writer.version", "PARQUET_2_0" if delta else "PARQUET_1_0")
-        .option("parquet.enable.dictionary", str(not delta).lower())
-        .option("parquet.block.size", ROW_GROUP_BYTES)
+        writer.option("parquet.block.size", ROW_GROUP_BYTES)
         .option("parquet.page.size", PAGE_BYTES)
         .option("parquet.page.row.count.limit", PAGE_ROWS)
         .parquet(path)

@@ -112,6 +112,40 @@ def test_token_files(spark, odd, empty):
     assert tokenfiles.read_tokens(spark, path, 1, 3).filter("n_tokens = 1").count() == 2
 
 
+@pytest.mark.parametrize("delta", [False, True])
+def test_files_of_tokens(spark, tmp_path, monkeypatch, delta):
+    """Encodings, row groups and page indexes as they are in the files; a range read skips what it doesn't need."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(tokenfiles, "ROW_GROUP_BYTES", 1 << 12)
+    monkeypatch.setattr(tokenfiles, "PAGE_BYTES", 1 << 12)
+    monkeypatch.setattr(tokenfiles, "PAGE_ROWS", 20)
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit(PROSE), F.col("id").cast("string")).alias("text"))
+    path = f"file://{tmp_path}/tokens"
+    tokenfiles.write_tokens(tokenfiles.encoded(docs, tokenfiles.vocabulary()), path, delta=delta)
+    spans, groups = [], 0
+    for name in glob.glob(f"{tmp_path}/tokens/*.parquet"):
+        meta = pq.ParquetFile(name).metadata
+        groups += meta.num_row_groups
+        for i in range(meta.num_row_groups):
+            columns = {meta.row_group(i).column(k).path_in_schema: meta.row_group(i).column(k) for k in range(3)}
+            assert all(c.has_offset_index for c in columns.values()) and columns["doc_id"].has_column_index
+            assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings and "DELTA_BINARY_PACKED" in columns["n_tokens"].encodings
+            ids = columns["ids.list.element"].encodings
+            assert ("DELTA_BINARY_PACKED" in ids) == delta and any("DICTIONARY" in e for e in ids) != delta
+            spans.append((columns["doc_id"].statistics.min, columns["doc_id"].statistics.max))
+    spans.sort()
+    assert groups > 8 and spans[0][0] == 0 and spans[-1][1] == 3999 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    some = tokenfiles.read_tokens(spark, path, 1000, 1009, ("doc_id", "n_tokens"))
+    assert some.count() == 10
+    got = some.collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(1000, 1010))
+    plan = some._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(doc_id,1000)" in plan and "ReadSchema: struct<doc_id:bigint,n_tokens:bigint>" in plan
+
+
 def test_simhash(odd, empty):
     got = simhash.near_groups(odd).collect()
     by = {r["doc_id"]: r for r in got}
