@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ostinato.params import FRAMES_PER_SECOND, Detection
+from ostinato.params import FRAMES_PER_SECOND, SCALE_DETECT, Detection
 
 BLOCK = ["source_key", "block_no"]
 
@@ -109,8 +109,8 @@ def detection_summary(segments: DataFrame) -> DataFrame:
     return segments.groupBy("source_key").agg(F.count(F.lit(1)).alias("n_clips"))
 
 
-def score_blocks(blocks: DataFrame, scorer, columns: str) -> DataFrame:
-    """blocks (source_key, block_no, samples array<float>, all of one length) -> frames.
+def score_blocks(blocks: DataFrame, scorer, columns: str, scale: float = SCALE_DETECT) -> DataFrame:
+    """blocks (source_key, block_no, payload: 16-bit samples, all of one length, and perhaps gain) -> frames.
 
     scorer is a callable without arguments, called once in each Python worker; what it returns maps float32 [n, samples] to
     float32 [n, frames, classes]. Arrow batches go in, so memory is bounded by the batch size of the session.
@@ -122,11 +122,13 @@ def score_blocks(blocks: DataFrame, scorer, columns: str) -> DataFrame:
         model = scorer()
         for pdf in batches:
             if len(pdf):
-                got = model(np.stack(pdf["samples"].to_numpy()).astype(np.float32))
+                x = np.stack([np.frombuffer(bytes(v), "<i2") for v in pdf["payload"]]).astype(np.float64) / scale
+                got = model((x * pdf["gain"].to_numpy()[:, None]).astype(np.float32))
                 for key, block, scores in zip(pdf["source_key"], pdf["block_no"], got):
                     yield pd.DataFrame({"source_key": key, "block_no": block, "frame_no": np.arange(len(scores), dtype=np.int32), "scores": list(scores)})
 
-    return blocks.select("source_key", "block_no", "samples").mapInPandas(run, columns)
+    gain = F.col("gain") if "gain" in blocks.columns else F.lit(1.0)
+    return blocks.select("source_key", "block_no", "payload", gain.alias("gain")).mapInPandas(run, columns)
 
 
 FRAME_SCHEMA = "source_key string, block_no long, frame_no int, scores array<float>"

@@ -38,13 +38,16 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
     return both.withColumn(out, made).drop("_run_bucket", "_run_value", "_run_inside", "_run_before")
 
 
-def numbered(df: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
-    """df with `out`, its rows' number from 1 in that order: each partition of a range sort counts its own, behind those before it."""
+def numbered(df: DataFrame, order: list[Column], out: str = "place", keys: list[str] | None = None) -> DataFrame:
+    """df with `out`, its rows' number from 1 in that order, of all rows or of each combination of keys.
+
+    Rows are range-sorted by keys and order; each partition counts its own, behind those in the partitions before it.
+    """
     shared_folder(df.sparkSession)
-    keys = {f"_order{i}": c for i, c in enumerate(order)}
-    at = df.withColumns(keys).checkpoint().orderBy(*keys).drop(*keys).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
-    part = F.shiftright("_at", 33).alias("_part")
-    counts = at.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))  # one row a partition
-    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
-    own = at.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(before), "_part")
-    return own.withColumn(out, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_at", "_before")
+    keys, of = keys or [], {f"_order{i}": c for i, c in enumerate(order)}
+    at = df.withColumns(of).checkpoint().orderBy(*keys, *of).drop(*of).withColumn("_at", F.monotonically_increasing_id())
+    at = at.withColumn("_part", F.shiftright("_at", 33)).checkpoint()
+    counts = at.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))  # few rows a partition
+    before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_part")) - F.col("_n")
+    both = at.join(counts.select("_part", *keys, (before - F.col("_first")).alias("_shift")), ["_part", *keys])
+    return both.withColumn(out, F.col("_at") + F.col("_shift") + 1).drop("_part", "_at", "_shift")

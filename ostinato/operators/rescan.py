@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ostinato.operators import detect, intervals, signal
-from ostinato.params import Detection, Rescan
+from ostinato.params import SCALE_RESCAN, Detection, Rescan
 
 
 def whole_blocks(windows: DataFrame, block: int, least: float = 1.0) -> DataFrame:
@@ -32,27 +32,21 @@ def verify_summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def rescan(windows: DataFrame, samples: DataFrame, rate: int, scorer, p: Detection, r: Rescan = Rescan()) -> DataFrame:
-    """windows (source_key, start_s, end_s) x samples (source_key, sample_no, v in -1..1) -> segments with an outcome, kind 'new'.
+def rescan(windows: DataFrame, chunks: DataFrame, rate: int, scorer, p: Detection, r: Rescan = Rescan()) -> DataFrame:
+    """windows (source_key, start_s, end_s) x chunks of PCM -> segments with an outcome, kind 'new'.
 
-    Samples meet the blocks of their windows by an equi-join on (source, second), so a long source is many keys. Blocks are
-    whole; what is left of a window behind its last one is not read.
+    Blocks are whole; what is left of a window behind its last one is not read. A block's PCM is one value from the chunks on.
     """
     w = whole_blocks(windows, r.block)
     w = w.withColumn("_first", F.round(F.col("start_s") * rate).cast("long"))
-    blocks = w.select("source_key", "start_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("n"), "_first")
+    blocks = w.select("source_key", "start_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"), "_first")
     n = r.block * rate
-    blocks = blocks.withColumn("_from", F.col("_first") + F.col("n") * n).withColumn("_to", F.col("_from") + n)
-    by_second = blocks.withColumn("_sec", F.explode(F.sequence(F.floor(F.col("_from") / rate), F.floor((F.col("_to") - 1) / rate))))
-    s = samples.withColumn("_sec", F.floor(F.col("sample_no") / rate))
-    both = by_second.join(s, ["source_key", "_sec"]).filter((F.col("sample_no") >= F.col("_from")) & (F.col("sample_no") < F.col("_to")))
-    gathered = both.groupBy("source_key", "start_s", "n").agg(F.sort_array(F.collect_list(F.struct("sample_no", "v"))).alias("_x"))
-    raw = F.transform("_x", lambda v: v["v"])
-    rms = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, v: a + v * v) / F.size("_x"))
-    ready = gathered.filter(F.size("_x") == n).withColumn("_g", signal.gain(rms, r))
+    blocks = blocks.withColumn("from", F.col("_first") + F.col("block") * n).withColumn("to", F.col("from") + n)
+    whole = signal.cut(blocks, chunks, ["start_s", "block"]).filter(F.octet_length("payload") == 2 * n)
+    loud = signal.square_sums(whole, ["source_key", "start_s", "block"], "payload").withColumn("gain", signal.gain(F.sqrt(F.col("squares") / n), r))
     name = F.concat_ws("\n", "source_key", F.col("start_s").cast("string"))
-    ready = ready.select(name.alias("source_key"), F.col("n").alias("block_no"), F.transform("_x", lambda v: (v["v"] * F.col("_g")).cast("float")).alias("samples"))
-    found = detect.detect_segments(detect.score_blocks(ready, scorer, detect.FRAME_SCHEMA), p)
+    ready = loud.select(name.alias("source_key"), F.col("block").alias("block_no"), "payload", "gain")
+    found = detect.detect_segments(detect.score_blocks(ready, scorer, detect.FRAME_SCHEMA, SCALE_RESCAN), p)
     window = F.split_part("source_key", F.lit("\n"), F.lit(2)).cast("double")
     found = found.withColumn("_w", window).withColumn("source_key", F.split_part("source_key", F.lit("\n"), F.lit(1)))
     found = found.withColumn("start_s", F.col("start_s") + F.col("_w")).withColumn("end_s", F.col("end_s") + F.col("_w"))
@@ -62,10 +56,9 @@ def rescan(windows: DataFrame, samples: DataFrame, rate: int, scorer, p: Detecti
 def demo(samples: DataFrame, rate: int = 100) -> DataFrame:
     """Every run of hits looked at again, on samples taken as `rate` a second. Runs are cut at minutes; close windows merge."""
     r, p = Rescan(window=10.0, block=10), Detection(precision=10, block_size=10, threshold=0.01, focus_idx=0, classes=2)
-    v = samples.withColumn("v", F.col("sample") / F.lit(32767.0))
     minute = F.floor(F.col("sample_no") / (60 * rate)).alias("block_no")
     over = samples.filter("sample > 4000").select("source_key", minute, F.col("sample_no").alias("bucket"))
     runs = detect.islands(over).groupBy("source_key", "block_no", "island").agg(F.min("bucket").alias("at"), F.max("bucket").alias("to"))
     hits = runs.select("source_key", F.col("at").alias("ordinal"), (F.col("at") / rate).alias("start_s"), (F.col("to") / rate + 1).alias("end_s"))
     windows = intervals.scan_windows(hits, r.window, gap=r.coalesce_gap).select("source_key", "start_s", "end_s")
-    return rescan(windows, v, rate, detect.power_scorer(frame=rate // 100 or 1), p, r)
+    return rescan(windows, signal.packed(samples, 60 * rate), rate, detect.power_scorer(frame=rate // 100 or 1), p, r)

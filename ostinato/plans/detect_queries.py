@@ -97,13 +97,11 @@ def completeness_check(spark, sf):
     return detect.completeness(expected, done)
 
 
-@query(f"""WITH {x.SAMPLES}, b AS (SELECT source_key, sample_no // 1000 AS block_no, list((sample / 32768)::FLOAT ORDER BY sample_no) AS xs FROM samples GROUP BY ALL)
-SELECT source_key, block_no, len(xs)::BIGINT AS n_samples, 1000 AS padded, list_sum(list_transform(xs, lambda v: v::DOUBLE)) AS total, xs[1]::DOUBLE AS first_sample FROM b""")
+@query(f"""WITH {x.SAMPLES}, b AS (SELECT source_key, sample_no // 1000 AS block_no, count(*) AS n_samples, string_agg(printf('%02X%02X', sample % 256, sample // 256), '' ORDER BY sample_no) AS h FROM samples GROUP BY ALL)
+SELECT source_key, block_no, n_samples, 2000 AS n_bytes, md5(rpad(h, 4000, '0')) AS digest FROM b""")
 def block_pad(spark, sf):
-    n = x.samples(spark, sf).groupBy("source_key", F.floor(F.col("sample_no") / 1000).cast("long").alias("block_no")).agg(F.count(F.lit(1)).alias("n_samples"))
-    padded = signal.block_pad(x.samples(spark, sf), 1000).join(n, ["source_key", "block_no"])
-    total = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v.cast("double"))
-    return padded.select("source_key", "block_no", "n_samples", F.size("samples").alias("padded"), total.alias("total"), F.get("samples", F.lit(0)).cast("double").alias("first_sample"))
+    b = signal.block_pad(x.chunks(spark, sf), 1000)
+    return b.select("source_key", "block_no", "n_samples", F.octet_length("payload").alias("n_bytes"), F.md5(F.hex("payload")).alias("digest"))
 
 
 @query("SELECT vec_id, list_transform(range(1, 33), lambda i: embedding[i]::DOUBLE * 0.5::DOUBLE + embedding[i + 32]::DOUBLE * 0.5::DOUBLE)[7] AS mixed_7, 32 AS n FROM embeddings")
@@ -117,8 +115,7 @@ def downmix(spark, sf):
 @query(f"""WITH {x.SAMPLES}, r AS (SELECT source_key, sample_no // 1000 AS block_no, sqrt(avg((sample / 32767) * (sample / 32767))) AS rms FROM samples GROUP BY ALL)
 SELECT source_key, block_no, round(rms, 9) AS rms, round(CASE WHEN rms > 0.005 THEN least(2.5, 0.25 / rms) ELSE 1.0 END, 9) AS gain FROM r""")
 def block_rms_gain(spark, sf):
-    s = x.samples(spark, sf).select("source_key", F.floor(F.col("sample_no") / 1000).cast("long").alias("block_no"), (F.col("sample") / F.lit(32767.0)).alias("v"))
-    g = signal.block_rms_gain(s, ["source_key", "block_no"], "v")
+    g = signal.block_rms_gain(x.chunks(spark, sf), 1000)
     return g.select("source_key", "block_no", F.round("rms", 9).alias("rms"), F.round("gain", 9).alias("gain"))
 
 
@@ -130,13 +127,28 @@ blocks AS (SELECT DISTINCT source_key, block_no FROM power), framed AS (SELECT b
 @query(f"WITH {x.SAMPLES}, {POWER} SELECT source_key, block_no, frame_no, p::FLOAT::DOUBLE AS power, (1 - p)::FLOAT::DOUBLE AS rest FROM framed")
 def score_blocks(spark, sf):
     """Padded blocks through a scorer, then the same detection as on ready frames."""
-    blocks = signal.block_pad(x.samples(spark, sf), 1000)
+    blocks = signal.block_pad(x.chunks(spark, sf), 1000)
     f = detect.score_blocks(blocks, detect.power_scorer(frame=100), detect.FRAME_SCHEMA)
     one = lambda i: F.get("scores", F.lit(i)).cast("double")
     return f.select("source_key", "block_no", "frame_no", one(0).alias("power"), one(1).alias("rest"))
 
 
-@query()
+RESCANNED = """o AS (SELECT source_key, sample_no, sample_no // 6000 AS minute, sample_no - row_number() OVER (PARTITION BY source_key, sample_no // 6000 ORDER BY sample_no) AS isl FROM samples WHERE sample > 4000),
+h AS (SELECT source_key, min(sample_no) AS a, greatest(0, min(sample_no) / 100 - 10) AS s, max(sample_no) / 100 + 1 + 10 AS e FROM o GROUP BY source_key, minute, isl),
+m AS (SELECT *, max(e) OVER (PARTITION BY source_key ORDER BY s, a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM h),
+g AS (SELECT *, sum(CASE WHEN p IS NULL OR s > p + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY source_key ORDER BY s, a) AS g FROM m), w AS (SELECT source_key, min(s) AS s, max(e) AS e FROM g GROUP BY source_key, g),
+b AS (SELECT source_key, s, unnest(range(floor((e - s) / 10)::BIGINT)) AS n, round(s * 100)::BIGINT AS first FROM w WHERE e - s >= 10),
+x AS (SELECT b.source_key, s, n, sample_no - first - n * 1000 AS f, sample / 32767 AS v FROM b JOIN samples q ON q.source_key = b.source_key AND sample_no >= first + n * 1000 AND sample_no < first + (n + 1) * 1000),
+r AS (SELECT source_key, s, n, sqrt(avg(v * v)) AS rms FROM x GROUP BY ALL HAVING count(*) = 1000),
+y AS (SELECT x.*, least(1, pow((v * CASE WHEN rms > 0.005 THEN least(2.5, 0.25 / rms) ELSE 1 END)::FLOAT::DOUBLE, 2)) AS p FROM x JOIN r USING (source_key, s, n)),
+z AS (SELECT source_key, s, n, f, f // 10 AS bucket, p::FLOAT::DOUBLE AS p, (1 - p)::FLOAT::DOUBLE AS q FROM y), u AS (SELECT source_key, s, n, bucket, max(p) AS p FROM z GROUP BY ALL HAVING max(p) > 0.01),
+i AS (SELECT *, bucket - row_number() OVER (PARTITION BY source_key, s, n ORDER BY bucket) AS isl FROM u),
+a AS (SELECT source_key, s, n, isl, min(bucket) AS b0, max(bucket) AS b1, round(max(p), 6) AS pred FROM i GROUP BY ALL),
+k AS (SELECT a.*, z.p, z.q, row_number() OVER (PARTITION BY a.source_key, a.s, a.n, isl ORDER BY z.p DESC, f) AS o FROM a JOIN z ON z.source_key = a.source_key AND z.s = a.s AND z.n = a.n AND z.bucket BETWEEN b0 AND b1)"""
+
+
+@query(f"""WITH {x.SAMPLES}, {RESCANNED} SELECT source_key, n AS block_no, b0 * 10 / 100 + n * 10 + s AS start_s, b1 * 10 / 100 + n * 10 + 1 + s AS end_s, pred, q > p AS suspect, (q > p)::INT AS top1_idx, round(greatest(p, q), 6) AS top1_score,
+  CASE WHEN pred > 0.75 THEN 'direct' WHEN q <= p THEN 'confirmed' ELSE 'rejected' END AS outcome, 'new' AS kind FROM k WHERE o = 1""")
 def rescan_hits(spark, sf):
     """Windows around all hits, scored again with gain: accepted and rejected rows."""
     return rescan.demo(x.samples(spark, sf))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ostinato.operators import ordered, signal
 from ostinato.params import Detection
 
 #: 2024-01-01 in microseconds.
@@ -58,13 +59,14 @@ def durations(segments: DataFrame, less: float = 3600.0) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as samples: quantity x 100, numbered in each return flag by a unique order."""
-    from pyspark.sql import Window as W
+    order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("source_key"), *order, (F.col("l_quantity") * 100).cast("int").alias("sample"))
+    return ordered.numbered(rows, order, "sample_no", ["source_key"]).select("source_key", (F.col("sample_no") - 1).alias("sample_no"), "sample")
 
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    by = W.partitionBy("l_returnflag").orderBy(*order)
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_returnflag").alias("source_key"), (F.row_number().over(by) - 1).cast("long").alias("sample_no"), (F.col("l_quantity") * 100).cast("int").alias("sample")
-    )
+
+def chunks(spark: SparkSession, sf_dir: str, size: int = 1500) -> DataFrame:
+    """The same as chunks of PCM, which end at other places than blocks do."""
+    return signal.packed(samples(spark, sf_dir), size)
 
 
 SAMPLES = """samples AS (SELECT l_returnflag AS source_key, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS sample_no,

@@ -164,29 +164,25 @@ def scan_media_folder(spark, sf):
 
 def _wav_files(spark, sf):
     """Blocks of samples as WAV files in a column; every fifth one is broken."""
-    s = x.samples(spark, sf).withColumn("b", F.floor(S("sample_no") / 1000))
-    s = s.groupBy("source_key", "b").agg(F.transform(F.sort_array(F.collect_list(F.struct("sample_no", "sample"))), lambda v: v["sample"]).alias("v"))
 
     def run(batches):
-        import numpy as np
+        import pandas as pd
 
         for pdf in batches:
             out = []
-            for key, b, v in zip(pdf["source_key"], pdf["b"], pdf["v"]):
-                raw = np.array(v, "<i2").tobytes()
+            for key, first, raw in zip(pdf["source_key"], pdf["first_sample"], map(bytes, pdf["payload"])):
+                b = first // 1000
                 out.append((f"{key}/{b}.wav", (b"JUNK" if b % 5 == 4 else b"") + wav.header(len(raw), 1000) + raw))
-            import pandas as pd
-
             yield pd.DataFrame(out, columns=["path", "content"])
 
-    return s.mapInPandas(run, "path string, content binary")
+    return x.chunks(spark, sf, 1000).mapInPandas(run, "path string, content binary")
 
 
-@query(f"""WITH {x.SAMPLES}, b AS (SELECT source_key, sample_no // 1000 AS b, (sample_no % 1000) // 400 AS chunk_no, count(*) AS n FROM samples GROUP BY ALL)
-SELECT source_key || '/' || b || '.wav' AS path, chunk_no, 2 * n AS n_bytes, NULL AS error FROM b WHERE b % 5 <> 4
-UNION ALL SELECT DISTINCT source_key || '/' || b || '.wav', NULL, NULL, 'not a WAV file' FROM b WHERE b % 5 = 4""")
+@query(f"""WITH {x.SAMPLES}, b AS (SELECT source_key, sample_no // 1000 AS b, (sample_no % 1000) // 400 AS chunk_no, count(*) AS n, md5(string_agg(printf('%02X%02X', sample % 256, sample // 256), '' ORDER BY sample_no)) AS digest FROM samples GROUP BY ALL)
+SELECT source_key || '/' || b || '.wav' AS path, chunk_no, 2 * n AS n_bytes, digest, NULL AS error FROM b WHERE b % 5 <> 4
+UNION ALL SELECT DISTINCT source_key || '/' || b || '.wav', NULL, NULL, NULL, 'not a WAV file' FROM b WHERE b % 5 = 4""")
 def read_pcm_wav(spark, sf):
-    return wav.decode(_wav_files(spark, sf), 400).select("path", "chunk_no", F.length("payload").cast("long").alias("n_bytes"), "error")
+    return wav.decode(_wav_files(spark, sf), 400).select("path", "chunk_no", F.length("payload").cast("long").alias("n_bytes"), F.md5(F.hex("payload")).alias("digest"), "error")
 
 
 @query(f"""WITH {x.SAMPLES}, p AS (SELECT source_key, sample_no // 3000 AS clip_no, sample_no, sample FROM samples WHERE sample_no % 3000 BETWEEN 100 AND 1349)
@@ -195,5 +191,5 @@ def extract_clips(spark, sf):
     s = x.samples(spark, sf)
     n = s.groupBy("source_key").agg(F.max("sample_no").alias("n")).select("source_key", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(S("n") / 3000))).alias("clip_no"))
     plan = n.select("source_key", "clip_no", (S("clip_no") * 30.0 + 1.0).alias("start_s"), (S("clip_no") * 30.0 + 13.5).alias("end_s"))
-    c = wav.extract_clips(intervals.pad_plain(plan, 0.0, 0.0), s, 100)
+    c = wav.extract_clips(intervals.pad_plain(plan, 0.0, 0.0), x.chunks(spark, sf), 100)
     return c.select("source_key", "clip_no", F.length("payload").cast("long").alias("n_bytes"), F.md5(F.hex("payload")).alias("digest"))

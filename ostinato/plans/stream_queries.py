@@ -29,12 +29,15 @@ US = f"""seg AS (SELECT event_type AS source_key, CASE WHEN event_id % 3 = 0 THE
 
 @query(f"WITH {US} SELECT source_key, kind, start_s AS start_us, end_s AS end_us, n_merged FROM merged")
 def stream_merge(spark, sf):
+    last = new_folder(spark, "closing")
+    schema = x.table(spark, sf, "events").schema
+    streams.closing(schema, event_id=0, event_type="", ts="2100-01-01 00:00:00", value=0.0)(spark).write.parquet(last)
     ts = F.col("ts").cast("timestamp")
-    s = _events(spark, sf).select(
+    s = _events(spark, sf).union(streams.stream_of(spark, last, schema)).select(
         F.col("event_type").alias("source_key"), F.when(F.col("event_id") % 3 == 0, "new").otherwise("original").alias("kind"), ts.alias("start_ts"),
         F.unix_micros(ts).alias("start_us"), (F.unix_micros(ts) + F.round(F.col("value") * 2e7).cast("long")).alias("end_us"),
     )
-    return streams.finished(streams.merged_sessions(s, 2_000_000, ["source_key", "kind"]), new_folder(spark, "sessions"), new_folder(spark, "state"), "complete")
+    return streams.finished(streams.merged_sessions(s, 2_000_000, ["source_key", "kind"]), new_folder(spark, "sessions"), new_folder(spark, "state"))
 
 
 @query(f"WITH {DETECTED} SELECT source_key, block_no, start_s, end_s, pred, suspect, top1_idx FROM detected")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ostinato.operators import signal
+
 CHUNKS = "path string, chunk_no long, rate int, payload binary, error string"
 
 
@@ -68,17 +70,7 @@ def media_files(spark: SparkSession, path: str, extensions: tuple[str, ...]) ->
     return files.filter(F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1)).isin(*extensions))
 
 
-def extract_clips(plan: DataFrame, samples: DataFrame, rate: int) -> DataFrame:
-    """plan (source_key, clip_no, start_s, end_s) x samples (source_key, sample_no, sample) -> (source_key, clip_no, payload).
-
-    Samples meet clips by (source, second); a clip's samples are gathered in order, as 16-bit little-endian bytes.
-    """
+def extract_clips(plan: DataFrame, chunks: DataFrame, rate: int) -> DataFrame:
+    """plan (source_key, clip_no, start_s, end_s) x chunks of PCM -> (source_key, clip_no, payload): a clip's samples as bytes."""
     first, last = F.round(F.col("start_s") * rate).cast("long"), F.round(F.col("end_s") * rate).cast("long")
-    p = plan.select("source_key", "clip_no", first.alias("_a"), last.alias("_b")).filter("_b > _a")
-    p = p.withColumn("_sec", F.explode(F.sequence(F.floor(F.col("_a") / rate), F.floor((F.col("_b") - 1) / rate))))
-    s = samples.withColumn("_sec", F.floor(F.col("sample_no") / rate))
-    both = p.join(s, ["source_key", "_sec"]).filter((F.col("sample_no") >= F.col("_a")) & (F.col("sample_no") < F.col("_b")))
-    word = F.pmod(F.col("sample").cast("int"), F.lit(65536))
-    two = F.concat(F.lpad(F.hex(word % 256), 2, "0"), F.lpad(F.hex(F.floor(word / 256)), 2, "0"))
-    rows = both.groupBy("source_key", "clip_no").agg(F.sort_array(F.collect_list(F.struct("sample_no", two.alias("x")))).alias("_x"))
-    return rows.select("source_key", "clip_no", F.unhex(F.array_join(F.transform("_x", lambda v: v["x"]), "")).alias("payload"))
+    return signal.cut(plan.select("source_key", "clip_no", first.alias("from"), last.alias("to")), chunks, ["clip_no"])

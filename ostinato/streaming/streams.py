@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,18 +11,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ostinato.operators.transfer import SLOW, WARM_UP
 
 
-def finished(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs over what is there now and gives the rows written. complete: each batch replaces the table of the one before."""
-    writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).outputMode(mode)
-    if mode == "append":
-        query = writer.format("parquet").option("path", out).start()
-    else:
-        query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/{n}")).start()
+def finished(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Runs over what is there now and gives the rows written, each once."""
+    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).outputMode("append").format("parquet").option("path", out).start()
     query.awaitTermination()
-    spark, schema = stream.sparkSession, stream.schema
-    if mode == "append":
-        return spark.read.schema(schema).parquet(out)
-    return spark.read.schema(schema).parquet(f"{out}/{query.lastProgress['batchId']}")
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
 def slow_streak(samples: DataFrame, threshold: float, warm_up: int = WARM_UP, slow: int = SLOW) -> DataFrame:
@@ -49,7 +43,9 @@ def slow_streak(samples: DataFrame, threshold: float, warm_up: int = WARM_UP, sl
 def merged_sessions(segments: DataFrame, gap_us: int, keys: list[str], late: str = "1 hour") -> DataFrame:
     """Stream (keys, start_ts, start_us, end_us) -> merged intervals: session windows that last to a segment's end and gap_us on.
 
-    A segment that starts when the window ends still joins it, so gap_us microseconds are within, one more is not.
+    A segment that starts when the window ends still joins it, so gap_us microseconds are within, one more is not. A merged interval
+    comes out once, when the watermark (`late` behind the latest start) has passed its end, and its state goes then; those that are
+    still open when a stream ends come out after a row that starts later, of whatever key (`closing`).
     """
     gap = F.concat((F.col("end_us") - F.col("start_us") + gap_us).cast("string"), F.lit(" microseconds"))
     s = segments.withWatermark("start_ts", late)
@@ -57,6 +53,11 @@ def merged_sessions(segments: DataFrame, gap_us: int, keys: list[str], late: str
     return g.agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count(F.lit(1)).alias("n_merged")).drop("session_window")
 
 
+def closing(schema, **values) -> Callable[[SparkSession], DataFrame]:
+    """One row of a stream's schema, which moves the watermark on; its own session stays open."""
+    return lambda spark: spark.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in schema])
+
+
 def block_segments(blocks: DataFrame, precision: int, threshold: float, focus: int, block_size: int) -> DataFrame:
     """Stream of whole blocks (source_key, block_no, scores array<array<float>>) -> segments. No state: runs end with the block."""
 
@@ -86,5 +87,3 @@ def stream_of(spark: SparkSession, folder: str, schema, name: str | None = None)
     """A folder's Parquet files as a stream; name: only files of that name."""
     reader = spark.readStream.schema(schema)
     return (reader.option("pathGlobFilter", name) if name else reader).parquet(folder)
-
-
