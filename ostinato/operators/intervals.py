@@ -7,10 +7,9 @@ whole source into one task. Order within a source is (start_s, ordinal).
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ostinato.operators.ordered import running
+from ostinato.operators.ordered import beside, folded, running
 
 #: Seconds of a source that are ordered together.
 BUCKET_S = 6 * 3600.0
@@ -49,24 +48,36 @@ def scan_windows(rows: DataFrame, window: float, cap: Column | None = None, gap:
     return merged(w.filter("end_s > start_s"), lambda s, e: s > e + gap)
 
 
+def _longest():
+    """Of a cluster's rows in order: holds the last survivor, and gives it up when one comes that doesn't overlap it."""
+    last = None
+
+    def step(row):
+        nonlocal last
+        *key, _, start, end = row
+        if last is not None and [*last[:2]] == key and last[4] > start:
+            if end - start > last[4] - last[3]:
+                last = row
+            return
+        yield from done()
+        last = row
+
+    def done():
+        if last is not None:
+            yield (last[0], *last[2:])
+
+    return step, done
+
+
 def keep_longer(rows: DataFrame, min_length: float | None = None, strict: bool = False) -> DataFrame:
     """Of two that overlap the longer stays, of equal ones the earlier.
 
-    Overlaps stay within clusters (start below the highest end before), so each cluster's sorted rows are folded alone: keep the
-    last survivor; where the next overlaps it, the longer of both is the survivor.
+    Overlaps stay within clusters (start below the highest end before), so clusters are folded apart, row by row: keep the last
+    survivor; where the next overlaps it, the longer of both is the survivor.
     """
     g = grouped(rows, lambda s, e: s >= e)
-    item = F.struct("start_s", "ordinal", "end_s")
-    folded = g.groupBy("source_key", "grp").agg(F.sort_array(F.collect_list(item)).alias("_x"))
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        longer = (x["end_s"] - x["start_s"]) > (last["end_s"] - last["start_s"])
-        swapped = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x))
-        return F.when(last["end_s"] > x["start_s"], F.when(longer, swapped).otherwise(acc)).otherwise(F.concat(acc, F.array(x)))
-
-    kept = F.aggregate(F.slice("_x", 2, F.greatest(F.lit(0), F.size("_x") - 1)), F.slice("_x", 1, 1), step)
-    out = folded.select("source_key", F.explode(kept).alias("_k")).select("source_key", "_k.ordinal", "_k.start_s", "_k.end_s")
+    columns = ["source_key", "grp", "ordinal", "start_s", "end_s"]
+    out = folded(g, ["source_key", "grp"], ["start_s", "ordinal"], columns, _longest, "source_key string, ordinal long, start_s double, end_s double")
     if min_length is None:
         return out
     length = F.col("end_s") - F.col("start_s")
@@ -141,11 +152,11 @@ def pad_clamped(rows: DataFrame, before: float, after: float) -> DataFrame:
 
     duration is that of the padded clip; fetch_start is cut at 0.
     """
-    by = W.partitionBy("source_key").orderBy("start_s", "ordinal")
-    end = F.least(F.col("end_s") + after, F.lead("start_s").over(by))
-    x = rows.withColumn("_end", F.coalesce(end, F.col("end_s") + after))
-    start = F.greatest(F.col("start_s") - before, F.lag("_end").over(by))
-    x = x.withColumn("_start", F.coalesce(start, F.col("start_s") - before))
+    bucket = F.floor(F.col("start_s") / BUCKET_S)
+    x = beside(rows, ["source_key"], bucket, _order(), F.col("start_s"), "_next", True)
+    x = x.withColumn("_end", F.least(F.col("end_s") + after, F.col("_next")))
+    x = beside(x, ["source_key"], bucket, _order(), F.col("_end"), "_before", False)
+    x = x.withColumn("_start", F.greatest(F.col("start_s") - before, F.col("_before")))
     return x.select(
         *[c for c in rows.columns if c not in ("start_s", "end_s")], F.col("_start").alias("start_s"), F.col("_end").alias("end_s"),
         (F.col("_end") - F.col("_start")).alias("duration"), F.greatest(F.lit(0.0), F.col("_start")).alias("fetch_start"),
@@ -175,5 +186,6 @@ def clip_plan(segments: DataFrame, excluded: DataFrame, duration: DataFrame, mer
     clips = clips.join(duration, "source_key", "left")
     clips = safe_clip(clips, F.col("duration"), F.lit(guard), min_length).withColumn("ordinal", F.lit(0).cast("long"))
     kept = keep_longer(clips.select("source_key", "ordinal", "start_s", "end_s"), min_length)
-    no = F.row_number().over(W.partitionBy("source_key").orderBy("start_s", "end_s")).cast("long")
-    return kept.select("source_key", no.alias("clip_no"), "start_s", "end_s")
+    order = [F.col("start_s"), F.col("end_s")]
+    no = running(kept, ["source_key"], F.floor(F.col("start_s") / BUCKET_S), order, F.lit(1), "sum", "clip_no", True)
+    return no.select("source_key", F.col("clip_no").cast("long").alias("clip_no"), "start_s", "end_s")

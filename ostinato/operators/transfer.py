@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ostinato.operators.ordered import folded
+
 WARM_UP, SLOW = 2, 2
 
 
@@ -62,17 +64,22 @@ def fetch_metrics(samples: DataFrame) -> DataFrame:
 
 def slow_streak(samples: DataFrame, threshold: float, warm_up: int = WARM_UP, slow: int = SLOW) -> DataFrame:
     """samples (key, seq, speed) -> alarms (key, seq). The first `warm_up` samples don't count; `slow` in a row under the
-    threshold raise an alarm, after which all begins anew. A key's samples are folded in their order."""
-    rows = samples.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("seq", "speed"))).alias("_x"))
-    start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("run"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(a, x):
-        counts = a["seen"] >= warm_up
-        run = F.when(counts & (x["speed"] < threshold), a["run"] + 1).otherwise(F.lit(0))
-        alarm = run >= slow
-        return F.struct(
-            F.when(alarm, 0).otherwise(a["seen"] + 1).alias("seen"), F.when(alarm, 0).otherwise(run).alias("run"),
-            F.when(alarm, F.concat(a["out"], F.array(x["seq"]))).otherwise(a["out"]).alias("out"),
-        )
-
-    return rows.select("key", F.explode(F.aggregate("_x", start, step, lambda a: a["out"])).alias("seq"))
+    threshold raise an alarm, after which all begins anew. A null speed ends a streak. A key's samples are folded one by one."""
+
+    def fold():
+        now, seen, run = None, 0, 0
+
+        def step(row):
+            nonlocal now, seen, run
+            key, seq, speed = row
+            if key != now:
+                now, seen, run = key, 0, 0
+            run = run + 1 if seen >= warm_up and speed is not None and speed < threshold else 0
+            seen += 1
+            if run >= slow:
+                seen = run = 0
+                yield key, seq
+
+        return step, lambda: ()
+
+    return folded(samples, ["key"], ["seq"], ["key", "seq", "speed"], fold, "key long, seq long")
