@@ -49,8 +49,17 @@ def resolve(requests: DataFrame, results: DataFrame) -> DataFrame:
     return out.select("ordinal", "source_id", "is_remote", ok.alias("ok"), F.when(~ok, F.coalesce("_e", F.lit("no result"))).alias("error"))
 
 
-def require_any(resolved: DataFrame) -> DataFrame:
-    """One row: n_ok, n_failed, fatal (something remote was asked for, nothing remote came, nothing local is there)."""
+def require_any(resolved: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row, or one for each of the keys: n_ok, n_failed, fatal (something remote was asked for, nothing remote came, nothing local
+    is there)."""
     ok, remote = F.col("ok"), F.col("is_remote")
-    counts = resolved.agg(F.count_if(ok).alias("n_ok"), F.count_if(~ok).alias("n_failed"), F.count_if(remote & ok).alias("_r"), F.count_if(remote).alias("_all"), F.count_if(~remote).alias("_l"))
-    return counts.select("n_ok", "n_failed", ((F.col("_all") > 0) & (F.col("_r") == 0) & (F.col("_l") == 0)).alias("fatal"))
+    counts = resolved.groupBy(*(keys or [])).agg(
+        F.count_if(ok).alias("n_ok"), F.count_if(~ok).alias("n_failed"), F.count_if(remote & ok).alias("_r"), F.count_if(remote).alias("_all"), F.count_if(~remote).alias("_l")
+    )
+    return counts.select(*(keys or []), "n_ok", "n_failed", ((F.col("_all") > 0) & (F.col("_r") == 0) & (F.col("_l") == 0)).alias("fatal"))
+
+
+def matched_summary(matches: DataFrame) -> DataFrame:
+    """match_saved's rows -> one row: n_saved, n_loaded, failed (there were saved entries, and none met a medium)."""
+    n = matches.agg(F.count(F.lit(1)).alias("n_saved"), F.count_if(F.col("how") != "unmatched").alias("n_loaded"))
+    return n.select("n_saved", "n_loaded", ((F.col("n_saved") > 0) & (F.col("n_loaded") == 0)).alias("failed"))

@@ -16,6 +16,11 @@ def whole_blocks(windows: DataFrame, block: int, least: float = 1.0) -> DataFram
     return w.withColumn("end_s", F.col("start_s") + F.col("n_blocks") * block)
 
 
+def of_complete(windows: DataFrame, done: DataFrame) -> DataFrame:
+    """Windows of sources all whose blocks were processed; done: source_key, complete. Others are not looked at again."""
+    return windows.join(done.filter("complete").select("source_key").distinct(), "source_key", "left_semi")
+
+
 def outcome(pred: Column, suspect: Column, direct: float = 0.75) -> Column:
     """Sure enough by score: direct; else confirmed unless another class is higher there."""
     return F.when(pred > direct, "direct").when(~F.coalesce(suspect, F.lit(False)), "confirmed").otherwise("rejected")

@@ -252,6 +252,21 @@ def resolve_with_failures(spark, sf):
     return match.resolve(requests, results)
 
 
+@query("""WITH s AS (SELECT c_custkey % 50 AS k, c_custkey % 10 <> 0 AND c_custkey % 50 <> 7 AS is_remote, c_custkey, (SELECT min(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS o FROM customer),
+r AS (SELECT k, is_remote, NOT is_remote OR (o IS NOT NULL AND o % 5 <> 0) AS ok FROM s)
+SELECT k, count(*) FILTER (ok) AS n_ok, count(*) FILTER (NOT ok) AS n_failed, bool_or(is_remote) AND NOT bool_or(is_remote AND ok) AND bool_and(is_remote) AS fatal FROM r GROUP BY k""")
+def require_any(spark, sf):
+    """Batches of requests: fatal where something remote was asked for, nothing remote came and nothing local is there."""
+    name = lambda c: F.concat(F.lit("s"), S(c).cast("string"))
+    k = S("c_custkey")
+    requests = x.table(spark, sf, "customer").select((k % 50).alias("k"), k.alias("ordinal"), name("c_custkey").alias("source_id"), ((k % 10 != 0) & (k % 50 != 7)).alias("is_remote"))
+    r = x.table(spark, sf, "orders").groupBy(name("o_custkey").alias("source_id")).agg(F.min("o_orderkey").alias("o"))
+    bad = S("o") % 5 == 0
+    results = r.select("source_id", F.when(~bad, S("o").cast("string")).alias("url"), F.when(bad, "error").alias("error"))
+    done = match.resolve(requests, results).join(requests.select("ordinal", "k"), "ordinal")
+    return match.require_any(done, ["k"])
+
+
 PLAY = """pl AS (SELECT event_id AS entry_id, event_type AS list_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS idx FROM events)"""
 
 
@@ -396,8 +411,14 @@ def parse_quality(spark, sf):
     return x.table(spark, sf, "part").select(k.alias("k"), media.parse_quality(q).alias("quality"))
 
 
-@query("""SELECT p_partkey AS k, p_size * 3600 + (p_partkey % 60) * 60 + (p_partkey % 59) + (p_partkey % 100) / 100 AS duration, CASE WHEN p_partkey % 3 > 0 THEN 640 + p_size END::INT AS width, CASE WHEN p_partkey % 3 > 0 THEN 360 + p_size END::INT AS height,
-  CASE WHEN p_partkey % 3 = 1 THEN 25.0 ELSE 30.0 END::DOUBLE AS fps, CASE WHEN p_partkey % 2 = 0 THEN 'aac' END AS audio_codec, p_partkey % 3 > 0 AS has_video, p_partkey % 2 = 0 AS has_audio, 1.5::DOUBLE AS speed FROM part""")
+LOG = r"""l AS (SELECT p_partkey AS k, printf('Duration: %02d:%02d:%02d.%02d, start', p_size, p_partkey % 60, p_partkey % 59, p_partkey % 100)
+  || CASE WHEN p_partkey % 3 > 0 THEN chr(10) || '  Stream #0:0: Video: h264, yuv420p, ' || (640 + p_size) || 'x' || (360 + p_size) || CASE WHEN p_partkey % 3 = 1 THEN ', 25 fps' ELSE ', ?' END ELSE '' END
+  || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || '  Stream #0:1: Audio: aac' ELSE '' END || chr(10) || 'speed=1.5x' AS log FROM part)"""
+
+
+@query(rf"""WITH {LOG}, g AS (SELECT k, log, regexp_extract(log, 'Duration:\s*(\d+):(\d\d):(\d\d)\.(\d\d)', ['h', 'm', 's', 'c']) AS d, regexp_extract(log, 'Video:[^\n]*?\b(\d{{2,5}})x(\d{{2,5}})\b', ['w', 'h']) AS v FROM l)
+SELECT k, d.h::DOUBLE * 3600 + d.m::DOUBLE * 60 + d.s::DOUBLE + d.c::DOUBLE / 100 AS duration, nullif(v.w, '')::INT AS width, nullif(v.h, '')::INT AS height, coalesce(nullif(regexp_extract(log, '(\d+(\.\d+)?) fps', 1), '')::DOUBLE, 30.0::DOUBLE) AS fps,
+  nullif(regexp_extract(log, 'Audio:\s*(\w+)', 1), '') AS audio_codec, contains(log, 'Video:') AS has_video, contains(log, 'Audio:') AS has_audio, nullif(regexp_extract(log, 'speed=\s*(\d+(\.\d+)?)x', 1), '')::DOUBLE AS speed FROM g""")
 def parse_probe_log(spark, sf):
     k, n = S("p_partkey"), S("p_size")
     head = F.format_string("Duration: %02d:%02d:%02d.%02d, start", n, k % 60, k % 59, k % 100)

@@ -161,6 +161,15 @@ def interval_slice_prefilter(spark, sf):
     return rescan.whole_blocks(x.intervals(spark, sf).select("source_key", "ordinal", "start_s", "end_s"), 10)
 
 
+@query(f"""WITH {x.SEG}, n AS (SELECT source_key, count(DISTINCT ordinal // 100) AS n, count(DISTINCT ordinal // 100) + (source_key = 'click')::INT AS e FROM seg GROUP BY 1)
+SELECT source_key, ordinal, start_s, end_s FROM seg JOIN n USING (source_key) WHERE n >= e""")
+def rescan_of_complete(spark, sf):
+    s = x.intervals(spark, sf).select("source_key", "ordinal", "start_s", "end_s")
+    blocks = s.select("source_key", F.floor(F.col("ordinal") / 100).alias("block_no"))
+    expected = blocks.groupBy("source_key").agg(F.count_distinct("block_no").alias("n")).select("source_key", (F.col("n") + (F.col("source_key") == "click").cast("int")).alias("n_expected"))
+    return rescan.of_complete(s, detect.completeness(expected, blocks))
+
+
 @query(f"""WITH {x.SEG}, r AS (SELECT *, CASE WHEN pred > 0.75 THEN 'direct' WHEN NOT suspect THEN 'confirmed' ELSE 'rejected' END AS outcome FROM seg)
 SELECT source_key, count(*) AS n_windows, count(*) FILTER (outcome = 'confirmed') AS n_confirmed, count(*) FILTER (outcome = 'direct') AS n_direct,
   count(*) FILTER (outcome = 'rejected') AS n_rejected FROM r GROUP BY ALL""")

@@ -78,12 +78,15 @@ SAVED = """s AS (SELECT p_partkey AS entry_id, CASE WHEN p_partkey % 8 = 0 THEN
   WHEN p_partkey % 3 = 0 THEN '/Media//./x/../' || (p_partkey % 9) || '/a b.mp4' WHEN p_partkey % 11 = 0 THEN '/elsewhere/a b.mp4' ELSE '/Media/' || (p_partkey % 9) || '/' || p_name || '.mp4' END AS name FROM part)"""
 
 
-@query(f"""WITH {MEDIA}, {SAVED}, b AS (SELECT entry_id, name, regexp_extract(name, '[^/]*$') AS base, replace(replace(replace(name, '//', '/'), '/./', '/'), '/x/../', '/') AS norm FROM s),
+MATCHED = f"""{MEDIA}, {SAVED}, b AS (SELECT entry_id, name, regexp_extract(name, '[^/]*$') AS base, replace(replace(replace(name, '//', '/'), '/./', '/'), '/x/../', '/') AS norm FROM s),
 u AS (SELECT entry_id, max(ordinal) AS ordinal FROM b JOIN m ON m.url = b.name GROUP BY 1),
 k AS (SELECT entry_id, ordinal, path = norm AS same, count(*) OVER (PARTITION BY entry_id) AS n, row_number() OVER (PARTITION BY entry_id ORDER BY (path = norm) DESC, ordinal) AS r
-  FROM b JOIN m ON regexp_extract(path, '[^/]*$') = base WHERE m.url IS NULL AND entry_id NOT IN (SELECT entry_id FROM u))
-SELECT b.entry_id, coalesce(u.ordinal, k.ordinal) AS media_ordinal, CASE WHEN u.ordinal IS NOT NULL THEN 'url' WHEN k.ordinal IS NULL THEN 'unmatched' WHEN n = 1 THEN 'name' WHEN same THEN 'path' ELSE 'ambiguous' END AS how
-FROM b LEFT JOIN u USING (entry_id) LEFT JOIN k ON k.entry_id = b.entry_id AND k.r = 1""")
+  FROM b JOIN m ON regexp_extract(path, '[^/]*$') = base WHERE m.url IS NULL AND entry_id NOT IN (SELECT entry_id FROM u)),
+matched AS (SELECT b.entry_id, coalesce(u.ordinal, k.ordinal) AS media_ordinal, CASE WHEN u.ordinal IS NOT NULL THEN 'url' WHEN k.ordinal IS NULL THEN 'unmatched' WHEN n = 1 THEN 'name' WHEN same THEN 'path' ELSE 'ambiguous' END AS how
+FROM b LEFT JOIN u USING (entry_id) LEFT JOIN k ON k.entry_id = b.entry_id AND k.r = 1)"""
+
+
+@query(f"WITH {MATCHED} SELECT * FROM matched")
 def match_saved_to_media(spark, sf):
     key, name, text_ = F.col("p_partkey"), F.col("p_name"), lambda *a: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in a])
     p = x.table(spark, sf, "part")
@@ -93,3 +96,8 @@ def match_saved_to_media(spark, sf):
     saved = F.when(key % 8 == 0, url).when(key % 5 == 0, text_("/gone/", key, ".mp4")).when(key % 7 == 0, text_("/Media/", key % 9, "/", F.upper(name), ".MP4"))
     saved = saved.when(key % 3 == 0, text_("/Media//./x/../", key % 9, "/a b.mp4")).when(key % 11 == 0, "/elsewhere/a b.mp4").otherwise(text_("/Media/", key % 9, "/", name, ".mp4"))
     return match.match_saved(p.select(key.alias("entry_id"), saved.alias("name")), media)
+
+
+@query(f"WITH {MATCHED}, n AS (SELECT count(*) AS n_saved, count(*) FILTER (how <> 'unmatched') AS n_loaded FROM matched) SELECT *, n_saved > 0 AND n_loaded = 0 AS failed FROM n")
+def matched_summary(spark, sf):
+    return match.matched_summary(match_saved_to_media(spark, sf))
