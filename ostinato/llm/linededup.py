@@ -1,9 +1,10 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A store holds runs of (hash pair, documents), each range-sorted by hash. A batch of documents first anti-joins
-what the store knows to be frequent (saturated keys need no more counting), then adds its own counts as a new
-run of level 0. `fan_in` runs of a level are merged into one of the next; keys that reach the limit move from
-the merged run to the saturated ones. All of it is DataFrame code.
+A store holds runs of (hash pair, documents), tables that are bucketed by hash and sorted within a bucket, in the shared
+folder. A batch of documents is anti-joined with the run of what is known to be frequent (such keys need no more counting),
+then adds its own counts as a new run of level 0. `fan_in` runs of a level are merged into one of the next; keys that reach
+the limit move from the merged run to the frequent ones. Merges and the runs' side of anti-joins are sort-merge joins bucket
+by bucket: no run is shuffled again once it is written. All of it is DataFrame code.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE_CHARS, written
+from .shared import SPACE_CHARS, new_path, written
 
 MIN_DOCS = 10
 #: Lines of a batch; small inputs are four batches all the same, so that every step of the method runs.
@@ -34,44 +35,51 @@ def hashed(key: Column) -> Column:
 
 
 class LineRuns:
-    """The levelled runs. `saturated` holds the keys found in at least `min_docs` documents."""
+    """The levelled runs. `saturated` is the run of the keys found in at least `min_docs` documents."""
 
-    def __init__(self, min_docs: int = MIN_DOCS, fan_in: int = FAN_IN):
-        self.min_docs, self.fan_in = min_docs, fan_in
+    def __init__(self, min_docs: int = MIN_DOCS, fan_in: int = FAN_IN, buckets: int | None = None):
+        self.min_docs, self.fan_in, self.buckets = min_docs, fan_in, buckets
         self.levels: list[list[DataFrame]] = []
         self.saturated: DataFrame | None = None
 
+    def stored(self, run: DataFrame, name: str) -> DataFrame:
+        spark = run.sparkSession
+        n = self.buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        path = new_path(spark, name)
+        table = "ostinato_" + path.rpartition("/")[2].replace("-", "_")
+        rows = run.repartition(n, "h1", "h2").write.format("parquet").option("compression", "zstd").option("path", path)
+        rows.bucketBy(n, "h1", "h2").sortBy("h1", "h2").saveAsTable(table)
+        return spark.table(table)
+
+    @staticmethod
+    def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        both = a.join(b.withColumnRenamed("n", "_n"), ["h1", "h2"], "full_outer")
+        return both.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"))
+
     def add(self, keys: DataFrame) -> None:
         """keys: a row (h1, h2) for each document and distinct key of the batch."""
+        counts = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
         if self.saturated is not None:
-            keys = keys.join(self.saturated, ["h1", "h2"], "left_anti")
-        self._place(keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")), 0)
+            counts = counts.join(self.saturated, ["h1", "h2"], "left_anti")
+        self._place(counts, 0)
 
     def _place(self, counts: DataFrame, level: int) -> None:
-        run = written(counts.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2"), f"run{level}")
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(run)
+        self.levels[level].append(self.stored(counts, f"run{level}"))
         if len(self.levels[level]) == self.fan_in:
-            merged = written(self._summed(self.levels[level]), "merged")
+            merged = self.stored(reduce(self.merged, self.levels[level]), "merged")
             self.levels[level] = []
-            self._saturate(merged.filter(F.col("n") >= self.min_docs))
+            more = merged.filter(F.col("n") >= self.min_docs).select("h1", "h2")
+            self.saturated = self.stored(more if self.saturated is None else self.saturated.union(more), "saturated")
             self._place(merged.filter(F.col("n") < self.min_docs), level + 1)
 
-    @staticmethod
-    def _summed(runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.union, runs).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-
-    def _saturate(self, more: DataFrame) -> None:
-        more = more.select("h1", "h2")
-        self.saturated = more if self.saturated is None else self.saturated.union(more)
-
     def frequent(self) -> DataFrame:
         """Distinct (h1, h2) of the keys in at least min_docs documents so far."""
         left = [r for level in self.levels for r in level]
         if left:
-            rest = self._summed(left).filter(F.col("n") >= self.min_docs).select("h1", "h2")
-            return rest if self.saturated is None else self.saturated.union(rest).distinct()
+            rest = reduce(self.merged, left).filter(F.col("n") >= self.min_docs).select("h1", "h2")
+            return rest if self.saturated is None else self.saturated.union(rest)
         return self.saturated
 
 

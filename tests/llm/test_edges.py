@@ -68,6 +68,22 @@ def test_line_runs_by_batches(spark):
     assert sorted(r["h1"] for r in runs.frequent().collect()) == [1, 2]
 
 
+def test_runs_are_merged_without_a_shuffle(spark):
+    from ostinato.llm.linededup import LineRuns
+
+    runs = LineRuns(buckets=4)
+    a, b = (runs.stored(spark.range(i, 5000, 3).select(F.xxhash64("id").alias("h1"), F.col("id").alias("h2"), F.lit(1).cast("long").alias("n")), "run") for i in (0, 1))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for both in (LineRuns.merged(a, b), a.join(b.select("h1", "h2"), ["h1", "h2"], "left_anti")):
+            plan = both._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert LineRuns.merged(a, b).count() == a.count() + b.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_mixing(odd, empty):
     got = mixing.mixed(odd).collect()
     assert len(got) == 10 and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
