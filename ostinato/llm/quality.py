@@ -79,7 +79,8 @@ def compiled(rules=RULES) -> Column:
 def measured(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """docs with one more column `_quality`: the counts, base_failed and kept.
 
-    Null text counts as empty: all counts 0, base_failed true. Other columns pass through untouched; a column
+    Null text counts as empty: all counts 0, base_failed true. Each row is judged by its own text, so equal rows get equal
+    results and nothing depends on order; texts of any length are read whole. Other columns pass through untouched; a column
     called `_quality` in the input is replaced.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
