@@ -18,13 +18,14 @@ def first_seen(df: DataFrame, keys: list[str], ordinal: str = "ordinal") -> Data
 def distinct_candidates(candidates: DataFrame, kind: str) -> DataFrame:
     """Candidates whose format_id and url are both new in their source's order, then those of the kind.
 
-    candidates: source_key, ordinal, format_id, url, acodec, vcodec. Whether a row is new depends on all rows before it, taken or
-    not, so each source's short list is folded: a row counts as seen once it was taken, of whatever kind.
+    candidates: source_key, ordinal, format_id, url, acodec, vcodec. Those without a url are left out; a null or empty format_id is
+    never seen before. Whether a row is new depends on the rows before it that were taken, of whatever kind, so each source's short
+    list is folded.
     """
     item = F.struct("ordinal", "format_id", "url", "acodec", "vcodec")
-    lists = candidates.groupBy("source_key").agg(F.sort_array(F.collect_list(item)).alias("_x"))
+    lists = candidates.filter("url <> ''").groupBy("source_key").agg(F.sort_array(F.collect_list(item)).alias("_x"))
     empty = F.slice("_x", 1, 0)
-    seen = lambda a, c: F.exists(a, lambda s: (s["format_id"] == c["format_id"]) | (s["url"] == c["url"]))
+    seen = lambda a, c: F.exists(a, lambda s: F.coalesce((c["format_id"] != "") & (s["format_id"] == c["format_id"]), F.lit(False)) | (s["url"] == c["url"]))
     kept = F.aggregate("_x", empty, lambda a, c: F.when(seen(a, c), a).otherwise(F.concat(a, F.array(c))))
     rows = lists.select("source_key", F.explode(kept).alias("_c")).select("source_key", "_c.*")
     return stream_kind(rows, kind)

@@ -113,8 +113,8 @@ def dedupe_first_seen(spark, sf):
 
 
 ACODECS, VCODECS = ["none", "aac", "", "NONE", None], [None, "h264", "none", ""]
-CAND = f"""cand AS (SELECT l_orderkey AS source_key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ordinal, 'f' || (l_partkey % 5) AS format_id,
-  'u' || (l_suppkey % 6) AS url, {listed(ACODECS)}[1 + l_partkey % 5] AS acodec, {listed(VCODECS)}[1 + l_suppkey % 4] AS vcodec,
+CAND = f"""cand AS (SELECT l_orderkey AS source_key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ordinal, CASE WHEN l_partkey % 5 = 0 THEN '' ELSE 'f' || (l_partkey % 5) END AS format_id,
+  CASE WHEN l_suppkey % 11 > 0 THEN 'u' || (l_suppkey % 6) END AS url, {listed(ACODECS)}[1 + l_partkey % 5] AS acodec, {listed(VCODECS)}[1 + l_suppkey % 4] AS vcodec,
   l_quantity - 20 AS abr, l_extendedprice / 1000 AS tbr, (l_partkey % 10 * 144)::DOUBLE AS height, l_suppkey % 7 = 0 AS requested, CASE WHEN l_partkey % 4 > 0 THEN l_discount * 20 END AS speed FROM lineitem)"""
 
 
@@ -123,8 +123,8 @@ def _candidates(spark, sf):
 
     no = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     return x.table(spark, sf, "lineitem").select(
-        S("l_orderkey").alias("source_key"), no.cast("long").alias("ordinal"), F.concat(F.lit("f"), (S("l_partkey") % 5).cast("string")).alias("format_id"),
-        F.concat(F.lit("u"), (S("l_suppkey") % 6).cast("string")).alias("url"), pick(ACODECS, S("l_partkey")).alias("acodec"),
+        S("l_orderkey").alias("source_key"), no.cast("long").alias("ordinal"), F.when(S("l_partkey") % 5 == 0, "").otherwise(F.concat(F.lit("f"), (S("l_partkey") % 5).cast("string"))).alias("format_id"),
+        F.when(S("l_suppkey") % 11 > 0, F.concat(F.lit("u"), (S("l_suppkey") % 6).cast("string"))).alias("url"), pick(ACODECS, S("l_partkey")).alias("acodec"),
         pick(VCODECS, S("l_suppkey")).alias("vcodec"), (S("l_quantity") - 20).alias("abr"), (S("l_extendedprice") / 1000).alias("tbr"),
         (S("l_partkey") % 10 * 144).cast("double").alias("height"), (S("l_suppkey") % 7 == 0).alias("requested"), F.when(S("l_partkey") % 4 > 0, S("l_discount") * 20).alias("speed"),
     )
@@ -135,11 +135,11 @@ def stream_kind_filter(spark, sf):
     return catalog.stream_kind(_candidates(spark, sf), "audio").select("source_key", "ordinal", "format_id", "url", "acodec", "vcodec")
 
 
-@query(f"""WITH RECURSIVE {CAND}, f AS (SELECT source_key, ordinal, [format_id] AS fs, [url] AS us, true AS took FROM cand WHERE ordinal = 1
-  UNION ALL SELECT c.source_key, c.ordinal, CASE WHEN list_contains(fs, c.format_id) OR list_contains(us, c.url) THEN fs ELSE list_append(fs, c.format_id) END,
-  CASE WHEN list_contains(fs, c.format_id) OR list_contains(us, c.url) THEN us ELSE list_append(us, c.url) END, NOT (list_contains(fs, c.format_id) OR list_contains(us, c.url))
-  FROM f JOIN cand c ON c.source_key = f.source_key AND c.ordinal = f.ordinal + 1)
-SELECT source_key, ordinal, cand.format_id, cand.url FROM f JOIN cand USING (source_key, ordinal) WHERE took AND vcodec IS NOT NULL AND vcodec <> 'none'""")
+@query(f"""WITH RECURSIVE {CAND}, n AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY ordinal) AS no FROM cand WHERE url IS NOT NULL),
+f AS (SELECT source_key, no, [format_id] AS fs, [url] AS us, true AS took FROM n WHERE no = 1
+  UNION ALL SELECT c.source_key, c.no, CASE WHEN s THEN fs ELSE list_append(fs, c.format_id) END, CASE WHEN s THEN us ELSE list_append(us, c.url) END, NOT s
+  FROM (SELECT c.*, fs, us, (c.format_id <> '' AND list_contains(fs, c.format_id)) OR list_contains(us, c.url) AS s FROM f JOIN n c ON c.source_key = f.source_key AND c.no = f.no + 1) c)
+SELECT source_key, ordinal, n.format_id, n.url FROM f JOIN n USING (source_key, no) WHERE took AND vcodec IS NOT NULL AND vcodec <> 'none'""")
 def dedupe_candidates(spark, sf):
     return catalog.distinct_candidates(_candidates(spark, sf), "video").select("source_key", "ordinal", "format_id", "url")
 

@@ -241,6 +241,12 @@ def test_saved_names(spark):
     assert tuple(one(spark, *[match.normal_path(F.lit(v)) for v in ("../a/../../b", "/../a/", "", "a/..")])) == ("../../b", "/a", ".", ".")
 
 
+def test_candidates_seen_before(spark):
+    rows = [(1, "f1", "a", "v"), (2, "f1", "b", "v"), (3, "f2", "a", "v"), (4, "", "c", "v"), (5, "", "d", "v"), (6, None, "e", "v"), (7, "f3", None, "v"), (8, "f3", "g", "v"), (9, "f4", "h", "none"), (10, "f4", "i", "v")]
+    df = spark.createDataFrame([("s", i, f, u, "aac", v) for i, f, u, v in rows], "source_key string, ordinal long, format_id string, url string, acodec string, vcodec string")
+    assert sorted(r["ordinal"] for r in catalog.distinct_candidates(df, "video").collect()) == [1, 4, 5, 6, 8]
+
+
 def test_streams_and_sizes(spark):
     c = spark.createDataFrame([("aac", None), ("", "none"), ("NONE", None), ("none", None), (None, ""), ("aac", "h264")], "acodec string, vcodec string")
     assert (catalog.stream_kind(c, "audio").count(), catalog.stream_kind(c, "video").count()) == (3, 2)
