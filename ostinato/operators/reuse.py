@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ostinato.functions.media import let
+
 
 def number(c: Column) -> Column:
     """A number as text of at most 12 significant digits, without trailing zeros; with an exponent below 1e-4 and from 1e12 on."""
@@ -14,23 +16,30 @@ def number(c: Column) -> Column:
 
 def exact(c: Column) -> Column:
     """A number as the shortest decimal that reads back as the same double; with an exponent below 1e-4 and from 1e16 on."""
-    c = c.cast("double")
-    java, size = c.cast("string"), F.abs(c)
-    power = F.regexp_extract(java, r"E(-?\d+)$", 1).try_cast("int")
-    digits = F.replace(F.regexp_replace(F.regexp_replace(java, "E.*$", ""), r"\.0$", ""), F.lit("-"), F.lit(""))
-    plain, sign = F.replace(digits, F.lit("."), F.lit("")), F.when(c < 0, "-").otherwise("")
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -1 - power), plain)
-    large = F.concat(F.rpad(plain, power + 1, "0"), F.lit(".0"))
-    tail = F.concat(F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
-    inside = F.when(power < 0, small).when(F.length(plain) <= power + 1, large).otherwise(F.concat(F.substr(plain, F.lit(1), power + 1), F.lit("."), F.substr(plain, power + 2)))
-    return F.when(power.isNull(), java).when((size < 1e-4) | (size >= 1e16), F.concat(sign, digits, tail)).otherwise(F.concat(sign, inside))
+
+    def spelled(x: Column) -> Column:
+        power, digits, sign = x["power"], x["digits"], F.when(c < 0, "-").otherwise("")
+        plain = F.replace(digits, F.lit("."), F.lit(""))
+        far = F.abs(power).cast("string")
+        tail = F.concat(F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(far, F.greatest(F.lit(2), F.length(far)), F.lit("0")))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -1 - power), plain)
+        large = F.concat(F.rpad(plain, power + 1, "0"), F.lit(".0"))
+        inside = F.when(power < 0, small).when(F.length(plain) <= power + 1, large).otherwise(F.concat(F.substr(plain, F.lit(1), power + 1), F.lit("."), F.substr(plain, power + 2)))
+        return F.when(power.isNull(), x["java"]).when((power < -4) | (power >= 16), F.concat(sign, digits, tail)).otherwise(F.concat(sign, inside))
+
+    def read(java: Column) -> Column:
+        digits = F.replace(F.regexp_replace(F.regexp_replace(java, "E.*$", ""), r"\.0$", ""), F.lit("-"), F.lit(""))
+        return let(F.struct(java.alias("java"), F.regexp_extract(java, r"E(-?\d+)$", 1).try_cast("int").alias("power"), digits.alias("digits")), spelled)
+
+    return let(c.cast("double").cast("string"), read)
 
 
 def text(c: Column) -> Column:
     """As a JSON string in ASCII: quotes, backslashes and controls escaped, other characters as UTF-16 units."""
-    json = F.regexp_extract(F.to_json(F.struct(F.coalesce(c.cast("string"), F.lit("")).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
     units = lambda x: F.regexp_replace(F.lower(F.hex(F.encode(x, "UTF-16BE"))), "(.{4})", r"\\u$1")
-    return F.when(json.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(F.split(json, ""), lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), units(x)).otherwise(x)), "")).otherwise(json)
+    ascii_ = lambda j: F.array_join(F.transform(F.split(j, ""), lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), units(x)).otherwise(x)), "")
+    json = F.regexp_extract(F.to_json(F.struct(F.coalesce(c.cast("string"), F.lit("")).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    return let(json, lambda j: F.when(j.rlike(r"[^\x00-\x7f]"), ascii_(j)).otherwise(j))
 
 
 def hashed(**fields: Column) -> Column:

@@ -44,8 +44,9 @@ def cache_key(spark, sf):
 @query(f"""WITH {KEYED} SELECT o_orderkey, cache_key IN (SELECT cache_key FROM k WHERE o_orderkey % 3 = 0) AS reused FROM k""")
 def detections_table(spark, sf):
     """Saves a third of the results, loads those that the requests name, and tells what is still to do."""
-    k = _keys(spark, sf)
-    path = new_folder(spark, "detections")
+    path, kept = new_folder(spark, "detections"), new_folder(spark, "keys")
+    _keys(spark, sf).write.parquet(kept)
+    k = spark.read.parquet(kept)
     detections.save(k.filter("o_orderkey % 3 = 0").select("cache_key", S("o_orderkey").alias("result")), path)
     saved = detections.load(spark, path, k)
     hit, todo = reuse.reuse(k, saved)
