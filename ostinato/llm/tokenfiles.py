@@ -6,6 +6,8 @@ ids, and their statistics let a reader skip the rest.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +25,16 @@ PAGE_ROWS = 2000
 
 def _ranged(df: DataFrame) -> DataFrame:
     """Rows in partitions by ranges of doc_id, null first. The bounds are quantiles of the ids alone, so that the texts are
-    read once and not twice, as a range partitioning's own sample would. One number for each partition comes to the driver."""
+    read once and not twice, as a range partitioning's own sample would. An id that is several quantiles has as many partitions, and
+    null ids have their share: their rows are dealt by their texts. A few numbers for each partition come to the driver."""
     n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = df.select("doc_id").agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0]
-    bounds = F.array(*[F.lit(x).cast("long") for x in sorted(set(cuts or []))])
-    at = F.aggregate(bounds, F.lit(0), lambda k, x: k + F.when(F.col("doc_id") >= x, 1).otherwise(0))
-    return df.repartitionById(n, F.coalesce(at, F.lit(0)).cast("int"))
+    cuts, nulls, rows = df.select("doc_id").agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n), F.count_if(F.col("doc_id").isNull()), F.count(F.lit(1))).first()
+    first = -(-n * nulls // max(1, rows))  # partitions of null ids
+    bounds = F.array(*[F.struct(F.lit(x).cast("long").alias("id"), F.lit(m).alias("m")) for x, m in sorted(Counter(cuts or []).items())])
+    dealt = lambda m: F.pmod(F.xxhash64("text"), m).cast("int")
+    step = lambda k, x: k + F.when(F.col("doc_id") > x["id"], x["m"]).when(F.col("doc_id") == x["id"], 1 + dealt(x["m"])).otherwise(0)
+    own = F.aggregate(bounds, F.lit(first), step) if cuts else F.lit(first)
+    return df.repartitionById(n + first, F.when(F.col("doc_id").isNull(), dealt(F.lit(max(1, first)))).otherwise(own))
 
 
 def encoded(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:

@@ -128,6 +128,19 @@ def test_token_files(spark, odd, empty):
     assert tokenfiles.read_tokens(spark, path, 1, 3).filter("n_tokens = 1").count() == 2
 
 
+def test_hot_ids_are_dealt_over_files(spark, tmp_path):
+    """Null ids and one other hold a third of the rows each: no file holds much more than its share, and starts follow one another."""
+    which = F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.col("id"))
+    docs = spark.range(3000).select(which.cast("long").alias("doc_id"), F.concat_ws(" ", F.lit("text"), F.col("id").cast("string")).alias("text"))
+    path = f"file://{tmp_path}/hot"
+    tokenfiles.write_tokens(tokenfiles.encoded(docs, tokenfiles.vocabulary()), path)
+    sizes = [r["n"] for r in spark.read.parquet(path).groupBy(F.col("_metadata.file_path")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 900
+    got = sorted((r["start"], r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"]) for r in tokenfiles.digests(spark, path).collect())
+    assert [x[1:3] for x in got] == sorted(x[1:3] for x in got)
+    assert [x[0] for x in got] == [0, *[sum(n for *_, n in got[: i + 1]) for i in range(len(got) - 1)]]
+
+
 @pytest.mark.parametrize("delta", [False, True])
 def test_files_of_tokens(spark, tmp_path, monkeypatch, delta):
     """Encodings, row groups and page indexes as they are in the files; a range read skips what it doesn't need."""
