@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ostinato.session import new_folder as new_path
 from ostinato.session import shared_folder as shared_dir
 
-__all__ = ["new_path", "shared_dir"]
-
 #: The six ASCII white-space characters that separate words.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\f\r"
