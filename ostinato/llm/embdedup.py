@@ -181,10 +181,9 @@ def _near_blocks(blocks: DataFrame, cosine: float, fan: int = FAN) -> DataFrame:
     from pyspark.sql import Window as W
 
     leaves = blocks.select("block", "lo", "hi")
-    names = sorted(r["part"] for r in leaves.select(F.shiftright("block", 32).alias("part")).distinct().collect())  # one number a partition
-    counts = {r["part"]: r["n"] for r in leaves.groupBy(F.shiftright("block", 32).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["part"]: r["n"] for r in leaves.groupBy(F.shiftright("block", 32).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one number a partition
     at, shift = 0, []
-    for p in names:
+    for p in sorted(counts):
         shift += [F.lit(p), F.lit(at)]
         at += counts[p]
     part = F.shiftright("block", 32)
