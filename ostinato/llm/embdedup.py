@@ -21,6 +21,8 @@ COSINE = 0.95
 #: Vectors in a block and in a leaf, leading axes of the grid (CELL_BITS each) and of the boxes above the blocks, children of a node. A
 #: block goes as a whole to each block that it may have links with: large ones are sent less often, leaves prune within them.
 BLOCK, LEAF, AXES, CELL_BITS, BOX, FAN = 8192, 128, 6, 10, 16, 4
+#: Bytes that a block's vectors have in a task at most, in double precision, unless a leaf has more.
+BLOCK_BYTES = 8 << 20
 SLACK = 1e-9
 
 
@@ -215,7 +217,7 @@ def linked(reps: DataFrame, dim: int, cosine: float = COSINE, block: int | None
     """reps (id, v, n): distinct usable vectors of one length, with their numbers of copies -> (u, v, k): a row with null v
     counts k vectors linked to u; a row with v is a spanning link."""
     turn = axes(reps, dim)
-    blocks = written(_blocks(reps, turn, cosine, block or BLOCK, min(BOX, dim)), "grid")
+    blocks = written(_blocks(reps, turn, cosine, block or min(BLOCK, max(LEAF, BLOCK_BYTES // (8 * dim))), min(BOX, dim)), "grid")
     pairs = _near_blocks(blocks, cosine)
     x = blocks.select(F.col("block").alias("block_a"), *[F.col(c).alias(f"{c}_a") for c in ("ids", "vs", "ns")])
     y = blocks.select(F.col("block").alias("block_b"), *[F.col(c).alias(f"{c}_b") for c in ("ids", "vs", "ns")])
