@@ -19,19 +19,30 @@ def _order() -> list[Column]:
     return [F.col("start_s"), F.col("ordinal")]
 
 
+def _before(rows: DataFrame, keys, bucket_s: float = BUCKET_S) -> DataFrame:
+    """rows with `_max_end`, the highest end before a row."""
+    return running(rows, list(keys), F.floor(F.col("start_s") / bucket_s), _order(), F.col("end_s"), "max", "_max_end", inclusive=False)
+
+
+def _groups(rows: DataFrame, new: Column, keys, bucket_s: float = BUCKET_S) -> DataFrame:
+    """rows with `_max_end` -> with `grp` instead: raised by one where nothing is before a row or `new` holds."""
+    rows = rows.withColumn("_new", F.when(F.col("_max_end").isNull() | new, 1).otherwise(0).cast("long"))
+    out = running(rows, list(keys), F.floor(F.col("start_s") / bucket_s), _order(), F.col("_new"), "sum", "grp", inclusive=True, hold=False)
+    return out.drop("_max_end", "_new")
+
+
 def grouped(rows: DataFrame, starts_new, keys=("source_key",), bucket_s: float = BUCKET_S) -> DataFrame:
     """rows with `grp`: raised by one wherever starts_new(row's start, highest end before) holds, or nothing is before."""
-    keys, bucket = list(keys), F.floor(F.col("start_s") / bucket_s)
-    rows = running(rows, keys, bucket, _order(), F.col("end_s"), "max", "_max_end", inclusive=False)
-    flag = F.when(F.col("_max_end").isNull() | starts_new(F.col("start_s"), F.col("_max_end")), 1).otherwise(0).cast("long")
-    rows = rows.withColumn("_new", flag)
-    return running(rows, keys, bucket, _order(), F.col("_new"), "sum", "grp", inclusive=True, hold=False).drop("_max_end", "_new")
+    return _groups(_before(rows, keys, bucket_s), starts_new(F.col("start_s"), F.col("_max_end")), keys, bucket_s)
+
+
+def _united(groups: DataFrame, keys, more=()) -> DataFrame:
+    return groups.groupBy(*keys, "grp").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count(F.lit(1)).alias("n_merged"), *more).drop("grp")
 
 
 def merged(rows: DataFrame, starts_new, keys=("source_key",), more=()) -> DataFrame:
     """One row for each group: first start, last end, number, and `more` aggregates."""
-    g = grouped(rows, starts_new, keys)
-    return g.groupBy(*keys, "grp").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count(F.lit(1)).alias("n_merged"), *more).drop("grp")
+    return _united(grouped(rows, starts_new, keys), keys, more)
 
 
 def merge_reverify(rows: DataFrame, gap: float = 2.0) -> DataFrame:
@@ -122,25 +133,34 @@ def blocked_intervals(excluded: DataFrame, kept: DataFrame) -> DataFrame:
     return overlapping(excluded.filter("end_s > start_s"), k).filter(~F.col("_overlaps")).drop("_overlaps")
 
 
-def gaps(clips: DataFrame, bucket_s: float = BUCKET_S) -> DataFrame:
+def _gaps(before: DataFrame) -> DataFrame:
+    rows = before.filter(F.col("start_s") > F.col("_max_end"))
+    return rows.select("source_key", "ordinal", F.col("_max_end").alias("start_s"), F.col("start_s").alias("end_s"))
+
+
+def gaps(clips: DataFrame) -> DataFrame:
     """Rows (source_key, ordinal, start_s, end_s): the positive gap between the clips before a clip and itself."""
-    rows = running(clips, ["source_key"], F.floor(F.col("start_s") / bucket_s), _order(), F.col("end_s"), "max", "_before", inclusive=False)
-    return rows.filter(F.col("start_s") > F.col("_before")).select("source_key", "ordinal", F.col("_before").alias("start_s"), F.col("start_s").alias("end_s"))
+    return _gaps(_before(clips, ["source_key"]))
+
+
+def _within(spans: DataFrame, blocked: DataFrame) -> DataFrame:
+    b = blocked.select(F.col("source_key").alias("_k"), F.col("start_s").alias("_s"), F.col("end_s").alias("_e"))
+    return overlapping(spans, b).filter("_overlaps").select("source_key", "ordinal")
 
 
 def gap_blocked(clips: DataFrame, blocked: DataFrame) -> DataFrame:
     """(source_key, ordinal) of clips with a blocked interval in the gap before them."""
-    b = blocked.select(F.col("source_key").alias("_k"), F.col("start_s").alias("_s"), F.col("end_s").alias("_e"))
-    return overlapping(gaps(clips), b).filter("_overlaps").select("source_key", "ordinal")
+    return _within(gaps(clips), blocked)
 
 
 def merge_clips(clips: DataFrame, blocked: DataFrame | None = None, gap: float = 2.0) -> DataFrame:
     """Merge a clip into the one before when it begins less than `gap` after that ends, unless something blocked lies between."""
-    if blocked is None:
-        return merged(clips, lambda s, e: s - e >= gap)
-    stop = gap_blocked(clips, blocked).withColumn("_stop", F.lit(True))
-    marked = clips.join(stop, ["source_key", "ordinal"], "left").withColumn("_stop", F.coalesce("_stop", F.lit(False)))
-    return merged(marked, lambda s, e: (s - e >= gap) | F.col("_stop"))
+    before, stop = _before(clips, ["source_key"]), F.lit(False)
+    far = F.col("start_s") - F.col("_max_end") >= gap
+    if blocked is not None:
+        at = _within(_gaps(before), blocked).withColumn("_stop", F.lit(True))
+        before, stop = before.join(at, ["source_key", "ordinal"], "left"), F.coalesce("_stop", F.lit(False))
+    return _united(_groups(before, far | stop, ["source_key"]), ["source_key"])
 
 
 def pad_plain(rows: DataFrame, before: float, after: float) -> DataFrame:

@@ -71,14 +71,16 @@ def folded(df: DataFrame, keys: list[str], order: list[str], columns: list[str],
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*columns).mapInArrow(run, schema)
 
 
-def numbered(df: DataFrame, order: list[Column], out: str = "place", keys: list[str] | None = None) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], out: str = "place", keys: list[str] | None = None, hold: bool = False) -> DataFrame:
     """df with `out`, its rows' number from 1 in that order, of all rows or of each combination of keys.
 
-    Rows are range-sorted by keys and order; each partition counts its own, behind those in the partitions before it.
+    Rows are range-sorted by keys and order; each partition counts its own, behind those in the partitions before it. The sort looks at
+    the order twice: hold writes it first, where it is dear to compute.
     """
     shared_folder(df.sparkSession)
     keys, of = keys or [], {f"_order{i}": c for i, c in enumerate(order)}
-    at = df.withColumns(of).checkpoint().orderBy(*keys, *of).drop(*of).withColumn("_at", F.monotonically_increasing_id())
+    at = df.withColumns(of)
+    at = (at.checkpoint() if hold else at).orderBy(*keys, *of).drop(*of).withColumn("_at", F.monotonically_increasing_id())
     at = at.withColumn("_part", F.shiftright("_at", 33)).checkpoint()
     counts = at.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))  # few rows a partition
     before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_part")) - F.col("_n")

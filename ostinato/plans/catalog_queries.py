@@ -333,7 +333,7 @@ def smart_sort(spark, sf):
     k = S("p_partkey")
     folder, name = F.replace(pick(FOLDERS, F.floor(k / 3)), F.lit("#"), (1 + k % 12).cast("string")), F.replace(pick(FILES, k), F.lit("#"), (k % 13).cast("string"))
     f = x.table(spark, sf, "part").select(k.alias("k"), F.concat_ws("/", F.lit("/m"), folder, name).alias("path"))
-    return ordered.numbered(f, [catalog.smart_sort_key(S("path")), S("k")]).select("k", "place")
+    return ordered.numbered(f, [catalog.smart_sort_key(S("path")), S("k")], hold=True).select("k", "place")
 
 
 SHOWS = ["Show Part # end", "Show P#", "Show p 0#/12", "第 # 集 Show", "第 #/12 部分 Show", "Show Ep. #", "Show (#)", "SHOW - #", "straße PART #", "STRASSE", "", None, "part#", "Show #/12 end"]
@@ -356,7 +356,7 @@ def playlist_sort(spark, sf):
         k.alias("index"), "title", F.when(k % 4 == 0, F.upper("p_brand")).otherwise("").alias("group"), F.when(k % 2 == 0, S("p_brand")).alias("series"), F.when(k % 3 == 0, "2024-01-02").alias("upload_date"),
         F.when(k % 5 == 0, (k % 7).cast("string")).when(k % 5 == 1, "x").alias("part_number"),
     )
-    return ordered.numbered(t, catalog.playlist_order(t)).select("index", "place")
+    return ordered.numbered(t, catalog.playlist_order(t), hold=True).select("index", "place")
 
 
 DAYS = ["20240230", "99999999999999999999", "2024-02-30 later", " 2024/0102 ", "20240102T030405", "2024-1-2", "86400", "soon", "", None, "2024-05-06T07:08:09Z", "1704153600.5", "0"]
