@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 60
+#: Rows of minima (two longs each) that are broadcast at most; more are joined by a shuffle.
+SMALL = 1 << 18
 
 
 def forest(u: np.ndarray, v: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -30,18 +32,20 @@ def _state(edges: DataFrame):
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
+def _least(edges: DataFrame, most: int) -> DataFrame:
+    """most: how many rows there are at most."""
+    m = edges.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
+    return F.broadcast(m) if most <= SMALL else m
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, n: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    m = _least(both).select("u", F.least("u", "m").alias("m"))
-    return both.join(m, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    m = _least(both, 2 * n).withColumnRenamed("m", "_m")
+    return both.join(m, "u").withColumn("m", F.least("u", "_m")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    m = _least(edges)
+def _small(edges: DataFrame, n: int) -> DataFrame:
+    m = _least(edges, n)
     moved = edges.join(m, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(m.select("u", F.col("m").alias("v"))).distinct()
 
@@ -56,7 +60,8 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not was[0]:
             break
-        at = _small(_large(at)).checkpoint()
+        large = _large(at, was[0]).checkpoint()
+        at = _small(large, large.count()).checkpoint()
         now = _state(at)
         if now == was:
             break
