@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .components import components
-from .shared import shared_dir, written
+from .shared import checked, shared_dir, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 4
@@ -172,7 +172,7 @@ def similar_groups(docs: DataFrame, row: str = "_row", text: str = "text", keep:
     members = written(buckets.join(shared, "key").filter("rep <> pivot"), "members")
     pairs = members.select(F.col("rep").alias("u"), F.col("pivot").alias("v")).union(_alike(reps)).distinct().checkpoint()
     rows = pairs.select(F.col("u").alias("row")).union(pairs.select(F.col("v").alias("row"))).distinct()
-    sets = written(_sets(docs, rows, row, text, k), "sets")
+    sets = written(_sets(docs, checked(rows), row, text, k), "sets")
     first = components(_held(pairs, sets, similarity).checkpoint()).withColumnRenamed("node", "rep").checkpoint()
 
     def named(df: DataFrame, c: str, by: DataFrame, old: Column) -> DataFrame:

@@ -21,6 +21,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one long that are broadcast at most.
+FEW = 1 << 20
+
+
+def checked(ids: DataFrame) -> DataFrame:
+    """ids (one long), written once; to be broadcast in a join if they are counted to be few, so that what they meet isn't shuffled."""
+    ids = ids.checkpoint()
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def words(text: Column) -> Column:
     """The maximal runs of other characters than SPACE; null gives none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
