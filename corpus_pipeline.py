@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ostinato.llm import linededup, mixing, near, packing, quality
-from ostinato.llm.shared import words, written
+from ostinato.llm.shared import checked, words, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -40,7 +40,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = near.similar_groups(docs, "_row", "text", ["doc_id", "_hash"])
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "row"))
     stay = groups.groupBy("component").agg(first.alias("_first")).select(F.col("_first.row").alias("_row"))
-    return docs.join(stay, "_row", "left_semi").select(*COLUMNS)
+    return docs.join(checked(stay), "_row", "left_semi").select(*COLUMNS)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
