@@ -31,9 +31,8 @@ def packed(samples: DataFrame, size: int) -> DataFrame:
     return rows.mapInPandas(run, "source_key string, first_sample long, payload binary")
 
 
-def _joined(pieces: Column) -> Column:
-    """Binary pieces one behind another; a stretch has few."""
-    return F.aggregate(pieces, F.lit(b""), lambda a, x: F.concat(a, x["piece"]))
+#: Aggregate: a group's binary pieces one behind another, each copied once.
+JOINED = "listagg(piece, X'') WITHIN GROUP (ORDER BY first_sample)"
 
 
 def _piece(start: Column, end: Column) -> Column:
@@ -55,8 +54,8 @@ def cut(stretches: DataFrame, chunks: DataFrame, keys: list[str], cell: int = CE
     s = stretches.filter("to > from").select("source_key", *keys, "from", "to", cells(F.col("from"), F.col("to")).alias("_own")).withColumn("_cell", F.explode("_own"))
     both = s.join(c, ["source_key", "_cell"]).filter(F.col("_cell") == F.greatest(F.get("_cells", F.lit(0)), F.get("_own", F.lit(0))))
     both = both.filter((F.col("from") < F.col("_end")) & (F.col("to") > F.col("first_sample")))
-    piece = F.struct("first_sample", _piece(F.col("from"), F.col("to")).alias("piece"))
-    return both.groupBy("source_key", *keys).agg(F.sort_array(F.collect_list(piece)).alias("_x")).select("source_key", *keys, _joined(F.col("_x")).alias("payload"))
+    pieces = both.select("source_key", *keys, "first_sample", _piece(F.col("from"), F.col("to")).alias("piece"))
+    return pieces.groupBy("source_key", *keys).agg(F.expr(JOINED).alias("payload"))
 
 
 def _blocks(chunks: DataFrame, frame_count: int) -> DataFrame:
@@ -67,12 +66,16 @@ def _blocks(chunks: DataFrame, frame_count: int) -> DataFrame:
     return c.select("source_key", F.col("block_no").cast("long").alias("block_no"), "first_sample", _piece(start, start + frame_count).alias("piece"))
 
 
+def padded(blocks: DataFrame, frame_count: int) -> DataFrame:
+    """Blocks (source_key, block_no, payload) that are whole already, as a reader gives them -> with n_samples, and the payload padded by
+    zeros to frame_count samples. Nothing is shuffled."""
+    n = F.floor(F.octet_length("payload") / 2).cast("long")
+    return blocks.select("source_key", "block_no", n.alias("n_samples"), F.rpad("payload", F.lit(2 * frame_count), F.lit(b"\0")).alias("payload"))
+
+
 def block_pad(chunks: DataFrame, frame_count: int) -> DataFrame:
-    """chunks -> source_key, block_no, n_samples, payload: all blocks of frame_count samples, the last padded by zeros."""
-    rows = _blocks(chunks, frame_count).groupBy("source_key", "block_no").agg(F.sort_array(F.collect_list(F.struct("first_sample", "piece"))).alias("_x"))
-    rows = rows.withColumn("payload", _joined(F.col("_x")))
-    zeros = F.lit(b"\0")
-    return rows.select("source_key", "block_no", F.floor(F.octet_length("payload") / 2).cast("long").alias("n_samples"), F.rpad("payload", F.lit(2 * frame_count), zeros).alias("payload"))
+    """chunks of any lengths -> source_key, block_no, n_samples, payload: all blocks of frame_count samples, the last padded by zeros."""
+    return padded(_blocks(chunks, frame_count).groupBy("source_key", "block_no").agg(F.expr(JOINED).alias("payload")), frame_count)
 
 
 def downmix(left: Column, right: Column) -> Column:

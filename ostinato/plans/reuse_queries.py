@@ -164,26 +164,21 @@ def scan_media_folder(spark, sf):
 
 
 def _wav_files(spark, sf):
-    """Blocks of samples as WAV files in a column; every fifth one is broken."""
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for key, first, raw in zip(pdf["source_key"], pdf["first_sample"], map(bytes, pdf["payload"])):
-                b = first // 1000
-                out.append((f"{key}/{b}.wav", (b"JUNK" if b % 5 == 4 else b"") + wav.header(len(raw), 1000) + raw))
-            yield pd.DataFrame(out, columns=["path", "content"])
-
-    return x.chunks(spark, sf, 1000).mapInPandas(run, "path string, content binary")
+    """Blocks of samples as WAV files in the shared folder; every fifth one is broken."""
+    path, block = new_folder(spark, "wav"), F.floor(S("first_sample") / 1000)
+    name = F.concat("source_key", F.lit("/"), block.cast("string"), F.lit(".wav"))
+    lead = F.when(block % 5 == 4, F.lit(b"JUNK")).otherwise(F.lit(b""))
+    wav.write_wav(x.chunks(spark, sf, 1000).select(name.alias("name"), F.lit(1000).alias("rate"), "payload", lead.alias("lead")), path)
+    return path
 
 
 @query(f"""WITH {x.SAMPLES}, b AS (SELECT source_key, sample_no // 1000 AS b, (sample_no % 1000) // 400 AS chunk_no, count(*) AS n, md5(string_agg(printf('%02X%02X', sample % 256, sample // 256), '' ORDER BY sample_no)) AS digest FROM samples GROUP BY ALL)
 SELECT source_key || '/' || b || '.wav' AS path, chunk_no, 2 * n AS n_bytes, digest, NULL AS error FROM b WHERE b % 5 <> 4
 UNION ALL SELECT DISTINCT source_key || '/' || b || '.wav', NULL, NULL, NULL, 'not a WAV file' FROM b WHERE b % 5 = 4""")
 def read_pcm_wav(spark, sf):
-    return wav.decode(_wav_files(spark, sf), 400).select("path", "chunk_no", F.length("payload").cast("long").alias("n_bytes"), F.md5(F.hex("payload")).alias("digest"), "error")
+    path = _wav_files(spark, sf)
+    name = F.array_join(F.slice(F.split("path", "/"), -2, 2), "/")  # below the folder
+    return wav.read_wav(spark, path, 400, 1600).select(name.alias("path"), "chunk_no", F.length("payload").cast("long").alias("n_bytes"), F.md5(F.hex("payload")).alias("digest"), "error")
 
 
 @query(f"""WITH {x.SAMPLES}, p AS (SELECT source_key, sample_no // 3000 AS clip_no, sample_no, sample FROM samples WHERE sample_no % 3000 BETWEEN 100 AND 1349)

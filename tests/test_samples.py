@@ -74,3 +74,70 @@ def test_neighbours_numbers_and_running_values(spark):
         ranks = {r[1]: n for n, r in enumerate(sorted(own, key=lambda r: (r[2], r[1])), 1)}
         for n, (_, i, _) in enumerate(own):
             assert got[i] == (own[n + 1][2] if n + 1 < len(own) else None, own[n - 1][2] if n else None, sum(r[2] for r in own[: n + 1]), ranks[i])
+
+
+def test_a_recording_over_two_gib_is_read_by_many_tasks(spark, tmp_path):
+    """A sparse file: zeros but for a few places, in blocks that are read whole and padded without a shuffle."""
+    n, block = (9 << 28) + 1234, 16 << 20  # samples, over 4.8 GB: more than a header's 32 bits hold
+    marked = {0: 7, block: 8, n // 2: 9, n - 1: 10}
+    with open(tmp_path / "long.wav", "wb") as f:
+        f.write(wav.header(2 * n, 32000))
+        start = f.tell()
+        f.truncate(start + 2 * n)
+        for i, v in marked.items():
+            f.seek(start + 2 * i)
+            f.write(int(v).to_bytes(2, "little"))
+    (tmp_path / "junk.wav").write_bytes(b"JUNK" * 10)
+    reader = wav.WavReader({"path": str(tmp_path), "chunk": str(block)})
+    parts = reader.partitions()
+    assert len(parts) > 60 and sum(len(p.parts) for p in parts) >= len(parts)
+    spans = [(a, b) for p in parts for path, _, a, b in p.parts if path.endswith("long.wav")]
+    assert [i for a, b in spans for i in range(a, b)] == list(range(-(-n // block))) and max(b - a for a, b in spans) == 2
+    for i, v in marked.items():
+        rows = [r for p in parts for path, found, a, b in p.parts if path.endswith("long.wav") and a <= i // block < b for r in reader.read(wav.Ranges([(path, found, i // block, i // block + 1)]))]
+        raw = rows[0]["payload"][0].as_buffer()
+        assert (rows[0]["chunk_no"][0].as_py(), int(np.frombuffer(raw, "<i2")[i % block])) == (i // block, v)
+    (tmp_path / "some").mkdir()
+    x = np.random.default_rng(1).integers(-32768, 32767, 2500).astype("<i2").tobytes()
+    (tmp_path / "some" / "A.WAV").write_bytes(wav.header(5000, 100) + x)
+    (tmp_path / "some" / "b.wav").write_bytes(wav.header(5000, 100, channels=2)[:40] + b"\xff\xff\xff\xff" + x + b"\1")
+    got = wav.read_wav(spark, str(tmp_path / "some"), 1000, 2000)
+    assert got.rdd.getNumPartitions() == 5
+    blocks = got.select(F.element_at(F.split("path", "/"), -1).alias("source_key"), F.col("chunk_no").alias("block_no"), "payload")
+    done = signal.padded(blocks, 1000)
+    assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+    mono = np.frombuffer(x, "<i2").reshape(-1, 2).mean(axis=1).astype("<i2").tobytes()
+    want = [(k, i, len(y[2000 * i :][:2000]) // 2, y[2000 * i :][:2000].ljust(2000, b"\0")) for k, y in (("A.WAV", x), ("b.wav", mono)) for i in range(-(-len(y) // 2000))]
+    assert sorted((r["source_key"], r["block_no"], r["n_samples"], bytes(r["payload"])) for r in done.collect()) == want
+
+
+def test_wav_headers(tmp_path):
+    import io
+    import struct
+
+    raw = b"\1\0" * 10
+    extra = b"LIST" + struct.pack("<I", 3) + b"abc\0"
+    plain = wav.header(20, 100)
+    for head in (plain, plain[:12] + extra + plain[12:], b"RF64\xff\xff\xff\xffWAVEds64" + struct.pack("<IQQQI", 28, 0, 20, 10, 0) + plain[12:40] + b"\xff\xff\xff\xff"):
+        found = wav.layout(io.BytesIO(head + raw), len(head + raw))
+        assert (found.start, found.n_frames, found.rate) == (len(head), 10, 100)
+    for bad in (b"", b"RIFF", plain[:20], wav.header(20, 100, bits=8) + raw, plain[:36]):
+        with pytest.raises(Exception):
+            wav.layout(io.BytesIO(bad), len(bad))
+    with pytest.raises(FileNotFoundError):
+        wav.WavReader({"path": str(tmp_path / "none")}).partitions()
+    assert wav.WavReader({"path": str(tmp_path)}).partitions() == [wav.Ranges([])]
+
+
+def test_many_chunks_of_a_stretch_take_linear_time(spark):
+    import time
+
+    def took(n):
+        rows = spark.range(n).select(F.lit("a").alias("source_key"), (F.col("id") * 2000).alias("first_sample"), F.unhex(F.repeat(F.lit("0100"), 2000)).alias("payload")).checkpoint()
+        s = spark.createDataFrame([("a", 1, 0, n * 2000)], "source_key string, no long, from long, to long")
+        t = time.perf_counter()
+        assert signal.cut(s, rows, ["no"]).select(F.octet_length("payload")).first()[0] == n * 4000
+        return time.perf_counter() - t
+
+    took(100)
+    assert took(2000) < 1 + 10 * took(500)
