@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.operators.ordered import beside, folded, running
+from ostinato.operators.chains import longest_kept
+from ostinato.operators.ordered import beside, running
 
 #: Seconds of a source that are ordered together.
 BUCKET_S = 6 * 3600.0
@@ -59,36 +60,9 @@ def scan_windows(rows: DataFrame, window: float, cap: Column | None = None, gap:
     return merged(w.filter("end_s > start_s"), lambda s, e: s > e + gap)
 
 
-def _longest():
-    """Of a cluster's rows in order: holds the last survivor, and gives it up when one comes that doesn't overlap it."""
-    last = None
-
-    def step(row):
-        nonlocal last
-        *key, _, start, end = row
-        if last is not None and [*last[:2]] == key and last[4] > start:
-            if end - start > last[4] - last[3]:
-                last = row
-            return
-        yield from done()
-        last = row
-
-    def done():
-        if last is not None:
-            yield (last[0], *last[2:])
-
-    return step, done
-
-
 def keep_longer(rows: DataFrame, min_length: float | None = None, strict: bool = False) -> DataFrame:
-    """Of two that overlap the longer stays, of equal ones the earlier.
-
-    Overlaps stay within clusters (start below the highest end before), so clusters are folded apart, row by row: keep the last
-    survivor; where the next overlaps it, the longer of both is the survivor.
-    """
-    g = grouped(rows, lambda s, e: s >= e)
-    columns = ["source_key", "grp", "ordinal", "start_s", "end_s"]
-    out = folded(g, ["source_key", "grp"], ["start_s", "ordinal"], columns, _longest, "source_key string, ordinal long, start_s double, end_s double")
+    """Of two that overlap the longer stays, of equal ones the earlier: the chain of survivors from each source's first row (chains)."""
+    out = longest_kept(rows, BUCKET_S)
     if min_length is None:
         return out
     length = F.col("end_s") - F.col("start_s")
