@@ -53,24 +53,6 @@ def beside(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
     return both.withColumn(out, F.coalesce("_side_inside", "_side_beyond")).drop("_side_bucket", "_side_value", "_side_order", "_side_inside", "_side_beyond")
 
 
-def folded(df: DataFrame, keys: list[str], order: list[str], columns: list[str], fold, schema: str) -> DataFrame:
-    """Rows of `columns`, sorted by keys and order, through a fold that holds a state of its own: fold() gives, for each task, a pair of
-    functions. step(row) takes the next row, a tuple, and done() ends; both yield rows of the schema. No group is held."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        step, done, names = *fold(), [f.split()[0] for f in schema.split(", ")]
-        kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
-        types = [kinds[f.split()[1]] for f in schema.split(", ")]
-        out = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
-        for b in batches:
-            yield out([x for row in zip(*[c.to_pylist() for c in b.columns]) for x in step(row)])
-        yield out(list(done()))
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*columns).mapInArrow(run, schema)
-
-
 def numbered(df: DataFrame, order: list[Column], out: str = "place", keys: list[str] | None = None, hold: bool = False) -> DataFrame:
     """df with `out`, its rows' number from 1 in that order, of all rows or of each combination of keys.
 

@@ -17,9 +17,17 @@ def _events(spark, sf):
     return streams.stream_of(spark, sf, x.table(spark, sf, "events").schema, "events.parquet")
 
 
+def _closing(spark, sf):
+    """One event long after all others, as a stream."""
+    last, schema = new_folder(spark, "closing"), x.table(spark, sf, "events").schema
+    streams.closing(schema, event_id=0, user_id=-1, event_type="", ts="2100-01-01 00:00:00", value=0.0)(spark).write.parquet(last)
+    return streams.stream_of(spark, last, schema)
+
+
 @query(f"WITH RECURSIVE {STREAK} SELECT key, seq FROM f WHERE alarm")
 def stream_slow_streak(spark, sf):
-    s = _events(spark, sf).select(F.col("user_id").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1.0).alias("order"), F.col("value").alias("speed"))
+    s = _events(spark, sf).union(_closing(spark, sf)).filter("user_id is not null")
+    s = s.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tie"), F.col("value").alias("speed"))
     return streams.finished(streams.slow_streak(s, 35.0), new_folder(spark, "alarms"), new_folder(spark, "state"))
 
 
@@ -29,11 +37,8 @@ US = f"""seg AS (SELECT event_type AS source_key, CASE WHEN event_id % 3 = 0 THE
 
 @query(f"WITH {US} SELECT source_key, kind, start_s AS start_us, end_s AS end_us, n_merged FROM merged")
 def stream_merge(spark, sf):
-    last = new_folder(spark, "closing")
-    schema = x.table(spark, sf, "events").schema
-    streams.closing(schema, event_id=0, event_type="", ts="2100-01-01 00:00:00", value=0.0)(spark).write.parquet(last)
     ts = F.col("ts").cast("timestamp")
-    s = _events(spark, sf).union(streams.stream_of(spark, last, schema)).select(
+    s = _events(spark, sf).union(_closing(spark, sf)).select(
         F.col("event_type").alias("source_key"), F.when(F.col("event_id") % 3 == 0, "new").otherwise("original").alias("kind"), ts.alias("start_ts"),
         F.unix_micros(ts).alias("start_us"), (F.unix_micros(ts) + F.round(F.col("value") * 2e7).cast("long")).alias("end_us"),
     )

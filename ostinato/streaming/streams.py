@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ostinato.operators.transfer import SLOW, WARM_UP
 
@@ -18,26 +18,83 @@ def finished(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def slow_streak(samples: DataFrame, threshold: float, warm_up: int = WARM_UP, slow: int = SLOW) -> DataFrame:
-    """Stream (key, order, speed) -> alarms (key, seq): the state of a key is how many samples it saw, its streak, its place."""
-    import pandas as pd
+def keeps_state(spark: SparkSession) -> None:
+    """Processors with timers and lists of state need the RocksDB store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    def step(key, batches, state: GroupState):
-        seen, run, place = state.get if state.exists else (0, 0, 0)
-        pdf = pd.concat(list(batches)).sort_values("order")
-        out = []
-        for speed in pdf["speed"]:
+
+class Streaks(StatefulProcessor):
+    """Of a key: rows wait in a list until the watermark has passed them, and then go through the automaton of slow streaks in order.
+
+    One timer a key: at the first row that waits or, if none does, `idle_ms` after the last one, when the state goes.
+    """
+
+    def __init__(self, threshold: float, warm_up: int, slow: int, idle_ms: int | None):
+        self.threshold, self.warm_up, self.slow, self.idle_ms = threshold, warm_up, slow, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.machine = handle.getValueState("machine", "seen long, run long, place long, last long, timer long")
+        self.waiting = handle.getListState("waiting", "at long, tie long, speed double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [r for pdf in rows for r in zip(pdf["at"].tolist(), pdf["tie"].tolist(), [None if v != v else v for v in pdf["speed"].tolist()])]
+        if new:
+            self.waiting.appendList(new)
+            self._wake(min(at for at, _, _ in new))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        done = timerValues.getCurrentWatermarkInMs() * 1000
+        seen, run, place, last, _ = self.machine.get()
+        rows = sorted(self.waiting.get(), key=lambda r: r[:2])
+        ready, rest, out = [r for r in rows if r[0] <= done], [r for r in rows if r[0] > done], []
+        for at, _, speed in ready:
             place += 1
-            run = run + 1 if seen >= warm_up and speed < threshold else 0
-            seen += 1
-            if run >= slow:
+            run = run + 1 if seen >= self.warm_up and speed is not None and speed < self.threshold else 0
+            seen, last = seen + 1, at
+            if run >= self.slow:
                 out.append(place)
                 seen = run = 0
-        state.update((seen, run, place))
+        if not rest and self.idle_ms is not None and last + 1000 * self.idle_ms <= done:
+            self.waiting.clear()
+            self.machine.clear()
+        else:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+            self.machine.update((seen, run, place, last, -1))
+            if rest:
+                self._wake(rest[0][0])
+            elif self.idle_ms is not None:
+                self._wake(last + 1000 * self.idle_ms)
         yield pd.DataFrame({"key": [key[0]] * len(out), "seq": out}).astype({"key": "int64", "seq": "int64"})
 
-    grouped = samples.groupBy("key")
-    return grouped.applyInPandasWithState(step, "key long, seq long", "seen long, run long, place long", "append", GroupStateTimeout.NoTimeout)
+    def _wake(self, at: int) -> None:
+        """A timer when the watermark has passed `at`, in place of a later one."""
+        seen, run, place, last, timer = self.machine.get() if self.machine.exists() else (0, 0, 0, 0, -1)
+        ms = -(-at // 1000)
+        if timer < 0 or ms < timer:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(ms)
+            self.machine.update((seen, run, place, last, ms))
+
+    def close(self) -> None:
+        pass
+
+
+def slow_streak(samples: DataFrame, threshold: float, warm_up: int = WARM_UP, slow: int = SLOW, late: str = "1 hour", idle_s: float | None = None) -> DataFrame:
+    """Stream (key, ts, tie, speed) -> alarms (key, seq: the place among the key's samples), as the batch form gives them.
+
+    Samples count in the order of (ts, tie) whatever batch they come in, as long as they come no more than `late` behind the latest ts;
+    later ones are left out. An alarm comes out once the watermark has passed its sample, so the last ones do after a row that starts
+    later, of whatever key (`closing`). With idle_s a key's state goes so long after its last sample; if it comes back it begins anew.
+    """
+    keeps_state(samples.sparkSession)
+    s = samples.withWatermark("ts", late).select("key", "ts", F.unix_micros("ts").alias("at"), "tie", "speed")
+    processor = Streaks(threshold, warm_up, slow, None if idle_s is None else round(1000 * idle_s))
+    return s.groupBy("key").transformWithStateInPandas(processor, "key long, seq long", "append", "eventTime")
 
 
 def merged_sessions(segments: DataFrame, gap_us: int, keys: list[str], late: str = "1 hour") -> DataFrame:
