@@ -131,6 +131,64 @@ def score_blocks(blocks: DataFrame, scorer, columns: str, scale: float = SCALE_D
     return blocks.select("source_key", "block_no", "payload", gain.alias("gain")).mapInPandas(run, columns)
 
 
+SEGMENT_SCHEMA = "source_key string, block_no long, start_s double, end_s double, pred double, suspect boolean, top1_idx int, top1_score double"
+
+
+def block_segments(scores, p: Detection):
+    """scores: an array [blocks, frames, classes] -> arrays (block, first bucket, last bucket, peak frame, pred, top1 class, its score), one
+    value for each segment, as detect_segments finds them; all blocks at once."""
+    import numpy as np
+
+    n, frames, _ = scores.shape
+    focus = scores[:, :, p.focus_idx].astype(np.float64)
+    n_buckets = -(-frames // p.precision)
+    full = np.full((n, n_buckets * p.precision), -np.inf)
+    full[:, :frames] = focus
+    full = full.reshape(n, n_buckets, p.precision)
+    top, at = full.max(axis=2), full.argmax(axis=2) + np.arange(n_buckets) * p.precision
+    edges = np.diff((top > p.threshold).astype(np.int8), axis=1, prepend=0, append=0)
+    block, first = np.nonzero(edges == 1)
+    last = np.nonzero(edges == -1)[1] - 1
+    size = last - first + 1
+    begin = np.cumsum(size) - size
+    place = np.repeat(block * n_buckets + first - begin, size) + np.arange(size.sum())  # the buckets of all segments, flat
+    of = np.repeat(np.arange(len(size)), size)
+    pred = np.maximum.reduceat(top.ravel()[place], begin) if len(size) else np.zeros(0)
+    hit = np.flatnonzero(top.ravel()[place] == pred[of])
+    peak = at.ravel()[place[hit[np.unique(of[hit], return_index=True)[1]]]]
+    there = scores[block, peak]
+    best = there.argmax(axis=1) if len(there) else np.zeros(0, np.int64)
+    return block, first, last, peak, pred, best, there[np.arange(len(there)), best].astype(np.float64)
+
+
+def segments_frame(keys, blocks, scores, p: Detection):
+    """SEGMENT_SCHEMA rows of blocks with their scores, as a pandas frame."""
+    import numpy as np
+    import pandas as pd
+
+    i, first, last, _, pred, best, score = block_segments(scores, p)
+    keys, blocks = np.asarray(keys, object)[i], np.asarray(blocks, np.int64)[i]
+    second = lambda b: b * p.precision / FRAMES_PER_SECOND + blocks * p.block_size
+    return pd.DataFrame(
+        {"source_key": keys, "block_no": blocks, "start_s": second(first), "end_s": second(last) + 1.0, "pred": np.round(pred, 6), "suspect": best != p.focus_idx, "top1_idx": best.astype(np.int32), "top1_score": np.round(score, 6)}
+    )
+
+
+def detect_blocks(blocks: DataFrame, scorer, p: Detection, scale: float = SCALE_DETECT) -> DataFrame:
+    """blocks (source_key, block_no, payload: PCM, all of one length) -> SEGMENT_SCHEMA, scored and segmented in one pass. Segments end with
+    their block, so there is no state and no shuffle: blocks may be a stream."""
+    import numpy as np
+
+    def run(batches):
+        model = scorer()
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack([np.frombuffer(bytes(v), "<i2") for v in pdf["payload"]]).astype(np.float64) / scale
+                yield segments_frame(pdf["source_key"], pdf["block_no"], model(x.astype(np.float32)), p)
+
+    return blocks.select("source_key", "block_no", "payload").mapInPandas(run, SEGMENT_SCHEMA)
+
+
 FRAME_SCHEMA = "source_key string, block_no long, frame_no int, scores array<float>"
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ostinato.operators import detect, signal
+from ostinato.params import Detection
 from ostinato.plans import fixtures as x
-from ostinato.plans.detect_queries import DETECTED
+from ostinato.plans.detect_queries import DETECTED, POWER
 from ostinato.plans.interval_queries import merged_sql
 from ostinato.plans.registry import query
 from ostinato.plans.reuse_queries import STREAK
@@ -46,7 +48,7 @@ def stream_merge(spark, sf):
 
 
 @query(f"WITH {DETECTED} SELECT source_key, block_no, start_s, end_s, pred, suspect, top1_idx FROM detected")
-def stream_block_detect(spark, sf):
+def stream_frame_segments(spark, sf):
     f = x.frames(spark, sf)
     rows = f.groupBy("source_key", "block_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame_no", "scores"))), lambda v: v["scores"]).alias("scores"))
     path = new_folder(spark, "blocks")
@@ -54,3 +56,47 @@ def stream_block_detect(spark, sf):
     d = x.DETECT
     found = streams.block_segments(streams.stream_of(spark, path, rows.schema), d.precision, d.threshold, d.focus_idx, d.block_size)
     return streams.finished(found, new_folder(spark, "segments"), new_folder(spark, "state"))
+
+
+PCM = Detection(precision=2, block_size=10, threshold=0.0072, focus_idx=0, classes=2)
+#: Segments of scored blocks: buckets of two frames, runs, and the first frame of the highest score.
+SEGMENTS = """fr AS (SELECT source_key, block_no, frame_no, frame_no // 2 AS bucket, p::FLOAT::DOUBLE AS p, (1 - p)::FLOAT::DOUBLE AS q FROM framed),
+bu AS (SELECT source_key, block_no, bucket, max(p) AS p FROM fr GROUP BY ALL HAVING max(p) > 0.0072),
+bi AS (SELECT *, bucket - row_number() OVER (PARTITION BY source_key, block_no ORDER BY bucket) AS isl FROM bu),
+sg AS (SELECT source_key, block_no, isl, min(bucket) AS b0, max(bucket) AS b1, round(max(p), 6) AS pred FROM bi GROUP BY ALL),
+pk AS (SELECT sg.*, fr.p, fr.q, row_number() OVER (PARTITION BY sg.source_key, sg.block_no, isl ORDER BY fr.p DESC, frame_no) AS o FROM sg JOIN fr ON fr.source_key = sg.source_key AND fr.block_no = sg.block_no AND fr.bucket BETWEEN b0 AND b1)"""
+#: The block that is lost on its way.
+LOST = 3
+
+
+def _sent(spark, sf):
+    """Padded blocks, each a second after the one before, written as they would arrive, but for one of each source."""
+    blocks, path = signal.block_pad(x.chunks(spark, sf), 1000), new_folder(spark, "blocks")
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("block_no"))
+    blocks.filter(F.col("block_no") != LOST).select("source_key", "block_no", "payload", at.alias("ts")).write.parquet(path)
+    return streams.stream_of(spark, path, "source_key string, block_no long, payload binary, ts timestamp")
+
+
+@query(f"""WITH {x.SAMPLES}, {POWER}, {SEGMENTS} SELECT source_key, block_no, b0 * 2 / 100 + block_no * 10 AS start_s, b1 * 2 / 100 + block_no * 10 + 1 AS end_s, pred, q > p AS suspect, (q > p)::INT AS top1_idx, round(greatest(p, q), 6) AS top1_score
+FROM pk WHERE o = 1 AND block_no <> {LOST}""")
+def stream_block_detect(spark, sf):
+    """PCM blocks that arrive are scored and segmented inside the stream."""
+    found = detect.detect_blocks(_sent(spark, sf), detect.power_scorer(frame=100), PCM)
+    return streams.finished(found, new_folder(spark, "segments"), new_folder(spark, "state"))
+
+
+@query(f"""WITH {x.SAMPLES} SELECT DISTINCT source_key, {LOST}::BIGINT AS block_no FROM samples WHERE sample_no // 1000 = {LOST}""")
+def stream_missing_blocks(spark, sf):
+    """Sources announce how many blocks they have; those that never came are reported."""
+    n = x.samples(spark, sf).groupBy("source_key").agg((F.floor(F.max("sample_no") / 1000) + 1).cast("long").alias("n_expected"))
+    path, start = new_folder(spark, "sources"), F.timestamp_seconds(F.lit(1_704_067_200))
+    n.select("source_key", start.alias("ts"), "n_expected").write.parquet(path)
+    sources, blocks = streams.stream_of(spark, path, "source_key string, ts timestamp, n_expected long"), _sent(spark, sf).select("source_key", "block_no", "ts")
+    for folder, row in ((new_folder(spark, "closing"), "'' AS source_key, timestamp_seconds(9e9) AS ts, 1L AS n_expected"), (new_folder(spark, "closing"), "'' AS source_key, 0L AS block_no, timestamp_seconds(9e9) AS ts")):
+        spark.sql(f"SELECT {row}").write.parquet(folder)
+        if "n_expected" in row:
+            sources = sources.union(streams.stream_of(spark, folder, sources.schema))
+        else:
+            blocks = blocks.union(streams.stream_of(spark, folder, blocks.schema))
+    found = streams.missing_blocks(sources, blocks, "30 days")
+    return streams.finished(found, new_folder(spark, "missing"), new_folder(spark, "state")).select("source_key", "block_no")

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ostinato.operators import detect
 from ostinato.operators.transfer import SLOW, WARM_UP
+from ostinato.params import Detection
 
 
 def finished(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
@@ -117,29 +119,33 @@ def closing(schema, **values) -> Callable[[SparkSession], DataFrame]:
 
 def block_segments(blocks: DataFrame, precision: int, threshold: float, focus: int, block_size: int) -> DataFrame:
     """Stream of whole blocks (source_key, block_no, scores array<array<float>>) -> segments. No state: runs end with the block."""
+    p = Detection(precision=precision, threshold=threshold, focus_idx=focus, block_size=block_size)
 
     def run(batches):
         import numpy as np
-        import pandas as pd
 
         for pdf in batches:
-            for key, block, scores in zip(pdf["source_key"], pdf["block_no"], pdf["scores"]):
-                x = np.stack(scores)
-                f = x[:, focus].astype(np.float64)
-                top = np.maximum.reduceat(f, np.arange(0, len(f), precision))
-                hit = np.concatenate([[0], (top > threshold).astype(int), [0]])
-                first, last = np.nonzero(np.diff(hit) == 1)[0], np.nonzero(np.diff(hit) == -1)[0] - 1
-                rows = []
-                for a, b in zip(first, last):
-                    lo, hi = a * precision, min(len(f), (b + 1) * precision)
-                    peak = lo + int(f[lo:hi].argmax())
-                    best = int(x[peak].argmax())
-                    rows.append((key, block, a * precision / 100 + block * block_size, b * precision / 100 + block * block_size + 1.0, round(float(f[peak]), 6), best != focus, best))
-                yield pd.DataFrame(rows, columns=["source_key", "block_no", "start_s", "end_s", "pred", "suspect", "top1_idx"])
+            frames = pdf["scores"].map(len)
+            for _, some in pdf.groupby(frames):  # blocks of one length together
+                yield detect.segments_frame(some["source_key"], some["block_no"], np.stack([np.stack(v) for v in some["scores"]]), p).drop(columns="top1_score")
 
     return blocks.mapInPandas(run, "source_key string, block_no long, start_s double, end_s double, pred double, suspect boolean, top1_idx int")
 
 
+def missing_blocks(sources: DataFrame, blocks: DataFrame, wait: str, late: str = "1 hour") -> DataFrame:
+    """Streams of sources (source_key, ts, n_expected) and of blocks (source_key, block_no, ts) -> (source_key, block_no, ts) of the blocks
+    that didn't come within `wait` of their source.
+
+    An outer join of two streams: a block that is expected is held until it comes, or until the watermark (`late` behind the latest ts of
+    the slower stream) has passed its time; then it is missing, its state goes, and its source is incomplete.
+    """
+    s = sources.withWatermark("ts", late).select("source_key", "ts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_expected") - 1)).alias("block_no"))
+    b = blocks.withWatermark("ts", late).select(F.col("source_key").alias("_key"), F.col("block_no").alias("_no"), F.col("ts").alias("_came"))
+    in_time = (F.col("_came") >= F.col("ts")) & (F.col("_came") <= F.col("ts") + F.expr(f"INTERVAL {wait}"))
+    both = s.join(b, (F.col("source_key") == F.col("_key")) & (F.col("block_no") == F.col("_no")) & in_time, "leftOuter")
+    return both.filter("_key is null").select("source_key", "block_no", "ts")
+
+
 def stream_of(spark: SparkSession, folder: str, schema, name: str | None = None) -> DataFrame:
     """A folder's Parquet files as a stream; name: only files of that name."""
     reader = spark.readStream.schema(schema)

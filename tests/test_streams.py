@@ -62,3 +62,37 @@ def test_state_of_idle_keys_goes(spark, tmp_path):
     put(spark, tmp_path / "b", quick(120_000, 3), 1)
     put(spark, tmp_path / "b", [(-1, 10_000_000, 0, 0.0)], 2)
     assert run(spark, tmp_path / "b", late="10 seconds") == {7: [4]}
+
+
+def test_segments_of_many_blocks_at_once(spark):
+    """The array form against the batch operators on the same scores, ties and rests of buckets among them."""
+    import numpy as np
+
+    from ostinato.operators import detect
+    from ostinato.params import Detection
+
+    rng = np.random.default_rng(6)
+    for frames, precision in ((10, 2), (11, 3), (5, 7), (12, 1)):
+        p = Detection(precision=precision, block_size=1, threshold=0.5, focus_idx=1, classes=3)
+        scores = rng.choice([0.25, 0.5, 0.625, 0.75], (20, frames, 3)).astype(np.float32)
+        rows = [("a", i, j, [float(v) for v in scores[i, j]]) for i in range(20) for j in range(frames)]
+        want = sorted(tuple(r) for r in detect.detect_segments(spark.createDataFrame(rows, detect.FRAME_SCHEMA), p).collect())
+        got = detect.segments_frame(["a"] * 20, range(20), scores, p)
+        assert sorted(got.itertuples(index=False, name=None)) == want and want
+    assert len(detect.segments_frame(["a"], [0], np.zeros((1, 4, 3), np.float32), p)) == 0
+
+
+def test_missing_blocks_in_later_batches(spark, tmp_path):
+    hour = 3600
+    given = {"a": 3, "b": 2}
+    spark.createDataFrame([(k, 1_000_000, n) for k, n in given.items()], "source_key string, at long, n_expected long").select("source_key", F.timestamp_seconds("at").alias("ts"), "n_expected").coalesce(1).write.parquet(f"{tmp_path}/s/0")
+    came = [("a", 0, 5), ("a", 2, 10 * hour), ("b", 0, 7), ("b", 1, 1 * hour)]  # one never comes, one too late
+    for i, c in enumerate(came):
+        spark.createDataFrame([c], "source_key string, block_no long, at long").select("source_key", "block_no", F.timestamp_seconds(F.col("at") + 1_000_000).alias("ts")).write.parquet(f"{tmp_path}/b/{i}")
+    end = lambda name, sql: spark.sql(sql).write.parquet(f"{tmp_path}/{name}/9")
+    end("s", "SELECT 'z' AS source_key, timestamp_seconds(1e9) AS ts, 1L AS n_expected")
+    end("b", "SELECT 'z' AS source_key, 0L AS block_no, timestamp_seconds(1e9) AS ts")
+    stream = lambda name, schema: spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+    found = streams.missing_blocks(stream("s", "source_key string, ts timestamp, n_expected long"), stream("b", "source_key string, block_no long, ts timestamp"), "6 hours", "12 hours")
+    out = streams.finished(found, f"{tmp_path}/out", f"{tmp_path}/state")
+    assert sorted((r["source_key"], r["block_no"]) for r in out.collect()) == [("a", 1), ("a", 2)]
