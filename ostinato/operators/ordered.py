@@ -1,8 +1,10 @@
-"""Running maxima and sums within a key, in two levels.
+"""Running values, neighbours and numbers within a key, in two levels.
 
 A plain window over a key sorts all of the key's rows in one task. Here the rows of a key are cut into buckets of its
-order (days, thousands of rows ...): a window inside each bucket, one over the buckets' totals, and their sum or maximum.
-So a source that holds a third of all rows is spread over as many tasks as it has buckets.
+order (days, thousands of rows ...): windows inside each bucket for all values at once, and one window over the buckets' totals, which are
+added up from the input before any shuffle. So a source that holds a third of all rows is spread over as many tasks as it has buckets;
+its rows are shuffled once, nothing is written, and no job runs while the plan is built. The input is looked at twice: one that is
+dear to compute should be written before (session.written).
 """
 
 from __future__ import annotations
@@ -14,43 +16,39 @@ from pyspark.sql import functions as F
 from ostinato.session import shared_folder
 
 
-def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column, how: str, out: str, inclusive: bool, hold: bool = True) -> DataFrame:
-    """df with `out`: the max or sum of `value` over the rows of the keys before a row, and itself if inclusive.
-
-    bucket must not decrease along order. Null where no row comes before. The rows are needed twice, for themselves and for the
-    buckets' totals: hold writes them once, so that plans of several steps don't double with each; without, they are made twice.
-    """
-    agg = {"max": F.max, "sum": F.sum}[how]
-    cut = df.withColumn("_run_bucket", bucket).withColumn("_run_value", value)
-    inside = W.partitionBy(*keys, "_run_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    cut = cut.withColumn("_run_inside", agg("_run_value").over(inside))
-    if hold:
-        shared_folder(df.sparkSession)
-        cut = cut.checkpoint()
-    totals = cut.groupBy(*keys, "_run_bucket").agg(agg("_run_value").alias("_run_total"))
+def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], outs: dict[str, tuple[Column, str, bool]]) -> DataFrame:
+    """df with a column for each of outs: name -> (value, "max" or "sum", inclusive), the max or sum of the value over the rows of the
+    keys before a row, and itself if inclusive. Null where there is none. bucket must not decrease along order."""
+    aggs = {"max": F.max, "sum": F.sum}
+    values = {f"_run{i}": v for i, (v, _, _) in enumerate(outs.values())}
+    hows = [(out, aggs[how], how, inclusive) for out, (_, how, inclusive) in outs.items()]
+    cut = df.withColumns({"_run_bucket": bucket, **values})
+    inside = W.partitionBy(*keys, "_run_bucket").orderBy(*order)
+    rows = cut.withColumns({f"_in{i}": agg(f"_run{i}").over(inside.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)) for i, (_, agg, _, inclusive) in enumerate(hows)})
+    totals = cut.groupBy(*keys, "_run_bucket").agg(*[agg(f"_run{i}").alias(f"_all{i}") for i, (_, agg, _, _) in enumerate(hows)])
     before = W.partitionBy(*keys).orderBy("_run_bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_run_bucket", agg("_run_total").over(before).alias("_run_before"))
-    both = cut.join(totals, [*keys, "_run_bucket"])
-    if how == "max":
-        made = F.greatest("_run_inside", "_run_before")
-    else:
-        made = F.when(F.col("_run_inside").isNull(), F.col("_run_before")).otherwise(F.col("_run_inside") + F.coalesce("_run_before", F.lit(0)))
-    return both.withColumn(out, made).drop("_run_bucket", "_run_value", "_run_inside", "_run_before")
+    totals = totals.select(*keys, "_run_bucket", *[agg(f"_all{i}").over(before).alias(f"_pre{i}") for i, (_, agg, _, _) in enumerate(hows)])
+    both = rows.join(totals, [*keys, "_run_bucket"])
+    made = {}
+    for i, (out, _, how, _) in enumerate(hows):
+        own, pre = F.col(f"_in{i}"), F.col(f"_pre{i}")
+        made[out] = F.greatest(own, pre) if how == "max" else F.coalesce(own + pre, own, pre)
+    return both.select(*df.columns, *[c.alias(out) for out, c in made.items()])
 
 
-def beside(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column, out: str, ahead: bool) -> DataFrame:
-    """df with `out`: `value`, which is never null, of the next row of the keys in order if ahead, else of the one before. Null at the end.
+def beside(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], outs: dict[str, tuple[Column, bool]]) -> DataFrame:
+    """df with a column for each of outs: name -> (value, ahead), the value, which is never null, of the next row of the keys in order if
+    ahead, else of the one before. Null at the end.
 
-    A bucket's last or first value goes on to the neighbouring bucket that has rows; bucket must not decrease along order.
+    A bucket's first and last values go on to the neighbouring bucket that has rows; bucket must not decrease along order.
     """
-    look, edge = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
-    shared_folder(df.sparkSession)
-    cut = df.withColumn("_side_bucket", bucket).withColumn("_side_value", value).withColumn("_side_order", F.struct(*order))
-    cut = cut.withColumn("_side_inside", look("_side_value").over(W.partitionBy(*keys, "_side_bucket").orderBy("_side_order"))).checkpoint()
-    edges = cut.groupBy(*keys, "_side_bucket").agg(edge("_side_value", "_side_order").alias("_side_edge"))
-    edges = edges.select(*keys, "_side_bucket", look("_side_edge").over(W.partitionBy(*keys).orderBy("_side_bucket")).alias("_side_beyond"))
-    both = cut.join(edges, [*keys, "_side_bucket"])
-    return both.withColumn(out, F.coalesce("_side_inside", "_side_beyond")).drop("_side_bucket", "_side_value", "_side_order", "_side_inside", "_side_beyond")
+    cut = df.withColumns({"_side_bucket": bucket, "_side_order": F.struct(*order), **{f"_side{i}": v for i, (v, _) in enumerate(outs.values())}})
+    ways = [(out, *((F.lead, F.min_by) if ahead else (F.lag, F.max_by))) for out, (_, ahead) in outs.items()]
+    rows = cut.withColumns({f"_in{i}": look(f"_side{i}").over(W.partitionBy(*keys, "_side_bucket").orderBy("_side_order")) for i, (_, look, _) in enumerate(ways)})
+    edges = cut.groupBy(*keys, "_side_bucket").agg(*[edge(f"_side{i}", "_side_order").alias(f"_edge{i}") for i, (_, _, edge) in enumerate(ways)])
+    edges = edges.select(*keys, "_side_bucket", *[look(f"_edge{i}").over(W.partitionBy(*keys).orderBy("_side_bucket")).alias(f"_far{i}") for i, (_, look, _) in enumerate(ways)])
+    both = rows.join(edges, [*keys, "_side_bucket"])
+    return both.select(*df.columns, *[F.coalesce(f"_in{i}", f"_far{i}").alias(out) for i, (out, _, _) in enumerate(ways)])
 
 
 def numbered(df: DataFrame, order: list[Column], out: str = "place", keys: list[str] | None = None, hold: bool = False) -> DataFrame:

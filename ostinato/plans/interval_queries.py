@@ -30,9 +30,10 @@ def scan_windows(spark, sf):
     return iv.scan_windows(s.select(*COLS, "duration"), 5.0, cap=F.col("duration") - 0.1)
 
 
-@query(f"WITH {x.SEG}, {merged_sql('seg', 'source_key, kind', 'start_s > m + 2', ', max(pred) AS pred, arg_min(ordinal, (start_s, ordinal)) AS ordinal')} SELECT * FROM merged")
+@query(f"""WITH {x.SEG}, {merged_sql('seg', 'source_key, kind', 'start_s > m + 2', ', max(pred) AS pred, min((start_s, ordinal)) AS f')}
+SELECT m.source_key, m.kind, m.start_s, m.end_s, n_merged, m.pred, s.ordinal, s.suspect, s.user_id FROM merged m JOIN seg s ON s.ordinal = f[2]""")
 def merge_reverify(spark, sf):
-    return iv.merge_reverify(x.intervals(spark, sf).select(*COLS, "pred", "kind"))
+    return iv.merge_reverify(x.intervals(spark, sf))
 
 
 #: Sequential, by recursion over a source's rows: the survivor so far is carried along, and given out when the next one clears it.
@@ -125,12 +126,24 @@ def covered_original_anti(spark, sf):
     return iv.covered_original_anti(x.intervals(spark, sf).select(*COLS, "kind"))
 
 
-@query(f"""WITH {x.SEG}, n AS (SELECT source_key, ordinal + 1000000 AS ordinal, start_s + 0.25e0 AS start_s, end_s + 0.25e0 AS end_s, 'new' AS kind FROM seg WHERE ordinal % 4 = 0)
-SELECT source_key, ordinal, start_s, end_s, 'original' AS kind FROM seg UNION ALL SELECT * FROM n""")
+@query(f"""WITH {x.SEG}, n AS (SELECT source_key, ordinal + 1000000 AS ordinal, start_s + CASE WHEN ordinal % 8 = 0 THEN 0 ELSE 0.25e0 END AS start_s, end_s + 0.25e0 AS end_s, 'new' AS kind, pred FROM seg WHERE ordinal % 4 = 0),
+u AS (SELECT source_key, ordinal, start_s, end_s, 'original' AS kind, NULL AS pred FROM seg UNION ALL SELECT * FROM n)
+SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY start_s, (kind = 'new'), ordinal) AS place FROM u""")
 def union_original_new(spark, sf):
-    s = x.intervals(spark, sf).select(*COLS)
-    new = s.filter("ordinal % 4 = 0").select("source_key", F.col("ordinal") + 1_000_000, F.col("start_s") + 0.25, F.col("end_s") + 0.25).toDF(*COLS)
-    return s.withColumn("kind", F.lit("original")).unionByName(new.withColumn("kind", F.lit("new")))
+    s = x.intervals(spark, sf).select(*COLS, "pred")
+    moved = F.col("start_s") + F.when(F.col("ordinal") % 8 == 0, 0.0).otherwise(0.25)
+    new = s.filter("ordinal % 4 = 0").select("source_key", F.col("ordinal") + 1_000_000, moved, F.col("end_s") + 0.25, "pred").toDF(*COLS, "pred")
+    return iv.union_original_new(s.select(*COLS), new)
+
+
+@query(f"""WITH RECURSIVE {x.SEG}, {EXCL}, {DUR}, cl AS (SELECT source_key, ordinal, greatest(0e0, start_s) AS start_s, least(end_s, duration - 0.5e0) AS end_s FROM kp JOIN dur USING (source_key)
+  WHERE start_s < duration - 0.5e0 AND least(end_s, duration - 0.5e0) - greatest(0e0, start_s) >= 1),
+{KEEP.format(base='cl')}
+SELECT source_key, row_number() OVER (PARTITION BY source_key ORDER BY start_s, end_s) AS clip_no, start_s, end_s FROM kept WHERE end_s - start_s >= 1""")
+def clip_plan_unmerged(spark, sf):
+    """Without merging, of overlapping clips the longer stays."""
+    excluded, kept = _excluded_kept(spark, sf)
+    return iv.clip_plan(kept, excluded, x.durations(x.intervals(spark, sf)), merge_gap=None)
 
 
 @query(f"""WITH RECURSIVE {x.SEG}, {EXCL}, {BLOCKED}, {GAPS}, {MERGE_STOP}, {DUR},

@@ -87,6 +87,31 @@ def test_excluded_inside_kept_does_not_block(spark):
     assert intervals.blocked_intervals(spans(spark, (1, 2)), spans(spark, (0, 3))).count() == 0
 
 
+def test_merge_keeps_the_first_rows_fields(spark):
+    s = spans(spark, (0, 3), (2, 9), (1, 2)).withColumns({"suspect": F.col("ordinal") != 0, "top1_idx": F.col("ordinal") + 70, "pred": F.col("ordinal") / 10.0})
+    r = intervals.merge_reverify(s).first()
+    assert (r["start_s"], r["end_s"], r["n_merged"], r["pred"], r["ordinal"], r["suspect"], r["top1_idx"]) == (0, 9, 3, 0.2, 0, False, 70)
+
+
+def test_union_is_tagged_and_sorted(spark):
+    a, b = spans(spark, (5, 6), (1, 2)).drop("kind"), spans(spark, (5, 9), (0, 1)).drop("kind").withColumn("top1_idx", F.lit(1))
+    got = [(r["place"], r["start_s"], r["kind"], r["top1_idx"]) for r in intervals.union_original_new(a, b).orderBy("place").collect()]
+    assert got == [(1, 0, "new", 1), (2, 1, "original", None), (3, 5, "original", None), (4, 5, "new", 1)]
+
+
+def test_a_plan_is_built_without_a_job_and_shuffles_rows_once(spark):
+    s = spans(spark, (10, 12), (14, 16))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "")
+    try:
+        padded, merged = intervals.pad_clamped(s, 3, 3), intervals.merge_clips(s, spans(spark, (13, 13.5)))
+        assert not tracker.getJobIdsForGroup("lazy")
+        assert bounds(merged) == [(10, 12), (14, 16)]
+        assert len(bounds(padded)) == 2
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
 def test_merge_reverify_is_inclusive_and_by_kind(spark):
     assert bounds(intervals.merge_reverify(spans(spark, (0, 3), (5, 6)))) == [(0, 6)]
     assert bounds(intervals.merge_reverify(spans(spark, (0, 3), (4, 6), kind=["original", "new"]))) == [(0, 3), (4, 6)]

@@ -64,16 +64,15 @@ def test_neighbours_numbers_and_running_values(spark):
     rows = [(rng.choice("ab"), i, rng.randrange(1000)) for i in range(200)]
     df = spark.createDataFrame(rows, "k string, i long, v long")
     bucket, order = F.floor(F.col("i") / 7), [F.col("i")]
-    out = ordered.beside(df, ["k"], bucket, order, F.col("v"), "next", True)
-    out = ordered.beside(out, ["k"], bucket, order, F.col("v"), "last", False)
-    out = ordered.running(out, ["k"], bucket, order, F.col("v"), "sum", "total", True)
+    out = ordered.beside(df, ["k"], bucket, order, {"next": (F.col("v"), True), "last": (F.col("v"), False)})
+    out = ordered.running(out, ["k"], bucket, order, {"total": (F.col("v"), "sum", True), "most": (F.col("v"), "max", False)})
     out = ordered.numbered(out, [F.col("v"), F.col("i")], "no", ["k"])
-    got = {r["i"]: (r["next"], r["last"], r["total"], r["no"]) for r in out.collect()}
+    got = {r["i"]: (r["next"], r["last"], r["total"], r["most"], r["no"]) for r in out.collect()}
     for k in "ab":
         own = [r for r in rows if r[0] == k]
         ranks = {r[1]: n for n, r in enumerate(sorted(own, key=lambda r: (r[2], r[1])), 1)}
         for n, (_, i, _) in enumerate(own):
-            assert got[i] == (own[n + 1][2] if n + 1 < len(own) else None, own[n - 1][2] if n else None, sum(r[2] for r in own[: n + 1]), ranks[i])
+            assert got[i] == (own[n + 1][2] if n + 1 < len(own) else None, own[n - 1][2] if n else None, sum(r[2] for r in own[: n + 1]), max((r[2] for r in own[:n]), default=None), ranks[i])
 
 
 def test_a_recording_over_two_gib_is_read_by_many_tasks(spark, tmp_path):
