@@ -49,11 +49,12 @@ def rescan(windows: DataFrame, chunks: DataFrame, rate: int, scorer, p: Detectio
     blocks = blocks.withColumn("from", F.col("_first") + F.col("block") * n).withColumn("to", F.col("from") + n)
     whole = signal.cut(blocks, chunks, ["start_s", "block"]).filter(F.octet_length("payload") == 2 * n)
     loud = signal.square_sums(whole, ["source_key", "start_s", "block"], "payload").withColumn("gain", signal.gain(F.sqrt(F.col("squares") / n), r))
-    name = F.concat_ws("\n", "source_key", F.col("start_s").cast("string"))
+    # source and window are one key of blocks, written so that any text and any double can be told apart and read back
+    name = F.to_json(F.struct("source_key", F.col("start_s").alias("at")))
     ready = loud.select(name.alias("source_key"), F.col("block").alias("block_no"), "payload", "gain")
     found = detect.detect_segments(detect.score_blocks(ready, scorer, detect.FRAME_SCHEMA, SCALE_RESCAN), p)
-    window = F.split_part("source_key", F.lit("\n"), F.lit(2)).cast("double")
-    found = found.withColumn("_w", window).withColumn("source_key", F.split_part("source_key", F.lit("\n"), F.lit(1)))
+    read = F.from_json("source_key", "source_key string, at double")
+    found = found.withColumn("_k", read).withColumn("_w", F.col("_k.at")).withColumn("source_key", F.col("_k.source_key")).drop("_k")
     found = found.withColumn("start_s", F.col("start_s") + F.col("_w")).withColumn("end_s", F.col("end_s") + F.col("_w"))
     return verified(found, r).withColumn("kind", F.lit("new")).drop("_w")
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ostinato.session import written
+
 #: Seconds within which two bounds are the same.
 TOLERANCE = 0.01
 
@@ -55,21 +57,86 @@ def selected_semi(segments: DataFrame, picks: DataFrame) -> DataFrame:
     return s.join(p, (F.col("source_key") == F.col("_k")) & (F.col("_own") == F.col("_cell")) & near, "left_semi").drop("_own")
 
 
+def _linked(links: DataFrame) -> DataFrame:
+    """links (a, b): pairs of numbers, each number in one at least -> (node, group), the least number that a node is linked with. Large
+    and small stars by turns: every node hangs its larger neighbours, then its smaller ones, on the least of them, in some rounds a
+    logarithm of a chain's length."""
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    at, was = links.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct().checkpoint(), None
+    while (now := tuple(at.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first())) != was:
+        was = now
+        both = at.union(at.select("lo", "hi"))
+        large = both.join(both.groupBy("hi").agg(F.least("hi", F.min("lo")).alias("m")), "hi").filter("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct().checkpoint()
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        moved = large.join(least, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        at = moved.union(least.select("hi", F.col("m").alias("lo"))).distinct().checkpoint()
+    group = at.select(F.col("hi").alias("node"), F.col("lo").alias("group"))
+    return nodes.join(group, "node", "left").withColumn("group", F.coalesce("group", "node"))
+
+
+def _replayed(key, rows):
+    """A group's segments and edits, as a pandas frame -> the segments that were edited, with the bounds that the last edit left."""
+    import math
+
+    import pandas as pd
+
+    cells: dict[int, set[int]] = {}
+    segments = rows[rows["edit_no"].isna()].sort_values("place")
+    now = {i: (r.start_s, r.end_s) for i, r in enumerate(segments.itertuples())}
+    cell = lambda x: math.floor(x / TOLERANCE)
+    for i, (s, _) in now.items():
+        cells.setdefault(cell(s), set()).add(i)
+    edited = set()
+    for e in rows[rows["edit_no"].notna()].sort_values("edit_no").itertuples():
+        k = cell(e.start_s)
+        hits = [i for c in (k - 1, k, k + 1) for i in cells.get(c, ()) if abs(now[i][0] - e.start_s) < TOLERANCE and abs(now[i][1] - e.end_s) < TOLERANCE]
+        if hits:
+            i = min(hits)
+            cells[cell(now[i][0])].discard(i)
+            now[i] = (e.new_start, e.new_end)
+            cells.setdefault(cell(e.new_start), set()).add(i)
+            edited.add(i)
+    out = segments.iloc[sorted(edited)]
+    return pd.DataFrame({"_place": out["place"], "_start": [now[i][0] for i in sorted(edited)], "_end": [now[i][1] for i in sorted(edited)]})
+
+
 def apply_edits(segments: DataFrame, edits: DataFrame) -> DataFrame:
-    """edits (source_key, old_start, old_end, new_start, new_end): each moves the first segment near its old bounds.
+    """edits (source_key, edit_no, old_start, old_end, new_start, new_end), made one after another by edit_no: each moves the first segment of
+    its source, in the order of ordinal, whose bounds are within the tolerance of the old ones at that time, as earlier edits left them.
+    One with new_start >= new_end is refused, one that meets nothing does nothing. Segments keep their order. -> segments with `edited`.
 
-    Edits with new_start >= new_end are refused. If several meet one segment the least new bounds win.
+    Edits that may meet one segment are one group: they look for bounds near each other's, or for bounds that another one leaves. Groups
+    are found by linking edits in tolerance-wide cells and replayed apart, with the segments near them; others aren't touched.
     """
-    e = edits.filter("new_start < new_end").withColumn("_id", F.monotonically_increasing_id()).withColumn("_cell", _cells(F.col("old_start")))
-    e = e.withColumnRenamed("source_key", "_k")
-    s = segments.withColumn("_own", F.floor(F.col("start_s") / TOLERANCE))
-    near = (F.abs(F.col("start_s") - F.col("old_start")) < TOLERANCE) & (F.abs(F.col("end_s") - F.col("old_end")) < TOLERANCE)
-    hit = s.join(e, (F.col("source_key") == F.col("_k")) & (F.col("_own") == F.col("_cell")) & near)
-    first = F.row_number().over(W.partitionBy("_k", "old_start", "old_end", "new_start", "new_end").orderBy("start_s", "ordinal"))
-    hit = hit.withColumn("_r", first).filter("_r = 1").groupBy("source_key", "ordinal").agg(F.min(F.struct("new_start", "new_end")).alias("_new"))
-    both = segments.join(hit, ["source_key", "ordinal"], "left")
+    e = edits.filter("new_start < new_end").withColumn("_id", F.monotonically_increasing_id())
+    e = written(e.select("_id", "source_key", "edit_no", "old_start", "old_end", "new_start", "new_end"), "edits")
+    at = lambda s: F.floor(F.col(s) / TOLERANCE).cast("long")
+    # an edit touches the cells around its old start and the cell of its new one; the least edit of each cell stands for the cell
+    around = e.select("_id", "source_key", F.explode(F.array(at("old_start") - 1, at("old_start"), at("old_start") + 1, at("new_start"))).alias("_cell"))
+    first = around.groupBy("source_key", "_cell").agg(F.min("_id").alias("_first"))
+    links = around.join(first, ["source_key", "_cell"]).select(F.col("_id").alias("a"), F.col("_first").alias("b"))
+    group = _linked(links).withColumnsRenamed({"node": "_id", "group": "_group"})
+    grouped = written(e.join(group, "_id"), "edit_groups")
+    cells = around.join(group, "_id").select("source_key", "_cell", "_group").distinct()
+    # the place of a segment: its ordinal, of equal ones by bounds
+    own = written(segments.withColumn("_row", F.monotonically_increasing_id()), "reviewed")
+    near = own.withColumn("_cell", at("start_s")).join(cells, ["source_key", "_cell"]).select("_group", F.struct("ordinal", "start_s", "end_s", "_row").alias("place"), "start_s", "end_s")
+    no = F.lit(None)
+    both = near.select("_group", "place", no.cast("long").alias("edit_no"), "start_s", "end_s", no.cast("double").alias("new_start"), no.cast("double").alias("new_end")).union(
+        grouped.select("_group", no.alias("place"), "edit_no", "old_start", "old_end", "new_start", "new_end")
+    )
+    rank = F.row_number().over(W.partitionBy("_group").orderBy("place"))
+    both = both.withColumn("_row", F.col("place._row")).withColumn("place", F.when(F.col("place").isNotNull(), rank)).withColumn("place", F.coalesce("place", F.lit(0)))
+
+    def run(key, rows):
+        out = _replayed(key, rows)
+        named = rows[rows["edit_no"].isna()].set_index("place")["_row"]
+        return out.assign(_row=[named[p] for p in out["_place"]])[["_row", "_start", "_end"]].astype({"_row": "int64"})
+
+    moved = both.groupBy("_group").applyInPandas(run, "_row long, _start double, _end double")
+    done = own.join(moved, "_row", "left")
     rest = [c for c in segments.columns if c not in ("start_s", "end_s")]
-    return both.select(*rest, F.coalesce("_new.new_start", "start_s").alias("start_s"), F.coalesce("_new.new_end", "end_s").alias("end_s"), F.col("_new").isNotNull().alias("edited"))
+    return done.select(*rest, F.coalesce("_start", "start_s").alias("start_s"), F.coalesce("_end", "end_s").alias("end_s"), F.col("_start").isNotNull().alias("edited"))
 
 
 def _rounded(df: DataFrame) -> DataFrame:

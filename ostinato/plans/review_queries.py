@@ -53,17 +53,27 @@ def selected_tolerance_semi(spark, sf):
     return review.selected_semi(s, _picks(s))
 
 
-@query(f"""WITH {x.SEG}, ed AS (SELECT source_key, ordinal AS o, start_s AS s, end_s AS e, start_s + 1 AS ns, start_s + (ordinal % 3) AS ne FROM seg WHERE ordinal % 10 = 0),
-hit AS (SELECT seg.source_key, seg.ordinal, ns, ne, row_number() OVER (PARTITION BY ed.source_key, s, e, ns, ne ORDER BY seg.start_s, seg.ordinal) AS r FROM seg JOIN ed
-  ON ed.source_key = seg.source_key AND abs(seg.start_s - s) < 0.01e0 AND abs(seg.end_s - e) < 0.01e0 WHERE ns < ne),
-one AS (SELECT source_key, ordinal, min((ns, ne)) AS n FROM hit WHERE r = 1 GROUP BY 1, 2)
-SELECT seg.source_key, seg.ordinal, coalesce(n[1], start_s) AS start_s, coalesce(n[2], end_s) AS end_s, n IS NOT NULL AS edited FROM seg LEFT JOIN one USING (source_key, ordinal)""")
+#: Three edits of every tenth segment, one after another: the second moves what the first left, a little off, unless it is refused; the
+#: third then finds the segment only if it was.
+EDITS = """ed AS (SELECT source_key, ordinal * 3 AS edit_no, start_s AS s, end_s AS e, start_s + 1 AS ns, end_s + 1 AS ne FROM seg WHERE ordinal % 10 = 0
+  UNION ALL SELECT source_key, ordinal * 3 + 1, start_s + 1.004e0, end_s + 1, start_s + 2, start_s + 2 + ordinal % 3 FROM seg WHERE ordinal % 10 = 0
+  UNION ALL SELECT source_key, ordinal * 3 + 2, start_s + 1, end_s + 1, start_s + 5, end_s + 5 FROM seg WHERE ordinal % 10 = 0),
+od AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY edit_no) AS k FROM ed WHERE ns < ne)"""
+
+
+@query(f"""WITH RECURSIVE {x.SEG}, {EDITS},
+st AS (SELECT source_key, ordinal, start_s, end_s, false AS edited, 0::BIGINT AS k FROM seg
+  UNION ALL SELECT source_key, ordinal, CASE WHEN ordinal = hit THEN ns ELSE start_s END, CASE WHEN ordinal = hit THEN ne ELSE end_s END, edited OR coalesce(ordinal = hit, false), k
+  FROM (SELECT st.source_key, st.ordinal, st.start_s, st.end_s, st.edited, od.k, ns, ne, min(CASE WHEN abs(st.start_s - s) < 0.01e0 AND abs(st.end_s - e) < 0.01e0 THEN st.ordinal END) OVER (PARTITION BY st.source_key) AS hit
+    FROM st JOIN od ON od.source_key = st.source_key AND od.k = st.k + 1))
+SELECT source_key, ordinal, start_s, end_s, edited FROM st WHERE (source_key, k) IN (SELECT source_key, max(k) FROM st GROUP BY 1)""")
 def apply_time_edits(spark, sf):
     s = x.intervals(spark, sf).select(*COLS)
-    e = s.filter("ordinal % 10 = 0").select(
-        "source_key", F.col("start_s").alias("old_start"), F.col("end_s").alias("old_end"), (F.col("start_s") + 1).alias("new_start"), (F.col("start_s") + F.col("ordinal") % 3).alias("new_end")
-    )
-    return review.apply_edits(s, e)
+    t = s.filter("ordinal % 10 = 0")
+    a, b, n = F.col("start_s"), F.col("end_s"), F.col("ordinal")
+    edit = lambda i, *bounds: t.select("source_key", (n * 3 + i).alias("edit_no"), *[c.alias(name) for c, name in zip(bounds, ("old_start", "old_end", "new_start", "new_end"))])
+    edits = edit(0, a, b, a + 1, b + 1).union(edit(1, a + 1.004, b + 1, a + 2, a + 2 + n % 3)).union(edit(2, a + 1, b + 1, a + 5, b + 5))
+    return review.apply_edits(s, edits)
 
 
 @query(f"WITH {x.SEG} SELECT source_key, ordinal, start_s, end_s FROM seg WHERE (source_key, round(start_s, 3), round(end_s, 3)) IN (SELECT (source_key, round(start_s, 3), round(end_s, 3)) FROM seg WHERE ordinal % 6 = 0)")
