@@ -89,11 +89,15 @@ def _runs(batch: pa.RecordBatch):
 
 
 def _parts(rows: DataFrame, bucket_s: float, size: int) -> DataFrame:
-    """(source_key, bucket, chunk, x): a bucket's rows in order, in chunks."""
+    """(source_key, part, chunk, x): a source's rows in order. A part is so many neighbouring buckets of time as begin within `size` rows; one
+    that has more, as a single bucket may, is cut into chunks."""
     cut = rows.dropna(subset=["start_s", "end_s"]).select("source_key", "ordinal", "start_s", "end_s", F.floor(F.col("start_s") / bucket_s).cast("long").alias("bucket"))
-    no = F.row_number().over(W.partitionBy("source_key", "bucket").orderBy("start_s", "ordinal"))
+    counts = cut.groupBy("source_key", "bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("source_key").orderBy("bucket")) - F.col("_n")
+    cut = cut.join(counts.select("source_key", "bucket", F.floor(before / size).cast("long").alias("part")), ["source_key", "bucket"])
+    no = F.row_number().over(W.partitionBy("source_key", "part").orderBy("start_s", "ordinal"))
     cut = cut.withColumn("chunk", F.floor((no - 1) / size).cast("long"))
-    return cut.groupBy("source_key", "bucket", "chunk").agg(F.sort_array(F.collect_list(F.struct("start_s", "ordinal", "end_s"))).alias("x"))
+    return cut.groupBy("source_key", "part", "chunk").agg(F.sort_array(F.collect_list(F.struct("start_s", "ordinal", "end_s"))).alias("x"))
 
 
 def _ends(parts: DataFrame) -> DataFrame:
@@ -212,15 +216,15 @@ def longest_kept(rows: DataFrame, bucket_s: float, size: int = PART, fan: int =
     """rows (source_key, ordinal, start_s, end_s) -> those that stand when, of each two that overlap, the shorter goes, of equal ones the
     later. Rows with a null bound go. Parts are written once; where no source has two of them that is all."""
     parts = written(_parts(rows, bucket_s, size), "parts")
-    of_source = parts.groupBy("source_key").agg(F.count(F.lit(1)).alias("n"), F.min("bucket").alias("b0"), F.max("bucket").alias("b1"), F.max("chunk").alias("c1"))
-    most, total, low, high, chunks = of_source.agg(F.max("n"), F.sum("n"), F.min("b0"), F.max("b1"), F.max("c1")).first()  # five numbers
+    of_source = parts.groupBy("source_key").agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("p1"), F.max("chunk").alias("c1"))
+    most, total, last, chunks = of_source.agg(F.max("n"), F.sum("n"), F.max("p1"), F.max("c1")).first()  # four numbers
     if (most or 0) <= 1:
         return _kept(parts.select("source_key", "x", F.lit(0).cast("long").alias("entry"), F.lit(None).cast("long").alias("lost")))
-    number = (F.col("bucket") - low) * (chunks + 1) + F.col("chunk")
+    number = F.col("part") * (chunks + 1) + F.col("chunk")
     parts = parts.select("source_key", number.alias("no"), "x")
     ends = written(_ends(parts), "ends")
     t = ends.select("source_key", "no", F.explode("terminals").alias("t")).select("source_key", "no", "t.pos", "t.end", "t.length")
-    asked = first_after(t, ends, (high - low + 1) * (chunks + 1) - 1, fan)
+    asked = first_after(t, ends, (last + 1) * (chunks + 1) - 1, fan)
     edges = _reached(ends, written(_entered(parts, asked), "edges"), most)
     visits = edges.select("source_key", F.col("target").alias("no"), "entry").unionByName(ends.groupBy("source_key").agg(F.min("no").alias("no")).withColumn("entry", F.lit(0).cast("long")))
     plan = visits.join(edges.filter("not clear").select("source_key", "no", F.col("pos").alias("lost")), ["source_key", "no"], "left").checkpoint()  # one row a part at most

@@ -74,30 +74,45 @@ def _linked(links: DataFrame) -> DataFrame:
     return nodes.join(group, "node", "left").withColumn("group", F.coalesce("group", "node"))
 
 
-def _replayed(key, rows):
-    """A group's segments and edits, as a pandas frame -> the segments that were edited, with the bounds that the last edit left."""
+def _replayed(rows):
+    """Rows (row or None for an edit, start, end, new start, new end) of one group, its segments in order and then its edits in order ->
+    (row, start, end) of the segments that were edited, with the bounds that the last edit left."""
     import math
 
-    import pandas as pd
-
-    cells: dict[int, set[int]] = {}
-    segments = rows[rows["edit_no"].isna()].sort_values("place")
-    now = {i: (r.start_s, r.end_s) for i, r in enumerate(segments.itertuples())}
     cell = lambda x: math.floor(x / TOLERANCE)
-    for i, (s, _) in now.items():
-        cells.setdefault(cell(s), set()).add(i)
-    edited = set()
-    for e in rows[rows["edit_no"].notna()].sort_values("edit_no").itertuples():
-        k = cell(e.start_s)
-        hits = [i for c in (k - 1, k, k + 1) for i in cells.get(c, ()) if abs(now[i][0] - e.start_s) < TOLERANCE and abs(now[i][1] - e.end_s) < TOLERANCE]
-        if hits:
-            i = min(hits)
+    names, now, cells, edited = [], [], {}, set()
+    for row, s, e, ns, ne in rows:
+        if row is not None:
+            cells.setdefault(cell(s), set()).add(len(now))
+            names.append(row)
+            now.append((s, e))
+            continue
+        k = cell(s)
+        near = (i for c in (k - 1, k, k + 1) for i in cells.get(c, ()))
+        i = min((i for i in near if abs(now[i][0] - s) < TOLERANCE and abs(now[i][1] - e) < TOLERANCE), default=None)
+        if i is not None:
             cells[cell(now[i][0])].discard(i)
-            now[i] = (e.new_start, e.new_end)
-            cells.setdefault(cell(e.new_start), set()).add(i)
+            now[i] = (ns, ne)
+            cells.setdefault(cell(ns), set()).add(i)
             edited.add(i)
-    out = segments.iloc[sorted(edited)]
-    return pd.DataFrame({"_place": out["place"], "_start": [now[i][0] for i in sorted(edited)], "_end": [now[i][1] for i in sorted(edited)]})
+    return [(names[i], *now[i]) for i in sorted(edited)]
+
+
+def _replays(batches):
+    """Of rows in order of their group; a group may go over several batches."""
+    from itertools import groupby
+
+    import pyarrow as pa
+
+    rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns]))
+    held: list = []
+    out = lambda: pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.float64()))], ["_row", "_start", "_end"])
+    for _, group in groupby(rows, key=lambda r: r[0]):
+        held += _replayed(r[1:] for r in group)
+        if len(held) >= 10_000:
+            yield out()
+            held.clear()
+    yield out()
 
 
 def apply_edits(segments: DataFrame, edits: DataFrame) -> DataFrame:
@@ -120,20 +135,13 @@ def apply_edits(segments: DataFrame, edits: DataFrame) -> DataFrame:
     cells = around.join(group, "_id").select("source_key", "_cell", "_group").distinct()
     # the place of a segment: its ordinal, of equal ones by bounds
     own = written(segments.withColumn("_row", F.monotonically_increasing_id()), "reviewed")
-    near = own.withColumn("_cell", at("start_s")).join(cells, ["source_key", "_cell"]).select("_group", F.struct("ordinal", "start_s", "end_s", "_row").alias("place"), "start_s", "end_s")
-    no = F.lit(None)
-    both = near.select("_group", "place", no.cast("long").alias("edit_no"), "start_s", "end_s", no.cast("double").alias("new_start"), no.cast("double").alias("new_end")).union(
-        grouped.select("_group", no.alias("place"), "edit_no", "old_start", "old_end", "new_start", "new_end")
+    near = own.withColumn("_cell", at("start_s")).join(cells, ["source_key", "_cell"])
+    none = F.lit(None).cast("double")
+    both = near.select("_group", "_row", "start_s", "end_s", none.alias("new_start"), none.alias("new_end"), F.lit(0).alias("_kind"), F.col("ordinal").alias("_no")).union(
+        grouped.select("_group", F.lit(None).cast("long"), "old_start", "old_end", "new_start", "new_end", F.lit(1), "edit_no")
     )
-    rank = F.row_number().over(W.partitionBy("_group").orderBy("place"))
-    both = both.withColumn("_row", F.col("place._row")).withColumn("place", F.when(F.col("place").isNotNull(), rank)).withColumn("place", F.coalesce("place", F.lit(0)))
-
-    def run(key, rows):
-        out = _replayed(key, rows)
-        named = rows[rows["edit_no"].isna()].set_index("place")["_row"]
-        return out.assign(_row=[named[p] for p in out["_place"]])[["_row", "_start", "_end"]].astype({"_row": "int64"})
-
-    moved = both.groupBy("_group").applyInPandas(run, "_row long, _start double, _end double")
+    both = both.repartition("_group").sortWithinPartitions("_group", "_kind", "_no", "start_s", "end_s", "_row")
+    moved = both.select("_group", "_row", "start_s", "end_s", "new_start", "new_end").mapInArrow(_replays, "_row long, _start double, _end double")
     done = own.join(moved, "_row", "left")
     rest = [c for c in segments.columns if c not in ("start_s", "end_s")]
     return done.select(*rest, F.coalesce("_start", "start_s").alias("start_s"), F.coalesce("_end", "end_s").alias("end_s"), F.col("_start").isNotNull().alias("edited"))

@@ -77,7 +77,7 @@ def test_one_cluster_of_all_rows_is_spread(spark):
     v = [(r["start_s"], r["ordinal"], r["end_s"]) for r in rows.orderBy("start_s", "ordinal").collect()]
     out = chains.longest_kept(rows, 1e9, 4096)
     assert by_source(out) == {"a": fold(v)}
-    parts = chains._parts(rows, 1e9, 4096)
+    parts = chains._parts(rows, 1e6, 4096)
     assert parts.count() == -(-n // 4096)
 
 
