@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ostinato.functions import media
+from ostinato.session import written
 
 
 def first_seen(df: DataFrame, keys: list[str], ordinal: str = "ordinal") -> DataFrame:
@@ -19,16 +20,27 @@ def distinct_candidates(candidates: DataFrame, kind: str) -> DataFrame:
     """Candidates whose format_id and url are both new in their source's order, then those of the kind.
 
     candidates: source_key, ordinal, format_id, url, acodec, vcodec. Those without a url are left out; a null or empty format_id is
-    never seen before. Whether a row is new depends on the rows before it that were taken, of whatever kind, so each source's short
-    list is folded.
+    never seen before. Whether a row is new depends on the rows before it that were taken, of whatever kind: so rows that share a format
+    or a url are rivals, and in each round every row that comes first among its live rivals is taken, and its rivals go. A round is
+    linear in the rows still live; lists are done in a few, only rivals in a chain (each with the next alone) take one for each second row.
     """
-    item = F.struct("ordinal", "format_id", "url", "acodec", "vcodec")
-    lists = candidates.filter("url <> ''").groupBy("source_key").agg(F.sort_array(F.collect_list(item)).alias("_x"))
-    empty = F.slice("_x", 1, 0)
-    seen = lambda a, c: F.exists(a, lambda s: F.coalesce((c["format_id"] != "") & (s["format_id"] == c["format_id"]), F.lit(False)) | (s["url"] == c["url"]))
-    kept = F.aggregate("_x", empty, lambda a, c: F.when(seen(a, c), a).otherwise(F.concat(a, F.array(c))))
-    rows = lists.select("source_key", F.explode(kept).alias("_c")).select("source_key", "_c.*")
-    return stream_kind(rows, kind)
+    c = candidates.filter("url <> ''").select("source_key", "ordinal", "format_id", "url", "acodec", "vcodec").withColumn("_row", F.monotonically_increasing_id())
+    c = written(c, "candidates")
+    order = F.struct("ordinal", "format_id", "url", "acodec", "vcodec", "_row")
+    live, taken = c.select("source_key", F.nullif("format_id", F.lit("")).alias("_format"), "url", order.alias("_at")), None
+    while True:
+        by_format = live.filter("_format is not null").groupBy("source_key", "_format").agg(F.min("_at").alias("_first_format"))
+        by_url = live.groupBy("source_key", "url").agg(F.min("_at").alias("_first_url"))
+        first = (F.col("_at") == F.col("_first_url")) & F.coalesce(F.col("_at") == F.col("_first_format"), F.lit(True))
+        judged = live.join(by_url, ["source_key", "url"]).join(by_format, ["source_key", "_format"], "left").select(*live.columns, first.alias("_won")).checkpoint()
+        won = judged.filter("_won")
+        taken = won if taken is None else taken.union(won)
+        rest = judged.filter("not _won").drop("_won")
+        live = rest.join(won.select("source_key", "url"), ["source_key", "url"], "left_anti").join(won.select("source_key", "_format"), ["source_key", "_format"], "left_anti").checkpoint()
+        if live.isEmpty():
+            break
+    kept = c.join(taken.select(F.col("_at._row").alias("_row")), "_row", "left_semi").drop("_row")
+    return stream_kind(kept, kind)
 
 
 def has_codec(c: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ostinato.functions import media, urls
-from ostinato.operators import catalog
+from ostinato.operators import catalog, ordered
+from ostinato.session import written
 
 INFO = "struct<title:string,extractor_key:string,extractor:string,entries:array<string>>"
 
@@ -37,22 +38,44 @@ def playlist_entries(infos: DataFrame, cap: int = 1000) -> DataFrame:
     )
 
 
+#: Positions of a list's entries that are ordered together.
+TOGETHER = 1 << 16
+
+
 def flatten_nested(nodes: DataFrame) -> DataFrame:
-    """nodes (list_id, node_id, parent_id or null, pos, url or null for a list) -> (list_id, place, url) depth first.
+    """nodes (list_id, node_id, parent_id or null, pos, url or null for a list) -> (list_id, place, url) depth first; entries of one position
+    by node_id. Entries below what isn't a list, or isn't there, are left out; ValueError where lists hold one another in a circle.
 
-    One join for each level of the tree, until a level is empty; a path of positions gives the order. Nodes have one parent, so those
-    that the roots reach hold no circle.
+    Each node is met twice on a tour around its tree, on the way down and on the way up, and each step of the tour has a next one that
+    parents and neighbours alone tell. Steps jump 1, 2, 4 ... steps on and add up the addresses that they pass, so places are known in
+    as many rounds as the number of nodes has binary digits, however deep the tree is.
     """
-    key = lambda c: F.format_string("%010d", c)
-    level = nodes.filter("parent_id is null").select("list_id", "node_id", "url", key(F.col("pos")).alias("path"))
-    found = level.filter("url is not null")
-    while True:
-        up = level.filter("url is null").select("list_id", F.col("node_id").alias("parent_id"), F.col("path").alias("_up"))
-        level = nodes.join(up, ["list_id", "parent_id"]).select("list_id", "node_id", "url", F.concat_ws("/", "_up", key(F.col("pos"))).alias("path")).checkpoint()
-        if level.isEmpty():
+    n = written(nodes.select("list_id", "node_id", "parent_id", "pos", "url"), "nodes")
+    lists = n.filter("url is null").select("list_id", F.col("node_id").alias("parent_id"))
+    kept = n.filter("parent_id is null").unionByName(n.join(lists, ["list_id", "parent_id"], "left_semi"))
+    kept = kept.withColumn("_up", F.coalesce(F.concat(F.lit("n"), F.col("parent_id").cast("string")), F.lit("root")))
+    place, keys = F.struct("pos", "node_id"), ["list_id", "_up"]
+    first = kept.filter("parent_id is not null").groupBy("list_id", F.col("parent_id").alias("node_id")).agg(F.min_by("node_id", place).alias("_child"))
+    tree = ordered.beside(kept, keys, F.floor(F.col("pos") / TOGETHER), [F.col("pos"), F.col("node_id")], {"_beside": (F.col("node_id"), True)})
+    tree = written(tree.join(first, ["list_id", "node_id"], "left"), "tree")
+    step = lambda node, up: F.struct(node.alias("node"), F.lit(up).alias("up"))
+    own = F.col("node_id")
+    down = tree.select("list_id", step(own, 0).alias("at"), F.when(F.col("_child").isNotNull(), step(F.col("_child"), 0)).otherwise(step(own, 1)).alias("next"), F.col("url").isNotNull().cast("long").alias("n"))
+    up = F.when(F.col("_beside").isNotNull(), step(F.col("_beside"), 0)).when(F.col("parent_id").isNotNull(), step(F.col("parent_id"), 1))
+    tour = down.union(tree.select("list_id", step(own, 1).alias("at"), up.alias("next"), F.lit(0).cast("long").alias("n"))).withColumn("last", F.col("at"))
+    longest = tree.groupBy("list_id").agg((2 * F.count(F.lit(1))).alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(longest.bit_length() + 1):
+        on = tour.select("list_id", F.col("at").alias("next"), F.col("next").alias("_next"), F.col("n").alias("_n"), F.col("last").alias("_last"))
+        both = tour.join(on, ["list_id", "next"], "left")
+        tour = both.select("list_id", "at", F.col("_next").alias("next"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.coalesce("_last", "last").alias("last")).checkpoint()
+        if tour.filter("next is not null").isEmpty():
             break
-        found = found.unionByName(level.filter("url is not null"))
-    from pyspark.sql import Window as W
-
-    place = F.row_number().over(W.partitionBy("list_id").orderBy("path")).cast("long")
-    return found.select("list_id", place.alias("place"), "url")
+    else:
+        raise ValueError("lists hold one another in a circle")
+    # the tour that ends above the last root is the one from the first root on
+    ends = tree.filter("parent_id is null").groupBy("list_id").agg(step(F.max_by("node_id", place), 1).alias("last"))
+    whole = tour.join(ends, ["list_id", "last"])
+    total = whole.groupBy("list_id").agg(F.max("n").alias("_total"))
+    found = whole.filter("at.up = 0").select("list_id", F.col("at.node").alias("node_id"), "n").join(total, "list_id")
+    urls = tree.filter("url is not null").select("list_id", "node_id", "url")
+    return urls.join(found, ["list_id", "node_id"]).select("list_id", (F.col("_total") - F.col("n") + 1).alias("place"), "url")
