@@ -17,9 +17,9 @@ from ostinato.session import shared_folder
 
 
 def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], outs: dict[str, tuple[Column, str, bool]]) -> DataFrame:
-    """df with a column for each of outs: name -> (value, "max" or "sum", inclusive), the max or sum of the value over the rows of the
+    """df with a column for each of outs: name -> (value, "max", "min" or "sum", inclusive), that of the value over the rows of the
     keys before a row, and itself if inclusive. Null where there is none. bucket must not decrease along order."""
-    aggs = {"max": F.max, "sum": F.sum}
+    aggs = {"max": F.max, "min": F.min, "sum": F.sum}
     values = {f"_run{i}": v for i, (v, _, _) in enumerate(outs.values())}
     hows = [(out, aggs[how], how, inclusive) for out, (_, how, inclusive) in outs.items()]
     cut = df.withColumns({"_run_bucket": bucket, **values})
@@ -32,7 +32,7 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
     made = {}
     for i, (out, _, how, _) in enumerate(hows):
         own, pre = F.col(f"_in{i}"), F.col(f"_pre{i}")
-        made[out] = F.greatest(own, pre) if how == "max" else F.coalesce(own + pre, own, pre)
+        made[out] = {"max": F.greatest, "min": F.least}[how](own, pre) if how != "sum" else F.coalesce(own + pre, own, pre)
     return both.select(*df.columns, *[c.alias(out) for out, c in made.items()])
 
 

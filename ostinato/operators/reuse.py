@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ostinato.functions.media import let
+from ostinato.operators.ordered import running
+from ostinato.session import written
 
 
 def number(c: Column) -> Column:
@@ -67,31 +69,39 @@ def reuse(requests: DataFrame, cached: DataFrame, key: str = "cache_key") -> tup
     return cached.join(requests.select(key).distinct(), key, "left_semi"), requests.join(cached.select(key).distinct(), key, "left_anti")
 
 
-def _level(seconds: Column) -> Column:
-    """The least k so that a cell of 2^k seconds is as long."""
-    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(seconds, F.lit(1.0))))).cast("int")
+#: Seconds of a source that are ordered together.
+BUCKET_S = 6 * 3600.0
 
 
-def covering_segment(requests: DataFrame, cached: DataFrame) -> DataFrame:
+def covering_segment(requests: DataFrame, cached: DataFrame, bucket_s: float = BUCKET_S) -> DataFrame:
     """requests (request_id, source_key, start_s, end_s, padding, media_type), cached (cached_id, source_key, start_s, end_s, media_type:
     null for video): the narrowest cached segment of the source and type that holds the request with its padding on both sides, then
     the earliest, then the least id. Requests without one are left out.
 
-    A segment lies in the one or two cells of its level that it touches; a request looks where it begins, in each level from its own on.
+    Segments are numbered by their start, so those that begin in time for a request are the first c, which are as many blocks of 1, 2, 4
+    ... segments as c has binary ones. In each block segments and requests are swept from the latest end on, with the narrowest segment
+    so far. So a row is met once for each binary digit of its source's number of segments, and no pairs are made.
     """
     kind = lambda c: F.lower(F.coalesce(c, F.lit("video")))
-    cell = lambda at: F.floor(F.col(at) / F.pow(F.lit(2.0), F.col("_level")))
-    c = cached.select("source_key", kind(F.col("media_type")).alias("_kind"), "cached_id", F.col("start_s").alias("_s"), F.col("end_s").alias("_e")).filter("_e >= _s")
-    c = c.withColumn("_level", _level(F.col("_e") - F.col("_s")))
-    top = c.agg(F.max("_level")).first()[0] or 0
-    c = c.withColumn("_cell", F.explode(F.sequence(cell("_s"), cell("_e"))))
-    pad = F.coalesce("padding", F.lit(0.0))
-    r = requests.select("request_id", "source_key", kind(F.col("media_type")).alias("_kind"), (F.col("start_s") - pad).alias("_from"), (F.col("end_s") + pad).alias("_to"))
-    own = _level(F.col("_to") - F.col("_from"))
-    r = r.withColumn("_level", F.explode(F.when(own <= top, F.sequence(own, F.lit(top))).otherwise(F.array().cast("array<int>")))).withColumn("_cell", cell("_from"))
-    both = r.join(c, ["source_key", "_kind", "_level", "_cell"]).filter("_s <= _from and _e >= _to")
-    best = F.min(F.struct((F.col("_e") - F.col("_s")).alias("w"), F.col("_s").alias("s"), F.col("cached_id").alias("id")))
-    return both.groupBy("request_id", "source_key").agg(best.alias("_b")).select("request_id", "source_key", F.col("_b.id").alias("cached_id"))
+    keys, width = ["source_key", "_kind"], (F.col("_e") - F.col("_s")).alias("w")
+    c = cached.filter("end_s >= start_s").select("source_key", kind(F.col("media_type")).alias("_kind"), F.col("start_s").alias("_s"), F.col("end_s").alias("_e"), F.lit(None).cast("long").alias("request_id"), "cached_id")
+    c = c.withColumn("_own", F.struct(width, F.col("_s").alias("s"), F.col("cached_id").alias("id"))).drop("cached_id")
+    pad, none = F.coalesce("padding", F.lit(0.0)), F.lit(None).cast(c.schema["_own"].dataType)
+    r = requests.select("source_key", kind(F.col("media_type")).alias("_kind"), (F.col("start_s") - pad).alias("_s"), (F.col("end_s") + pad).alias("_e"), "request_id", none.alias("_own"))
+    asks, one = F.col("_own").isNull(), F.col("_own").isNotNull().cast("long")
+    rows = running(c.union(r), keys, F.floor(F.col("_s") / bucket_s), [F.col("_s"), asks], {"_n": (one, "sum", True)})
+    rows = written(rows.filter(~asks | (F.col("_n") > 0)), "begun")
+    total = rows.groupBy(*keys).agg(F.max("_n").alias("_total"))
+    digits = F.transform(F.sequence(F.lit(0), F.length(F.bin("_total")) - 1), lambda k: k.cast("int"))
+    high = lambda n, k: F.call_function("shiftright", n, k)
+    # request: a block for each one in its number, the even one behind which the rest begins; segment: the even block of each size that it is in
+    asked = F.filter(digits, lambda k: high(F.col("_n"), k) % 2 == 1)
+    held = F.filter(digits, lambda k: high(F.col("_n") - 1, k) % 2 == 0)
+    place = lambda k: F.struct(k.alias("size"), F.when(asks, high(F.col("_n"), k) - 1).otherwise(high(F.col("_n") - 1, k)).alias("no"))
+    blocks = rows.join(total, keys).withColumn("_block", F.explode(F.transform(F.when(asks, asked).otherwise(held), place)))
+    swept = running(blocks.select(*keys, "_block", "_e", "request_id", "_own"), [*keys, "_block"], F.floor(-F.col("_e") / bucket_s), [F.col("_e").desc(), asks], {"_best": (F.col("_own"), "min", True)})
+    found = swept.filter(asks & F.col("_best").isNotNull()).groupBy("request_id", "source_key").agg(F.min("_best").alias("_b"))
+    return found.select("request_id", "source_key", F.col("_b.id").alias("cached_id"))
 
 
 def audio_lookup(requests: DataFrame, cached: DataFrame) -> DataFrame:
