@@ -13,16 +13,18 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 DIGITS, LOWER, UPPER, HEX, HEX_UPPER, HIGH = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef", "0123456789ABCDEF", "23456789"
-#: Formats, tried from the left at each place.
+#: Formats, tried from the left at each place. Spaces alone or nothing between its digits make a number a telephone or social security
+#: number only if it stands apart from other digits and, for telephones, if area and exchange begin with 2 to 9.
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 FORMATS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
     "ip": rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?![\w]|\.\d)",
-    "date": r"(?<![\w./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d[./]\d\d[./](?:19|20)\d\d)(?![\w]|[./-]\d)",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w]|-\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\d{3,4}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)",
+    "date": r"(?<![\w./-])(?:(?:19|20)\d\d-\d\d-\d\d|(?:19|20)\d\d/\d\d/\d\d|\d\d[./]\d\d[./](?:19|20)\d\d)(?![\w]|[./-]\d)",
+    "iban": r"(?<![0-9A-Za-z])(?:[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}\d\d(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?)(?![0-9A-Za-z])",
+    "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w]|-\d)|(?<![\w-])(?<!\d[ -])(?!000|666|9)\d{3} (?!00)\d\d (?!0000)\d{4}(?![\w]|[ -]\d)",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\d{3,4}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)"
+    r"|(?<![\w+.,-])(?<!\d[ -])[2-9]\d\d(?: [2-9]\d\d |[2-9]\d\d)\d{4}(?![\w]|[ .,-]\d)",
     "card": r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)",
 }
 ANY = "|".join(f"(?:{p})" for p in FORMATS.values())
@@ -120,18 +122,18 @@ def pseudonym(value: Column, key: str, back: bool = False) -> Column:
     octets = feistel(F.transform(numbers(value, r"\."), lambda x: _symbol(x, F.lit(256))), F.lit("ip"), key, back)
     ip = F.array_join(F.transform(octets, lambda x: x["v"].cast("string")), ".")
     # dates: the day's number, split in two symbols
-    iso, dotted = value.rlike("^....-"), F.substr(value, F.lit(3), F.lit(1))
-    day = F.when(iso, F.try_to_date(value, "yyyy-MM-dd")).when(dotted == ".", F.try_to_date(value, "dd.MM.yyyy")).otherwise(F.try_to_date(value, "dd/MM/yyyy"))
+    iso, slashed, dotted = value.rlike("^....-"), value.rlike("^..../"), F.substr(value, F.lit(3), F.lit(1))
+    day = F.when(iso, F.try_to_date(value, "yyyy-MM-dd")).when(slashed, F.try_to_date(value, "yyyy/MM/dd")).when(dotted == ".", F.try_to_date(value, "dd.MM.yyyy")).otherwise(F.try_to_date(value, "dd/MM/yyyy"))
     number = F.date_diff(day, F.lit(FIRST_DAY).cast("date"))
     pair = feistel(F.array(_symbol(F.floor(number / DAYS[1]), F.lit(DAYS[0])), _symbol(number % DAYS[1], F.lit(DAYS[1]))), F.lit("date"), key, back)
     moved = F.date_add(F.lit(FIRST_DAY).cast("date"), _let(pair, lambda q: (F.get(q, F.lit(0))["v"] * DAYS[1] + F.get(q, F.lit(1))["v"]).cast("int")))
-    date = F.when(iso, F.date_format(moved, "yyyy-MM-dd")).when(dotted == ".", F.date_format(moved, "dd.MM.yyyy")).otherwise(F.date_format(moved, "dd/MM/yyyy"))
+    date = F.when(iso, F.date_format(moved, "yyyy-MM-dd")).when(slashed, F.date_format(moved, "yyyy/MM/dd")).when(dotted == ".", F.date_format(moved, "dd.MM.yyyy")).otherwise(F.date_format(moved, "dd/MM/yyyy"))
     # social security numbers: area 001-899 without 666, group 01-99, serial 0001-9999
-    part = lambda i: F.split_part(value, F.lit("-"), F.lit(i)).cast("bigint")
+    part = lambda i: F.substr(plain, F.lit((1, 4, 6)[i - 1]), F.lit((3, 2, 4)[i - 1])).try_cast("bigint")
     area = part(1) - F.when(part(1) > 666, 2).otherwise(1)
     three = feistel(F.array(_symbol(area, F.lit(898)), _symbol(part(2) - 1, F.lit(99)), _symbol(part(3) - 1, F.lit(9999))), F.lit("ssn"), key, back)
     v = lambda q, i: F.get(q, F.lit(i))["v"]
-    ssn = _let(three, lambda q: F.format_string("%03d-%02d-%04d", v(q, 0) + F.when(v(q, 0) >= 665, 2).otherwise(1), v(q, 1) + 1, v(q, 2) + 1))
+    ssn = _let(three, lambda q: _in_place(value, F.format_string("%03d%02d%04d", v(q, 0) + F.when(v(q, 0) >= 665, 2).otherwise(1), v(q, 1) + 1, v(q, 2) + 1)))
     # telephone numbers: a country code stays; the digits alone are permuted, so that all spellings of a number stay linked; a digit
     # from 2 stays one
     lead = F.regexp_extract(value, r"^\+(?:1(?=(?:[ .()-]*\d){10}$)|\d{1,3}(?=[ .(-]))", 0)
@@ -142,10 +144,13 @@ def pseudonym(value: Column, key: str, back: bool = False) -> Column:
     body = spelled(F.substr(plain, F.lit(1), F.length(plain) - 1), lambda c, i: F.lit(DIGITS), "card")
     check = lambda b: F.pmod(10 - _luhn(F.concat(b, F.lit("0"))) % 10, F.lit(10)).cast("string")
     card = F.when(_luhn(plain) % 10 == 0, _let(body, lambda b: _in_place(value, F.concat(b, check(b))))).otherwise(value)
-    country = F.substr(plain, F.lit(1), F.lit(2))
-    account = spelled(F.substr(plain, F.lit(5)), lambda c, i: _class(c), "iban")
+    # accounts: as written in capitals, so that both spellings stay linked
+    capital = F.upper(plain)
+    country = F.substr(capital, F.lit(1), F.lit(2))
+    account = spelled(F.substr(capital, F.lit(5)), lambda c, i: _class(c), "iban")
     checked = lambda a: F.lpad((98 - _mod97(F.concat(country, F.lit("00"), a))).cast("string"), 2, "0")
-    iban = F.when(_mod97(plain) == 1, _let(account, lambda a: _in_place(value, F.concat(country, checked(a), a)))).otherwise(value)
+    written = lambda x: F.when(value.rlike("^[a-z]"), F.lower(x)).otherwise(x)
+    iban = F.when(_mod97(capital) == 1, _let(account, lambda a: _in_place(value, written(F.concat(country, checked(a), a))))).otherwise(value)
     return (
         F.when(at > 0, email).when(whole("secret"), secret).when(whole("ip"), ip)
         .when(whole("date"), F.coalesce(date, value)).when(whole("ssn"), ssn).when(whole("iban"), iban).when(whole("phone"), phone).otherwise(card)
@@ -156,7 +161,7 @@ def _valid(value: Column) -> Column:
     """Whether all of value is a card or IBAN number with right check digits."""
     plain = F.regexp_replace(value, "[^0-9A-Za-z]", "")
     whole = lambda kind: value.rlike(f"^(?:{FORMATS[kind]})$")
-    return F.when(whole("iban"), _mod97(plain) == 1).when(whole("card"), _luhn(plain) % 10 == 0).otherwise(False)
+    return F.when(whole("iban"), _mod97(F.upper(plain)) == 1).when(whole("card"), _luhn(plain) % 10 == 0).otherwise(False)
 
 
 def rewritten(value: Column, key: str, back: bool = False) -> Column:
@@ -188,7 +193,8 @@ def rewritten(value: Column, key: str, back: bool = False) -> Column:
 def pseudonymized(docs: DataFrame, key: str, text: str = "text", back: bool = False) -> DataFrame:
     """docs with `text` rewritten under a secret key and one more column `_n_values`: values that were replaced.
 
-    Null text stays null, with 0. An e-mail address keeps its domain, a telephone number its country code. Where a card's or IBAN's match takes in groups that don't belong to it, the valid number inside
+    Null text stays null, with 0. An e-mail address keeps its domain, a telephone number its country code; a digit of it from 2 to 9 stays
+    one of these, 0 and 1 stay 0 or 1, so that a pseudonym is a number of the same kind. Where a card's or IBAN's match takes in groups that don't belong to it, the valid number inside
     is replaced. Going back finds such a number unless its pseudonym happens to be valid with a neighbouring group too. Numbers that
     fail their check digits, impossible dates and version-like numbers stay as they are. Repeated rows get equal results; other columns pass through; a column `_n_values` in the input is replaced.
     """

@@ -293,7 +293,7 @@ def plain_pseudonym(value, key):
     if kind == "ip":
         return ".".join(map(str, plain_feistel(list(map(int, value.split("."))), [256] * 4, kind, key)))
     if kind == "date":
-        form = "%Y-%m-%d" if value[4] == "-" else f"%d{value[2]}%m{value[2]}%Y"
+        form = f"%Y{value[4]}%m{value[4]}%d" if value[4] in "-/" else f"%d{value[2]}%m{value[2]}%Y"
         try:
             n = (datetime.strptime(value, form) - datetime(1900, 1, 1)).days
         except ValueError:
@@ -301,12 +301,14 @@ def plain_pseudonym(value, key):
         a, b = plain_feistel(divmod(n, 4297), [17, 4297], kind, key)
         return (datetime(1900, 1, 1) + timedelta(days=a * 4297 + b)).strftime(form)
     if kind == "ssn":
-        a, b, c = map(int, value.split("-"))
+        a, b, c = map(int, re.split("[ -]", value))
         x, y, z = plain_feistel([a - 1 - (a > 666), b - 1, c - 1], [898, 99, 9999], kind, key)
-        return f"{x + 1 + (x >= 665):03d}-{y + 1:02d}-{z + 1:04d}"
+        return value[3].join((f"{x + 1 + (x >= 665):03d}", f"{y + 1:02d}", f"{z + 1:04d}"))
     if kind == "iban" and mod97(plain) == 1:
-        account = plain_spelled(plain[4:], group, kind, key)
-        return plain_laid(value, plain[:2] + f"{98 - mod97(plain[:2] + '00' + account):02d}" + account)
+        upper = plain.upper()
+        account = plain_spelled(upper[4:], group, kind, key)
+        new = upper[:2] + f"{98 - mod97(upper[:2] + '00' + account):02d}" + account
+        return plain_laid(value, new.lower() if value[0].islower() else new)
     if kind == "phone":
         lead = re.match(r"\+(?:1(?=(?:[ .()-]*\d){10}$)|\d{1,3}(?=[ .(-]))|", value)[0]
         rest = value[len(lead) :]
