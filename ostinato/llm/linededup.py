@@ -4,7 +4,8 @@ A store holds runs of (hash pair, documents), tables that are bucketed by hash a
 folder. A batch of documents is anti-joined with the run of what is known to be frequent (such keys need no more counting),
 then adds its own counts as a new run of level 0. `fan_in` runs of a level are merged into one of the next; keys that reach
 the limit move from the merged run to the frequent ones. Merges and the runs' side of anti-joins are sort-merge joins bucket
-by bucket: no run is shuffled again once it is written. All of it is DataFrame code.
+by bucket: no run is shuffled again once it is written, though Spark sorts its buckets again, as it doesn't rely on their order. All of it
+is DataFrame code.
 """
 
 from __future__ import annotations
@@ -75,7 +76,8 @@ class LineRuns:
             self._place(merged.filter(F.col("n") < self.min_docs), level + 1)
 
     def frequent(self) -> DataFrame:
-        """Distinct (h1, h2) of the keys in at least min_docs documents so far."""
+        """(h1, h2) of the keys in at least min_docs documents so far. A key may stand in it twice, once as it reached the limit in a merge and
+        once more by later runs; joins that add up rows have to make it distinct."""
         left = [r for level in self.levels for r in level]
         if left:
             rest = reduce(self.merged, left).filter(F.col("n") >= self.min_docs).select("h1", "h2")
