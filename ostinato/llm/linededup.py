@@ -1,25 +1,28 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A store holds runs of (hash pair, documents), tables that are bucketed by hash and sorted within a bucket, in the shared
-folder. A batch of documents is anti-joined with the run of what is known to be frequent (such keys need no more counting),
-then adds its own counts as a new run of level 0. `fan_in` runs of a level are merged into one of the next; keys that reach
-the limit move from the merged run to the frequent ones. Merges and the runs' side of anti-joins are sort-merge joins bucket
-by bucket: no run is shuffled again once it is written, though Spark sorts its buckets again, as it doesn't rely on their order. All of it
-is DataFrame code.
+A store holds runs of (hash pair, documents), tables that are bucketed by hash, one file a bucket, and sorted within a bucket,
+in the shared folder. A batch of documents is anti-joined with the runs of what is known to be frequent (such keys need no
+more counting), then adds its own counts as a new run of level 0. `fan_in` runs of a level are merged into one of the next;
+keys that reach the limit leave it for a run of frequent keys, which are levelled and merged alike. Merges and the runs' side of
+anti-joins are sort-merge joins bucket by bucket that rely on the files' order: no run is shuffled or sorted under a join once
+it is written. All of it is DataFrame code.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE_CHARS, new_path, written
+from .shared import FEW, SPACE_CHARS, new_path, written
 
 MIN_DOCS = 10
-#: Lines of a batch; small inputs are four batches all the same, so that every step of the method runs.
-BATCH_LINES, LEAST_BATCHES = 1 << 31, 4
+#: Lines of a batch; small inputs are four batches all the same, so that every step of the method runs. Very large ones are 64 larger
+#: batches, as each task that writes the lines by batch makes a file for each.
+BATCH_LINES, LEAST_BATCHES, MOST_BATCHES = 1 << 31, 4, 64
 FAN_IN = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,54 +38,104 @@ def hashed(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
 
 
+#: Lets Spark rely on the order of bucketed files where a bucket is one file, and read them bucket by bucket in every plan.
+SCANS = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+KEY = ["h1", "h2"]
+
+
+@contextmanager
+def ordered_scans(spark: SparkSession) -> Iterator[None]:
+    """Plans made and run within rely on the order of the runs' files."""
+    before = {k: spark.conf.get(k) for k in SCANS}
+    for k, v in SCANS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class LineRuns:
-    """The levelled runs. `saturated` is the run of the keys found in at least `min_docs` documents."""
+    """The levelled runs: `levels` holds (h1, h2, n) of keys below the limit, `hot` (h1, h2) of keys in at least `min_docs` documents.
+
+    No key is in two runs of `hot`. A key of `hot` may still have old counts in `levels`; the next merge drops them.
+    """
 
     def __init__(self, min_docs: int = MIN_DOCS, fan_in: int = FAN_IN, buckets: int | None = None):
         self.min_docs, self.fan_in, self.buckets = min_docs, fan_in, buckets
         self.levels: list[list[DataFrame]] = []
-        self.saturated: DataFrame | None = None
+        self.hot: list[list[DataFrame]] = []
+        self.tables: list[str] = []
 
-    def stored(self, run: DataFrame, name: str) -> DataFrame:
+    def stored(self, run: DataFrame, name: str, placed: bool = False) -> DataFrame:
+        """run as a bucketed, sorted table. placed: its tasks are buckets already, as those of joins of runs are."""
         spark = run.sparkSession
-        n = self.buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.buckets = self.buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
         path = new_path(spark, name)
         table = "ostinato_" + path.rpartition("/")[2].replace("-", "_")
-        rows = run.repartition(n, "h1", "h2").write.format("parquet").option("compression", "zstd").option("path", path)
-        rows.bucketBy(n, "h1", "h2").sortBy("h1", "h2").saveAsTable(table)
+        rows = run if placed else run.repartition(self.buckets, *KEY)
+        with ordered_scans(spark):
+            to = rows.write.format("parquet").option("compression", "zstd").option("path", path)
+            to.bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(table)
+        self.tables.append(table)
         return spark.table(table)
 
     @staticmethod
     def merged(a: DataFrame, b: DataFrame) -> DataFrame:
-        both = a.join(b.withColumnRenamed("n", "_n"), ["h1", "h2"], "full_outer")
-        return both.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"))
+        both = a.join(b.withColumnRenamed("n", "_n"), KEY, "full_outer")
+        return both.select(*KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"))
+
+    def fresh(self, run: DataFrame) -> DataFrame:
+        """run without the keys known to be frequent."""
+        known = [r for level in self.hot for r in level]
+        return reduce(lambda left, r: left.join(r.hint("merge"), KEY, "left_anti"), known, run)
+
+    def total(self, runs: list[DataFrame], name: str) -> DataFrame:
+        """The sums of the runs as one run. Merged two at a time: a full join's tasks are no longer known to Spark as buckets."""
+        while len(runs) > 1:
+            pairs = [runs[i : i + 2] for i in range(0, len(runs), 2)]
+            runs = [self.stored(self.merged(*map(self.fresh, p)), name, placed=True) if len(p) == 2 else p[0] for p in pairs]
+        return runs[0]
 
     def add(self, keys: DataFrame) -> None:
         """keys: a row (h1, h2) for each document and distinct key of the batch."""
-        counts = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-        if self.saturated is not None:
-            counts = counts.join(self.saturated, ["h1", "h2"], "left_anti")
-        self._place(counts, 0)
+        counts = keys.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+        self._place(self.stored(self.fresh(counts), "run"), 0)
 
-    def _place(self, counts: DataFrame, level: int) -> None:
+    def _place(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(self.stored(counts, f"run{level}"))
+        self.levels[level].append(run)
         if len(self.levels[level]) == self.fan_in:
-            merged = self.stored(reduce(self.merged, self.levels[level]), "merged")
+            merged = self.total(self.levels[level], "merged")
             self.levels[level] = []
-            more = merged.filter(F.col("n") >= self.min_docs).select("h1", "h2")
-            self.saturated = self.stored(more if self.saturated is None else self.saturated.union(more), "saturated")
+            self._heat(self.stored(merged.filter(F.col("n") >= self.min_docs).select(*KEY), "hot", placed=True), 0)
+            # a filter on the merged table, which is not written again
             self._place(merged.filter(F.col("n") < self.min_docs), level + 1)
 
+    def _heat(self, run: DataFrame, level: int) -> None:
+        while len(self.hot) <= level:
+            self.hot.append([])
+        self.hot[level].append(run)
+        if len(self.hot[level]) == self.fan_in:
+            every = reduce(DataFrame.unionByName, self.hot[level])
+            self.hot[level] = []
+            self._heat(self.stored(every, "hot"), level + 1)
+
     def frequent(self) -> DataFrame:
-        """(h1, h2) of the keys in at least min_docs documents so far. A key may stand in it twice, once as it reached the limit in a merge and
-        once more by later runs; joins that add up rows have to make it distinct."""
-        left = [r for level in self.levels for r in level]
-        if left:
-            rest = reduce(self.merged, left).filter(F.col("n") >= self.min_docs).select("h1", "h2")
-            return rest if self.saturated is None else self.saturated.union(rest)
-        return self.saturated
+        """(h1, h2) of the keys in at least min_docs documents so far, each once, as a table of its own. Something has to be added first."""
+        rest = self.total([r for level in self.levels for r in level], "rest")
+        known = [r for level in self.hot for r in level]
+        more = self.fresh(rest).filter(F.col("n") >= self.min_docs).select(*KEY)
+        with ordered_scans(more.sparkSession):
+            return written(reduce(DataFrame.unionByName, known, more), "frequent")
+
+    def forget(self, spark: SparkSession) -> None:
+        """Drops the runs' names from the catalogue, when nothing is to be added any more; their files stay in the shared folder."""
+        for table in self.tables:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.tables, self.levels, self.hot = [], [], []
 
 
 def without(items: Column, drop: Column) -> Column:
@@ -102,6 +155,7 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
 
     A key counts once in a document; rows with equal id and text are one document, and each keeps its own row. Null or
     empty text is one empty line; empty keys are never dropped. Ids may be null or repeat. Other columns pass through.
+    An empty table gives an empty one. A very long text is split whole, in time that grows with its lines.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.split(body, "\n")
@@ -111,12 +165,19 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
     ).select("_id", "_th", F.explode("_k").alias("_e"))
     at = keyed.select("_id", "_th", F.col("_e.i").alias("_i"), hashed(F.col("_e.k")).alias("_h")).select("_id", "_th", "_i", "_h.h1", "_h.h2")
     at = written(at, "lines")
-    batches = max(LEAST_BATCHES, -(-at.count() // batch_lines))
+    batches = min(MOST_BATCHES, max(LEAST_BATCHES, -(-at.count() // batch_lines)))
+    # a row for each document and key, in folders by batch, so that a batch reads its own rows alone
+    by_batch = at.select("_id", "_th", *KEY).distinct().select(*KEY, F.pmod("_th", F.lit(batches)).alias("_b"))
+    spark, path = docs.sparkSession, new_path(docs.sparkSession, "keys")
+    by_batch.write.option("compression", "zstd").partitionBy("_b").parquet(path)
+    keys = spark.read.schema("h1 long, h2 long, _b long").parquet(path)
     runs = LineRuns(min_docs)
     for b in range(batches):
-        own = at.filter(F.pmod("_th", F.lit(batches)) == b).select("_id", "_th", "h1", "h2").distinct()
-        runs.add(own.select("h1", "h2"))
+        runs.add(keys.filter(F.col("_b") == b).select(*KEY))
     hot = runs.frequent()
+    runs.forget(spark)
+    if hot.count() <= FEW:  # then the lines stay where they are, those of one frequent key too; else the join is split by AQE
+        hot = F.broadcast(hot)
     drop = at.join(hot, ["h1", "h2"]).groupBy("_id", "_th").agg(F.sort_array(F.collect_set("_i")).alias("_drop"))
     own = [c for c in docs.columns if c not in ("_n_lines", "_n_dropped", "_kept")]
     full = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(body).alias("_th"), body.alias("_t"))

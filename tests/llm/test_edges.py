@@ -1,5 +1,8 @@
 """Nulls, empty and very long texts, repeated rows, empty tables, and extra columns with clashing names."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,20 +71,56 @@ def test_line_runs_by_batches(spark):
     assert sorted(r["h1"] for r in runs.frequent().collect()) == [1, 2]
 
 
-def test_runs_are_merged_without_a_shuffle(spark):
+@pytest.mark.parametrize("fan_in", [2, 3])
+def test_line_runs_give_each_frequent_key_once(spark, fan_in):
+    """Random batches, and a key that reaches the limit in one merge while an older run still counts it."""
     from ostinato.llm.linededup import LineRuns
 
+    random.seed(fan_in)
+    batches = [[7] * n + [random.randrange(20, 60) for _ in range(40)] for n in (2, 2, 2, 2, 3, 3, 5, 5)]
+    runs = LineRuns(min_docs=10, fan_in=fan_in, buckets=3)
+    for batch in batches:
+        runs.add(spark.createDataFrame([(k, -k) for k in batch], "h1 long, h2 long"))
+    counts = Counter(k for batch in batches for k in batch)
+    assert sorted(r["h1"] for r in runs.frequent().collect()) == sorted(k for k, n in counts.items() if n >= 10)
+    tables = list(runs.tables)
+    runs.forget(spark)
+    assert tables and not any(spark.catalog.tableExists(t) for t in tables)
+
+
+def test_runs_are_merged_without_a_shuffle_or_a_sort(spark):
+    from ostinato.llm.linededup import LineRuns, ordered_scans
+
     runs = LineRuns(buckets=4)
-    a, b = (runs.stored(spark.range(i, 5000, 3).select(F.xxhash64("id").alias("h1"), F.col("id").alias("h2"), F.lit(1).cast("long").alias("n")), "run") for i in (0, 1))
-    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = lambda i, j: spark.range(i, 5000, j).select(F.xxhash64("id").alias("h1"), F.col("id").alias("h2"), F.lit(1).cast("long").alias("n"))
+    a, b = (runs.stored(rows(i, 3), "run") for i in (0, 1))
+    runs.hot = [[runs.stored(rows(0, 6).select("h1", "h2"), "hot")]]
+    with ordered_scans(spark):
+        merged = LineRuns.merged(runs.fresh(a), runs.fresh(b))
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 3 and "Exchange" not in plan and "Sort [" not in plan
+        assert merged.count() == a.count() + b.count() - 834
+    for placed in (merged, a.filter("h2 > 100")):  # a merge stays a file a bucket, and so does a filter of a run
+        again = runs.stored(placed, "again", placed=True)
+        assert len(again.inputFiles()) == 4
+    with ordered_scans(spark):
+        plan = LineRuns.merged(again, b)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort [" not in plan
+
+
+def test_a_batch_reads_its_own_lines(spark, odd):
+    """The lines of a batch are a folder of their own."""
+    from ostinato.llm import linededup
+
+    read = []
+    add = linededup.LineRuns.add
     try:
-        for both in (LineRuns.merged(a, b), a.join(b.select("h1", "h2"), ["h1", "h2"], "left_anti")):
-            plan = both._jdf.queryExecution().executedPlan().toString()
-            assert "SortMergeJoin" in plan and "Exchange" not in plan
-        assert LineRuns.merged(a, b).count() == a.count() + b.count()
+        linededup.LineRuns.add = lambda self, keys: (read.append(keys._jdf.queryExecution().executedPlan().toString()), add(self, keys))[1]
+        linededup.line_dedup(odd, min_docs=2).count()
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        linededup.LineRuns.add = add
+    assert len(read) == linededup.LEAST_BATCHES
+    assert all("PartitionFilters: [isnotnull(_b" in plan and f"= {b})]" in plan for b, plan in enumerate(read)), read
 
 
 def test_mixing(odd, empty):
