@@ -46,21 +46,24 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def axes(reps: DataFrame, dim: int) -> np.ndarray:
-    """Principal axes as columns, largest first, from dim x dim sums of products and dim + 1 sums; each task sends one matrix."""
+    """Principal axes as columns, largest first, from dim x dim sums of products and dim + 1 sums. Each task sends the upper half of one
+    matrix; the driver gets one such half as Arrow columns, 16 bytes for each of its (dim + 1) (dim + 2) / 2 numbers."""
+    size = dim + 1
 
     def run(batches):
-        total = np.zeros((dim + 1, dim + 1))
+        total = np.zeros((size, size))
         for b in batches:
             x = _unit(_matrix(b.column(0)))
             x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
             total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["i", "x"])
-
-    rows = reps.select("v").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # (dim + 1)^2 numbers
-    m = np.zeros((dim + 1) ** 2)
-    for r in rows:
-        m[r["i"]] = r["x"]
-    m = m.reshape(dim + 1, dim + 1)
+        at = np.flatnonzero(np.triu(np.ones((size, size), bool)))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["i", "x"])
+
+    sums = reps.select("v").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    m = np.zeros(size * size)
+    m[sums["i"].to_numpy()] = sums["x"].to_numpy()
+    m = m.reshape(size, size)
+    m += np.triu(m, 1).T
     mean = m[:-1, -1] / max(1, m[-1, -1])
     about = m[:-1, :-1] - m[-1, -1] * np.outer(mean, mean)
     return np.linalg.eigh((about + about.T) / 2)[1][:, ::-1].copy()

@@ -169,6 +169,18 @@ def linked_by_cosine(x, limit=0.95):
     return near.sum(axis=1), least_reachable(range(len(x)), np.argwhere(near).tolist())
 
 
+def test_axes_are_principal(spark):
+    """On the axes, what the tasks' sums give is uncorrelated, largest first, whatever the number of tasks."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 12)) * np.linspace(3, 0.5, 12) + 1
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([([float(v) for v in r],) for r in x], "v array<double>")
+    for parts in (1, 7):
+        turn = embdedup.axes(df.repartition(parts), 12)
+        spread = turn.T @ np.cov(unit.T) @ turn
+        assert np.allclose(turn.T @ turn, np.eye(12)) and np.allclose(spread, np.diag(np.diag(spread)), atol=1e-9) and (np.diff(np.diag(spread)) <= 1e-12).all()
+
+
 @pytest.mark.parametrize("kind", ["double", "float"])
 def test_embeddings_in_clusters(spark, kind, monkeypatch):
     """Small blocks, so that the descent has several levels; it keeps clusters that lie apart from one another."""
