@@ -46,36 +46,50 @@ def flatten_nested(nodes: DataFrame) -> DataFrame:
     """nodes (list_id, node_id, parent_id or null, pos, url or null for a list) -> (list_id, place, url) depth first; entries of one position
     by node_id. Entries below what isn't a list, or isn't there, are left out; ValueError where lists hold one another in a circle.
 
-    Each node is met twice on a tour around its tree, on the way down and on the way up, and each step of the tour has a next one that
-    parents and neighbours alone tell. Steps jump 1, 2, 4 ... steps on and add up the addresses that they pass, so places are known in
-    as many rounds as the number of nodes has binary digits, however deep the tree is.
+    Only lists take part in rounds, whose number is that of the binary digits of the deepest list's depth: lists know their ancestor
+    1, 2, 4 ... levels above, and of a list only those that have one go on. On the way up each adds the addresses below it to that ancestor's;
+    on the way down it adds what comes before that ancestor. Among neighbours, what comes before is a running sum.
     """
     n = written(nodes.select("list_id", "node_id", "parent_id", "pos", "url"), "nodes")
-    lists = n.filter("url is null").select("list_id", F.col("node_id").alias("parent_id"))
-    kept = n.filter("parent_id is null").unionByName(n.join(lists, ["list_id", "parent_id"], "left_semi"))
-    kept = kept.withColumn("_up", F.coalesce(F.concat(F.lit("n"), F.col("parent_id").cast("string")), F.lit("root")))
-    place, keys = F.struct("pos", "node_id"), ["list_id", "_up"]
-    first = kept.filter("parent_id is not null").groupBy("list_id", F.col("parent_id").alias("node_id")).agg(F.min_by("node_id", place).alias("_child"))
-    tree = ordered.beside(kept, keys, F.floor(F.col("pos") / TOGETHER), [F.col("pos"), F.col("node_id")], {"_beside": (F.col("node_id"), True)})
-    tree = written(tree.join(first, ["list_id", "node_id"], "left"), "tree")
-    step = lambda node, up: F.struct(node.alias("node"), F.lit(up).alias("up"))
-    own = F.col("node_id")
-    down = tree.select("list_id", step(own, 0).alias("at"), F.when(F.col("_child").isNotNull(), step(F.col("_child"), 0)).otherwise(step(own, 1)).alias("next"), F.col("url").isNotNull().cast("long").alias("n"))
-    up = F.when(F.col("_beside").isNotNull(), step(F.col("_beside"), 0)).when(F.col("parent_id").isNotNull(), step(F.col("parent_id"), 1))
-    tour = down.union(tree.select("list_id", step(own, 1).alias("at"), up.alias("next"), F.lit(0).cast("long").alias("n"))).withColumn("last", F.col("at"))
-    longest = tree.groupBy("list_id").agg((2 * F.count(F.lit(1))).alias("n")).agg(F.max("n")).first()[0] or 0
-    for _ in range(longest.bit_length() + 1):
-        on = tour.select("list_id", F.col("at").alias("next"), F.col("next").alias("_next"), F.col("n").alias("_n"), F.col("last").alias("_last"))
-        both = tour.join(on, ["list_id", "next"], "left")
-        tour = both.select("list_id", "at", F.col("_next").alias("next"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.coalesce("_last", "last").alias("last")).checkpoint()
-        if tour.filter("next is not null").isEmpty():
-            break
-    else:
-        raise ValueError("lists hold one another in a circle")
-    # the tour that ends above the last root is the one from the first root on
-    ends = tree.filter("parent_id is null").groupBy("list_id").agg(step(F.max_by("node_id", place), 1).alias("last"))
-    whole = tour.join(ends, ["list_id", "last"])
-    total = whole.groupBy("list_id").agg(F.max("n").alias("_total"))
-    found = whole.filter("at.up = 0").select("list_id", F.col("at.node").alias("node_id"), "n").join(total, "list_id")
-    urls = tree.filter("url is not null").select("list_id", "node_id", "url")
-    return urls.join(found, ["list_id", "node_id"]).select("list_id", (F.col("_total") - F.col("n") + 1).alias("place"), "url")
+    is_list = F.col("url").isNull()
+    lists = written(_sized(n.filter(is_list), n.filter(~is_list)), "lists")
+    rows = n.filter(~is_list).withColumn("n", F.lit(1).cast("long")).unionByName(lists)
+    rows = rows.withColumns({"_root": F.col("parent_id").isNull(), "_up": F.coalesce("parent_id", F.lit(0))})
+    rows = ordered.running(rows, ["list_id", "_root", "_up"], F.floor(F.col("pos") / TOGETHER), [F.col("pos"), F.col("node_id")], {"_before": (F.col("n"), "sum", False)})
+    rows = written(rows.select("list_id", "node_id", "parent_id", "url", F.coalesce("_before", F.lit(0)).alias("before")), "neighbours")
+    bases = _bases(rows.filter(is_list).select("list_id", "node_id", F.col("parent_id").alias("up"), F.col("before").alias("base")))
+    leaves = rows.filter(~is_list)
+    inside = leaves.join(bases.withColumnRenamed("node_id", "parent_id"), ["list_id", "parent_id"]).select("list_id", (F.col("base") + F.col("before") + 1).alias("place"), "url")
+    return inside.union(leaves.filter("parent_id is null and list_id is not null").select("list_id", (F.col("before") + 1).alias("place"), "url"))
+
+
+def _sized(lists: DataFrame, leaves: DataFrame) -> DataFrame:
+    """lists with n, the number of leaves below each, at any depth."""
+    own = leaves.filter("parent_id is not null").groupBy("list_id", F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
+    inner = lists.filter("parent_id is not null").select("list_id", "node_id", F.col("parent_id").alias("up"))
+    parts, rounds, most = own, 0, None
+    live = inner if inner.isEmpty() else written(inner.join(own, ["list_id", "node_id"], "left").na.fill(0, ["n"]), "lists")
+    while not live.isEmpty():
+        if most is None:
+            most = lists.groupBy("list_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0].bit_length() + 1
+        rounds += 1
+        if rounds > most:
+            raise ValueError("lists hold one another in a circle")
+        sent = live.groupBy("list_id", F.col("up").alias("node_id")).agg(F.sum("n").alias("n"))
+        parts = parts.unionByName(sent)
+        above = live.select("list_id", F.col("node_id").alias("up"), F.col("up").alias("_up"))
+        on = live.join(above, ["list_id", "up"]).join(sent.withColumnRenamed("n", "_n"), ["list_id", "node_id"], "left")
+        live = written(on.select("list_id", "node_id", F.col("_up").alias("up"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")), "lists")
+    sizes = parts.groupBy("list_id", "node_id").agg(F.sum("n").alias("n"))
+    return lists.join(sizes, ["list_id", "node_id"], "left").na.fill(0, ["n"]).select(*lists.columns, "n")
+
+
+def _bases(lists: DataFrame) -> DataFrame:
+    """lists (list_id, node_id, up, base: what comes before it below the same one) -> (list_id, node_id, base: what comes before it in
+    all), of those below a root."""
+    known, live = lists.filter("up is null"), lists.filter("up is not null")
+    while not live.isEmpty():
+        on = known.unionByName(live).select("list_id", F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("base").alias("_base"))
+        now = written(live.join(on, ["list_id", "up"]).select("list_id", "node_id", F.col("_up").alias("up"), (F.col("base") + F.col("_base")).alias("base")), "bases")
+        known, live = known.unionByName(now.filter("up is null")), now.filter("up is not null")
+    return known.select("list_id", "node_id", "base")

@@ -88,3 +88,18 @@ def test_a_deep_chain_takes_few_rounds_and_circles_raise(spark):
     assert got == {"a": [f"u{i}" for i in reversed(range(4096))]} and len(rounds) <= 16
     with pytest.raises(ValueError):
         playlist.flatten_nested(spark.createDataFrame([("a", 1, None, 0, "x"), ("a", 2, 3, 0, None), ("a", 3, 2, 0, None)], NODES))
+
+
+def test_flat_lists_take_no_rounds(spark):
+    """Bytes that stay in the shared folder: a few for each node, not a copy of all nodes for each round."""
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    size = lambda: sum(f.stat().st_size for f in shared.rglob("*") if f.is_file())
+    i = F.col("id")
+    lists = spark.range(20_000).select((i % 2000).alias("list_id"), i.alias("node_id"), F.lit(None).cast("long").alias("parent_id"), i.alias("pos"), F.lit(None).cast("string").alias("url"))
+    leaves = spark.range(80_000).select((i % 2000).alias("list_id"), i + 1_000_000, i % 20_000, i, F.concat(F.lit("u"), i.cast("string")))
+    before = size()
+    got = places(playlist.flatten_nested(lists.union(leaves)))
+    assert (size() - before) / 100_000 < 100
+    assert got[7] == [f"u{p + 20_000 * j}" for p in range(7, 20_000, 2000) for j in range(4)]
