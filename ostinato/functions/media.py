@@ -25,11 +25,13 @@ def media_type(path: Column, wide: bool = True) -> Column:
 LAST_SECOND = 253_402_300_799
 
 
-def normalize_date(value: Column) -> Column:
+def normalize_date(value: Column, stamp: bool = False) -> Column:
     """An ISO day, or ''. Eight digits are a day, other whole numbers epoch seconds or (above 1e11) milliseconds; else the day that
-    the text begins with, with -, / or nothing between its parts. Days aren't checked against the calendar."""
+    the text begins with, with -, / or nothing between its parts. Days aren't checked against the calendar. stamp: the value is known
+    to be a time, so eight digits are a day only if their month and day can be ones."""
     v = F.trim(F.coalesce(value, F.lit("")))
-    number = F.when(v.rlike(r"^\d+$") & (F.length(v) != 8), v.try_cast("double"))
+    of_day = v.rlike(r"^\d{4}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$") if stamp else F.length(v) == 8
+    number = F.when(v.rlike(r"^\d+$") & ~of_day, v.try_cast("double"))
     seconds = F.when(number > 1e11, number / 1000).otherwise(number)
     epoch = F.date_format(F.timestamp_seconds(F.when(seconds <= LAST_SECOND, F.floor(seconds))), "yyyy-MM-dd")
     lead = r"^(\d{4})[-/]?(\d{2})[-/]?(\d{2})"
@@ -39,6 +41,13 @@ def normalize_date(value: Column) -> Column:
 
 #: The fields that may hold a date, the best first.
 DATES = ("upload_date", "release_date", "timestamp", "release_timestamp", "created_at", "pubdate")
+#: Those of them that hold epoch seconds.
+STAMPS = ("timestamp", "release_timestamp")
+
+
+def entry_date(field) -> Column:
+    """The first of an entry's dates that reads as one; field: a name -> its value."""
+    return F.coalesce(*[F.nullif(normalize_date(field(k), k in STAMPS), F.lit("")) for k in DATES], F.lit(""))
 
 
 def first_date(*values: Column) -> Column:

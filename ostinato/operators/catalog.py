@@ -94,7 +94,7 @@ def hydrate(entries: DataFrame, results: DataFrame) -> DataFrame:
     e = entries.join(r, "entry_id", "left")
     found = lambda k: F.element_at("_found", k)
     title = F.when((F.col("title") == "Unknown") & (F.coalesce(found("title"), F.lit("")) != ""), found("title")).otherwise(F.col("title"))
-    date = F.coalesce(F.nullif(F.col("upload_date"), F.lit("")), F.nullif(media.first_date(*[found(k) for k in media.DATES]), F.lit("")), media.title_date(title))
+    date = F.coalesce(F.nullif(F.col("upload_date"), F.lit("")), F.nullif(media.entry_date(found), F.lit("")), media.title_date(title))
     none = F.create_map().cast("map<string,string>")
     more = entry_metadata(F.coalesce("_found", none))
     own = F.map_filter(F.coalesce("metadata", none), lambda k, v: ~F.coalesce(F.map_contains_key(more, k), F.lit(False)))

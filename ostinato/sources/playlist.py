@@ -33,7 +33,7 @@ def playlist_entries(infos: DataFrame, cap: int = 1000) -> DataFrame:
     parts = F.col("platform").startswith("bilibili") & (F.col("n") > 1)
     return rows.select(
         "list_id", "platform", F.col("pos").alias("index"), F.coalesce(full("id"), "webpage_url").alias("entry_id"), F.coalesce(full("title"), F.lit("Unknown")).alias("title"), "webpage_url",
-        media.normalize_duration(F.element_at("e", "duration"), F.element_at("e", "duration_ms")).alias("duration"), media.first_date(*[F.element_at("e", k) for k in media.DATES]).alias("upload_date"),
+        media.normalize_duration(F.element_at("e", "duration"), F.element_at("e", "duration_ms")).alias("duration"), media.entry_date(lambda k: F.element_at("e", k)).alias("upload_date"),
         catalog.entry_metadata(F.col("e")).alias("metadata"), F.when(parts, F.col("no")).alias("part_number"), F.when(parts, F.col("n")).alias("part_count"),
     )
 

@@ -103,3 +103,10 @@ def test_flat_lists_take_no_rounds(spark):
     got = places(playlist.flatten_nested(lists.union(leaves)))
     assert (size() - before) / 100_000 < 100
     assert got[7] == [f"u{p + 20_000 * j}" for p in range(7, 20_000, 2000) for j in range(4)]
+
+
+def test_times_of_eight_digits(spark):
+    """10022400 is second 10,022,400 where a field holds times; as a day it would be in a month 24."""
+    value = '{"entries": [%s]}' % ", ".join('{"url": "u%d", "%s": %s}' % (i, k, v) for i, (k, v) in enumerate([("release_timestamp", 10022400), ("timestamp", 99964800), ("timestamp", '"20240102"'), ("upload_date", '"20240230"'), ("release_timestamp", 1704153600)]))
+    got = playlist.playlist_entries(spark.createDataFrame([("a", "https://x.example/", value)], "list_id string, url string, value string"))
+    assert [r["upload_date"] for r in got.orderBy("index").collect()] == ["1970-04-27", "1973-03-03", "2024-01-02", "2024-02-30", "2024-01-02"]
