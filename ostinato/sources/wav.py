@@ -1,7 +1,8 @@
 """16-bit WAV as blocks of mono samples, and clips of samples as bytes.
 
-`spark.read.format("pcm_wav")` plans byte ranges of files: a header is read once, while the plan is made, and each task seeks to its own
-blocks. So a recording of any length is read by many tasks, and a block comes whole out of one of them.
+`spark.read.format("pcm_wav")` plans byte ranges of files: the header of a file that is longer than a task's share is read while the plan
+is made, and each task seeks to its own blocks. So a recording of any length is read by many tasks, and a block comes whole out of one of
+them. Shorter files are dealt out by their length alone, and their headers are read by the tasks.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ CHUNKS = "path string, chunk_no long, rate int, payload binary, error string"
 CHUNK = 32_000 * 60
 #: Bytes and files of one task at most, unless one chunk has more.
 RANGE_BYTES, RANGE_FILES = 64 << 20, 256
+#: Tasks that a smaller share than RANGE_BYTES may make: a task has a cost of its own, so beyond them shares grow, up to RANGE_BYTES.
+TASKS = 256
+#: Bytes and rows that a task hands on together, unless one chunk has more.
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 1 << 12
 #: Threads that read headers while a plan is made.
 PLANNERS = 32
 
@@ -100,9 +105,10 @@ def decode(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 @dataclass
 class Ranges(InputPartition):
-    """What one task reads: (path, its layout or an error, first chunk, the one behind the last)."""
+    """What one task reads: (path, its layout or an error, first chunk, the one behind the last); all of a file where only its size is known
+    in place of its layout."""
 
-    parts: list[tuple[str, Layout | str, int, int]]
+    parts: list[tuple[str, Layout | str | int, int, int]]
 
 
 class WavReader(DataSourceReader):
@@ -116,51 +122,71 @@ class WavReader(DataSourceReader):
         fs, base = _filesystem(path)
         return fs.open_input_file(base)
 
-    def _planned(self, file: tuple[str, int]) -> tuple[str, Layout | str]:
-        path, size = file
+    def _layout(self, path: str, size: int) -> Layout | str:
         try:
             with self._open(path) as f:
-                return path, layout(f, size)
+                return layout(f, size)
         except Exception as e:
-            return path, str(e)
+            return str(e)
 
     def partitions(self) -> list[Ranges]:
         from concurrent.futures import ThreadPoolExecutor
 
+        files = _listed(self.path, self.suffix)
+        share = max(self.range_bytes, min(RANGE_BYTES, sum(size for _, size in files) // TASKS))
         out, held, n = [], [], 0
         with ThreadPoolExecutor(PLANNERS) as pool:
-            for path, found in pool.map(self._planned, _listed(self.path, self.suffix)):
+            long = pool.map(lambda file: self._layout(*file), [f for f in files if f[1] > share])
+            for path, size in files:
+                found = next(long) if size > share else size
                 chunks = -(-found.n_frames // self.chunk) if isinstance(found, Layout) else 1
-                cost = 2 * self.chunk * found.channels if isinstance(found, Layout) else 1
+                cost = 2 * self.chunk * found.channels if isinstance(found, Layout) else size if size <= share else 1
                 at = 0
                 while at < chunks:
-                    to = min(chunks, at + max(1, (self.range_bytes - n) // cost))
-                    if held and (n + (to - at) * cost > self.range_bytes or len(held) == RANGE_FILES):
-                        out, held, n = [*out, Ranges(held)], [], 0
+                    to = min(chunks, at + max(1, (share - n) // max(1, cost)))
+                    if held and (n + (to - at) * cost > share or len(held) == RANGE_FILES):
+                        out.append(Ranges(held))
+                        held, n = [], 0
                         continue
                     held.append((path, found, at, to))
                     n, at = n + (to - at) * cost, to
         return [*out, Ranges(held)] if held else out or [Ranges([])]
 
-    def read(self, partition: Ranges):
-        import pyarrow as pa
-
-        kinds = {"path": pa.string(), "chunk_no": pa.int64(), "rate": pa.int32(), "payload": pa.binary(), "error": pa.string()}
-        row = lambda *v: pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(v, kinds.values())], list(kinds))
+    def _rows(self, partition: Ranges):
+        """(path, chunk_no, rate, payload, error)"""
         for path, found, first, last in partition.parts:
+            if isinstance(found, int):
+                found = self._layout(path, found)
+                first, last = 0, -(-found.n_frames // self.chunk) if isinstance(found, Layout) else 0
             if isinstance(found, str):
-                yield row(path, None, None, None, found)
+                yield path, None, None, None, found
                 continue
             with self._open(path) as f:
                 for no in range(first, last):
                     a, b = no * self.chunk, min((no + 1) * self.chunk, found.n_frames)
                     f.seek(found.start + 2 * found.channels * a)
-                    yield row(path, no, found.rate, _mono(f.read(2 * found.channels * (b - a)), found.channels), None)
+                    yield path, no, found.rate, _mono(f.read(2 * found.channels * (b - a)), found.channels), None
+
+    def read(self, partition: Ranges):
+        import pyarrow as pa
+
+        kinds = {"path": pa.string(), "chunk_no": pa.int64(), "rate": pa.int32(), "payload": pa.binary(), "error": pa.string()}
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds.values())], list(kinds))
+        held, n = [], 0
+        for row in self._rows(partition):
+            size = len(row[3] or b"")
+            if held and (n + size > BATCH_BYTES or len(held) == BATCH_ROWS):
+                yield batch(held)
+                held, n = [], 0
+            held.append(row)
+            n += size
+        if held:
+            yield batch(held)
 
 
 class WavSource(DataSource):
     """Options: path (a file or folder, also of a store that pyarrow.fs knows: s3, gs, hdfs), chunk (samples a row), rangeBytes (a task's
-    share), suffix. Files that can't be read have one row with their error."""
+    share, which grows where there would be too many tasks), suffix. Files that can't be read have one row with their error."""
 
     @classmethod
     def name(cls) -> str:
@@ -207,10 +233,13 @@ def write_wav(files: DataFrame, path: str) -> None:
     lead = F.col("lead") if "lead" in files.columns else F.lit(b"")
 
     def run(batches):
+        (fs, top), made = _filesystem(path), set()
         for b in batches:
             for name, rate, payload, before in zip(*[c.to_pylist() for c in b.columns]):
-                fs, base = _filesystem(f"{path}/{name}")
-                fs.create_dir(base.rpartition("/")[0], recursive=True)
+                base = f"{top}/{name}"
+                if (folder := base.rpartition("/")[0]) not in made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with fs.open_output_stream(base) as f:
                     f.write(before + header(len(payload), rate) + payload)
             yield b.select(["name"])

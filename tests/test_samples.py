@@ -110,6 +110,27 @@ def test_a_recording_over_two_gib_is_read_by_many_tasks(spark, tmp_path):
     assert sorted((r["source_key"], r["block_no"], r["n_samples"], bytes(r["payload"])) for r in done.collect()) == want
 
 
+def test_many_small_recordings_take_few_tasks(tmp_path, monkeypatch):
+    """Shares grow beyond so many tasks; headers of what is shorter than a share aren't read while the plan is made."""
+    raw = np.arange(30, dtype="<i2").tobytes()
+    for i in range(400):
+        (tmp_path / f"{i:03d}.wav").write_bytes(b"JUNK" * (i % 50 == 7) + wav.header(60, 100) + raw)
+    monkeypatch.setattr(wav, "TASKS", 20)
+    reader, opened, layout = wav.WavReader({"path": str(tmp_path), "chunk": "20", "rangebytes": "40"}), [], wav.layout
+    monkeypatch.setattr(wav, "layout", lambda f, size: opened.append(size) or layout(f, size))
+    parts = reader.partitions()
+    assert len(parts) <= 22 and not opened
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    want = []
+    for i in range(400):
+        path = str(tmp_path / f"{i:03d}.wav")
+        want += [(path, None, None, None, "not a WAV file")] if i % 50 == 7 else [(path, 0, 100, raw[:40], None), (path, 1, 100, raw[40:], None)]
+    assert [tuple(r.values()) for r in rows] == want
+    (tmp_path / "long.wav").write_bytes(wav.header(20_000, 100) + b"\0" * 20_000)
+    spans = [(a, b) for p in reader.partitions() for path, _, a, b in p.parts if path.endswith("long.wav")]
+    assert len(spans) > 5 and [i for a, b in spans for i in range(a, b)] == list(range(500)) and len(opened) == 401
+
+
 def test_wav_headers(tmp_path):
     import io
     import struct
