@@ -25,10 +25,19 @@ def keeps_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+#: Groups of keys that share their calls to the store of states: a call costs as much as thousands of rows.
+GROUPS = 1024
+#: A row that waits (microseconds, tie, speed: no number if unknown), and where a key's automaton is.
+WAITS = [("key", "<i8"), ("at", "<i8"), ("tie", "<i8"), ("speed", "<f8")]
+PLACES = [("key", "<i8"), ("seen", "<i8"), ("run", "<i8"), ("place", "<i8"), ("last", "<i8")]
+
+
 class Streaks(StatefulProcessor):
-    """Of a key: rows wait in a list until the watermark has passed them, and then go through the automaton of slow streaks in order.
+    """Of a group of keys: rows wait in a list until the watermark has passed them, and then go through their key's automaton of slow
+    streaks in order.
 
-    One timer a key: at the first row that waits or, if none does, `idle_ms` after the last one, when the state goes.
+    The list has one value for all rows that arrive together, the automata of all keys are one value. One timer a group: at the first
+    row that waits or, if earlier, `idle_ms` after the last one of a key without any, when the key's state goes.
     """
 
     def __init__(self, threshold: float, warm_up: int, slow: int, idle_ms: int | None):
@@ -36,51 +45,71 @@ class Streaks(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.machine = handle.getValueState("machine", "seen long, run long, place long, last long, timer long")
-        self.waiting = handle.getListState("waiting", "at long, tie long, speed double")
+        self.machines = handle.getValueState("machines", "places binary, timer long")
+        self.waiting = handle.getListState("waiting", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        new = [r for pdf in rows for r in zip(pdf["at"].tolist(), pdf["tie"].tolist(), [None if v != v else v for v in pdf["speed"].tolist()])]
+        import numpy as np
+
+        new, first = [], None
+        for pdf in rows:
+            if len(pdf):
+                x = np.empty(len(pdf), WAITS)
+                for name, _ in WAITS:
+                    x[name] = pdf[name].to_numpy(x[name].dtype)
+                new.append((x.tobytes(),))
+                least = int(x["at"].min())
+                first = least if first is None else min(first, least)
         if new:
             self.waiting.appendList(new)
-            self._wake(min(at for at, _, _ in new))
+            self._wake(first, *(self.machines.get() or (b"", -1)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import numpy as np
         import pandas as pd
 
         done = timerValues.getCurrentWatermarkInMs() * 1000
-        seen, run, place, last, _ = self.machine.get()
-        rows = sorted(self.waiting.get(), key=lambda r: r[:2])
-        ready, rest, out = [r for r in rows if r[0] <= done], [r for r in rows if r[0] > done], []
-        for at, _, speed in ready:
-            place += 1
-            run = run + 1 if seen >= self.warm_up and speed is not None and speed < self.threshold else 0
-            seen, last = seen + 1, at
-            if run >= self.slow:
-                out.append(place)
-                seen = run = 0
-        if not rest and self.idle_ms is not None and last + 1000 * self.idle_ms <= done:
-            self.waiting.clear()
-            self.machine.clear()
+        machines = {k: v for k, *v in np.frombuffer(self.machines.get()[0], PLACES).tolist()}
+        held = [np.frombuffer(v, WAITS) for (v,) in self.waiting.get()]
+        rows = np.concatenate(held) if held else np.empty(0, WAITS)
+        rows = rows[np.lexsort((rows["tie"], rows["at"], rows["key"]))]
+        ready, rest, out = rows[rows["at"] <= done], rows[rows["at"] > done], []
+        keys, starts = np.unique(ready["key"], return_index=True)
+        for k, some in zip(keys.tolist(), np.split(ready, starts[1:])):
+            seen, run, place, _ = machines.get(k, (0, 0, 0, 0))
+            for below in (some["speed"] < self.threshold).tolist():
+                place += 1
+                run = run + 1 if seen >= self.warm_up and below else 0
+                seen += 1
+                if run >= self.slow:
+                    out.append((k, place))
+                    seen = run = 0
+            machines[k] = (seen, run, place, int(some["at"][-1]))
+        wake = [int(rest["at"].min())] if len(rest) else []
+        if self.idle_ms is not None:
+            busy, gone = set(rest["key"].tolist()), lambda v: v[-1] + 1000 * self.idle_ms
+            machines = {k: v for k, v in machines.items() if k in busy or gone(v) > done}
+            wake += [gone(v) for k, v in machines.items() if k not in busy]
+        self.waiting.put([(rest.tobytes(),)]) if len(rest) else self.waiting.clear()
+        places = np.array([(k, *v) for k, v in machines.items()], PLACES).tobytes()
+        if wake:
+            self._wake(min(wake), places, -1)
+        elif machines:
+            self.machines.update((places, -1))
         else:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-            self.machine.update((seen, run, place, last, -1))
-            if rest:
-                self._wake(rest[0][0])
-            elif self.idle_ms is not None:
-                self._wake(last + 1000 * self.idle_ms)
-        yield pd.DataFrame({"key": [key[0]] * len(out), "seq": out}).astype({"key": "int64", "seq": "int64"})
-
-    def _wake(self, at: int) -> None:
-        """A timer when the watermark has passed `at`, in place of a later one."""
-        seen, run, place, last, timer = self.machine.get() if self.machine.exists() else (0, 0, 0, 0, -1)
+            self.machines.clear()
+        if out:
+            yield pd.DataFrame(np.array(out, "int64"), columns=["key", "seq"])
+
+    def _wake(self, at: int, places: bytes, timer: int) -> None:
+        """Keeps the automata, with a timer when the watermark has passed `at`, in place of a later one."""
         ms = -(-at // 1000)
         if timer < 0 or ms < timer:
             if timer >= 0:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(ms)
-            self.machine.update((seen, run, place, last, ms))
+            self.machines.update((places, ms))
 
     def close(self) -> None:
         pass
@@ -91,12 +120,13 @@ def slow_streak(samples: DataFrame, threshold: float, warm_up: int = WARM_UP, sl
 
     Samples count in the order of (ts, tie) whatever batch they come in, as long as they come no more than `late` behind the latest ts;
     later ones are left out. An alarm comes out once the watermark has passed its sample, so the last ones do after a row that starts
-    later, of whatever key (`closing`). With idle_s a key's state goes so long after its last sample; if it comes back it begins anew.
+    later, of whatever key (`closing`). With idle_s a key's state goes so long after its last sample; if it comes back it begins anew. Samples without a key are left out.
     """
     keeps_state(samples.sparkSession)
-    s = samples.withWatermark("ts", late).select("key", "ts", F.unix_micros("ts").alias("at"), "tie", "speed")
+    group = F.pmod(F.xxhash64("key"), F.lit(GROUPS)).alias("group")
+    s = samples.withWatermark("ts", late).filter("key is not null").select(group, "key", "ts", F.unix_micros("ts").alias("at"), "tie", "speed")
     processor = Streaks(threshold, warm_up, slow, None if idle_s is None else round(1000 * idle_s))
-    return s.groupBy("key").transformWithStateInPandas(processor, "key long, seq long", "append", "eventTime")
+    return s.groupBy("group").transformWithStateInPandas(processor, "key long, seq long", "append", "eventTime")
 
 
 def merged_sessions(segments: DataFrame, gap_us: int, keys: list[str], late: str = "1 hour") -> DataFrame:

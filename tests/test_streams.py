@@ -50,6 +50,46 @@ def test_rows_of_later_batches_are_put_in_order_and_a_restart_goes_on(spark, tmp
     assert run(spark, tmp_path) == want
 
 
+def test_rows_that_arrive_together_take_few_calls_to_the_store():
+    """A processor with a store of its own that counts: as many calls for a thousand rows of many keys as for one."""
+    import pandas as pd
+
+    calls = []
+
+    class Store:
+        value = None
+        get = lambda self: calls.append("get") or self.value
+        exists = lambda self: calls.append("exists") or self.value is not None
+        update = put = lambda self, v: calls.append("put") or setattr(self, "value", v)
+        clear = lambda self: calls.append("clear") or setattr(self, "value", None)
+
+    class Items(Store):
+        get = lambda self: iter(calls.append("get") or list(map(tuple, self.value or [])))
+        appendList = lambda self, v: calls.append("append") or setattr(self, "value", [*(self.value or []), *v])
+
+    class Handle:
+        getValueState, getListState = staticmethod(lambda *a: Store()), staticmethod(lambda *a: Items())
+        registerTimer = deleteTimer = staticmethod(lambda ms: calls.append("timer"))
+
+    class Watermark:
+        getCurrentWatermarkInMs = staticmethod(lambda: 1_000_000)
+
+    found, taken = [], []
+    for n in (1, 1000):
+        calls.clear()
+        p = streams.Streaks(0.5, 2, 2, None)
+        p.init(Handle())
+        speeds = [(None, 0.1, 0.1, 0.1, 0.9, float("nan"))[i * i // 5 % 6] for i in range(n)]
+        keys = [i * i // 7 % 5 for i in range(n)]
+        assert list(p.handleInputRows((3,), iter([pd.DataFrame({"key": keys, "at": range(n), "tie": range(n), "speed": pd.Series(speeds, dtype="float64")})]), None)) == []
+        assert p.waiting.value is not None and len(p.waiting.value) == 1
+        found = [tuple(r) for pdf in p.handleExpiredTimer((3,), Watermark, None) for r in pdf.itertuples(index=False)]
+        taken.append(len(calls))
+    known = [None if v is None or v != v else v for v in speeds]
+    assert found == [(k, i) for k in range(5) for i in fold([v for own, v in zip(keys, known) if own == k])] and found
+    assert taken[0] == taken[1] <= 8
+
+
 def test_state_of_idle_keys_goes(spark, tmp_path):
     quick = lambda at, n: [(7, at + i, i, 0.1) for i in range(n)]
     put(spark, tmp_path, quick(1000, 3), 0)  # one more would be an alarm
