@@ -69,29 +69,32 @@ pk AS (SELECT sg.*, fr.p, fr.q, row_number() OVER (PARTITION BY sg.source_key, s
 LOST = 3
 
 
-def _sent(spark, sf):
-    """Padded blocks, each a second after the one before, written as they would arrive, but for one of each source."""
-    blocks, path = signal.block_pad(x.chunks(spark, sf), 1000), new_folder(spark, "blocks")
-    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("block_no"))
-    blocks.filter(F.col("block_no") != LOST).select("source_key", "block_no", "payload", at.alias("ts")).write.parquet(path)
-    return streams.stream_of(spark, path, "source_key string, block_no long, payload binary, ts timestamp")
+def _sent(spark, sf, *columns):
+    """(all blocks, those that arrive as a stream): padded blocks, each a second after the one before, written once; on its way one of
+    each source is lost. columns: of source_key, block_no, ts and payload."""
+    path, at = new_folder(spark, "blocks"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("block_no"))
+    blocks = signal.block_pad(x.chunks(spark, sf), 1000).withColumn("ts", at).select(*columns)
+    blocks.write.parquet(path)
+    return spark.read.schema(blocks.schema).parquet(path), streams.stream_of(spark, path, blocks.schema).filter(F.col("block_no") != LOST)
 
 
 @query(f"""WITH {x.SAMPLES}, {POWER}, {SEGMENTS} SELECT source_key, block_no, b0 * 2 / 100 + block_no * 10 AS start_s, b1 * 2 / 100 + block_no * 10 + 1 AS end_s, pred, q > p AS suspect, (q > p)::INT AS top1_idx, round(greatest(p, q), 6) AS top1_score
 FROM pk WHERE o = 1 AND block_no <> {LOST}""")
 def stream_block_detect(spark, sf):
     """PCM blocks that arrive are scored and segmented inside the stream."""
-    found = detect.detect_blocks(_sent(spark, sf), detect.power_scorer(frame=100), PCM)
+    _, arriving = _sent(spark, sf, "source_key", "block_no", "payload", "ts")
+    found = detect.detect_blocks(arriving, detect.power_scorer(frame=100), PCM)
     return streams.finished(found, new_folder(spark, "segments"), new_folder(spark, "state"))
 
 
 @query(f"""WITH {x.SAMPLES} SELECT DISTINCT source_key, {LOST}::BIGINT AS block_no FROM samples WHERE sample_no // 1000 = {LOST}""")
 def stream_missing_blocks(spark, sf):
     """Sources announce how many blocks they have; those that never came are reported."""
-    n = x.samples(spark, sf).groupBy("source_key").agg((F.floor(F.max("sample_no") / 1000) + 1).cast("long").alias("n_expected"))
+    made, blocks = _sent(spark, sf, "source_key", "block_no", "ts")
+    n = made.groupBy("source_key").agg((F.max("block_no") + 1).alias("n_expected"))
     path, start = new_folder(spark, "sources"), F.timestamp_seconds(F.lit(1_704_067_200))
     n.select("source_key", start.alias("ts"), "n_expected").write.parquet(path)
-    sources, blocks = streams.stream_of(spark, path, "source_key string, ts timestamp, n_expected long"), _sent(spark, sf).select("source_key", "block_no", "ts")
+    sources = streams.stream_of(spark, path, "source_key string, ts timestamp, n_expected long")
     for folder, row in ((new_folder(spark, "closing"), "'' AS source_key, timestamp_seconds(9e9) AS ts, 1L AS n_expected"), (new_folder(spark, "closing"), "'' AS source_key, 0L AS block_no, timestamp_seconds(9e9) AS ts")):
         spark.sql(f"SELECT {row}").write.parquet(folder)
         if "n_expected" in row:

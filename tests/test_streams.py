@@ -136,3 +136,17 @@ def test_missing_blocks_in_later_batches(spark, tmp_path):
     found = streams.missing_blocks(stream("s", "source_key string, ts timestamp, n_expected long"), stream("b", "source_key string, block_no long, ts timestamp"), "6 hours", "12 hours")
     out = streams.finished(found, f"{tmp_path}/out", f"{tmp_path}/state")
     assert sorted((r["source_key"], r["block_no"]) for r in out.collect()) == [("a", 1), ("a", 2)]
+
+
+def test_samples_are_made_once(spark, monkeypatch):
+    """The query's sources and blocks come from one pass over the samples, and payloads aren't written where they aren't read."""
+    from ostinato.operators import ordered
+    from ostinato.plans import stream_queries
+
+    passes, numbered, written = [], ordered.numbered, []
+    monkeypatch.setattr(ordered, "numbered", lambda *a, **b: passes.append(1) or numbered(*a, **b))
+    folder = stream_queries.new_folder
+    monkeypatch.setattr(stream_queries, "new_folder", lambda spark, name: written.append((name, folder(spark, name))) or written[-1][1])
+    got = stream_queries.stream_missing_blocks(spark, "/root/testdata/sf0.001")
+    assert got.count() == spark.read.parquet(dict(written)["blocks"]).filter(f"block_no = {stream_queries.LOST}").count()
+    assert len(passes) == 1 and spark.read.parquet(dict(written)["blocks"]).columns == ["source_key", "block_no", "ts"]
