@@ -110,3 +110,21 @@ def test_times_of_eight_digits(spark):
     value = '{"entries": [%s]}' % ", ".join('{"url": "u%d", "%s": %s}' % (i, k, v) for i, (k, v) in enumerate([("release_timestamp", 10022400), ("timestamp", 99964800), ("timestamp", '"20240102"'), ("upload_date", '"20240230"'), ("release_timestamp", 1704153600)]))
     got = playlist.playlist_entries(spark.createDataFrame([("a", "https://x.example/", value)], "list_id string, url string, value string"))
     assert [r["upload_date"] for r in got.orderBy("index").collect()] == ["1970-04-27", "1973-03-03", "2024-01-02", "2024-02-30", "2024-01-02"]
+
+
+def test_rounds_of_candidates_write_little(spark):
+    """Bytes that stay in the shared folder for each candidate; equal ordinals go on by their texts."""
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    size = lambda: sum(f.stat().st_size for f in shared.rglob("*") if f.is_file())
+    i = F.col("id")
+    of = lambda lead, n: F.concat(F.lit(lead), F.pmod(F.xxhash64("id", F.lit(lead)), F.lit(n)).cast("string"))
+    many = spark.range(60_000).select(F.floor(i / 4).alias("source_key"), (i % 4).alias("ordinal"), of("f", 5).alias("format_id"), of("u", 6).alias("url"), F.lit("none").alias("acodec"), F.lit("v").alias("vcodec"))
+    before = size()
+    assert catalog.distinct_candidates(many, "video").count() > 30_000
+    assert (size() - before) / 60_000 < 30
+    ties = [("s", None, "b", "u1"), ("s", None, "a", "u1"), ("s", 1, "c", "u3"), ("s", 1, None, "u3"), ("s", 2, "c", "u4"), ("s", 2, "c", "u4")]
+    df = spark.createDataFrame([(*r, None, "v") for r in ties], "source_key string, ordinal long, format_id string, url string, acodec string, vcodec string").repartition(3)
+    assert sorted(tuple(r)[2:4] for r in catalog.distinct_candidates(df, "video").collect() if r["format_id"]) == [("a", "u1"), ("c", "u4")]
+    assert catalog.distinct_candidates(df, "video").filter("format_id is null and url = 'u3'").count() == 1
